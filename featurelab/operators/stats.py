@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import default_parallelism
 from .position import chunk_id, with_position
@@ -190,7 +191,7 @@ def linear_softmax(df: DataFrame, weights: np.ndarray, feat_col: str = "features
     """V9: ``softmax(x @ W)`` (no bias).  ``W`` (D x C, fixed by the model) ships
     in the task closure; rows stream through in Arrow batches."""
     w = np.asarray(weights, dtype=np.float64)
-    out_schema = df.schema.add(out_col, "array<double>")
+    out_schema = T.StructType(list(df.schema.fields) + [T.StructField(out_col, T.ArrayType(T.DoubleType()))])
 
     def apply(batches):
         for pdf in batches:
