@@ -152,14 +152,18 @@ FROM labels
 
 
 # ------------------------------------------------------------------ metrics
-def metric_reports(spark, sf_dir) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def metric_reports_from(ev: DataFrame, keep=()) -> DataFrame:
+    """Metric reports from an events frame (batch or stream): NaN, inf and 1e25 injected."""
     v = (F.when(F.pmod("event_id", F.lit(97)) == 0, F.lit(float("nan")))
          .when(F.pmod("event_id", F.lit(101)) == 0, F.lit(float("inf")))
          .when(F.pmod("event_id", F.lit(103)) == 0, F.lit(1e25))
          .otherwise(F.col("value")))
     return ev.select("event_id", F.col("event_type").alias("name"),
-                     F.pmod("event_id", F.lit(8)).cast("int").alias("rank"), v.alias("value"))
+                     F.pmod("event_id", F.lit(8)).cast("int").alias("rank"), v.alias("value"), *keep)
+
+
+def metric_reports(spark, sf_dir) -> DataFrame:
+    return metric_reports_from(table(spark, sf_dir, "events"))
 
 
 METRIC_REPORTS_SQL = """
@@ -172,12 +176,16 @@ FROM events
 """
 
 
-def step_log(spark, sf_dir) -> DataFrame:
-    return metric_reports(spark, sf_dir).select(
+def step_log_from(reports: DataFrame) -> DataFrame:
+    return reports.select(
         "*", F.floor(F.col("event_id") / 8).cast("bigint").alias("step"),
         (F.pmod("event_id", F.lit(4)) == 3).alias("is_sync"))
 
 
+def step_log(spark, sf_dir) -> DataFrame:
+    return step_log_from(metric_reports(spark, sf_dir))
+
+
 STEP_LOG_SQL = f"""
 SELECT *, event_id // 8 AS step, (event_id % 4 = 3) AS is_sync FROM ({METRIC_REPORTS_SQL})
 """

@@ -1,11 +1,11 @@
 """All registered queries (name -> (spark, sf_dir) -> DataFrame) and their DuckDB oracles."""
 from __future__ import annotations
 
-from . import q_evaluate, q_metrics, q_prep, q_train
+from . import q_evaluate, q_io, q_metrics, q_prep, q_train
 from .sqltext import expand_round0
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _mod in (q_evaluate, q_metrics, q_prep, q_train):
+for _mod in (q_evaluate, q_metrics, q_prep, q_train, q_io):
     QUERIES.update(_mod.QUERIES)
     ORACLES.update({k: expand_round0(v) for k, v in _mod.ORACLES.items()})
