@@ -174,8 +174,8 @@ def q_write_report(spark, sf):
 def q_write_metrics(spark, sf):
     folder = MZ.fresh_folder(spark, "metrics")
     log = M.cross_rank_mean(fx.step_log(spark, sf))
-    W.write_metrics(log.where(F.col("step") < 500), folder + "/m", "run_a")
-    W.write_metrics(log.where(F.col("step") >= 500), folder + "/m", "run_b")
+    W.write_metrics(log.where(F.pmod("step", F.lit(2)) == 0), folder + "/m", "run_a")
+    W.write_metrics(log.where(F.pmod("step", F.lit(2)) == 1), folder + "/m", "run_b")
     back = spark.read.parquet(folder + "/m")
     return back.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
 
@@ -310,8 +310,8 @@ FROM embeddings""",
   FROM documents) WHERE lower(string_split(path, '.')[-1]) IN ('png', 'jpg', 'jpeg'))
 SELECT CAST(substr(printf('%08d', idx), 1, 5) AS INTEGER) AS prefix, count(*) AS n,
   min(substr(printf('%08d', idx), 1, 5) || '/img' || printf('%08d', idx) || '.png') AS first FROM i GROUP BY 1""",
-    "io_write_metrics": """SELECT 'run_a' AS run, count(*) AS n FROM (SELECT DISTINCT event_id // 8 AS s, event_type FROM events) WHERE s < 500
-UNION ALL SELECT 'run_b', count(*) FROM (SELECT DISTINCT event_id // 8 AS s, event_type FROM events) WHERE s >= 500""",
+    "io_write_metrics": """SELECT CASE WHEN s % 2 = 0 THEN 'run_a' ELSE 'run_b' END AS run, count(*) AS n
+FROM (SELECT DISTINCT event_id // 8 AS s, event_type FROM events) GROUP BY 1""",
     "score_batch": f"""SELECT id, CAST(c - 1 AS INTEGER) AS c, round0(probs[c], 6) AS p FROM ({fx.PROBS_SQL}), range(1, 11) t(c)""",
     "score_in_pandas": f"""SELECT id, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS top,
   round0(list_max(probs), 6) AS p_max FROM ({fx.PROBS_SQL})""",
