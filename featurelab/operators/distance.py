@@ -102,24 +102,34 @@ def _blocks_for(df: DataFrame, block_rows: int, n_rows: int | None) -> tuple[int
 
 # ---------------------------------------------------------------- K1
 def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=(3,),
-              block_rows: int = DEFAULT_BLOCK_ROWS, n_rows: int | None = None) -> DataFrame:
+              block_rows: int = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
+              set_col: str | None = None) -> DataFrame:
     """K1: squared distance to the k-th neighbour of every row, for each k in ``ks``.
 
     Position 0 of a row's sorted distance list is the row itself, so position
     ``k`` is taken (the source's convention).  Returns ``(id, radii)`` with
-    ``radii[j]`` for ``ks[j]`` and ``radius`` = ``radii[0]``.
+    ``radii[j]`` for ``ks[j]`` and ``radius`` = ``radii[0]``.  With ``set_col``
+    the radii of several sets come from one blocked job (rows only meet rows
+    of their own set); the output then carries the set column.
     """
     ks = tuple(int(k) for k in ks)
     kmax = max(ks)
-    feats = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
-    n, nb = _blocks_for(feats, block_rows, n_rows)
-    if n < kmax + 1:
-        raise ValueError(f"knn_radii needs at least {kmax + 1} rows, got {n}")
+    sel = [F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")]
+    sel.append((F.col(set_col).cast("string") if set_col else F.lit("")).alias("_set"))
+    feats = df.select(*sel)
+    if set_col:
+        counts = {r["_set"]: r["n"] for r in feats.groupBy("_set").agg(F.count(F.lit(1)).alias("n")).collect()}
+    else:
+        counts = {"": feats.count() if n_rows is None else n_rows}
+    if not counts or min(counts.values()) < kmax + 1:
+        raise ValueError(f"knn_radii needs at least {kmax + 1} rows per set, got {counts}")
+    nb = count_blocks(max(counts.values()), block_rows)
     keep = kmax + 1
 
     def kernel(_key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "d": pd.Series([], dtype=object)})
+            return pd.DataFrame({"_set": pd.Series([], dtype=object), "id": pd.Series([], dtype="int64"),
+                                 "d": pd.Series([], dtype=object)})
         a, b = _matrix(lpdf["f"]), _matrix(rpdf["f"])
         bb = np.einsum("ij,ij->i", b, b)
         m = min(keep, b.shape[0])
@@ -130,17 +140,23 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
                 d = np.partition(d, m - 1, axis=1)[:, :m]
             d.sort(axis=1)
             out.extend(list(d))
-        return pd.DataFrame({"id": lpdf["id"].values, "d": out})
+        return pd.DataFrame({"_set": lpdf["_set"].values, "id": lpdf["id"].values, "d": out})
 
     # the right side gets fresh attributes: a cogroup of a plan with itself
     # otherwise loses columns to pruning when the result is counted
-    right = feats.select(F.col("id").alias("id"), F.col("f").alias("f"))
-    partial = blocked_cogroup(feats, right, kernel, "id long, d array<double>", nb, nb)
-    merged = partial.groupBy("id").agg(
+    right = feats.select(F.col("id").alias("id"), F.col("f").alias("f"), F.col("_set").alias("_set"))
+    lb = _replicate(feats, "_bl", "_br", "id", nb, nb)
+    rb = _replicate(right, "_br", "_bl", "id", nb, nb)
+    partial = (lb.groupBy("_set", "_bl", "_br").cogroup(rb.groupBy("_set", "_bl", "_br"))
+               .applyInPandas(kernel, schema="_set string, id long, d array<double>"))
+    merged = partial.groupBy("_set", "id").agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, keep).alias("nearest"))
     radii = F.array(*[F.element_at("nearest", k + 1) for k in ks])
-    return (merged.select(F.col("id").alias(id_col), radii.alias("radii"))
-            .withColumn("radius", F.element_at("radii", 1)))
+    out = merged.select(F.col("_set"), F.col("id").alias(id_col), radii.alias("radii")) \
+        .withColumn("radius", F.element_at("radii", 1))
+    if set_col:
+        return out.withColumnRenamed("_set", set_col)
+    return out.drop("_set")
 
 
 def clamp_radii(radii: DataFrame, pct: float | None, col: str = "radius") -> DataFrame:
@@ -204,11 +220,17 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
 def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "id",
                      feat_col: str = "features", block_rows: int = DEFAULT_BLOCK_ROWS,
                      clamp_pct: float | None = None) -> DataFrame:
-    """One row ``(precision, recall)`` from k-NN manifolds of both sets."""
-    n_ref, n_smp = ref.count(), smp.count()
-    r1 = clamp_radii(knn_radii(ref, id_col, feat_col, (k,), block_rows, n_ref), clamp_pct)
-    r2 = clamp_radii(knn_radii(smp, id_col, feat_col, (k,), block_rows, n_smp), clamp_pct)
-    flags = membership_flags(ref, r1, smp, r2, id_col, feat_col, block_rows, n_ref, n_smp)
+    """One row ``(precision, recall)`` from k-NN manifolds of both sets.
+
+    The radii of both sets come from one blocked job; the memberships from a
+    second one over (reference block, sample block) pairs.
+    """
+    both = (ref.select(F.lit("ref").alias("_side"), id_col, feat_col)
+            .unionByName(smp.select(F.lit("sample").alias("_side"), id_col, feat_col)))
+    radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side")
+    r1 = clamp_radii(radii.where(F.col("_side") == "ref").drop("_side"), clamp_pct)
+    r2 = clamp_radii(radii.where(F.col("_side") == "sample").drop("_side"), clamp_pct)
+    flags = membership_flags(ref, r1, smp, r2, id_col, feat_col, block_rows)
     return flags.agg(
         F.avg(F.when(F.col("side") == "sample", F.col("inside").cast("double"))).alias("precision"),
         F.avg(F.when(F.col("side") == "ref", F.col("inside").cast("double"))).alias("recall"))

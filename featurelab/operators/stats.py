@@ -110,6 +110,68 @@ def fit_statistics(df: DataFrame, feat_col: str = "features", max_tasks: int | N
     return FeatureStats(n, mu, sigma)
 
 
+def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | None = None,
+                         max_tasks: int | None = None) -> dict:
+    """A3 for several feature columns and sets in ONE scan and one shuffle.
+
+    Returns ``{(set, column): FeatureStats}`` (set ``None`` without ``set_col``).
+    Each task keeps one shifted ``(n, sum, Gram)`` per (set, column); the
+    number of sets must be small (it multiplies the partial size).
+    """
+    spark = df.sparkSession
+    sel = [F.col(set_col).cast("string").alias("_set") if set_col else F.lit(None).cast("string").alias("_set")]
+    sel += [_double_array(c).alias(f"_f{j}") for j, c in enumerate(feat_cols)]
+    src = df.select(*sel)
+    first = src.where(F.col("_f0").isNotNull()).first()
+    if first is None:
+        raise ValueError("feature statistics of an empty set")
+    shifts = [np.asarray(first[f"_f{j}"], dtype=np.float64) for j in range(len(feat_cols))]
+    tasks = max_tasks or default_parallelism(spark)
+    if src.rdd.getNumPartitions() > tasks:
+        src = src.coalesce(tasks)
+    ncol = len(feat_cols)
+
+    def partial(batches):
+        acc: dict = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            for key, part in pdf.groupby("_set", dropna=False, sort=False):
+                key = None if (isinstance(key, float) and np.isnan(key)) else key
+                for j in range(ncol):
+                    x = np.vstack(part[f"_f{j}"].values) - shifts[j]
+                    a = acc.get((key, j))
+                    if a is None:
+                        d = x.shape[1]
+                        a = acc[(key, j)] = [0, np.zeros(d), np.zeros((d, d))]
+                    a[0] += x.shape[0]
+                    a[1] += x.sum(axis=0)
+                    a[2] += x.T @ x
+        rows = []
+        for (key, j), (n, sm, g) in acc.items():
+            rows.append((key, j, SUMS_ROW, n, sm))
+            rows.extend((key, j, i, 0, g[i]) for i in range(g.shape[0]))
+        if rows:
+            yield pd.DataFrame(rows, columns=["_set", "col", "i", "n", "g"])
+
+    parts = src.mapInPandas(partial, schema="_set string, col int, i int, n long, g array<double>")
+    merged = (parts.groupBy("_set", "col", "i")
+              .agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")))
+    rows: dict = {}
+    for r in merged.collect():  # (sets x columns x (D + 1)) rows: fixed by the feature widths
+        rows.setdefault((r["_set"], r["col"]), {})[r["i"]] = r
+    out = {}
+    for (key, j), rr in rows.items():
+        k = shifts[j]
+        d = len(k)
+        n = int(rr[SUMS_ROW]["n"])
+        sm = np.asarray(rr[SUMS_ROW]["g"])
+        g = np.vstack([np.asarray(rr[i]["g"]) for i in range(d)])
+        sigma = (g - np.outer(sm, sm) / n) / (n - 1) if n > 1 else np.full((d, d), np.nan)
+        out[(key, feat_cols[j])] = FeatureStats(n, k + sm / n, (sigma + sigma.T) / 2.0)
+    return out
+
+
 def feature_cov(df: DataFrame, feat_col: str = "features", max_tasks: int | None = None) -> DataFrame:
     """A2: covariance (ddof = 1) as ``(i, j, cov)`` rows, computed in Spark.
 
@@ -219,7 +281,11 @@ def inception_score(df: DataFrame, probs_col: str = "probs", order_col: str = "i
     p = _double_array(probs_col)
     plogp = F.aggregate(F.col("p"), F.lit(0.0),
                         lambda acc, v: acc + F.when(v <= 0, F.lit(float("nan"))).otherwise(v * F.log(v)))
-    pos = with_position(df.select(order_col, p.alias("p")), order_col)
+    base = df.select(order_col, p.alias("p"))
+    if base.count() <= split_size:  # one chunk: no positions needed
+        pos = base.withColumn("pos", F.lit(0).cast("bigint"))
+    else:
+        pos = with_position(base, order_col)
     per_chunk = (pos.withColumn("chunk", chunk_id("pos", split_size))
                  .groupBy("chunk")
                  .agg(F.count(F.lit(1)).alias("n"),

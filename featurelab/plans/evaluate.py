@@ -2,9 +2,12 @@
 
 Five numbers, as the source's evaluator reports them: Inception Score on the
 sample probabilities, FID on pooled features, sFID on spatial features,
-k-NN precision and recall (k = 3).  Statistics, radii, memberships and the
-Inception Score are distributed jobs; the driver only finishes the two D x D
-matrix square roots.
+k-NN precision and recall (k = 3).
+
+Jobs: one scan + one shuffle for all four statistics (2 sets x 2 feature
+columns), one blocked job for the radii of both sets, one for the
+memberships, one aggregate for the Inception Score.  The driver only
+finishes the two D x D matrix square roots.
 """
 from __future__ import annotations
 
@@ -17,30 +20,41 @@ from . import fixtures as fx
 REPORT_ORDER = ["Inception Score", "FID", "sFID", "Precision", "Recall"]
 
 
-def evaluation_numbers(ref: DataFrame, smp: DataFrame, ref_spatial: DataFrame, smp_spatial: DataFrame,
-                       smp_probs: DataFrame, k: int = 3, split_size: int = 5000,
+def evaluation_numbers(ref: DataFrame, smp: DataFrame, smp_probs: DataFrame, k: int = 3,
+                       split_size: int = 5000, feat_col: str = "features", spatial_col: str = "spatial",
                        block_rows: int = distance.DEFAULT_BLOCK_ROWS) -> dict:
+    """``ref`` / ``smp``: ``(id, features, spatial)``; ``smp_probs``: ``(id, probs)``."""
     is_row = stats.inception_score(smp_probs, "probs", "id", split_size).first()
-    fid = stats.frechet_distance(stats.fit_statistics(smp), stats.fit_statistics(ref))
-    sfid = stats.frechet_distance(stats.fit_statistics(smp_spatial), stats.fit_statistics(ref_spatial))
-    pr = distance.precision_recall(ref, smp, k=k, block_rows=block_rows).first()
+    both = (ref.select(F.lit("ref").alias("_set"), feat_col, spatial_col)
+            .unionByName(smp.select(F.lit("sample").alias("_set"), feat_col, spatial_col)))
+    st = stats.fit_statistics_multi(both, [feat_col, spatial_col], "_set")
+    fid = stats.frechet_distance(st[("sample", feat_col)], st[("ref", feat_col)])
+    sfid = stats.frechet_distance(st[("sample", spatial_col)], st[("ref", spatial_col)])
+    pr = distance.precision_recall(ref.select("id", feat_col), smp.select("id", feat_col), k=k,
+                                   feat_col=feat_col, block_rows=block_rows).first()
     return {"Inception Score": float(is_row["inception_score"]), "FID": fid, "sFID": sfid,
             "Precision": float(pr["precision"]), "Recall": float(pr["recall"])}
 
 
+def _with_spatial(df: DataFrame) -> DataFrame:
+    """Spatial features of the fixture: the first 32 dimensions (same row)."""
+    return df.withColumn("spatial", F.slice("features", 1, 32))
+
+
 def evaluation_report(spark: SparkSession, sf_dir: str, k: int = 3, split_size: int = 5000) -> DataFrame:
     """O4 as a five-row ``(metric_order, metric, value)`` table."""
-    ref, smp = fx.ref_features(spark, sf_dir), fx.sample_features(spark, sf_dir)
-    sp = fx.spatial_features(spark, sf_dir)
-    ref_sp, smp_sp = sp.where(F.pmod("id", F.lit(2)) == 0), sp.where(F.pmod("id", F.lit(2)) == 1)
+    ref = _with_spatial(fx.ref_features(spark, sf_dir))
+    smp = _with_spatial(fx.sample_features(spark, sf_dir))
     smp_probs = fx.probs(spark, sf_dir).where(F.pmod("id", F.lit(2)) == 1)
-    nums = evaluation_numbers(ref, smp, ref_sp, smp_sp, smp_probs, k=k, split_size=split_size)
+    nums = evaluation_numbers(ref, smp, smp_probs, k=k, split_size=split_size)
     rows = [(i, name, float(nums[name])) for i, name in enumerate(REPORT_ORDER)]
     return spark.createDataFrame(rows, "metric_order int, metric string, value double")
 
 
 def fid_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, smp = fx.ref_features(spark, sf_dir), fx.sample_features(spark, sf_dir)
-    fid = stats.frechet_distance(stats.fit_statistics(smp), stats.fit_statistics(ref))
-    self_fid = stats.frechet_distance(stats.fit_statistics(ref), stats.fit_statistics(ref))
+    both = fx.features(spark, sf_dir).withColumn(
+        "_set", F.when(F.pmod("id", F.lit(2)) == 0, "ref").otherwise("sample"))
+    st = stats.fit_statistics_multi(both, ["features"], "_set")
+    fid = stats.frechet_distance(st[("sample", "features")], st[("ref", "features")])
+    self_fid = stats.frechet_distance(st[("ref", "features")], st[("ref", "features")])
     return spark.createDataFrame([(float(fid), float(self_fid))], "fid double, self_fid double")

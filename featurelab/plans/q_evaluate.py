@@ -105,6 +105,23 @@ def q_grouped_stats(spark, sf):
                     rnd(F.aggregate("mu", F.lit(0.0), lambda a, x: a + x), R).alias("mu_sum"))
 
 
+def q_linear_softmax(spark, sf):
+    """V9 with a fixed head W = 20 * I[:, :10] (a model weight, not data)."""
+    import numpy as np
+    w = np.eye(64)[:, :10] * 20.0
+    p = stats.linear_softmax(fx.features(spark, sf), w)
+    return p.select("id", F.posexplode("probs").alias("c", "p")).select(
+        "id", F.col("c").cast("int").alias("c"), rnd("p").alias("p"))
+
+
+def q_membership_flags(spark, sf):
+    """J5 + U3: per-row membership in both directions (merged block flags)."""
+    ref, smp = fx.ref_features(spark, sf), fx.sample_features(spark, sf)
+    r1 = distance.knn_radii(ref)
+    r2 = distance.knn_radii(smp)
+    return distance.membership_flags(ref, r1, smp, r2, block_rows=100).select("side", "id", "inside")
+
+
 def q_fid(spark, sf):
     return evaluate.fid_only(spark, sf).select(rnd("fid", R).alias("fid"),
                                                (F.abs("self_fid") < 1e-9).alias("self_is_zero"))
@@ -131,6 +148,8 @@ QUERIES = {
     "eval_inception_score_chunked": q_inception_score_chunked,
     "eval_probs": q_probs,
     "eval_grouped_stats": q_grouped_stats,
+    "eval_linear_softmax": q_linear_softmax,
+    "eval_membership_flags": q_membership_flags,
     "eval_fid": q_fid,
     "eval_report": q_evaluation_report,
 }
@@ -264,7 +283,17 @@ g AS (SELECT label, dim, count(*) AS n, avg(x) AS mu, var_samp(x) AS v FROM e GR
 SELECT label, max(n) AS n, round0(sum(v), 6) AS trace_cov, round0(sum(mu), 6) AS mu_sum FROM g GROUP BY label
 """
 
+MEMBERSHIP_SQL = ("WITH " + _radii_sql(fx.REF_SQL, "r") + "," + _radii_sql(fx.SAMPLE_SQL, "s") + """,
+rr AS (SELECT r_n.*, r_r.r FROM r_n JOIN r_r USING (id)),
+sr AS (SELECT s_n.*, s_r.r FROM s_n JOIN s_r USING (id)),
+pd AS (SELECT rr.id AS rid, sr.id AS sid, rr.r AS rr, sr.r AS sr,
+              greatest(rr.nn - 2 * list_dot_product(rr.x, sr.x) + sr.nn, 0) AS d FROM rr, sr)
+SELECT 'sample' AS side, sid AS id, bool_or(d <= rr) AS inside FROM pd GROUP BY sid
+UNION ALL SELECT 'ref', rid, bool_or(d <= sr) FROM pd GROUP BY rid
+""")
+
 ORACLES = {
+    "eval_membership_flags": MEMBERSHIP_SQL,
     "eval_knn_radii": KNN_SQL,
     "eval_knn_radii_multi_k": KNN_MULTI_SQL,
     "eval_precision_recall": PR_SQL,
@@ -280,5 +309,6 @@ ORACLES = {
     "eval_inception_score": _is_sql("WHERE id % 2 = 1", 5000),
     "eval_inception_score_chunked": _is_sql("", 64),
     "eval_probs": PROBS_LONG_SQL,
+    "eval_linear_softmax": PROBS_LONG_SQL,
     "eval_grouped_stats": GROUPED_STATS_SQL,
 }

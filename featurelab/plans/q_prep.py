@@ -313,7 +313,27 @@ def q_tile_layout(spark, sf):
     return e.select("vec_id", G.tile_layout("vec_id", F.lit(n)).alias("t")).select("vec_id", "t.*")
 
 
+def q_order_results(spark, sf):
+    """K3: output in index order whatever the task finish order (range partitions)."""
+    from ..operators.position import order_results
+    return order_results(image_index(spark, sf), "idx").select("idx", "path")
+
+
+def q_json_config(spark, sf):
+    """run arguments to JSON text and back (one config per part row)."""
+    p = fx.table(spark, sf, "part")
+    cfg = F.struct(F.lit("SiT-XL/2").alias("model"), (F.lit(1.0) + F.col("p_size") / 10.0).alias("cfg_scale"),
+                   F.col("p_partkey").alias("seed"), F.array(F.col("p_size"), F.lit(2)).alias("resolution"))
+    j = p.select("p_partkey", F.to_json(cfg).alias("json"))
+    back = j.select("p_partkey", F.from_json("json", "model string, cfg_scale double, seed long, "
+                                                     "resolution array<int>").alias("c"))
+    return back.select("p_partkey", "c.model", rnd("c.cfg_scale").alias("cfg_scale"), "c.seed",
+                       F.element_at("c.resolution", 1).alias("res0"))
+
+
 QUERIES = {
+    "prep_order_results": q_order_results,
+    "paths_json_config": q_json_config,
     "prep_is_image": q_is_image,
     "prep_supported_ext": q_supported_ext,
     "prep_image_index": q_image_index,
@@ -406,6 +426,9 @@ _CLIP_M = "[" + ", ".join(repr(v) for v in G.CLIP_MEAN) + "]"
 _CLIP_S = "[" + ", ".join(repr(v) for v in G.CLIP_STD) + "]"
 
 ORACLES = {
+    "prep_order_results": f"SELECT idx, path FROM ({_IDX})",
+    "paths_json_config": """SELECT p_partkey, 'SiT-XL/2' AS model, round0(1.0 + p_size / 10.0, 6) AS cfg_scale,
+  p_partkey AS seed, p_size AS res0 FROM part""",
     "prep_is_image": f"""SELECT doc_id, path, lower(string_split(path, '.')[-1]) IN ({IMG_EXT_SQL}) AS is_image
 FROM ({fx.IMAGE_PATHS_SQL})""",
     "prep_supported_ext": f"""SELECT lower(string_split(path, '.')[-1]) AS ext, count(*) AS n FROM ({fx.IMAGE_PATHS_SQL})

@@ -231,7 +231,15 @@ def q_collect_samples(spark, sf):
     return collect_samples(man, imgs, 100).select("index", "label")
 
 
+def q_rng(spark, sf):
+    """Keyed uniform and normal draws per row."""
+    e = _emb(spark, sf)
+    return e.select("id", rnd(rng.uniform(SEED, F.col("id"))).alias("u"),
+                    rnd(rng.normal(SEED, F.col("id"))).alias("n"))
+
+
 QUERIES = {
+    "train_rng": q_rng,
     "vec_mean_sum": q_mean_sum,
     "vec_moments_split": q_moments_split,
     "vec_sample_posterior": q_sample_posterior,
@@ -430,6 +438,8 @@ SELECT d.id, d.label, round0(tab.emb_sum, 6) AS emb_sum FROM d LEFT JOIN tab USI
 
 
 ORACLES = {
+    "train_rng": f"""SELECT id, round0({u_sql(key(repr(str(SEED)), 'id'))}, 6) AS u,
+  round0({n_sql(key(repr(str(SEED)), 'id'))}, 6) AS n FROM ({_E})""",
     "vec_mean_sum": f"SELECT id, round0(list_avg(x), 6) AS mean_flat, round0(list_sum(x), 6) AS sum_flat FROM ({_E})",
     "vec_moments_split": f"""SELECT id, CAST(len(list_concat(mean, std)) AS INTEGER) AS packed_size,
   round0(list_sum(mean), 6) AS mean_sum, round0(list_sum(std), 6) AS std_sum FROM ({fx.MOMENTS_SQL})""",
