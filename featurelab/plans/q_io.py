@@ -310,6 +310,12 @@ FROM embeddings""",
   FROM documents) WHERE lower(string_split(path, '.')[-1]) IN ('png', 'jpg', 'jpeg'))
 SELECT CAST(substr(printf('%08d', idx), 1, 5) AS INTEGER) AS prefix, count(*) AS n,
   min(substr(printf('%08d', idx), 1, 5) || '/img' || printf('%08d', idx) || '.png') AS first FROM i GROUP BY 1""",
+    "io_write_manifest": """WITH i AS (SELECT row_number() OVER (ORDER BY path) - 1 AS idx, doc_id FROM (
+  SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN '' ELSE source || '/' END || 'img_' || CAST(doc_id AS VARCHAR) || '.' ||
+       CASE doc_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'JPG' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'npy' ELSE 'txt' END AS path
+  FROM documents) WHERE lower(string_split(path, '.')[-1]) IN ('png', 'jpg', 'jpeg'))
+SELECT printf('img%08d.png', idx) AS name, CAST(doc_id % 5 AS INTEGER) AS label, CAST(doc_id % 5 AS INTEGER) AS label_lines
+FROM i""",
     "io_write_metrics": """SELECT CASE WHEN s % 2 = 0 THEN 'run_a' ELSE 'run_b' END AS run, count(*) AS n
 FROM (SELECT DISTINCT event_id // 8 AS s, event_type FROM events) GROUP BY 1""",
     "score_batch": f"""SELECT id, CAST(c - 1 AS INTEGER) AS c, round0(probs[c], 6) AS p FROM ({fx.PROBS_SQL}), range(1, 11) t(c)""",
