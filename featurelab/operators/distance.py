@@ -26,7 +26,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 4096
+DEFAULT_BLOCK_ROWS = None  # None: sized from the feature width and the cluster (auto_blocks)
+# Bytes of one side's block inside a task (rows x D doubles) when sizing blocks automatically.
+BLOCK_BYTES = 256 << 20
+MIN_BLOCK_ROWS = 256
 # Rows of the left block processed per distance tile inside a task.
 TILE_ROWS = 1024
 REALISM_EPS = 1e-5
@@ -71,6 +74,27 @@ def count_blocks(n_rows: int, block_rows: int) -> int:
     return max(1, int(math.ceil(n_rows / float(block_rows))))
 
 
+def auto_blocks(n_rows: int, dim: int, slots: int) -> int:
+    """Blocks per side: enough that one side's block stays under ``BLOCK_BYTES``
+    (memory), and about ``sqrt(slots)`` so the ``B x B`` block pairs keep the
+    cluster busy, but never blocks smaller than ``MIN_BLOCK_ROWS`` rows.
+    Shuffle grows with B (each row is copied B times), so B is not larger
+    than these two needs."""
+    cap_rows = max(MIN_BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dim)))
+    by_memory = count_blocks(n_rows, cap_rows)
+    by_slots = min(int(math.ceil(math.sqrt(max(1, slots)))), count_blocks(n_rows, MIN_BLOCK_ROWS))
+    return max(1, by_memory, by_slots)
+
+
+def _n_blocks(df: DataFrame, n_rows: int, block_rows: int | None, feat: str = "f") -> int:
+    if block_rows:
+        return count_blocks(n_rows, block_rows)
+    from ..session import default_parallelism
+    row = df.select(F.size(feat).alias("d")).where(F.col("d").isNotNull()).first()
+    dim = int(row["d"]) if row else 1
+    return auto_blocks(n_rows, dim, default_parallelism(df.sparkSession))
+
+
 def block_of(id_col: str, n_blocks: int) -> Column:
     """Block id from a hash of the row id; cast to int so cogroup keys agree."""
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(int(n_blocks))).cast("int")
@@ -95,14 +119,14 @@ def blocked_cogroup(left: DataFrame, right: DataFrame, kernel, schema: str,
             .applyInPandas(kernel, schema=schema))
 
 
-def _blocks_for(df: DataFrame, block_rows: int, n_rows: int | None) -> tuple[int, int]:
+def _blocks_for(df: DataFrame, block_rows: int | None, n_rows: int | None) -> tuple[int, int]:
     n = df.count() if n_rows is None else n_rows
-    return n, count_blocks(n, block_rows)
+    return n, _n_blocks(df, n, block_rows)
 
 
 # ---------------------------------------------------------------- K1
 def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=(3,),
-              block_rows: int = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
+              block_rows: int | None = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
               set_col: str | None = None) -> DataFrame:
     """K1: squared distance to the k-th neighbour of every row, for each k in ``ks``.
 
@@ -123,7 +147,7 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
         counts = {"": feats.count() if n_rows is None else n_rows}
     if not counts or min(counts.values()) < kmax + 1:
         raise ValueError(f"knn_radii needs at least {kmax + 1} rows per set, got {counts}")
-    nb = count_blocks(max(counts.values()), block_rows)
+    nb = _n_blocks(feats, max(counts.values()), block_rows)
     keep = kmax + 1
 
     def kernel(_key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +202,7 @@ def _with_radius(feats: DataFrame, radii: DataFrame, id_col: str) -> DataFrame:
 
 def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_radii: DataFrame,
                      id_col: str = "id", feat_col: str = "features",
-                     block_rows: int = DEFAULT_BLOCK_ROWS,
+                     block_rows: int | None = DEFAULT_BLOCK_ROWS,
                      n_ref: int | None = None, n_smp: int | None = None) -> DataFrame:
     """J5 + U3 in both directions in one pass over (ref block, sample block) pairs.
 
@@ -218,7 +242,7 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
 
 
 def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "id",
-                     feat_col: str = "features", block_rows: int = DEFAULT_BLOCK_ROWS,
+                     feat_col: str = "features", block_rows: int | None = DEFAULT_BLOCK_ROWS,
                      clamp_pct: float | None = None) -> DataFrame:
     """One row ``(precision, recall)`` from k-NN manifolds of both sets.
 
@@ -238,7 +262,7 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
 
 # ---------------------------------------------------------------- A8 / K2
 def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_col: str = "id",
-                      feat_col: str = "features", block_rows: int = DEFAULT_BLOCK_ROWS,
+                      feat_col: str = "features", block_rows: int | None = DEFAULT_BLOCK_ROWS,
                       eps: float = REALISM_EPS) -> DataFrame:
     """Per eval row ``inside`` (any ball holds it), ``max_realism`` =
     ``max(r / (d + eps))``, ``nearest_id`` (lowest id on ties) and its distance."""
@@ -284,7 +308,7 @@ def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_c
 
 
 def nearest(ref: DataFrame, evl: DataFrame, id_col: str = "id", feat_col: str = "features",
-            block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+            block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """K2: id of the closest reference row for each eval row (first id on ties)."""
     zero = ref.select(F.col(id_col), F.lit(0.0).alias("radius"))
     return manifold_evaluate(ref, zero, evl, id_col, feat_col, block_rows).select(
@@ -293,7 +317,7 @@ def nearest(ref: DataFrame, evl: DataFrame, id_col: str = "id", feat_col: str =
 
 def pairwise_distance_summary(left: DataFrame, right: DataFrame, id_col: str = "id",
                               feat_col: str = "features",
-                              block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                              block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """J4 reduced per left row: count, min, max and sum of distances to the right set."""
     lf = left.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
     rf = right.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))

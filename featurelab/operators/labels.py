@@ -41,15 +41,18 @@ def resolve_manifest(pairs: DataFrame, pos_col: str = "pos", name_col: str = "na
 
 
 def read_label_manifest(spark, path: str) -> DataFrame:
-    """Read ``{"labels": [[name, label], ...] | null}`` files into ``(name, label)``.
+    """Read ``{"labels": [[name, label], ...] | null}`` documents into ``(name, label)``.
 
-    A null ``labels`` yields no rows.  A single JSON document is not
-    splittable, so each manifest file is one task; many manifests read in
+    ``path`` may be one file or a glob of shards; later pairs win, ordered by
+    (file name, position).  A null ``labels`` yields no rows.  One JSON
+    document is not splittable, so each document is one task; shards read in
     parallel.
     """
-    raw = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
-    pairs = raw.select(F.posexplode("labels").alias("pos", "pair")).select(
-        "pos", F.element_at("pair", 1).alias("name"), F.element_at("pair", 2).try_cast("int").alias("label"))
+    raw = (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
+           .select(F.input_file_name().alias("_file"), "labels"))
+    pairs = raw.select("_file", F.posexplode("labels").alias("pos", "pair")).select(
+        F.struct("_file", "pos").alias("pos"), F.element_at("pair", 1).alias("name"),
+        F.element_at("pair", 2).try_cast("int").alias("label"))
     return resolve_manifest(pairs)
 
 

@@ -22,7 +22,7 @@ REPORT_ORDER = ["Inception Score", "FID", "sFID", "Precision", "Recall"]
 
 def evaluation_numbers(ref: DataFrame, smp: DataFrame, smp_probs: DataFrame, k: int = 3,
                        split_size: int = 5000, feat_col: str = "features", spatial_col: str = "spatial",
-                       block_rows: int = distance.DEFAULT_BLOCK_ROWS) -> dict:
+                       block_rows: int | None = distance.DEFAULT_BLOCK_ROWS) -> dict:
     """``ref`` / ``smp``: ``(id, features, spatial)``; ``smp_probs``: ``(id, probs)``."""
     is_row = stats.inception_score(smp_probs, "probs", "id", split_size).first()
     both = (ref.select(F.lit("ref").alias("_set"), feat_col, spatial_col)

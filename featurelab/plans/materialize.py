@@ -61,43 +61,47 @@ def write_image_folder(spark: SparkSession, sf: str, with_manifest: bool = False
 
     _emb(spark, sf).mapInPandas(write, "n long").agg(F.sum("n")).collect()
     if with_manifest:
-        write_manifest_json(spark, sf, os.path.join(root, "dataset.json"))
+        write_manifest_json(spark, sf, root)
     return root
 
 
-def write_manifest_json(spark: SparkSession, sf: str, path: str) -> None:
-    """``{"labels": [[name, label], ...]}`` for the image folder (label = vec_id mod 7).
-
-    One JSON document is one file, so a single task writes it; the fixture has
-    one entry per embedding row."""
-    e = _emb(spark, sf).select("vec_id", "label")
+def write_manifest_json(spark: SparkSession, sf: str, folder: str, shards: int = 4) -> None:
+    """Label manifests for the image folder (label = vec_id mod 7), one
+    ``{"labels": [[name, label], ...]}`` document per shard
+    ``dataset-<shard>.json`` (shard = vec_id mod ``shards``), written by the
+    task that holds the shard, so no task holds the whole manifest."""
+    e = _emb(spark, sf).select("vec_id", "label").repartition(shards, F.pmod("vec_id", F.lit(shards)))
 
     def write(batches):
-        pairs = []
+        by_shard: dict = {}
         for pdf in batches:
             for vid, lab in zip(pdf["vec_id"], pdf["label"]):
-                pairs.append((int(vid), [f"class_{lab}/img_{vid}.png", int(vid) % 7]))
-        pairs.sort()
-        with open(path, "w") as fh:
-            json.dump({"labels": [p for _, p in pairs]}, fh)
-        yield pd.DataFrame({"n": [len(pairs)]})
+                by_shard.setdefault(int(vid) % shards, []).append(
+                    (int(vid), [f"class_{lab}/img_{vid}.png", int(vid) % 7]))
+        for shard, pairs in by_shard.items():
+            pairs.sort()
+            with open(os.path.join(folder, f"dataset-{shard:05d}.json"), "w") as fh:
+                json.dump({"labels": [p for _, p in pairs]}, fh)
+        yield pd.DataFrame({"n": [len(by_shard)]})
 
-    e.coalesce(1).mapInPandas(write, "n long").collect()
+    e.mapInPandas(write, "n long").collect()
 
 
-def write_archives(spark: SparkSession, sf: str) -> str:
-    """One zip per label: ``label_<k>.zip`` holding ``img_<vec_id>.png`` members and a
-    ``dataset.json`` (label = vec_id mod 3)."""
+def write_archives(spark: SparkSession, sf: str, shards: int = 2) -> str:
+    """Zip archives ``label_<k>_<s>.zip`` (shard s = vec_id mod ``shards``) holding
+    ``img_<vec_id>.png`` members and a ``dataset.json`` (label = vec_id mod 3).
+    Sharding keeps a hot label from becoming one huge single-task archive."""
     root = fresh_folder(spark, "archives")
-    e = _emb(spark, sf).repartition(F.col("label"))
+    key = F.concat_ws("_", F.col("label").cast("string"), F.pmod("vec_id", F.lit(shards)).cast("string"))
+    e = _emb(spark, sf).withColumn("_arc", key).repartition(F.col("_arc"))
 
     def write(batches):
         groups: dict = {}
         for pdf in batches:
-            for vid, emb, lab in zip(pdf["vec_id"], pdf["embedding"], pdf["label"]):
-                groups.setdefault(int(lab), []).append((int(vid), emb))
-        for lab, rows in groups.items():
-            with zipfile.ZipFile(os.path.join(root, f"label_{lab}.zip"), "w") as z:
+            for vid, emb, arc in zip(pdf["vec_id"], pdf["embedding"], pdf["_arc"]):
+                groups.setdefault(arc, []).append((int(vid), emb))
+        for arc, rows in groups.items():
+            with zipfile.ZipFile(os.path.join(root, f"label_{arc}.zip"), "w") as z:
                 pairs = []
                 for vid, emb in sorted(rows):
                     z.writestr(f"img_{vid}.png", png_bytes(pixels_of(emb).tobytes(), SIDE, SIDE, 3))

@@ -50,10 +50,14 @@ def q_read_pixels(spark, sf):
 
 
 def _pixel_sum(data):
-    """Sum of the bytes of a binary column (JVM-side)."""
-    b = F.transform(F.sequence(F.lit(0), F.length(data) - 1),
-                    lambda i: F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("bigint"))
-    return F.aggregate(b, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    """Sum of the bytes of a binary column (vectorised over Arrow batches)."""
+    return F.pandas_udf(_byte_sum_impl, "long")(data)
+
+
+def _byte_sum_impl(s):
+    import numpy as np
+    import pandas as pd
+    return pd.Series([int(np.frombuffer(b, dtype=np.uint8).sum(dtype=np.int64)) for b in s], dtype="int64")
 
 
 def q_transform_box(spark, sf):
@@ -87,13 +91,13 @@ def q_scan_archives(spark, sf):
 
 def q_open_dataset(spark, sf):
     root = MZ.write_archives(spark, sf)
-    a = S.open_dataset(spark, root + "/label_3.zip")
+    a = S.open_dataset(spark, root + "/label_3_1.zip")
     return a.select("member", "idx", "label")
 
 
 def q_read_manifest(spark, sf):
     root = MZ.write_image_folder(spark, sf, with_manifest=True)
-    return L.read_label_manifest(spark, os.path.join(root, "dataset.json"))
+    return L.read_label_manifest(spark, os.path.join(root, "dataset-*.json"))
 
 
 def q_list_files(spark, sf):
@@ -288,12 +292,12 @@ b AS (SELECT idx, yy, xx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*
 SELECT idx, 4 AS height, 4 AS width, CAST(3 * sum(v) AS BIGINT) AS pixel_sum FROM b GROUP BY idx""",
     "io_transform_quarantine": """SELECT 'wide' AS mode, vec_id AS idx, 'rejected' AS error FROM embeddings
 UNION ALL SELECT 'crop', vec_id, NULL FROM embeddings""",
-    "io_scan_archives": """SELECT 'label_' || CAST(label AS VARCHAR) || '.zip' AS archive, 'img_' || CAST(vec_id AS VARCHAR) || '.png' AS member,
-  row_number() OVER (ORDER BY label, 'img_' || CAST(vec_id AS VARCHAR) || '.png') - 1 AS idx,
-  CAST(vec_id % 3 AS INTEGER) AS label FROM embeddings""",
+    "io_scan_archives": """SELECT archive, member, row_number() OVER (ORDER BY archive, member) - 1 AS idx, label FROM (
+  SELECT 'label_' || CAST(label AS VARCHAR) || '_' || CAST(vec_id % 2 AS VARCHAR) || '.zip' AS archive,
+         'img_' || CAST(vec_id AS VARCHAR) || '.png' AS member, CAST(vec_id % 3 AS INTEGER) AS label FROM embeddings)""",
     "io_open_dataset": """SELECT 'img_' || CAST(vec_id AS VARCHAR) || '.png' AS member,
   row_number() OVER (ORDER BY 'img_' || CAST(vec_id AS VARCHAR) || '.png') - 1 AS idx,
-  CAST(vec_id % 3 AS INTEGER) AS label FROM embeddings WHERE label = 3""",
+  CAST(vec_id % 3 AS INTEGER) AS label FROM embeddings WHERE label = 3 AND vec_id % 2 = 1""",
     "io_read_manifest": """SELECT 'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS name,
   CAST(vec_id % 7 AS INTEGER) AS label FROM embeddings""",
     "io_list_files": """SELECT 'vec_' || CAST(vec_id AS VARCHAR) || '_cls.npy' AS rel_path, CAST(128 + 64 * 4 AS BIGINT) AS length

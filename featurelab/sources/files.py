@@ -66,19 +66,24 @@ def scan_images(spark: SparkSession, root: str, max_images: int | None = None,
                 use_dir_labels: bool = True) -> DataFrame:
     """S1 (+ S4, W2, P2): image files under ``root`` sorted by relative path.
 
-    ``idx`` is the position in that order; labels come from ``dataset.json`` in
-    the root when it has any, else from top-level folder names.
+    ``idx`` is the position in that order; labels come from ``dataset.json``
+    (or its shards ``dataset-*.json``) in the root when it has any, else from
+    top-level folder names.
     """
     files = list_files(spark, root).where(is_image_path("rel_path"))
     indexed = with_position(files, "rel_path", "idx")
     if max_images is not None:
         indexed = indexed.where(F.col("idx") < F.lit(int(max_images)))
-    meta = os.path.join(_local_path(root) or root, "dataset.json")
+    local = _local_path(root)
     manifest = None
-    if _local_path(root) is not None and os.path.isfile(meta):
-        manifest = read_label_manifest(spark, meta)
-        if manifest.limit(1).count() == 0:
-            manifest = None
+    if local is not None:
+        import glob as _glob
+        docs = sorted(_glob.glob(os.path.join(local, "dataset.json")) +
+                      _glob.glob(os.path.join(local, "dataset-*.json")))
+        if docs:
+            manifest = read_label_manifest(spark, docs)
+            if manifest.limit(1).count() == 0:
+                manifest = None
     if manifest is not None:
         return indexed.join(manifest.withColumnRenamed("name", "rel_path"), "rel_path", "left")
     if use_dir_labels:
