@@ -98,16 +98,7 @@ def gram_partials(df: DataFrame, feat_col: str = "features", max_tasks: int | No
 
 def fit_statistics(df: DataFrame, feat_col: str = "features", max_tasks: int | None = None) -> FeatureStats:
     """A3: ``(n, mu, sigma)`` with ``np.cov`` semantics (ddof = 1)."""
-    merged, k = gram_partials(df, feat_col, max_tasks)
-    rows = {r["i"]: r for r in merged.collect()}  # D + 1 rows, fixed by the feature width
-    n = int(rows[SUMS_ROW]["n"])
-    s = np.asarray(rows[SUMS_ROW]["g"])
-    d = len(k)
-    g = np.vstack([np.asarray(rows[i]["g"]) for i in range(d)])
-    mu = k + s / n
-    sigma = (g - np.outer(s, s) / n) / (n - 1) if n > 1 else np.full((d, d), np.nan)
-    sigma = (sigma + sigma.T) / 2.0
-    return FeatureStats(n, mu, sigma)
+    return fit_statistics_multi(df, [feat_col], None, max_tasks)[(None, feat_col)]
 
 
 def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | None = None,
@@ -150,7 +141,8 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
         rows = []
         for (key, j), (n, sm, g) in acc.items():
             rows.append((key, j, SUMS_ROW, n, sm))
-            rows.extend((key, j, i, 0, g[i]) for i in range(g.shape[0]))
+            # symmetric: ship the upper triangle only (row i holds g[i, i:])
+            rows.extend((key, j, i, 0, g[i, i:]) for i in range(g.shape[0]))
         if rows:
             yield pd.DataFrame(rows, columns=["_set", "col", "i", "n", "g"])
 
@@ -166,9 +158,12 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
         d = len(k)
         n = int(rr[SUMS_ROW]["n"])
         sm = np.asarray(rr[SUMS_ROW]["g"])
-        g = np.vstack([np.asarray(rr[i]["g"]) for i in range(d)])
+        g = np.zeros((d, d))
+        for i in range(d):
+            g[i, i:] = np.asarray(rr[i]["g"])
+        g = np.triu(g) + np.triu(g, 1).T
         sigma = (g - np.outer(sm, sm) / n) / (n - 1) if n > 1 else np.full((d, d), np.nan)
-        out[(key, feat_cols[j])] = FeatureStats(n, k + sm / n, (sigma + sigma.T) / 2.0)
+        out[(key, feat_cols[j])] = FeatureStats(n, k + sm / n, sigma)
     return out
 
 
