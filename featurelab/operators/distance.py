@@ -127,7 +127,8 @@ def _blocks_for(df: DataFrame, block_rows: int | None, n_rows: int | None) -> tu
 # ---------------------------------------------------------------- K1
 def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=(3,),
               block_rows: int | None = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
-              set_col: str | None = None) -> DataFrame:
+              set_col: str | None = None, counts: dict | None = None,
+              n_blocks: int | None = None) -> DataFrame:
     """K1: squared distance to the k-th neighbour of every row, for each k in ``ks``.
 
     Position 0 of a row's sorted distance list is the row itself, so position
@@ -141,13 +142,14 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
     sel = [F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")]
     sel.append((F.col(set_col).cast("string") if set_col else F.lit("")).alias("_set"))
     feats = df.select(*sel)
-    if set_col:
-        counts = {r["_set"]: r["n"] for r in feats.groupBy("_set").agg(F.count(F.lit(1)).alias("n")).collect()}
-    else:
-        counts = {"": feats.count() if n_rows is None else n_rows}
+    if counts is None:
+        if set_col:
+            counts = {r["_set"]: r["n"] for r in feats.groupBy("_set").agg(F.count(F.lit(1)).alias("n")).collect()}
+        else:
+            counts = {"": feats.count() if n_rows is None else n_rows}
     if not counts or min(counts.values()) < kmax + 1:
         raise ValueError(f"knn_radii needs at least {kmax + 1} rows per set, got {counts}")
-    nb = _n_blocks(feats, max(counts.values()), block_rows)
+    nb = n_blocks or _n_blocks(feats, max(counts.values()), block_rows)
     keep = kmax + 1
 
     def kernel(_key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
@@ -203,7 +205,8 @@ def _with_radius(feats: DataFrame, radii: DataFrame, id_col: str) -> DataFrame:
 def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_radii: DataFrame,
                      id_col: str = "id", feat_col: str = "features",
                      block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                     n_ref: int | None = None, n_smp: int | None = None) -> DataFrame:
+                     n_ref: int | None = None, n_smp: int | None = None,
+                     ref_blocks: int | None = None, smp_blocks: int | None = None) -> DataFrame:
     """J5 + U3 in both directions in one pass over (ref block, sample block) pairs.
 
     Returns ``(side, id, inside)``: side ``ref`` rows are inside some sample
@@ -212,8 +215,8 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
     """
     rf = ref.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
     sf = smp.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
-    nr, br = _blocks_for(rf, block_rows, n_ref)
-    ns, bs = _blocks_for(sf, block_rows, n_smp)
+    br = ref_blocks or _blocks_for(rf, block_rows, n_ref)[1]
+    bs = smp_blocks or _blocks_for(sf, block_rows, n_smp)[1]
     rf = _with_radius(rf, ref_radii, id_col)
     sf = _with_radius(sf, smp_radii, id_col)
 
@@ -246,15 +249,29 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
                      clamp_pct: float | None = None) -> DataFrame:
     """One row ``(precision, recall)`` from k-NN manifolds of both sets.
 
-    The radii of both sets come from one blocked job; the memberships from a
-    second one over (reference block, sample block) pairs.
+    One small aggregate profiles both sets (row counts, feature width); the
+    radii of both sets then come from one blocked job and the memberships
+    from a second one over (reference block, sample block) pairs.
     """
     both = (ref.select(F.lit("ref").alias("_side"), id_col, feat_col)
             .unionByName(smp.select(F.lit("sample").alias("_side"), id_col, feat_col)))
-    radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side")
+    prof = {r["_side"]: (r["n"], r["d"]) for r in
+            both.groupBy("_side").agg(F.count(F.lit(1)).alias("n"), F.max(F.size(feat_col)).alias("d")).collect()}
+    counts = {s_: v[0] for s_, v in prof.items()}
+    if set(counts) != {"ref", "sample"}:
+        raise ValueError("precision_recall needs non-empty reference and sample sets")
+    dim = max(v[1] for v in prof.values())
+    from ..session import default_parallelism
+    slots = default_parallelism(ref.sparkSession)
+
+    def blocks(n):
+        return count_blocks(n, block_rows) if block_rows else auto_blocks(n, dim, slots)
+    radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side", counts=counts,
+                      n_blocks=blocks(max(counts.values())))
     r1 = clamp_radii(radii.where(F.col("_side") == "ref").drop("_side"), clamp_pct)
     r2 = clamp_radii(radii.where(F.col("_side") == "sample").drop("_side"), clamp_pct)
-    flags = membership_flags(ref, r1, smp, r2, id_col, feat_col, block_rows)
+    flags = membership_flags(ref, r1, smp, r2, id_col, feat_col, block_rows,
+                             ref_blocks=blocks(counts["ref"]), smp_blocks=blocks(counts["sample"]))
     return flags.agg(
         F.avg(F.when(F.col("side") == "sample", F.col("inside").cast("double"))).alias("precision"),
         F.avg(F.when(F.col("side") == "ref", F.col("inside").cast("double"))).alias("recall"))

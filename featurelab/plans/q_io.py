@@ -91,7 +91,7 @@ def q_scan_archives(spark, sf):
 
 def q_open_dataset(spark, sf):
     root = MZ.write_archives(spark, sf)
-    a = S.open_dataset(spark, root + "/label_3_1.zip")
+    a = S.open_dataset(spark, root + "/*.zip")
     return a.select("member", "idx", "label")
 
 
@@ -295,9 +295,9 @@ UNION ALL SELECT 'crop', vec_id, NULL FROM embeddings""",
     "io_scan_archives": """SELECT archive, member, row_number() OVER (ORDER BY archive, member) - 1 AS idx, label FROM (
   SELECT 'label_' || CAST(label AS VARCHAR) || '_' || CAST(vec_id % 2 AS VARCHAR) || '.zip' AS archive,
          'img_' || CAST(vec_id AS VARCHAR) || '.png' AS member, CAST(vec_id % 3 AS INTEGER) AS label FROM embeddings)""",
-    "io_open_dataset": """SELECT 'img_' || CAST(vec_id AS VARCHAR) || '.png' AS member,
-  row_number() OVER (ORDER BY 'img_' || CAST(vec_id AS VARCHAR) || '.png') - 1 AS idx,
-  CAST(vec_id % 3 AS INTEGER) AS label FROM embeddings WHERE label = 3 AND vec_id % 2 = 1""",
+    "io_open_dataset": """SELECT member, row_number() OVER (ORDER BY archive, member) - 1 AS idx, label FROM (
+  SELECT 'label_' || CAST(label AS VARCHAR) || '_' || CAST(vec_id % 2 AS VARCHAR) || '.zip' AS archive,
+         'img_' || CAST(vec_id AS VARCHAR) || '.png' AS member, CAST(vec_id % 3 AS INTEGER) AS label FROM embeddings)""",
     "io_read_manifest": """SELECT 'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS name,
   CAST(vec_id % 7 AS INTEGER) AS label FROM embeddings""",
     "io_list_files": """SELECT 'vec_' || CAST(vec_id AS VARCHAR) || '_cls.npy' AS rel_path, CAST(128 + 64 * 4 AS BIGINT) AS length

@@ -153,7 +153,8 @@ def scan_image_archives(spark: SparkSession, pattern: str, max_images: int | Non
 
 
 def open_dataset(spark: SparkSession, source: str, max_images: int | None = None) -> DataFrame:
-    """S3: a directory reads as an image folder, a ``.zip`` file as an archive."""
+    """S3: a directory reads as an image folder; a ``.zip`` file (or a glob of
+    them, e.g. ``shards/*.zip``) as archives."""
     local = _local_path(source)
     if local is not None and os.path.isdir(local):
         return scan_images(spark, source, max_images)
