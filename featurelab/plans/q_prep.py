@@ -537,7 +537,7 @@ FROM part d LEFT JOIN (SELECT p_name, p_retailprice * 2 AS v FROM part WHERE p_p
          ELSE CAST(embedding[i] AS DOUBLE) END AS v
   FROM embeddings, range(0, 4) a(rk), range(1, 65) b(i)
   WHERE NOT regexp_full_match('vec_' || CAST(vec_id AS VARCHAR), 'vec_1\\d*'))
-SELECT o.rank, o.name, CAST(o.pos AS INTEGER) AS pos, round0(o.v, 6) AS value, round0(b.v, 6) AS reference
+SELECT CAST(o.rank AS INTEGER) AS rank, o.name, CAST(o.pos AS INTEGER) AS pos, round0(o.v, 6) AS value, round0(b.v, 6) AS reference
 FROM r o JOIN r b ON o.name = b.name AND o.pos = b.pos AND b.rank = 0
 WHERE o.rank <> 0 AND o.v IS DISTINCT FROM b.v""",
 }
