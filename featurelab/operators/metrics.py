@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .position import with_position
+from .scan import carry_forward, running_total
 from .scan import ema as _ema
-from .scan import running_total
 
 # Largest double whose square still rounds to a finite float32 (fixed value).
 FLOAT32_SQUARE_LIMIT = 3.4028235677973366e38
@@ -131,23 +132,26 @@ def moments_delta(snapshots: DataFrame, keep_previous: bool = False, update_col:
     """Moments between consecutive updates from cumulative snapshots.
 
     A zero-count delta is hidden (mean NaN) or, with ``keep_previous``, the
-    last non-zero delta is carried forward.  Windows run per name over the
-    snapshot table (one row per update and name), not over raw reports.
+    last non-zero delta is carried forward.  The previous snapshot of a name
+    is found by global position (W1) and an equi-join on ``pos - 1``, so no
+    task holds a whole name; the carry-forward is a distributed scan.
     """
-    w = Window.partitionBy(name_col).orderBy(update_col)
-    d = snapshots.select(
-        update_col, name_col,
-        *[(F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0))).alias(f"d_{c}") for c in ("num", "sum", "sumsq")])
+    m = ("num", "sum", "sumsq")
+    pos = with_position(snapshots.select(update_col, name_col, *m), [name_col, update_col], "_fl_pos")
+    prev = pos.select(F.col(name_col).alias("_fl_pn"), (F.col("_fl_pos") + 1).alias("_fl_ppos"),
+                      *[F.col(c).alias(f"_fl_p_{c}") for c in m])
+    j = pos.join(prev, (F.col("_fl_pos") == F.col("_fl_ppos")) & (F.col(name_col) == F.col("_fl_pn")), "left")
+    d = j.select(update_col, name_col,
+                 *[(F.col(c) - F.coalesce(F.col(f"_fl_p_{c}"), F.lit(0))).alias(f"d_{c}") for c in m])
     live = F.col("d_num") != 0
     if keep_previous:
-        wc = w.rowsBetween(Window.unboundedPreceding, 0)
-        d = d.select(update_col, name_col,
-                     *[F.coalesce(F.last(F.when(live, F.col(f"d_{c}")), ignorenulls=True).over(wc),
-                                  F.lit(0)).alias(f"d_{c}") for c in ("num", "sum", "sumsq")])
+        d = carry_forward(d.withColumn("_fl_live", live), [name_col], [update_col],
+                          [f"d_{c}" for c in m], "_fl_live", [f"c_{c}" for c in m])
+        d = d.select(update_col, name_col, F.col("c_num").cast("bigint").alias("d_num"),
+                     F.col("c_sum").alias("d_sum"), F.col("c_sumsq").alias("d_sumsq"))
     else:
         d = d.select(update_col, name_col,
-                     *[F.when(live, F.col(f"d_{c}")).otherwise(F.lit(0)).alias(f"d_{c}")
-                       for c in ("num", "sum", "sumsq")])
+                     *[F.when(live, F.col(f"d_{c}")).otherwise(F.lit(0)).alias(f"d_{c}") for c in m])
     return d.select(update_col, name_col, F.col("d_num").alias("num"), F.col("d_sum").alias("sum"),
                     F.col("d_sumsq").alias("sumsq")).select("*", *summary_columns())
 
@@ -157,7 +161,8 @@ def cumulative_snapshots(reports: DataFrame, update_col: str = "update", name_co
     """Cumulative collector state after each update for every name seen so far.
 
     Reports are pre-aggregated to one row per (update, name) first; the dense
-    grid is generated per name from its first update to the last update.
+    grid is generated per name from its first update to the last update, and
+    the running sums are a distributed scan (a hot name spans many tasks).
     """
     per = metric_moments(reports, (update_col, name_col), value_col)
     last = per.agg(F.max(update_col).alias("m")).first()["m"]
@@ -165,8 +170,9 @@ def cumulative_snapshots(reports: DataFrame, update_col: str = "update", name_co
     grid = firsts.select(name_col, F.explode(F.sequence(F.col("_f"), F.lit(last).cast(per.schema[update_col].dataType)))
                          .alias(update_col))
     dense = grid.join(per, [update_col, name_col], "left").na.fill(0, ["num", "sum", "sumsq"])
-    w = Window.partitionBy(name_col).orderBy(update_col).rowsBetween(Window.unboundedPreceding, 0)
-    return dense.select(update_col, name_col, *[F.sum(c).over(w).alias(c) for c in ("num", "sum", "sumsq")])
+    cum = running_total(dense, [name_col], [update_col], ["num", "sum", "sumsq"], ["c_num", "c_sum", "c_sumsq"])
+    return cum.select(update_col, name_col, F.col("c_num").cast("bigint").alias("num"),
+                      F.col("c_sum").alias("sum"), F.col("c_sumsq").alias("sumsq"))
 
 
 def cadence(df: DataFrame, step_col: str, every: int) -> DataFrame:

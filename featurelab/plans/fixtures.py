@@ -162,6 +162,14 @@ def metric_reports_from(ev: DataFrame, keep=()) -> DataFrame:
                      F.pmod("event_id", F.lit(8)).cast("int").alias("rank"), v.alias("value"), *keep)
 
 
+def ntz_as_utc(col: str = "ts"):
+    """A ``timestamp_ntz`` wall-clock read as UTC, independent of the session time zone
+    (a plain cast would use the session zone)."""
+    c = F.col(col)
+    return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                            F.date_part(F.lit("SECOND"), c), F.lit("UTC"))
+
+
 def metric_reports(spark, sf_dir) -> DataFrame:
     return metric_reports_from(table(spark, sf_dir, "events"))
 

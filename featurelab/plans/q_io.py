@@ -216,16 +216,16 @@ def q_stream_moments(spark, sf):
 
 def q_stream_window_moments(spark, sf):
     ev = ST.table_stream(spark, sf, "events.parquet")
-    reports = fx.metric_reports_from(ev.withColumn("ts", F.col("ts").cast("timestamp")), keep=["ts"])
+    reports = fx.metric_reports_from(ev.withColumn("ts", fx.ntz_as_utc("ts")), keep=["ts"])
     agg = ST.stream_window_moments(reports, "ts", "1 day", "2 days")
-    agg = agg.select(F.col("window.start").alias("day"), "name", "num", "sum")
-    out = ST.upsert_available_now(agg, ["day", "name"], MZ.fresh_folder(spark, "win") + "/v", "fl_win")
-    return out.select("day", "name", "num", rnd("sum", 4).alias("sum"))
+    agg = agg.select(F.unix_seconds(F.col("window.start")).alias("day_start"), "name", "num", "sum")
+    out = ST.upsert_available_now(agg, ["day_start", "name"], MZ.fresh_folder(spark, "win") + "/v", "fl_win")
+    return out.select("day_start", "name", "num", rnd("sum", 4).alias("sum"))
 
 
 def q_stream_step_logs(spark, sf):
     ev = ST.table_stream(spark, sf, "events.parquet")
-    log = fx.step_log_from(fx.metric_reports_from(ev.withColumn("ts", F.col("ts").cast("timestamp")), keep=["ts"]))
+    log = fx.step_log_from(fx.metric_reports_from(ev.withColumn("ts", fx.ntz_as_utc("ts")), keep=["ts"]))
     agg = ST.stream_step_logs(log, "ts", "1 hour")
     out = ST.upsert_available_now(agg.drop("last_ts"), ["step", "name"], MZ.fresh_folder(spark, "steps") + "/v",
                                   "fl_steps")
@@ -325,7 +325,7 @@ FROM (SELECT DISTINCT event_id // 8 AS s, event_type FROM events) GROUP BY 1""",
     "score_batch": f"""SELECT id, CAST(c - 1 AS INTEGER) AS c, round0(probs[c], 6) AS p FROM ({fx.PROBS_SQL}), range(1, 11) t(c)""",
     "score_in_pandas": f"""SELECT id, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS top,
   round0(list_max(probs), 6) AS p_max FROM ({fx.PROBS_SQL})""",
-    "stream_window_moments": f"""SELECT date_trunc('day', e.ts) AS day, r.name, count(*) FILTER (WHERE r.value * r.value < 3.4028235677973366e38) AS num,
+    "stream_window_moments": f"""SELECT CAST(epoch(date_trunc('day', e.ts)) AS BIGINT) AS day_start, r.name, count(*) FILTER (WHERE r.value * r.value < 3.4028235677973366e38) AS num,
   round0(coalesce(sum(r.value) FILTER (WHERE r.value * r.value < 3.4028235677973366e38), 0.0), 4) AS sum
 FROM ({fx.METRIC_REPORTS_SQL}) r JOIN events e USING (event_id) GROUP BY 1, 2""",
     "stream_features": f"""SELECT id, CAST(c - 1 AS INTEGER) AS c, round0(probs[c], 6) AS p FROM ({fx.PROBS_SQL}), range(1, 11) t(c)""",

@@ -160,3 +160,22 @@ def test_archive_reader(spark, tmp_path):
     got = scan_image_archives(spark, str(z)).orderBy("idx").collect()
     assert [r["member"] for r in got] == ["a/1.png", "b/2.png"]
     assert all(r["label"] is None for r in got)
+
+
+def test_with_position_dense_after_python_stage(spark):
+    """Positions stay dense and unique when the input is itself a computed stage."""
+    df = spark.range(0, 5000, numPartitions=7).withColumn("k", F.pmod(F.col("id") * 7919, F.lit(5000)))
+    df = df.mapInPandas(lambda it: (p for p in it), "id long, k long")
+    got = with_position(df, ["k"], "pos").toPandas()
+    assert sorted(got["pos"]) == list(range(5000))
+    assert (got.sort_values("k")["pos"].to_numpy() == np.arange(5000)).all()
+
+
+def test_carry_forward_and_variable_scan(spark):
+    from featurelab.operators.scan import carry_forward
+    pdf = pd.DataFrame({"k": [1] * 6 + [2] * 3, "t": list(range(6)) + list(range(3)),
+                        "v": [5.0, 0.0, 0.0, 7.0, 0.0, 1.0, 0.0, 3.0, 0.0],
+                        "live": [True, False, False, True, False, True, False, True, False]})
+    got = carry_forward(spark.createDataFrame(pdf), ["k"], ["t"], "v", "live", "c").toPandas()
+    got = got.sort_values(["k", "t"])["c"].tolist()
+    assert got == [5.0, 5.0, 5.0, 7.0, 7.0, 1.0, 0.0, 3.0, 3.0]

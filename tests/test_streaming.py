@@ -19,7 +19,7 @@ def test_stream_moments_equal_batch(spark):
 
 def test_stream_step_logs_equal_batch(spark, tmp_path):
     ev = ST.table_stream(spark, SF_SMALL, "events.parquet", max_files=1)
-    log = fx.step_log_from(fx.metric_reports_from(ev.withColumn("ts", F.col("ts").cast("timestamp")), keep=["ts"]))
+    log = fx.step_log_from(fx.metric_reports_from(ev.withColumn("ts", fx.ntz_as_utc("ts")), keep=["ts"]))
     out = ST.upsert_available_now(ST.stream_step_logs(log).drop("last_ts"), ["step", "name"],
                                   str(tmp_path / "v"), "t_steps")
     want = M.cross_rank_mean(fx.step_log(spark, SF_SMALL))
