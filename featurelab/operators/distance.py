@@ -30,6 +30,9 @@ DEFAULT_BLOCK_ROWS = None  # None: sized from the feature width and the cluster
 # Bytes of one side's block inside a task (rows x D doubles) when sizing blocks automatically.
 BLOCK_BYTES = 256 << 20
 MIN_BLOCK_ROWS = 256
+# Blocks are split for parallelism only down to this many rows (about 1e7
+# distance pairs per task); smaller blocks cost more in task overhead than they save.
+PARALLEL_BLOCK_ROWS = 4096
 # Rows of the left block processed per distance tile inside a task.
 TILE_ROWS = 1024
 REALISM_EPS = 1e-5
@@ -76,13 +79,13 @@ def count_blocks(n_rows: int, block_rows: int) -> int:
 
 def auto_blocks(n_rows: int, dim: int, slots: int) -> int:
     """Blocks per side: enough that one side's block stays under ``BLOCK_BYTES``
-    (memory), and about ``sqrt(slots)`` so the ``B x B`` block pairs keep the
-    cluster busy, but never blocks smaller than ``MIN_BLOCK_ROWS`` rows.
+    (memory), and up to about ``sqrt(slots)`` so the ``B x B`` block pairs keep
+    the cluster busy, as long as blocks keep ``PARALLEL_BLOCK_ROWS`` rows.
     Shuffle grows with B (each row is copied B times), so B is not larger
     than these two needs."""
     cap_rows = max(MIN_BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dim)))
     by_memory = count_blocks(n_rows, cap_rows)
-    by_slots = min(int(math.ceil(math.sqrt(max(1, slots)))), count_blocks(n_rows, MIN_BLOCK_ROWS))
+    by_slots = min(int(math.ceil(math.sqrt(max(1, slots)))), count_blocks(n_rows, PARALLEL_BLOCK_ROWS))
     return max(1, by_memory, by_slots)
 
 
@@ -112,6 +115,9 @@ def blocked_cogroup(left: DataFrame, right: DataFrame, kernel, schema: str,
 
     The kernel must reduce its distance block (it may not emit all pairs).
     """
+    # fresh attributes on the right: a cogroup of a plan with itself otherwise
+    # loses columns to pruning when its result is only counted
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     lb = _replicate(left, "_bl", "_br", id_col, n_left_blocks, n_right_blocks)
     rb = _replicate(right, "_br", "_bl", id_col, n_right_blocks, n_left_blocks)
     return (lb.groupBy("_bl", "_br")
