@@ -58,14 +58,16 @@ def write_manifest(df: DataFrame, dest: str, name_col: str = "archive_path", lab
     if n > SINGLE_DOCUMENT_ROW_LIMIT:
         raise ValueError(f"{n} rows: write the JSON-lines manifest instead of one document")
     ordered = df.select(idx_col, F.col(name_col).alias("name"), F.col(label_col).alias("label"))
+    # the document text as the source writes it: [name, int] pairs, ", " separators
+    name_json = F.regexp_replace(F.to_json(F.array(F.col("name"))), r"^\[|\]$", "")
+    pair = F.concat(F.lit("["), name_json, F.lit(", "), F.col("label").cast("string"), F.lit("]"))
     doc = ordered.agg(
-        F.bool_and(F.col("label").isNotNull()).alias("all"),
-        F.array_sort(F.collect_list(F.struct(F.col(idx_col), F.array(F.col("name"), F.col("label").cast("string")))))
-        .alias("pairs"))
-    labels = F.when(F.coalesce(F.col("all"), F.lit(True)),
-                    F.transform("pairs", lambda p: p.getField("col2")))
-    doc.select(F.to_json(F.struct(labels.alias("labels"))).alias("value")).coalesce(1) \
-        .write.mode("errorifexists").text(dest)
+        F.coalesce(F.bool_and(F.col("label").isNotNull()), F.lit(True)).alias("all"),
+        F.array_sort(F.collect_list(F.struct(F.col(idx_col), pair.alias("p")))).alias("pairs"))
+    text = F.when(F.col("all"), F.concat(F.lit('{"labels": ['),
+                                         F.array_join(F.transform("pairs", lambda x: x["p"]), ", "),
+                                         F.lit("]}"))).otherwise(F.lit('{"labels": null}'))
+    doc.select(text.alias("value")).coalesce(1).write.mode("errorifexists").text(dest)
 
 
 def report_text(numbers: dict) -> str:
