@@ -1,8 +1,10 @@
 """Session defaults and shared-storage helpers."""
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +33,7 @@ def build_session(master: str = "local[8]", app: str = "featurelab",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -56,3 +59,40 @@ def default_parallelism(spark: SparkSession) -> int:
         return max(1, int(spark.sparkContext.defaultParallelism))
     except Exception:  # pragma: no cover - connect sessions
         return 8
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``featurelab`` importable in every Python worker (``addPyFile``).
+
+    Task closures refer to package functions by module name, so executors
+    need the package; the zip is written once per content hash under the
+    shared checkpoint folder and registered with the context.
+    """
+    sc = spark.sparkContext
+    key = (id(sc), sc.applicationId)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(r, f) for r, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    h = hashlib.sha1()
+    for f in files:
+        h.update(f[len(pkg):].encode())
+        with open(f, "rb") as fh:
+            h.update(fh.read())
+    root = ensure_checkpoint_dir(spark)
+    root = root[len("file:"):] if root.startswith("file:") else root
+    if "://" in root:  # non-POSIX shared storage: stage the zip in a driver scratch folder
+        root = tempfile.mkdtemp(prefix="featurelab-py-")
+    os.makedirs(os.path.join(root, "pyfiles"), exist_ok=True)
+    path = os.path.join(root, "pyfiles", f"featurelab-{h.hexdigest()[:12]}.zip")
+    if not os.path.exists(path):
+        tmp = path + f".{os.getpid()}.tmp"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in files:
+                z.write(f, os.path.join("featurelab", os.path.relpath(f, pkg)))
+        os.replace(tmp, path)
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
