@@ -157,8 +157,9 @@ def transform_images(df: DataFrame, mode: str | None, width: int | None, height:
                     err.append(f"{type(e).__name__}: {e}")
             yield pd.DataFrame({key_col: pdf[key_col].values, image_col: out, "error": err})
 
+    key_type = df.schema[key_col].dataType.simpleString()
     return df.select(key_col, image_col).mapInPandas(
-        run, f"{key_col} long, {image_col} {IMAGE_STRUCT}, error string")
+        run, f"{key_col} {key_type}, {image_col} {IMAGE_STRUCT}, error string")
 
 
 def drop_failed(transformed: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ evaluation, or the denoiser for a sampler step.
 """
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 import numpy as np
@@ -30,7 +31,7 @@ def batch_score(make_predict_fn: Callable, return_type: T.DataType = T.ArrayType
 def score_in_pandas(df: DataFrame, make_predict_fn: Callable, input_col: str, schema: str,
                     keep_cols: list[str] = (), batch_size: int = 256) -> DataFrame:
     """N1 multi-output form: ``predict(x: ndarray) -> dict[name, ndarray]`` per batch."""
-    key = id(make_predict_fn)
+    key = ("predict", uuid.uuid4().hex)  # fixed on the driver: one model per worker per operator
     keep = list(keep_cols)
 
     def run(batches):
@@ -65,3 +66,38 @@ def softmax_head(columns: int, temperature: float = 20.0) -> Callable:
 
 def with_scores(df: DataFrame, udf, input_col: str, out_col: str) -> DataFrame:
     return df.withColumn(out_col, udf(F.col(input_col)))
+
+
+def encode_images(df: DataFrame, make_encoder: Callable, key_col: str, dim: int,
+                  image_col: str = "image", batch_size: int = 64) -> DataFrame:
+    """N1, pixels to features: ``encoder(uint8[B, H, W, C]) -> float[B, dim]``.
+
+    Images of a batch are stacked when they share a size (after G5 they do),
+    else encoded one by one.  The encoder loads once per Python worker.
+    """
+    key = ("encoder", uuid.uuid4().hex)  # fixed on the driver: one encoder per worker per operator
+    key_type = df.schema[key_col].dataType.simpleString()
+
+    def run(batches):
+        fn = _MODELS.get(key)
+        if fn is None:
+            fn = _MODELS[key] = make_encoder()
+        for pdf in batches:
+            for s in range(0, len(pdf), batch_size):
+                part = pdf.iloc[s:s + batch_size]
+                arrs = [np.frombuffer(im["data"], dtype=np.uint8).reshape(im["height"], im["width"], im["nChannels"])
+                        for im in part[image_col]]
+                if arrs and all(a.shape == arrs[0].shape for a in arrs):
+                    feats = np.asarray(fn(np.stack(arrs)), dtype=np.float64).reshape(len(arrs), dim)
+                else:
+                    feats = np.vstack([np.asarray(fn(a[None]), dtype=np.float64).reshape(1, dim) for a in arrs])
+                yield pd.DataFrame({key_col: part[key_col].values, "features": list(feats)})
+
+    return df.select(key_col, image_col).mapInPandas(run, f"{key_col} {key_type}, features array<double>")
+
+
+def pixel_sum_encoder() -> Callable:
+    """A stand-in encoder for checks: one feature, the sum of all pixel values."""
+    def make():
+        return lambda x: x.reshape(x.shape[0], -1).sum(axis=1, dtype=np.int64)[:, None].astype(np.float64)
+    return make

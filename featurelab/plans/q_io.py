@@ -244,7 +244,17 @@ def q_stream_features(spark, sf):
         "id", F.col("c").cast("int").alias("c"), rnd("p").alias("p"))
 
 
+def q_stream_images(spark, sf):
+    """M2 + G5 + N1: image files streamed, box-halved to 4 x 4, encoded (pixel-sum encoder)."""
+    root = MZ.write_image_folder(spark, sf)
+    dest = MZ.fresh_folder(spark, "stream-images")
+    man = ST.stream_image_features(spark, root, "center-crop-dhariwal", 4, 4, SC.pixel_sum_encoder(), 1,
+                                   dest, "fl_stream_images")
+    return man.select(_base("path").alias("name"), F.element_at("features", 1).cast("bigint").alias("pixel_sum"))
+
+
 QUERIES = {
+    "io_stream_images": q_stream_images,
     "io_scan_images": q_scan_images,
     "io_scan_images_manifest": q_scan_images_manifest,
     "io_read_pixels": q_read_pixels,
@@ -274,6 +284,11 @@ QUERIES = {
 _PX = "list_transform(CAST(embedding AS DOUBLE[]), lambda v: CAST(floor((v + 1.0) * 127.5) AS BIGINT))"
 
 ORACLES = {
+    "io_stream_images": f"""WITH p AS (SELECT vec_id AS idx, {_PX} AS px FROM embeddings),
+b AS (SELECT idx, yy, xx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*xx + 2]
+                     + px[(2*yy+1)*8 + 2*xx + 1] + px[(2*yy+1)*8 + 2*xx + 2]) / 4.0, 0) AS v
+      FROM p, range(0, 4) r(yy), range(0, 4) s(xx))
+SELECT 'img_' || CAST(idx AS VARCHAR) || '.png' AS name, CAST(3 * sum(v) AS BIGINT) AS pixel_sum FROM b GROUP BY idx""",
     "io_scan_images": """WITH f AS (SELECT 'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel_path,
     'class_' || CAST(label AS VARCHAR) AS top FROM embeddings),
 c AS (SELECT top, CAST(row_number() OVER (ORDER BY top) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT top FROM f))

@@ -113,3 +113,33 @@ def features_manifest(spark: SparkSession, dest: str, key_col: str) -> DataFrame
 
 def moments_summary(df: DataFrame) -> DataFrame:
     return df.select("*", *summary_columns())
+
+
+def stream_image_features(spark: SparkSession, folder: str, mode: str | None, width: int | None,
+                          height: int | None, make_encoder, dim: int, dest: str, name: str) -> DataFrame:
+    """M2 from image files: new files are decoded (Spark's image source),
+    cropped and resampled (G5, failures quarantined), encoded once each (N1)
+    and appended per micro-batch; returns the ordered manifest ``(path, features)``."""
+    from pyspark.ml.image import ImageSchema
+
+    from ..operators.images import IMAGE_STRUCT, drop_failed, from_spark_image, transform_images
+    from ..operators.scoring import encode_images
+
+    src = (spark.readStream.format("image").schema(ImageSchema.imageSchema)
+           .option("recursiveFileLookup", "true").option("dropInvalid", True).load(folder))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        imgs = batch.select(F.col("image.origin").alias("path"),
+                            F.struct(F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+                                     F.col("image.nChannels").alias("nChannels"),
+                                     F.col("image.data").alias("data")).alias("image"))
+        rgb = imgs.mapInPandas(from_spark_image("image"), f"path string, image {IMAGE_STRUCT}")
+        good, bad = drop_failed(transform_images(rgb, mode, width, height, key_col="path"))
+        (encode_images(good, make_encoder, "path", dim).withColumn("_batch", F.lit(int(batch_id)))
+         .write.mode("overwrite").parquet(f"{dest}/features/batch={batch_id}"))
+        bad.write.mode("overwrite").parquet(f"{dest}/quarantine/batch={batch_id}")
+
+    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_path(spark, name))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return features_manifest(spark, f"{dest}/features", "path").orderBy("path")
