@@ -92,14 +92,24 @@ def _recur(x, a, b, s0):
     return _recur_var(x, a, b, s0)
 
 
-def _segments(keys: list) -> list[tuple[int, int]]:
-    """(start, end) index ranges of equal consecutive keys."""
-    segs, s = [], 0
-    for i in range(1, len(keys) + 1):
-        if i == len(keys) or keys[i] != keys[s]:
-            segs.append((s, i))
-            s = i
-    return segs
+def _segments(pdf: pd.DataFrame, keys: list[str]) -> list[tuple[int, int, str]]:
+    """(start, end, key repr) of runs of equal consecutive keys, found vectorised."""
+    n = len(pdf)
+    if n == 0:
+        return []
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for k in keys:
+        col = pdf[k]
+        prev = col.shift(1)
+        diff = (col != prev).to_numpy()
+        both_null = (col.isna() & prev.isna()).to_numpy()
+        change |= diff & ~both_null
+    starts = np.flatnonzero(change)
+    ends = np.append(starts[1:], n)
+    cols = [pdf[k].to_numpy() for k in keys]
+    return [(int(a), int(b), repr(tuple(c[a].item() if hasattr(c[a], "item") else c[a] for c in cols)))
+            for a, b in zip(starts, ends)]
 
 
 class _Edge:
@@ -156,10 +166,8 @@ def linear_scan(df: DataFrame, key_cols: list[str], order_cols: list[str], value
                 continue
             if pid is None:
                 pid = int(pdf[_PID].iloc[0])
-            kv = list(zip(*[pdf[k].tolist() for k in keys]))
             xs = [pdf[v].to_numpy(np.float64) for v in vals]
-            for s, e in _segments(kv):
-                k = repr(kv[s])
+            for s, e, k in _segments(pdf, keys):
                 ca, cb = coef(pdf, s, e)
                 seg = [x[s:e] for x in xs]
                 if last is not None and k == last.key:
@@ -206,11 +214,9 @@ def linear_scan(df: DataFrame, key_cols: list[str], order_cols: list[str], value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            kv = list(zip(*[pdf[k].tolist() for k in keys]))
             xs = [pdf[v].to_numpy(np.float64) for v in vals]
             res = [np.empty(len(pdf)) for _ in vals]
-            for s, e in _segments(kv):
-                k = repr(kv[s])
+            for s, e, k in _segments(pdf, keys):
                 if not started:
                     s0 = carry.get(int(pdf[_PID].iloc[0]))
                     started = True
