@@ -142,6 +142,22 @@ def alignment_loss(z, z_pred, eps: float = L2_EPS) -> Column:
     return -F.aggregate(cos, F.lit(0.0), lambda acc, v: acc + v) / F.size(_c(z))
 
 
+def alignment_loss_batch(pairs: list[tuple]) -> Column:
+    """V13 batch value (an aggregate): the per-row losses of every encoder summed
+    over rows and encoders, divided by ``encoders * rows``."""
+    per_row = None
+    for z, zp in pairs:
+        l_ = alignment_loss(z, zp)
+        per_row = l_ if per_row is None else per_row + l_
+    return F.sum(per_row) / (F.lit(len(pairs)) * F.count(F.lit(1)))
+
+
+def total_loss(l_img, l_proj, l_cls, proj_coeff: float = 0.5, cls_coeff: float = 0.03) -> Column:
+    """V14 (an aggregate): ``mean(l_img) + mean(l_proj) * proj_coeff + mean(l_cls) * cls_coeff``."""
+    return (F.avg(_c(l_img)) + F.avg(_c(l_proj)) * F.lit(float(proj_coeff))
+            + F.avg(_c(l_cls)) * F.lit(float(cls_coeff)))
+
+
 def score_from_velocity(v, x, t, path: str = "linear") -> Column:
     """``r = a / a'``, ``var = s^2 - r s' s``, ``score = (r v - x) / var``.
 

@@ -195,3 +195,44 @@ def read_images(spark, paths, key_col: str = "path") -> DataFrame:
 
 def image_grid_size(n: int) -> int:
     return round(math.sqrt(n))
+
+
+# encoder families: (resize before normalising, resize after normalising)
+_RESIZE_BEFORE = ("clip",)
+_RESIZE_AFTER = ("dinov2", "jepa")
+
+
+def encoder_inputs(df: DataFrame, family: str, image_col: str = "image", key_col: str = "idx") -> DataFrame:
+    """Pixels to encoder inputs ``(x / 255 - mean_c) / std_c`` (CLIP statistics for
+    ``clip``, ImageNet statistics otherwise), channel-first float arrays.
+
+    ``clip`` resizes (bicubic) to ``224 * (resolution div 256)`` before
+    normalising, ``dinov2``/``jepa`` after; the other families do not resize.
+    The output is ``(key, shape, values)`` with ``shape = [C, H, W]``.
+    """
+    from ..functions.images import CLIP_MEAN, CLIP_STD, IMAGENET_MEAN, IMAGENET_STD, resize_target
+    mean, std = (CLIP_MEAN, CLIP_STD) if "clip" in family else (IMAGENET_MEAN, IMAGENET_STD)
+    m, sd = np.asarray(mean), np.asarray(std)
+    before = any(f in family for f in _RESIZE_BEFORE)
+    after = any(f in family for f in _RESIZE_AFTER)
+    key_type = df.schema[key_col].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            shapes, values = [], []
+            for im in pdf[image_col]:
+                x = np.frombuffer(im["data"], dtype=np.uint8).reshape(im["height"], im["width"], im["nChannels"])
+                x = x.astype(np.float64) / 255.0
+                side = resize_target(x.shape[1])
+                if before and side > 0:
+                    x = resize(x, side, side, "bicubic")
+                x = (x - m) / sd
+                if after and side > 0:
+                    x = resize(x, side, side, "bicubic")
+                chw = np.transpose(x, (2, 0, 1))
+                shapes.append(list(chw.shape))
+                values.append(chw.ravel())
+            yield pd.DataFrame({key_col: pdf[key_col].values, "shape": shapes, "values": values})
+
+    return df.select(key_col, image_col).mapInPandas(
+        run, f"{key_col} {key_type}, shape array<int>, values array<double>")

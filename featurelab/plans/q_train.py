@@ -116,6 +116,13 @@ def q_alignment_loss(spark, sf):
     return l.select("k", rnd("proj").alias("proj_loss"))
 
 
+def q_alignment_loss_batch(spark, sf):
+    """V13 batch value over two encoders (pairs of token sets)."""
+    p = fx.predictions(spark, sf)
+    v = V.alignment_loss_batch([(_tokens_of("cond"), _tokens_of("uncond")), (_tokens_of("uncond"), _tokens_of("cond"))])
+    return p.agg(rnd(v).alias("proj_loss_batch"))
+
+
 def q_total_loss(spark, sf):
     p = _pred_t(spark, sf)
     pair = V.noisy_pair("cond", "uncond", F.col("t"), "linear")
@@ -123,9 +130,10 @@ def q_total_loss(spark, sf):
     rows = p.select(V.denoise_loss(pair["input"], pair["target"]).alias("l_img"),
                     V.alignment_loss(_tokens_of("cond"), _tokens_of("uncond")).alias("l_proj"),
                     V.denoise_loss(cls_pair["input"], cls_pair["target"]).alias("l_cls"))
-    agg = rows.agg(F.avg("l_img").alias("a"), F.avg("l_proj").alias("b"), F.avg("l_cls").alias("c"))
-    return agg.select(rnd(F.col("a") + F.col("b") * 0.5 + F.col("c") * 0.03).alias("total_loss"),
-                      rnd("a").alias("loss_mean"), rnd("b").alias("proj_loss"), rnd("c").alias("loss_mean_cls"))
+    agg = rows.agg(V.total_loss("l_img", "l_proj", "l_cls", 0.5, 0.03).alias("t"), F.avg("l_img").alias("a"),
+                   F.avg("l_proj").alias("b"), F.avg("l_cls").alias("c"))
+    return agg.select(rnd("t").alias("total_loss"), rnd("a").alias("loss_mean"), rnd("b").alias("proj_loss"),
+                      rnd("c").alias("loss_mean_cls"))
 
 
 def q_score(spark, sf):
@@ -249,6 +257,7 @@ QUERIES = {
     "vec_interpolant": q_interpolant,
     "vec_noisy_pair_loss": q_noisy_pair_loss,
     "vec_alignment_loss": q_alignment_loss,
+    "vec_alignment_loss_batch": q_alignment_loss_batch,
     "vec_total_loss": q_total_loss,
     "vec_score": q_score,
     "vec_guidance": q_guidance,
@@ -462,6 +471,8 @@ ORACLES = {
   SELECT k, {_axpby(_interp('t', 'cosine')[0], 'cond', _interp('t', 'cosine')[1], 'uncond')} AS inp,
             {_axpby(_interp('t', 'cosine')[2], 'cond', _interp('t', 'cosine')[3], 'uncond')} AS tgt FROM ({_PT}))""",
     "vec_alignment_loss": f"SELECT k, round0({_align_loss('cond', 'uncond')}, 6) AS proj_loss FROM ({fx.PREDICTIONS_SQL})",
+    "vec_alignment_loss_batch": f"""SELECT round0(sum({_align_loss('cond', 'uncond')} + {_align_loss('uncond', 'cond')}) / (2 * count(*)), 6)
+  AS proj_loss_batch FROM ({fx.PREDICTIONS_SQL})""",
     "vec_total_loss": f"""WITH r AS (SELECT
     {_dloss(_axpby('(1 - t)', 'cond', 't', 'uncond'), _axpby('-1.0', 'cond', '1.0', 'uncond'))} AS l_img,
     {_align_loss('cond', 'uncond')} AS l_proj,

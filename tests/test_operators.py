@@ -179,3 +179,20 @@ def test_carry_forward_and_variable_scan(spark):
     got = carry_forward(spark.createDataFrame(pdf), ["k"], ["t"], "v", "live", "c").toPandas()
     got = got.sort_values(["k", "t"])["c"].tolist()
     assert got == [5.0, 5.0, 5.0, 7.0, 7.0, 1.0, 0.0, 3.0, 3.0]
+
+
+def test_encoder_inputs_families(spark):
+    from featurelab.functions.images import CLIP_MEAN, CLIP_STD, IMAGENET_MEAN, IMAGENET_STD
+    img = np.full((256, 256, 3), 128, dtype=np.uint8)
+    df = spark.createDataFrame([(0, {"height": 256, "width": 256, "nChannels": 3, "data": img.tobytes()})],
+                               f"idx long, image {IM.IMAGE_STRUCT}")
+    clip = IM.encoder_inputs(df, "clip").first()
+    assert clip["shape"] == [3, 224, 224]
+    v = np.asarray(clip["values"]).reshape(3, 224, 224)
+    np.testing.assert_allclose(v[:, 0, 0], (128 / 255 - np.array(CLIP_MEAN)) / np.array(CLIP_STD), atol=1e-9)
+    mae = IM.encoder_inputs(df, "mae").first()
+    assert mae["shape"] == [3, 256, 256]
+    v = np.asarray(mae["values"]).reshape(3, 256, 256)
+    np.testing.assert_allclose(v[:, 5, 7], (128 / 255 - np.array(IMAGENET_MEAN)) / np.array(IMAGENET_STD), atol=1e-12)
+    dino = IM.encoder_inputs(df, "dinov2").first()
+    assert dino["shape"] == [3, 224, 224]
