@@ -205,7 +205,22 @@ def clamp_radii(radii: DataFrame, pct: float | None, col: str = "radius") -> Dat
 
 # ---------------------------------------------------------------- A7 / J5 / U3
 def _with_radius(feats: DataFrame, radii: DataFrame, id_col: str) -> DataFrame:
-    return feats.join(radii.select(F.col(id_col).alias("id"), F.col("radius").alias("r")), "id")
+    """Feature rows ``(id, f, r=NULL)`` plus radius rows ``(id, f=NULL, r)``.
+
+    Both kinds are blocked by the same id hash and replicated alike, so each
+    block task receives the radii of its own rows; the match happens inside
+    the task instead of a shuffle join of the wide feature table.
+    """
+    r = radii.select(F.col(id_col).cast("bigint").alias("id"), F.lit(None).cast(feats.schema["f"].dataType).alias("f"),
+                     F.col("radius").cast("double").alias("r"))
+    return feats.select("id", "f", F.lit(None).cast("double").alias("r")).unionByName(r)
+
+
+def _split_radius(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one block: features joined to their radius (inside the task)."""
+    has_f = pdf["f"].notna()
+    rad = pdf.loc[~has_f, ["id", "r"]].drop_duplicates("id")
+    return pdf.loc[has_f, ["id", "f"]].merge(rad, on="id", how="inner")
 
 
 def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_radii: DataFrame,
@@ -227,6 +242,7 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
     sf = _with_radius(sf, smp_radii, id_col)
 
     def kernel(_key, rpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
+        rpdf, spdf = _split_radius(rpdf), _split_radius(spdf)
         if len(rpdf) == 0 or len(spdf) == 0:
             return pd.DataFrame({"side": pd.Series([], dtype=object),
                                  "id": pd.Series([], dtype="int64"),
@@ -274,6 +290,11 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
         return count_blocks(n, block_rows) if block_rows else auto_blocks(n, dim, slots)
     radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side", counts=counts,
                       n_blocks=blocks(max(counts.values())))
+    # both sides read the radii: stage them once (N x (id, radius), small next to
+    # the features) so the blocked k-NN job runs once, and survives lost executors
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(ref.sparkSession)
+    radii = radii.select("_side", id_col, "radius").checkpoint(eager=True)
     r1 = clamp_radii(radii.where(F.col("_side") == "ref").drop("_side"), clamp_pct)
     r2 = clamp_radii(radii.where(F.col("_side") == "sample").drop("_side"), clamp_pct)
     flags = membership_flags(ref, r1, smp, r2, id_col, feat_col, block_rows,
@@ -296,6 +317,7 @@ def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_c
     rf = _with_radius(rf, ref_radii, id_col)
 
     def kernel(_key, rpdf: pd.DataFrame, epdf: pd.DataFrame) -> pd.DataFrame:
+        rpdf = _split_radius(rpdf)
         if len(rpdf) == 0 or len(epdf) == 0:
             return pd.DataFrame({"id": pd.Series([], dtype="int64"), "inside": pd.Series([], dtype=bool),
                                  "realism": pd.Series([], dtype="float64"),
