@@ -296,8 +296,10 @@ def inception_score(df: DataFrame, probs_col: str = "probs", order_col: str = "i
 def grouped_feature_statistics(df: DataFrame, group_col: str, feat_col: str = "features") -> DataFrame:
     """N2 grouped: per group ``(n, mean vector, trace of covariance)``.
 
-    ``applyInPandas`` holds one group in a task, so it is only used where a
-    group is a bounded batch; the mean and trace parts are plain aggregates.
+    Plain partial aggregates per (group, dimension), so a hot group is
+    combined map-side; the collected mean vector has one entry per dimension.
+    Full per-group covariances come from :func:`fit_statistics_multi` with the
+    group as the set column.
     """
     x = _double_array(feat_col)
     return (df.select(group_col, F.posexplode(x).alias("dim", "x"))

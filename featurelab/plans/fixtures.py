@@ -52,11 +52,6 @@ SELECT id, list_transform(z, lambda v: v / list_sum(z)) AS probs FROM (
 """
 
 
-def spatial_features(spark, sf_dir) -> DataFrame:
-    """Second feature column for sFID: the first 32 dimensions."""
-    return features(spark, sf_dir).withColumn("features", F.slice("features", 1, 32))
-
-
 # ------------------------------------------------------------------ vectors
 def moments(spark, sf_dir) -> DataFrame:
     """Encoder moments: mean = dims 1..32, std = |dims 33..64|."""

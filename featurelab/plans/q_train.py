@@ -20,10 +20,6 @@ CFG = 2.3
 G_HIGH = 0.85
 
 
-def _k(col):
-    return F.col(col)
-
-
 def _emb(spark, sf):
     return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"),
                                                    F.col("embedding").cast("array<double>").alias("x"), "label")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import file_ext, fnmatch_regex, is_image_path, top_dir
+from ..functions.paths import fnmatch_regex, is_image_path
 from ..operators.labels import labels_from_top_dir, read_label_manifest
 from ..operators.position import with_position
 
@@ -262,9 +262,5 @@ def save_stats(spark: SparkSession, stats, path: str) -> None:
     spark.createDataFrame(rows, "i int, n long, mu double, sigma_row array<double>").write.mode("overwrite").parquet(path)
 
 
-def image_ext(path_col="rel_path"):
-    return F.lower(file_ext(path_col))
-
-
 __all__ = ["list_files", "scan_images", "scan_image_archives", "open_dataset", "ingest_arrays",
-           "ingest_array_batches", "scan_feature_set", "load_or_compute_stats", "save_stats", "top_dir"]
+           "ingest_array_batches", "scan_feature_set", "load_or_compute_stats", "save_stats"]
