@@ -150,3 +150,27 @@ def test_linear_softmax(spark):
     got = S.linear_softmax(fx.features(spark, SF_SMALL), w).toPandas().sort_values("id")
     want = fx.probs(spark, SF_SMALL).toPandas().sort_values("id")
     np.testing.assert_allclose(np.vstack(got["probs"].values), np.vstack(want["probs"].values), rtol=1e-9)
+
+
+def test_statistics_invariant_to_partitioning(spark):
+    f = fx.features(spark, SF_SMALL)
+    a = S.fit_statistics(f.repartition(1))
+    b = S.fit_statistics(f.repartition(17))
+    np.testing.assert_allclose(a.mu, b.mu, atol=1e-13)
+    np.testing.assert_allclose(a.sigma, b.sigma, atol=1e-13)
+
+
+def test_precision_recall_invariant_to_partitioning(spark):
+    ref, smp = fx.ref_features(spark, SF_SMALL), fx.sample_features(spark, SF_SMALL)
+    a = D.precision_recall(ref.repartition(1), smp.repartition(1)).first()
+    b = D.precision_recall(ref.repartition(17), smp.repartition(5), block_rows=40).first()
+    assert (a["precision"], a["recall"]) == (b["precision"], b["recall"])
+
+
+def test_empty_and_single_row_inputs(spark):
+    empty = fx.features(spark, SF_SMALL).limit(0)
+    with pytest.raises(ValueError):
+        S.fit_statistics(empty)
+    one = spark.createDataFrame([(0, [0.25, 0.75])], "id long, probs array<double>")
+    got = S.inception_score(one).first()
+    assert got["n_chunks"] == 1 and got["inception_score"] == pytest.approx(1.0)

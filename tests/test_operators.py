@@ -196,3 +196,9 @@ def test_encoder_inputs_families(spark):
     np.testing.assert_allclose(v[:, 5, 7], (128 / 255 - np.array(IMAGENET_MEAN)) / np.array(IMAGENET_STD), atol=1e-12)
     dino = IM.encoder_inputs(df, "dinov2").first()
     assert dino["shape"] == [3, 224, 224]
+
+
+def test_empty_metric_inputs(spark):
+    empty = spark.createDataFrame([], "name string, value double")
+    assert M.metric_moments(empty).count() == 0
+    assert M.cross_rank_mean(spark.createDataFrame([], "step long, name string, value double")).count() == 0
