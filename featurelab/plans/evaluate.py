@@ -11,6 +11,8 @@ finishes the two D x D matrix square roots.
 """
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,28 @@ REPORT_ORDER = ["Inception Score", "FID", "sFID", "Precision", "Recall"]
 def evaluation_numbers(ref: DataFrame, smp: DataFrame, smp_probs: DataFrame, k: int = 3,
                        split_size: int = 5000, feat_col: str = "features", spatial_col: str = "spatial",
                        block_rows: int | None = distance.DEFAULT_BLOCK_ROWS) -> dict:
-    """``ref`` / ``smp``: ``(id, features, spatial)``; ``smp_probs``: ``(id, probs)``."""
-    is_row = stats.inception_score(smp_probs, "probs", "id", split_size).first()
-    both = (ref.select(F.lit("ref").alias("_set"), feat_col, spatial_col)
-            .unionByName(smp.select(F.lit("sample").alias("_set"), feat_col, spatial_col)))
-    st = stats.fit_statistics_multi(both, [feat_col, spatial_col], "_set")
-    fid = stats.frechet_distance(st[("sample", feat_col)], st[("ref", feat_col)])
-    sfid = stats.frechet_distance(st[("sample", spatial_col)], st[("ref", spatial_col)])
-    pr = distance.precision_recall(ref.select("id", feat_col), smp.select("id", feat_col), k=k,
-                                   feat_col=feat_col, block_rows=block_rows).first()
+    """``ref`` / ``smp``: ``(id, features, spatial)``; ``smp_probs``: ``(id, probs)``.
+
+    The three parts are independent Spark jobs; they are submitted from
+    driver threads so the scheduler can overlap them on the cluster.
+    """
+    def inception():
+        return stats.inception_score(smp_probs, "probs", "id", split_size).first()
+
+    def statistics():
+        both = (ref.select(F.lit("ref").alias("_set"), feat_col, spatial_col)
+                .unionByName(smp.select(F.lit("sample").alias("_set"), feat_col, spatial_col)))
+        st = stats.fit_statistics_multi(both, [feat_col, spatial_col], "_set")
+        return (stats.frechet_distance(st[("sample", feat_col)], st[("ref", feat_col)]),
+                stats.frechet_distance(st[("sample", spatial_col)], st[("ref", spatial_col)]))
+
+    def manifold():
+        return distance.precision_recall(ref.select("id", feat_col), smp.select("id", feat_col), k=k,
+                                         feat_col=feat_col, block_rows=block_rows).first()
+
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        f_is, f_st, f_pr = pool.submit(inception), pool.submit(statistics), pool.submit(manifold)
+        is_row, (fid, sfid), pr = f_is.result(), f_st.result(), f_pr.result()
     return {"Inception Score": float(is_row["inception_score"]), "FID": fid, "sFID": sfid,
             "Precision": float(pr["precision"]), "Recall": float(pr["recall"])}
 
