@@ -14,8 +14,8 @@ from ..functions import rng
 from ..functions import vectors as V
 from .position import with_position
 
-# Largest lookup table broadcast to every task without a further size check.
-BROADCAST_ROW_LIMIT = 1_000_000
+# Largest lookup table (estimated bytes) broadcast to every task; larger ones are joined normally.
+BROADCAST_BYTE_LIMIT = 256 << 20
 
 
 def _c(x) -> Column:
@@ -145,12 +145,15 @@ def label_table(features: DataFrame, num_classes: int, label_col: str = "label",
     return tab.unionByName(zero)
 
 
-def lookup_embedding(df: DataFrame, table: DataFrame, label_col: str = "label") -> DataFrame:
+def lookup_embedding(df: DataFrame, table: DataFrame, label_col: str = "label",
+                     emb_col: str = "embedding") -> DataFrame:
     """Label id to vector.  The table has ``num_classes + 1`` rows (a model
-    size, not a data size); it is broadcast when its row count is under
-    ``BROADCAST_ROW_LIMIT`` and joined normally otherwise."""
-    n = table.count()
-    t = F.broadcast(table) if n <= BROADCAST_ROW_LIMIT else table
+    size, not a data size).  Its size is measured (rows x widest vector x 8
+    bytes); it is broadcast under ``BROADCAST_BYTE_LIMIT`` and joined normally
+    above it."""
+    m = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(emb_col)).alias("d")).first()
+    est = int(m["n"] or 0) * (8 * int(m["d"] or 0) + 16)
+    t = F.broadcast(table) if est <= BROADCAST_BYTE_LIMIT else table
     return df.join(t, label_col, "left")
 
 

@@ -66,13 +66,14 @@ def upsert_available_now(df: DataFrame, keys: list[str], dest: str, name: str) -
     spark = df.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(int(batch_id))).write.mode("append").parquet(dest)
+        # one folder per micro-batch, overwritten on replay: a retried batch is idempotent
+        batch.withColumn("_batch", F.lit(int(batch_id))).write.mode("overwrite").parquet(f"{dest}/batch={batch_id}")
 
     q = (df.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint_path(spark, name))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    versions = spark.read.parquet(dest)
+    versions = spark.read.parquet(dest).drop("batch")
     others = [c for c in versions.columns if c not in keys and c != "_batch"]
     latest = versions.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_v"))
     return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others])
