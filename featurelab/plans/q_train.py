@@ -205,9 +205,10 @@ def q_infinite_sampler(spark, sf):
 
 def q_training_pairs(spark, sf):
     e = _emb(spark, sf)
-    h = fx.hidden(spark, sf)
-    aligned = e.join(h, "id").select("id", F.col("x").alias("moments"), "label",
-                                     F.element_at("tokens", 1).alias("cls"), F.slice("tokens", 6, 11).alias("patches"))
+    # moments and hidden tokens come from the same row: one projection, no join
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: F.slice(F.col("x"), t * 4 + 1, 4))
+    aligned = e.select("id", F.col("x").alias("moments"), "label", tokens.alias("tokens")).select(
+        "id", "moments", "label", F.element_at("tokens", 1).alias("cls"), F.slice("tokens", 6, 11).alias("patches"))
     tp = S.training_pairs(aligned, SEED, NUM_CLASSES, 0.1)
     return tp.select("id", rnd("t").alias("t"), "label", rnd(V.mean_flat("model_input")).alias("input_mean"),
                      rnd(V.mean_flat("model_target")).alias("target_mean"),
