@@ -83,6 +83,13 @@ def q_frechet_terms(spark, sf):
     return t.select(*[rnd(c, R).alias(c) for c in t.columns])
 
 
+def q_frechet_terms_spatial(spark, sf):
+    """A5 (sFID part): mean and trace terms on the spatial features (first 32 dims)."""
+    sp = lambda df: df.withColumn("features", F.slice("features", 1, 32))
+    t = stats.frechet_terms(sp(fx.ref_features(spark, sf)), sp(fx.sample_features(spark, sf)))
+    return t.select(*[rnd(c).alias(c) for c in t.columns])
+
+
 def q_inception_score(spark, sf):
     s = stats.inception_score(fx.probs(spark, sf).where(F.pmod("id", F.lit(2)) == 1), "probs", "id")
     return s.select(rnd("inception_score", R).alias("inception_score"), "n_chunks")
@@ -144,6 +151,7 @@ QUERIES = {
     "eval_feature_mean": q_feature_mean,
     "eval_feature_cov": q_feature_cov,
     "eval_frechet_terms": q_frechet_terms,
+    "eval_frechet_terms_spatial": q_frechet_terms_spatial,
     "eval_inception_score": q_inception_score,
     "eval_inception_score_chunked": q_inception_score_chunked,
     "eval_probs": q_probs,
@@ -306,6 +314,8 @@ ORACLES = {
     "eval_feature_mean": FEATURE_MEAN_SQL,
     "eval_feature_cov": FEATURE_COV_SQL,
     "eval_frechet_terms": FRECHET_TERMS_SQL,
+    "eval_frechet_terms_spatial": FRECHET_TERMS_SQL.replace("FROM e WHERE id % 2 = 0", "FROM e WHERE id % 2 = 0 AND dim < 32")
+                                                   .replace("FROM e WHERE id % 2 = 1", "FROM e WHERE id % 2 = 1 AND dim < 32"),
     "eval_inception_score": _is_sql("WHERE id % 2 = 1", 5000),
     "eval_inception_score_chunked": _is_sql("", 64),
     "eval_probs": PROBS_LONG_SQL,
