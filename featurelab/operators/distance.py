@@ -98,15 +98,20 @@ def _n_blocks(df: DataFrame, n_rows: int, block_rows: int | None, feat: str = "f
     return auto_blocks(n_rows, dim, default_parallelism(df.sparkSession))
 
 
-def block_of(id_col: str, n_blocks: int) -> Column:
+def _n(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(int(x))
+
+
+def block_of(id_col: str, n_blocks) -> Column:
     """Block id from a hash of the row id; cast to int so cogroup keys agree."""
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(int(n_blocks))).cast("int")
+    return F.pmod(F.xxhash64(F.col(id_col)), _n(n_blocks)).cast("int")
 
 
-def _replicate(df: DataFrame, own: str, other: str, id_col: str, n_own: int, n_other: int) -> DataFrame:
-    """Tag rows with their own block and copy them once per block of the other side."""
+def _replicate(df: DataFrame, own: str, other: str, id_col: str, n_own, n_other) -> DataFrame:
+    """Tag rows with their own block and copy them once per block of the other side
+    (block counts are ints or per-row columns, e.g. per set)."""
     return (df.withColumn(own, block_of(id_col, n_own))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(int(n_other) - 1)))))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), (_n(n_other) - 1).cast("int")))))
 
 
 def blocked_cogroup(left: DataFrame, right: DataFrame, kernel, schema: str,
@@ -155,7 +160,19 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
             counts = {"": feats.count() if n_rows is None else n_rows}
     if not counts or min(counts.values()) < kmax + 1:
         raise ValueError(f"knn_radii needs at least {kmax + 1} rows per set, got {counts}")
-    nb = n_blocks or _n_blocks(feats, max(counts.values()), block_rows)
+    if n_blocks:
+        per_set = {k_: int(n_blocks) for k_ in counts}
+    elif block_rows:
+        per_set = {k_: count_blocks(v, block_rows) for k_, v in counts.items()}
+    else:
+        from ..session import default_parallelism
+        row = feats.select(F.size("f").alias("d")).where(F.col("d").isNotNull()).first()
+        dim = int(row["d"]) if row else 1
+        slots = default_parallelism(df.sparkSession)
+        per_set = {k_: auto_blocks(v, dim, slots) for k_, v in counts.items()}
+    # each set gets its own block count (a small set next to a large one stays in few blocks)
+    nb = F.element_at(F.create_map(*[x for k_, v in per_set.items() for x in (F.lit(k_), F.lit(v))]),
+                      F.col("_set")) if len(per_set) > 1 else F.lit(next(iter(per_set.values())))
     keep = kmax + 1
 
     def kernel(_key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
@@ -288,8 +305,7 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
 
     def blocks(n):
         return count_blocks(n, block_rows) if block_rows else auto_blocks(n, dim, slots)
-    radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side", counts=counts,
-                      n_blocks=blocks(max(counts.values())))
+    radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side", counts=counts)
     # both sides read the radii: stage them once (N x (id, radius), small next to
     # the features) so the blocked k-NN job runs once, and survives lost executors
     from ..session import ensure_checkpoint_dir

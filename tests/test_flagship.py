@@ -174,3 +174,16 @@ def test_empty_and_single_row_inputs(spark):
     one = spark.createDataFrame([(0, [0.25, 0.75])], "id long, probs array<double>")
     got = S.inception_score(one).first()
     assert got["n_chunks"] == 1 and got["inception_score"] == pytest.approx(1.0)
+
+
+def test_precision_recall_unequal_sets_and_blocks(spark):
+    ids, x = _np_features(spark, SF_SMALL)
+    rmask, smask = ids % 2 == 0, (ids % 2 == 1) & (ids < 200)
+    ref, smp = x[rmask], x[smask]
+    r_ref = np.sort(_sq(ref, ref), axis=1)[:, 3]
+    r_smp = np.sort(_sq(smp, smp), axis=1)[:, 3]
+    d = _sq(ref, smp)
+    want = ((d <= r_ref[:, None]).any(axis=0).mean(), (d <= r_smp[None, :]).any(axis=1).mean())
+    f = fx.features(spark, SF_SMALL)
+    got = D.precision_recall(f.where("id % 2 = 0"), f.where("id % 2 = 1 AND id < 200"), block_rows=40).first()
+    assert (got["precision"], got["recall"]) == pytest.approx(want)
