@@ -203,7 +203,7 @@ def q_cache_key(spark, sf):
 def q_run_name(spark, sf):
     p = fx.table(spark, sf, "part")
     cfg = (F.lit(1.0) + F.col("p_size") / 10.0)
-    return p.select("p_partkey", P.run_name(F.lit("SiT-XL/2"), P.checkpoint_name("p_partkey"), F.lit(256), F.lit("ema"),
+    return p.select("p_partkey", P.run_name(F.lit("model-XL/2"), P.checkpoint_name("p_partkey"), F.lit(256), F.lit("ema"),
                                             cfg, F.col("p_partkey"), F.lit("sde"), F.lit(0.85), F.lit(1.5)).alias("folder"),
                     P.report_name(F.lit("eval/"), F.lit(250), P.checkpoint_name("p_partkey"), cfg, F.lit(0.85),
                                   F.lit(1.5), F.pmod("p_partkey", F.lit(2)) == 0).alias("report"))
@@ -322,7 +322,7 @@ def q_order_results(spark, sf):
 def q_json_config(spark, sf):
     """run arguments to JSON text and back (one config per part row)."""
     p = fx.table(spark, sf, "part")
-    cfg = F.struct(F.lit("SiT-XL/2").alias("model"), (F.lit(1.0) + F.col("p_size") / 10.0).alias("cfg_scale"),
+    cfg = F.struct(F.lit("model-XL/2").alias("model"), (F.lit(1.0) + F.col("p_size") / 10.0).alias("cfg_scale"),
                    F.col("p_partkey").alias("seed"), F.array(F.col("p_size"), F.lit(2)).alias("resolution"))
     j = p.select("p_partkey", F.to_json(cfg).alias("json"))
     back = j.select("p_partkey", F.from_json("json", "model string, cfg_scale double, seed long, "
@@ -427,7 +427,7 @@ _CLIP_S = "[" + ", ".join(repr(v) for v in G.CLIP_STD) + "]"
 
 ORACLES = {
     "prep_order_results": f"SELECT idx, path FROM ({_IDX})",
-    "paths_json_config": """SELECT p_partkey, 'SiT-XL/2' AS model, round0(1.0 + p_size / 10.0, 6) AS cfg_scale,
+    "paths_json_config": """SELECT p_partkey, 'model-XL/2' AS model, round0(1.0 + p_size / 10.0, 6) AS cfg_scale,
   p_partkey AS seed, p_size AS res0 FROM part""",
     "prep_is_image": f"""SELECT doc_id, path, lower(string_split(path, '.')[-1]) IN ({IMG_EXT_SQL}) AS is_image
 FROM ({fx.IMAGE_PATHS_SQL})""",
@@ -514,7 +514,7 @@ WHERE NOT list_bool_or(list_transform(string_split(path, '/'), lambda c: {_fnmat
     "paths_cache_key": """SELECT page_id, md5(url) || '_' || substr(regexp_replace(url, '[^0-9a-zA-Z\\-._]', '_', 'g'), 1, 128)
   AS cache_key FROM pages""",
     "paths_run_name": """SELECT p_partkey,
-  'SiT-XL-2-' || replace(printf('%07d.pt', p_partkey), '.pt', '') || '-size-256-vae-ema-cfg-'
+  'model-XL-2-' || replace(printf('%07d.pt', p_partkey), '.pt', '') || '-size-256-vae-ema-cfg-'
     || CAST(1.0 + p_size / 10.0 AS VARCHAR) || '-seed-' || CAST(p_partkey AS VARCHAR) || '-sde-0.85-1.5' AS folder,
   'eval/250' || printf('%07d.pt', p_partkey) || CAST(1.0 + p_size / 10.0 AS VARCHAR) || '0.851.5'
     || CASE WHEN p_partkey % 2 = 0 THEN 'cfg_cond_true.txt' ELSE 'cfg_cond_false.txt' END AS report
