@@ -225,10 +225,9 @@ def q_stream_window_moments(spark, sf):
 
 def q_stream_step_logs(spark, sf):
     ev = ST.table_stream(spark, sf, "events.parquet")
-    log = fx.step_log_from(fx.metric_reports_from(ev.withColumn("ts", fx.ntz_as_utc("ts")), keep=["ts"]))
-    agg = ST.stream_step_logs(log, "ts", "1 hour")
-    out = ST.upsert_available_now(agg.drop("last_ts"), ["step", "name"], MZ.fresh_folder(spark, "steps") + "/v",
-                                  "fl_steps")
+    log = fx.step_log_from(fx.metric_reports_from(ev))
+    agg = ST.stream_step_logs(log, late_steps=1000)
+    out = ST.upsert_available_now(agg, ["step", "name"], MZ.fresh_folder(spark, "steps") + "/v", "fl_steps")
     return out.select("step", "name", rnd("mean").alias("mean"), "n_ranks")
 
 

@@ -60,9 +60,12 @@ def run_available_now(df: DataFrame, name: str, mode: str = "complete") -> DataF
     return spark.table(name)
 
 
-def upsert_available_now(df: DataFrame, keys: list[str], dest: str, name: str) -> DataFrame:
-    """Run an update-mode aggregate; each micro-batch's changed rows are appended
-    with their batch id to Parquet at ``dest``; the result is the latest row per key."""
+def upsert_available_now(df: DataFrame, keys: list[str], dest: str, name: str,
+                         checkpoint: str | None = None) -> DataFrame:
+    """Run an update-mode aggregate over what is available; each micro-batch's
+    changed rows go to ``dest`` with their batch id; the result is the latest
+    row per key.  Passing the same ``checkpoint`` again resumes the stream
+    (new files only, state and watermark kept)."""
     spark = df.sparkSession
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -70,7 +73,7 @@ def upsert_available_now(df: DataFrame, keys: list[str], dest: str, name: str) -
         batch.withColumn("_batch", F.lit(int(batch_id))).write.mode("overwrite").parquet(f"{dest}/batch={batch_id}")
 
     q = (df.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint_path(spark, name))
+         .option("checkpointLocation", checkpoint or checkpoint_path(spark, name))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     versions = spark.read.parquet(dest).drop("batch")
@@ -79,14 +82,22 @@ def upsert_available_now(df: DataFrame, keys: list[str], dest: str, name: str) -
     return latest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in others])
 
 
-def stream_step_logs(stream: DataFrame, ts_col: str = "ts", delay: str = "1 hour",
-                     step_col: str = "step", name_col: str = "name", value_col: str = "value") -> DataFrame:
-    """M3: mean over ranks per (step, metric) as ranks report.  The watermark on
-    report time bounds state; reports later than it are dropped (our choice)."""
-    return (stream.withWatermark(ts_col, delay)
-            .groupBy(step_col, name_col)
-            .agg(F.avg(value_col).alias("mean"), F.count(F.lit(1)).alias("n_ranks"),
-                 F.max(ts_col).alias("last_ts")))
+def stream_step_logs(stream: DataFrame, late_steps: int = 1000, step_col: str = "step",
+                     name_col: str = "name", value_col: str = "value") -> DataFrame:
+    """M3: mean over ranks per (step, metric) as ranks report.
+
+    The step is the event time (``timestamp_seconds(step)``) and the watermark
+    tolerates ``late_steps`` steps of lag: state of older steps is evicted and
+    a rank reporting for such a step is dropped (our choice; the source waits
+    for every rank).  The watermark column is a grouping key, which is what
+    makes Spark evict state and drop late rows.
+    """
+    # step s is event time s + 1 s: the initial watermark (epoch 0) would treat step 0 as late
+    ev = stream.withColumn("_fl_step_ts", F.timestamp_seconds(F.col(step_col) + 1))
+    return (ev.withWatermark("_fl_step_ts", f"{int(late_steps)} seconds")
+            .groupBy("_fl_step_ts", name_col)
+            .agg(F.avg(value_col).alias("mean"), F.count(F.lit(1)).alias("n_ranks"))
+            .select((F.unix_seconds("_fl_step_ts") - 1).alias(step_col), name_col, "mean", "n_ranks"))
 
 
 def stream_features(stream: DataFrame, score_udf, input_col: str, key_col: str, dest: str, name: str) -> None:

@@ -19,11 +19,33 @@ def test_stream_moments_equal_batch(spark):
 
 def test_stream_step_logs_equal_batch(spark, tmp_path):
     ev = ST.table_stream(spark, SF_SMALL, "events.parquet", max_files=1)
-    log = fx.step_log_from(fx.metric_reports_from(ev.withColumn("ts", fx.ntz_as_utc("ts")), keep=["ts"]))
-    out = ST.upsert_available_now(ST.stream_step_logs(log).drop("last_ts"), ["step", "name"],
-                                  str(tmp_path / "v"), "t_steps")
+    log = fx.step_log_from(fx.metric_reports_from(ev))
+    out = ST.upsert_available_now(ST.stream_step_logs(log), ["step", "name"], str(tmp_path / "v"), "t_steps")
     want = M.cross_rank_mean(fx.step_log(spark, SF_SMALL))
     assert out.count() == want.count()
     diff = out.join(want.withColumnRenamed("mean", "m2").withColumnRenamed("n_ranks", "n2"), ["step", "name"])
     bad = diff.where(~(F.col("mean").eqNullSafe(F.col("m2")) | (F.abs(F.col("mean") - F.col("m2")) < 1e-9)))
     assert bad.count() == 0
+
+
+def test_step_logs_drop_late_ranks(spark, tmp_path):
+    """Resumed stream: a rank reporting for a step older than the watermark is
+    dropped; a step within the tolerated lag is still updated."""
+    src = tmp_path / "src"
+    schema = "step long, name string, value double"
+    spark.createDataFrame([(s, "loss", 1.0) for s in range(100, 201)], schema).coalesce(1) \
+        .write.parquet(str(src / "a"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+        return ST.upsert_available_now(ST.stream_step_logs(stream, late_steps=5), ["step", "name"],
+                                       str(tmp_path / "v"), "t_late", checkpoint=str(tmp_path / "ck"))
+
+    first = run().toPandas().set_index("step")
+    assert len(first) == 101
+    spark.createDataFrame([(10, "loss", 99.0), (199, "loss", 3.0)], schema).coalesce(1) \
+        .write.parquet(str(src / "b"))
+    out = run().toPandas().set_index("step")
+    assert 10 not in out.index                      # late: the watermark is 200 - 5
+    assert out.loc[199, "n_ranks"] == 2 and out.loc[199, "mean"] == 2.0
+    assert out.loc[150, "n_ranks"] == 1
