@@ -201,14 +201,16 @@ def ingest_array_batches(spark: SparkSession, pattern: str, member: str = "arr_0
     Local files are streamed ``batch_size`` arrays at a time; a missing member is
     an error.  The last batch may be short.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(pattern).select("path")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(pattern)
+    # local files are streamed from disk in the task; other file systems ship the bytes
+    listing = raw.select("path") if _local_path(pattern) is not None else raw.select("path", "content")
     listing = listing.repartition(max(1, listing.rdd.getNumPartitions()))
 
     def read(batches):
         for pdf in batches:
-            for path in pdf["path"]:
-                local = _local_path(path)
-                with open(local, "rb") as fh, zipfile.ZipFile(fh) as z:
+            contents = pdf["content"] if "content" in pdf else [None] * len(pdf)
+            for path, content in zip(pdf["path"], contents):
+                with _open_archive(path, content) as fh, zipfile.ZipFile(fh) as z:
                     name = member + ".npy"
                     if name not in z.namelist():
                         raise KeyError(f"{path} has no member {member!r}")
