@@ -214,12 +214,17 @@ def timestep_features(t, dim: int, max_period: float = 10000.0) -> Column:
     return out
 
 
-def grid_position_features(pos, dim: int, grid: int) -> Column:
-    """2-D sin-cos features of grid cell ``pos`` (row-major over (h, w)).
+def grid_position_features(pos, dim: int, grid: int, extra: int = 0) -> Column:
+    """2-D sin-cos features of token ``pos``: the first ``extra`` tokens (class /
+    register tokens) get zeros, token ``extra + i`` gets grid cell ``i`` (row-major
+    over (h, w)).
 
     The first half encodes the column (w) coordinate, the second half the row;
     each half is ``[sin(p w_k), cos(p w_k)]`` with ``w_k = 10000^(-k / (dim/4))``.
     """
+    if extra:
+        return F.when(_c(pos) < F.lit(int(extra)), F.array_repeat(F.lit(0.0), int(dim))).otherwise(
+            grid_position_features(_c(pos) - F.lit(int(extra)), dim, grid, 0))
     p = _c(pos)
     quarter = dim // 4
     col = F.pmod(p, F.lit(grid)).cast("double")

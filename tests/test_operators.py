@@ -202,3 +202,16 @@ def test_empty_metric_inputs(spark):
     empty = spark.createDataFrame([], "name string, value double")
     assert M.metric_moments(empty).count() == 0
     assert M.cross_rank_mean(spark.createDataFrame([], "step long, name string, value double")).count() == 0
+
+
+def test_grid_position_features_extra_tokens(spark):
+    from featurelab.functions import vectors as V
+    df = spark.range(0, 6).select(F.col("id").cast("int").alias("p"))
+    rows = df.select("p", V.grid_position_features("p", 8, 2, extra=2).alias("f")).orderBy("p").collect()
+    assert rows[0]["f"] == [0.0] * 8 and rows[1]["f"] == [0.0] * 8
+    # token 2 is cell 0 (row 0, col 0): sin(0) = 0, cos(0) = 1 in both halves
+    assert rows[2]["f"] == [0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0]
+    # token 3 is cell 1 (row 0, col 1): the first half encodes the column
+    w = [1.0, 1.0 / 100.0]
+    np.testing.assert_allclose(rows[3]["f"][:4], [np.sin(w[0]), np.sin(w[1]), np.cos(w[0]), np.cos(w[1])])
+    np.testing.assert_allclose(rows[3]["f"][4:], [0.0, 0.0, 1.0, 1.0])
