@@ -215,3 +215,22 @@ def test_grid_position_features_extra_tokens(spark):
     w = [1.0, 1.0 / 100.0]
     np.testing.assert_allclose(rows[3]["f"][:4], [np.sin(w[0]), np.sin(w[1]), np.cos(w[0]), np.cos(w[1])])
     np.testing.assert_allclose(rows[3]["f"][4:], [0.0, 0.0, 1.0, 1.0])
+
+
+@pytest.mark.parametrize("parts", [1, 5, 11])
+def test_linear_scan_variable_coefficients_match_loop(spark, parts):
+    rng = np.random.default_rng(100 + parts)
+    n = 900
+    pdf = pd.DataFrame({"k": rng.integers(0, 4, n), "seq": rng.permutation(n), "x": rng.normal(size=n),
+                        "a": np.where(rng.random(n) < 0.15, 0.0, rng.uniform(0.2, 1.1, n)),
+                        "b": rng.uniform(0.0, 1.0, n)})
+    pdf.loc[: n // 2, "k"] = 2  # hot key spanning partitions
+    got = linear_scan(spark.createDataFrame(pdf), ["k"], ["seq"], "x", "a", "b", "s",
+                      num_partitions=parts).toPandas().sort_values(["k", "seq"])
+    want = []
+    for _, g in pdf.sort_values(["k", "seq"]).groupby("k", sort=True):
+        s = None
+        for x, a, b in zip(g["x"], g["a"], g["b"]):
+            s = x if s is None else a * s + b * x
+            want.append(s)
+    np.testing.assert_allclose(got["s"].to_numpy(), np.array(want), rtol=1e-9, atol=1e-12)
