@@ -33,6 +33,8 @@ MIN_BLOCK_ROWS = 256
 # Blocks are split for parallelism only down to this many rows (about 1e7
 # distance pairs per task); smaller blocks cost more in task overhead than they save.
 PARALLEL_BLOCK_ROWS = 4096
+# Above this many right blocks the k-NN candidate lists merge in two levels.
+TWO_LEVEL_BLOCKS = 64
 # Rows of the left block processed per distance tile inside a task.
 TILE_ROWS = 1024
 REALISM_EPS = 1e-5
@@ -175,10 +177,10 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
                       F.col("_set")) if len(per_set) > 1 else F.lit(next(iter(per_set.values())))
     keep = kmax + 1
 
-    def kernel(_key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
             return pd.DataFrame({"_set": pd.Series([], dtype=object), "id": pd.Series([], dtype="int64"),
-                                 "d": pd.Series([], dtype=object)})
+                                 "blk": pd.Series([], dtype="int32"), "d": pd.Series([], dtype=object)})
         a, b = _matrix(lpdf["f"]), _matrix(rpdf["f"])
         bb = np.einsum("ij,ij->i", b, b)
         m = min(keep, b.shape[0])
@@ -189,7 +191,8 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
                 d = np.partition(d, m - 1, axis=1)[:, :m]
             d.sort(axis=1)
             out.extend(list(d))
-        return pd.DataFrame({"_set": lpdf["_set"].values, "id": lpdf["id"].values, "d": out})
+        return pd.DataFrame({"_set": lpdf["_set"].values, "id": lpdf["id"].values,
+                             "blk": np.full(len(lpdf), int(key[2]), dtype=np.int32), "d": out})
 
     # the right side gets fresh attributes: a cogroup of a plan with itself
     # otherwise loses columns to pruning when the result is counted
@@ -197,9 +200,16 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
     lb = _replicate(feats, "_bl", "_br", "id", nb, nb)
     rb = _replicate(right, "_br", "_bl", "id", nb, nb)
     partial = (lb.groupBy("_set", "_bl", "_br").cogroup(rb.groupBy("_set", "_bl", "_br"))
-               .applyInPandas(kernel, schema="_set string, id long, d array<double>"))
-    merged = partial.groupBy("_set", "id").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, keep).alias("nearest"))
+               .applyInPandas(kernel, schema="_set string, id long, blk int, d array<double>"))
+    top = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, keep)
+    max_b = max(per_set.values())
+    if max_b > TWO_LEVEL_BLOCKS:
+        # many right blocks: merge within groups of ~sqrt(B) blocks first, so no
+        # row ever collects more than ~sqrt(B) * (k + 1) candidate distances
+        g = int(math.ceil(math.sqrt(max_b)))
+        partial = (partial.groupBy("_set", "id", F.floor(F.col("blk") / F.lit(g)).alias("_grp"))
+                   .agg(top("d").alias("d")))
+    merged = partial.groupBy("_set", "id").agg(top("d").alias("nearest"))
     radii = F.array(*[F.element_at("nearest", k + 1) for k in ks])
     out = merged.select(F.col("_set"), F.col("id").alias(id_col), radii.alias("radii")) \
         .withColumn("radius", F.element_at("radii", 1))

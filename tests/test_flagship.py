@@ -187,3 +187,11 @@ def test_precision_recall_unequal_sets_and_blocks(spark):
     f = fx.features(spark, SF_SMALL)
     got = D.precision_recall(f.where("id % 2 = 0"), f.where("id % 2 = 1 AND id < 200"), block_rows=40).first()
     assert (got["precision"], got["recall"]) == pytest.approx(want)
+
+
+def test_knn_two_level_merge(spark, monkeypatch):
+    monkeypatch.setattr(D, "TWO_LEVEL_BLOCKS", 2)
+    ids, x = _np_features(spark, SF_SMALL)
+    want = np.sort(_sq(x, x), axis=1)[:, 3]
+    got = D.knn_radii(fx.features(spark, SF_SMALL), block_rows=50).toPandas().set_index("id").loc[ids]
+    np.testing.assert_allclose(got["radius"].to_numpy(), want, rtol=1e-9, atol=1e-12)
