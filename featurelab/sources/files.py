@@ -13,6 +13,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import zipfile
 from urllib.parse import unquote, urlparse
 
@@ -74,16 +75,7 @@ def scan_images(spark: SparkSession, root: str, max_images: int | None = None,
     indexed = with_position(files, "rel_path", "idx")
     if max_images is not None:
         indexed = indexed.where(F.col("idx") < F.lit(int(max_images)))
-    local = _local_path(root)
-    manifest = None
-    if local is not None:
-        import glob as _glob
-        docs = sorted(_glob.glob(os.path.join(local, "dataset.json")) +
-                      _glob.glob(os.path.join(local, "dataset-*.json")))
-        if docs:
-            manifest = read_label_manifest(spark, docs)
-            if manifest.limit(1).count() == 0:
-                manifest = None
+    manifest = _manifest_if_any(spark, root)
     if manifest is not None:
         return indexed.join(manifest.withColumnRenamed("name", "rel_path"), "rel_path", "left")
     if use_dir_labels:
@@ -91,6 +83,41 @@ def scan_images(spark: SparkSession, root: str, max_images: int | None = None,
     return indexed.withColumn("label", F.lit(None).cast("int"))
 
 
+def _manifest_if_any(spark: SparkSession, root: str):
+    """Labels from ``dataset.json`` / ``dataset-*.json`` in ``root`` (any file system),
+    or None when there is no manifest or it holds no labels."""
+    base = root.rstrip("/")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "dataset*.json").load(base) \
+        if _exists(spark, base) else None
+    if found is None:
+        return None
+    names = [r["path"] for r in found.select("path").collect()  # manifest files only: a handful
+             if re.fullmatch(r"dataset(-[^/]*)?\.json", r["path"].rsplit("/", 1)[-1])]
+    if not names:
+        return None
+    manifest = read_label_manifest(spark, sorted(names))
+    return None if manifest.limit(1).count() == 0 else manifest
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path).select("path").limit(0).collect()
+        return True
+    except Exception:  # noqa: BLE001 - missing path
+        return False
+
+
+# binaryFile ships a file as one value; Spark rejects values above 2 GB
+MAX_SHIPPED_BYTES = (2 << 30) - (64 << 20)
+
+
+def _check_shippable(raw: DataFrame, what: str) -> None:
+    big = raw.where(F.col("length") > F.lit(MAX_SHIPPED_BYTES)).select("path", "length").limit(3).collect()
+    if big:
+        raise ValueError(f"{what} too large to read as one value from a remote file system "
+                         f"(split it into shards under 2 GB): {[(r['path'], r['length']) for r in big]}")
+
+
 def _open_archive(path, content):
     local = _local_path(path)
     if content is None:
@@ -140,6 +167,8 @@ def scan_image_archives(spark: SparkSession, pattern: str, max_images: int | Non
     Local archives are opened from disk in the task (``content`` is never
     loaded as one value); other file systems ship the bytes."""
     raw = spark.read.format("binaryFile").load(pattern)
+    if _local_path(pattern) is None:
+        _check_shippable(raw, "archive")
     cols = ["path"] if _local_path(pattern) is not None else ["path", "content"]
     listing = raw.select(*cols)
     listing = listing.repartition(max(1, listing.rdd.getNumPartitions()))
@@ -203,6 +232,8 @@ def ingest_array_batches(spark: SparkSession, pattern: str, member: str = "arr_0
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(pattern)
     # local files are streamed from disk in the task; other file systems ship the bytes
+    if _local_path(pattern) is None:
+        _check_shippable(raw, "array batch file")
     listing = raw.select("path") if _local_path(pattern) is not None else raw.select("path", "content")
     listing = listing.repartition(max(1, listing.rdd.getNumPartitions()))
 
