@@ -69,8 +69,7 @@ def gram_partials(df: DataFrame, feat_col: str = "features", max_tasks: int | No
     d = len(k)
     tasks = max_tasks or default_parallelism(spark)
     src = df.select(_double_array(feat_col).alias("f")).where(F.col("f").isNotNull())
-    if src.rdd.getNumPartitions() > tasks:
-        src = src.coalesce(tasks)
+    src = src.coalesce(tasks)  # no-op when there are already fewer partitions
 
     def partial(batches):
         n = 0
@@ -118,8 +117,7 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
         raise ValueError("feature statistics of an empty set")
     shifts = [np.asarray(first[f"_f{j}"], dtype=np.float64) for j in range(len(feat_cols))]
     tasks = max_tasks or default_parallelism(spark)
-    if src.rdd.getNumPartitions() > tasks:
-        src = src.coalesce(tasks)
+    src = src.coalesce(tasks)  # no-op when there are already fewer partitions
     ncol = len(feat_cols)
 
     def partial(batches):

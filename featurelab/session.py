@@ -43,22 +43,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this setting names shared storage and is only read here.  When
     it is unset (local tests) a fresh scratch folder is created and set.
     """
+    sc = _context(spark)
     cur = spark.conf.get("spark.checkpoint.dir", None)
-    if not cur:
-        cur = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not cur and sc is not None:
+        cur = sc.getConf().get("spark.checkpoint.dir", None)
     if not cur:
         cur = tempfile.mkdtemp(prefix="featurelab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
-    spark.sparkContext.setCheckpointDir(cur)
+    if sc is not None:
+        sc.setCheckpointDir(cur)
     return cur
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no context
+        return None
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Total task slots of the cluster (cores), used to size partial aggregates."""
-    try:
-        return max(1, int(spark.sparkContext.defaultParallelism))
-    except Exception:  # pragma: no cover - connect sessions
-        return 8
+    sc = _context(spark)
+    if sc is not None:
+        return max(1, int(sc.defaultParallelism))
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
 
 
 _SHIPPED: set = set()
@@ -71,8 +81,8 @@ def ship_package(spark: SparkSession) -> None:
     need the package; the zip is written once per content hash under the
     shared checkpoint folder and registered with the context.
     """
-    sc = spark.sparkContext
-    key = (id(sc), sc.applicationId)
+    sc = _context(spark)
+    key = (id(sc), sc.applicationId) if sc is not None else ("connect", id(spark))
     if key in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
@@ -94,5 +104,8 @@ def ship_package(spark: SparkSession) -> None:
             for f in files:
                 z.write(f, os.path.join("featurelab", os.path.relpath(f, pkg)))
         os.replace(tmp, path)
-    sc.addPyFile(path)
+    if sc is not None:
+        sc.addPyFile(path)
+    else:  # Spark Connect: ship as a session artifact
+        spark.addArtifacts(path, pyfile=True)
     _SHIPPED.add(key)

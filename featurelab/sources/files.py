@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import fnmatch_regex, is_image_path
 from ..operators.labels import labels_from_top_dir, read_label_manifest
 from ..operators.position import with_position
+from ..session import default_parallelism
 
 ARCHIVE_SCHEMA = "archive string, member string, content binary"
 ARRAY_SCHEMA = "path string, shape array<int>, dtype string, values array<double>"
@@ -171,7 +172,7 @@ def scan_image_archives(spark: SparkSession, pattern: str, max_images: int | Non
         _check_shippable(raw, "archive")
     cols = ["path"] if _local_path(pattern) is not None else ["path", "content"]
     listing = raw.select(*cols)
-    listing = listing.repartition(max(1, listing.rdd.getNumPartitions()))
+    listing = listing.repartition(default_parallelism(spark))  # spread files over the task slots
     members = listing.mapInPandas(_explode_archives, ARCHIVE_SCHEMA)
     indexed = with_position(members, ["archive", "member"], "idx")
     if max_images is not None:
@@ -235,7 +236,7 @@ def ingest_array_batches(spark: SparkSession, pattern: str, member: str = "arr_0
     if _local_path(pattern) is None:
         _check_shippable(raw, "array batch file")
     listing = raw.select("path") if _local_path(pattern) is not None else raw.select("path", "content")
-    listing = listing.repartition(max(1, listing.rdd.getNumPartitions()))
+    listing = listing.repartition(default_parallelism(spark))  # spread files over the task slots
 
     def read(batches):
         for pdf in batches:
