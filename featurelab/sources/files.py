@@ -270,12 +270,36 @@ def scan_feature_set(spark: SparkSession, root: str, suffix: str = "_cls.npy",
     return with_position(f, "rel_path", "idx")
 
 
+def load_npz_stats(spark: SparkSession, path: str, spatial: bool = False):
+    """Precomputed statistics in the evaluator's ``.npz`` layout (keys ``mu``,
+    ``sigma`` and, for spatial features, ``mu_s``, ``sigma_s``).  The file is
+    fetched through Spark (any file system); its size is fixed by the feature
+    width.  Returns None when the file or the keys are absent."""
+    from ..operators.stats import FeatureStats
+    if not _exists(spark, path):
+        return None
+    row = spark.read.format("binaryFile").load(path).select("content").first()
+    if row is None:
+        return None
+    with np.load(io.BytesIO(row["content"])) as z:
+        mk, sk = ("mu_s", "sigma_s") if spatial else ("mu", "sigma")
+        if mk not in z.files or sk not in z.files:
+            return None
+        return FeatureStats(-1, np.asarray(z[mk], dtype=np.float64), np.asarray(z[sk], dtype=np.float64))
+
+
 def load_or_compute_stats(features: DataFrame | None, stats_path: str | None = None,
-                          feat_col: str = "features"):
-    """Precomputed ``mu``/``sigma`` (a Parquet table with ``i``, ``mu``,
-    ``sigma_row``) when present, else computed from the features (A3)."""
+                          feat_col: str = "features", spatial: bool = False):
+    """Precomputed ``mu``/``sigma`` when present, else computed from the
+    features (A3).  ``stats_path`` is an ``.npz`` in the evaluator's layout or
+    a Parquet table with ``i``, ``n``, ``mu``, ``sigma_row`` (:func:`save_stats`)."""
     from ..operators.stats import FeatureStats, fit_statistics
-    if stats_path:
+    if stats_path and stats_path.endswith(".npz"):
+        spark = features.sparkSession if features is not None else SparkSession.getActiveSession()
+        st = load_npz_stats(spark, stats_path, spatial)
+        if st is not None:
+            return st
+    elif stats_path:
         spark = (features.sparkSession if features is not None else SparkSession.getActiveSession())
         try:
             t = spark.read.parquet(stats_path)

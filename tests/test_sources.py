@@ -110,3 +110,17 @@ def test_write_dataset_refuses_existing(spark, tmp_path):
     assert [r["archive_path"] for r in back] == ["00000/img00000000.png", "00000/img00000001.png"]
     with pytest.raises(Exception):
         W.write_dataset(df, str(tmp_path / "d"))
+
+
+def test_load_npz_stats_and_fallback(spark, tmp_path):
+    from featurelab.operators.stats import fit_statistics
+    from featurelab.plans import fixtures as fx
+    f = fx.features(spark, "/root/testdata/sf0.001")
+    st = fit_statistics(f)
+    np.savez(tmp_path / "ref.npz", mu=st.mu, sigma=st.sigma, mu_s=st.mu[:4], sigma_s=st.sigma[:4, :4])
+    got = S.load_or_compute_stats(f, str(tmp_path / "ref.npz"))
+    np.testing.assert_allclose(got.sigma, st.sigma)
+    sp = S.load_or_compute_stats(f, str(tmp_path / "ref.npz"), spatial=True)
+    assert sp.mu.shape == (4,)
+    missing = S.load_or_compute_stats(f, str(tmp_path / "none.npz"))  # absent: computed
+    np.testing.assert_allclose(missing.mu, st.mu, atol=1e-12)
