@@ -26,6 +26,8 @@ from ..session import default_parallelism
 from .position import chunk_id, with_position
 
 SUMS_ROW = -1
+# Sets accepted by fit_statistics_multi (each costs a D x D partial per task and on the driver).
+MAX_SETS = 16
 
 
 @dataclass
@@ -131,6 +133,10 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
                     x = np.vstack(part[f"_f{j}"].values) - shifts[j]
                     a = acc.get((key, j))
                     if a is None:
+                        if len(acc) >= MAX_SETS * ncol:
+                            raise ValueError(
+                                f"fit_statistics_multi holds one D x D partial per set and column; more than "
+                                f"{MAX_SETS} sets: use grouped_feature_statistics for many groups")
                         d = x.shape[1]
                         a = acc[(key, j)] = [0, np.zeros(d), np.zeros((d, d))]
                     a[0] += x.shape[0]

@@ -2,6 +2,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
 from featurelab.operators import distance as D
@@ -195,3 +196,9 @@ def test_knn_two_level_merge(spark, monkeypatch):
     want = np.sort(_sq(x, x), axis=1)[:, 3]
     got = D.knn_radii(fx.features(spark, SF_SMALL), block_rows=50).toPandas().set_index("id").loc[ids]
     np.testing.assert_allclose(got["radius"].to_numpy(), want, rtol=1e-9, atol=1e-12)
+
+
+def test_fit_statistics_multi_refuses_many_sets(spark):
+    f = fx.features(spark, SF_SMALL).withColumn("g", F.col("id") % 40)
+    with pytest.raises(Exception, match="grouped_feature_statistics"):
+        S.fit_statistics_multi(f, ["features"], "g")
