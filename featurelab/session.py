@@ -25,6 +25,8 @@ def build_session(master: str = "local[8]", app: str = "featurelab",
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
+         # staged positions / scans / radii are reliable checkpoints: drop them once unreferenced
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", os.environ.get("FEATURELAB_DRIVER_MEMORY", "16g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
