@@ -234,3 +234,16 @@ def test_linear_scan_variable_coefficients_match_loop(spark, parts):
             s = x if s is None else a * s + b * x
             want.append(s)
     np.testing.assert_allclose(got["s"].to_numpy(), np.array(want), rtol=1e-9, atol=1e-12)
+
+
+def test_unpatchify_multichannel_and_non_square(spark):
+    from featurelab.functions import vectors as V
+    p, c, h = 2, 3, 2
+    tokens = np.arange(h * h * p * p * c, dtype=float).reshape(h * h, p * p * c)
+    want = np.einsum("hwpqc->chpwq", tokens.reshape(h, h, p, p, c)).reshape(c, h * p, h * p).ravel()
+    df = spark.createDataFrame([(0, tokens.tolist())], "id long, tokens array<array<double>>")
+    got = df.select(V.unpatchify("tokens", p, c).alias("img")).first()["img"]
+    np.testing.assert_array_equal(np.array(got), want)
+    bad = spark.createDataFrame([(0, tokens[:3].tolist())], "id long, tokens array<array<double>>")
+    with pytest.raises(Exception, match="not a square"):
+        bad.select(V.unpatchify("tokens", p, c)).collect()
