@@ -247,3 +247,29 @@ def test_unpatchify_multichannel_and_non_square(spark):
     bad = spark.createDataFrame([(0, tokens[:3].tolist())], "id long, tokens array<array<double>>")
     with pytest.raises(Exception, match="not a square"):
         bad.select(V.unpatchify("tokens", p, c)).collect()
+
+
+def test_strict_modes_raise(spark):
+    from featurelab.operators import align as A
+    from featurelab.sources import files as SRC
+    samples = spark.createDataFrame([("a.png",), ("b.png",)], "name string")
+    manifest = spark.createDataFrame([("a.png", 1)], "name string, label int")
+    assert L.attach_labels(samples, manifest).count() == 2
+    with pytest.raises(KeyError):
+        L.attach_labels(samples, manifest, strict=True)
+    dst = spark.createDataFrame([("w", 1.0), ("v", 2.0)], "name string, value double")
+    src = spark.createDataFrame([("w", 5.0)], "name string, value double")
+    assert sorted(r["value"] for r in A.merge_by_name(dst, src).collect()) == [2.0, 5.0]
+    with pytest.raises(KeyError):
+        A.merge_by_name(dst, src, require_all=True)
+    man = spark.range(0, 5).withColumnRenamed("id", "index")
+    imgs = spark.range(0, 3).withColumnRenamed("id", "index")
+    assert A.collect_samples(man, imgs, 3).count() == 3
+    with pytest.raises(ValueError):
+        A.collect_samples(man, imgs, 5)
+    a = spark.createDataFrame([("x",), ("y",)], "path string")
+    b = spark.createDataFrame([("z",)], "path string")
+    with pytest.raises(ValueError):
+        A.align_modalities({"a": a, "b": b})
+    with pytest.raises(ValueError):
+        SRC.open_dataset(spark, "/root/testdata/sf0.001/region.parquet")
