@@ -120,6 +120,15 @@ def check_same_names(df: DataFrame, rank_col: str = "rank", name_col: str = "nam
     return per_rank.withColumn("consistent", F.lit(distinct == 1))
 
 
+def assert_same_names(df: DataFrame, rank_col: str = "rank", name_col: str = "name",
+                      seq_col: str = "event_id") -> None:
+    """A14, failing form: raise when ranks report different ordered name lists."""
+    per_rank = check_same_names(df, rank_col, name_col, seq_col)
+    bad = per_rank.where(~F.col("consistent")).limit(3).collect()
+    if bad:
+        raise ValueError(f"training statistics are inconsistent between ranks, e.g. {bad}")
+
+
 def parameter_totals(df: DataFrame, group_col: str = "group", shape_col: str = "shape") -> DataFrame:
     """Elements per tensor (product of its shape), summed per group."""
     numel = F.aggregate(F.col(shape_col), F.lit(1).cast("bigint"), lambda acc, x: acc * x)

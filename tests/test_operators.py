@@ -273,3 +273,21 @@ def test_strict_modes_raise(spark):
         A.align_modalities({"a": a, "b": b})
     with pytest.raises(ValueError):
         SRC.open_dataset(spark, "/root/testdata/sf0.001/region.parquet")
+
+
+def test_consistency_assertions(spark):
+    from featurelab.operators import align as A
+    same = spark.createDataFrame([(0, "a", 0), (1, "a", 1), (2, "b", 0), (3, "b", 1)],
+                                 "event_id long, name string, rank int")
+    M.assert_same_names(same)
+    differ = spark.createDataFrame([(0, "a", 0), (1, "b", 1), (2, "b", 0), (3, "a", 1)],
+                                   "event_id long, name string, rank int")
+    with pytest.raises(ValueError):
+        M.assert_same_names(differ)
+    rep = spark.createDataFrame([(0, "w", [1.0, float("nan")]), (1, "w", [1.0, 0.0]), (1, "u", [2.0]),
+                                 (0, "u", [2.0])], "rank int, name string, values array<double>")
+    A.assert_replicas_consistent(rep)  # NaN on one replica equals 0 on another after cleaning
+    rep2 = rep.union(spark.createDataFrame([(2, "u", [3.0])], "rank int, name string, values array<double>"))
+    with pytest.raises(AssertionError):
+        A.assert_replicas_consistent(rep2)
+    A.assert_replicas_consistent(rep2, ignore_regex="u")
