@@ -113,19 +113,25 @@ def _segments(pdf: pd.DataFrame, keys: list[str]) -> list[tuple[int, int, str]]:
 
 
 class _Edge:
-    """Running summary of one key run: ``end = A * carry + B``; ``S`` = end if the key starts here."""
+    """Running summary of one key run: ``end = A * carry + B``; ``S`` = end if the key starts here.
 
-    def __init__(self, key, nv):
+    Only a partition's first run can continue a key from the previous
+    partition, so only it tracks ``A`` and ``B`` (``need_carry``).
+    """
+
+    def __init__(self, key, nv, need_carry: bool = True):
         self.key, self.A, self.B, self.S = key, 1.0, np.zeros(nv), None
+        self.need_carry = need_carry
 
     def extend(self, xs, a, b, fresh: bool):
-        prod_a = float(np.prod(a)) if not np.isscalar(a) else float(a) ** len(xs[0])
-        self.B = np.array([_recur(x, a, b, float(s))[-1] for x, s in zip(xs, self.B)])
+        if self.need_carry:
+            prod_a = float(np.prod(a)) if not np.isscalar(a) else float(a) ** len(xs[0])
+            self.B = np.array([_recur(x, a, b, float(s))[-1] for x, s in zip(xs, self.B)])
+            self.A *= prod_a
         if fresh:
             self.S = np.array([_recur(x, a, b, None)[-1] for x in xs])
         elif self.S is not None:
             self.S = np.array([_recur(x, a, b, float(s))[-1] for x, s in zip(xs, self.S)])
-        self.A *= prod_a
 
 
 def linear_scan(df: DataFrame, key_cols: list[str], order_cols: list[str], value_cols,
@@ -174,7 +180,7 @@ def linear_scan(df: DataFrame, key_cols: list[str], order_cols: list[str], value
                     last.extend(seg, ca, cb, fresh=False)
                     continue
                 n_segs += 1
-                last = _Edge(k, len(vals))
+                last = _Edge(k, len(vals), need_carry=first is None)
                 last.extend(seg, ca, cb, fresh=True)
                 if first is None:
                     first = last
