@@ -11,6 +11,7 @@ import os
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import distance
 from ..operators import images as IM
 from ..operators import labels as L
 from ..operators import metrics as M
@@ -168,7 +169,7 @@ def q_write_manifest(spark, sf):
 def q_write_report(spark, sf):
     folder = MZ.fresh_folder(spark, "report")
     ref, smp = fx.ref_features(spark, sf), fx.sample_features(spark, sf)
-    pr = __import__("featurelab.operators.distance", fromlist=["x"]).precision_recall(ref, smp).first()
+    pr = distance.precision_recall(ref, smp).first()
     nums = {"Inception Score": 1.0, "FID": stats.frechet_distance(stats.fit_statistics(smp), stats.fit_statistics(ref)),
             "sFID": 0.0, "Precision": pr["precision"], "Recall": pr["recall"]}
     W.write_eval_report(spark, nums, folder + "/report")
