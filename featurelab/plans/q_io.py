@@ -11,7 +11,6 @@ import os
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import distance
 from ..operators import images as IM
 from ..operators import labels as L
 from ..operators import metrics as M
@@ -167,13 +166,16 @@ def q_write_manifest(spark, sf):
 
 
 def q_write_report(spark, sf):
+    """The five evaluation numbers written as report lines and read back."""
+    from .evaluate import _with_spatial, evaluation_numbers
     folder = MZ.fresh_folder(spark, "report")
-    ref, smp = fx.ref_features(spark, sf), fx.sample_features(spark, sf)
-    pr = distance.precision_recall(ref, smp).first()
-    nums = {"Inception Score": 1.0, "FID": stats.frechet_distance(stats.fit_statistics(smp), stats.fit_statistics(ref)),
-            "sFID": 0.0, "Precision": pr["precision"], "Recall": pr["recall"]}
-    W.write_eval_report(spark, nums, folder + "/report")
-    return spark.read.text(folder + "/report").select(F.split("value", ": ").getItem(0).alias("metric"))
+    ref = _with_spatial(fx.ref_features(spark, sf))
+    smp = _with_spatial(fx.sample_features(spark, sf))
+    probs = fx.probs(spark, sf).where(F.pmod("id", F.lit(2)) == 1)
+    W.write_eval_report(spark, evaluation_numbers(ref, smp, probs), folder + "/report")
+    lines = spark.read.text(folder + "/report")
+    return lines.select(F.split("value", ": ").getItem(0).alias("metric"),
+                        rnd(F.split("value", ": ").getItem(1).cast("double")).alias("value"))
 
 
 def q_write_metrics(spark, sf):
