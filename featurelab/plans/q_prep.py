@@ -242,6 +242,18 @@ def q_align_modalities(spark, sf):
         "pos", "images_path", "latents_path", "tokens_path")
 
 
+def q_align_by_stem(spark, sf):
+    """J1 keyed mode: artifacts joined on the 8-digit index stem, so a missing
+    latent leaves a gap instead of shifting every later pair."""
+    d = fx.table(spark, sf, "documents")
+    stem = P.index_string("doc_id").alias("stem")
+    src = {"images": fx.image_paths(spark, sf).select(P.index_string("doc_id").alias("stem"), "path"),
+           "latents": d.where(F.pmod("doc_id", F.lit(13)) != 0).select(
+               stem, P.artifact_path("doc_id", "latents").alias("path")),
+           "tokens": d.select(stem, P.artifact_path("doc_id", "cls").alias("path"))}
+    return A.align_by_stem(src, "stem", how="full").select("stem", "images_path", "latents_path", "tokens_path")
+
+
 def q_count_parity(spark, sf):
     return A.count_parity(_modalities(spark, sf))
 
@@ -366,6 +378,7 @@ QUERIES = {
     "paths_feature_set": q_feature_set,
     "align_missing_siblings": q_missing_siblings,
     "align_modalities": q_align_modalities,
+    "align_by_stem": q_align_by_stem,
     "align_count_parity": q_count_parity,
     "align_stems_missing": q_stems_missing,
     "align_merge_by_name": q_merge_by_name,
@@ -526,6 +539,10 @@ WHERE doc_id % 11 = 0""",
     "align_modalities": f"""WITH {_MODS}
 SELECT coalesce(img.pos, lat.pos, tok.pos) AS pos, images_path, latents_path, tokens_path
 FROM img FULL OUTER JOIN lat ON img.pos = lat.pos FULL OUTER JOIN tok ON coalesce(img.pos, lat.pos) = tok.pos""",
+    "align_by_stem": f"""SELECT printf('%08d', d.doc_id) AS stem, i.path AS images_path,
+  CASE WHEN d.doc_id % 13 <> 0 THEN {_art('d.doc_id', 'img-mean-std-%s.npy')} END AS latents_path,
+  {_art('d.doc_id', 'img-dinov3-%s_cls.npy')} AS tokens_path
+FROM documents d JOIN ({fx.IMAGE_PATHS_SQL}) i ON i.doc_id = d.doc_id""",
     "align_count_parity": """SELECT 'images' AS source, count(*) AS n FROM documents
 UNION ALL SELECT 'latents', count(*) FROM documents WHERE doc_id % 13 <> 0
 UNION ALL SELECT 'tokens', count(*) FROM documents""",
