@@ -183,9 +183,13 @@ def from_spark_image(col: str = "image"):
     return swap
 
 
-def read_images(spark, paths, key_col: str = "path") -> DataFrame:
-    """Decode image files with Spark's ``image`` source; RGB struct + origin path."""
-    raw = spark.read.format("image").option("dropInvalid", True).load(paths)
+def read_images(spark, paths, key_col: str = "path", recursive: bool = False) -> DataFrame:
+    """Decode image files with Spark's ``image`` source; RGB struct + origin path.
+    Files that do not decode (manifests, text) are dropped."""
+    reader = spark.read.format("image").option("dropInvalid", True)
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    raw = reader.load(paths)
     base = raw.select(F.col("image.origin").alias(key_col),
                       F.struct(F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                                F.col("image.nChannels").alias("nChannels"), F.col("image.data").alias("data"))

@@ -60,6 +60,20 @@ def _byte_sum_impl(s):
     return pd.Series([int(np.frombuffer(b, dtype=np.uint8).sum(dtype=np.int64)) for b in s], dtype="int64")
 
 
+def q_convert_dataset(spark, sf):
+    """The whole conversion flow (scan, folder labels, decode, box-halve to 4 x 4,
+    uniform check, PNG files under 5-digit prefixes, manifest); the written
+    files are decoded again and summed."""
+    from .prepare import convert_dataset
+    src = MZ.write_image_folder(spark, sf)
+    dest = MZ.fresh_folder(spark, "converted")
+    labelled = convert_dataset(spark, src, dest, "center-crop-dhariwal", 4, 4)
+    back = IM.read_images(spark, dest, "path", recursive=True).select(
+        F.regexp_extract("path", r"(\d{5}/img\d{8}\.png)$", 1).alias("archive_path"),
+        _pixel_sum(F.col("image.data")).alias("pixel_sum"))
+    return labelled.join(back, "archive_path").select("archive_path", "label", "pixel_sum")
+
+
 def q_transform_box(spark, sf):
     """G5 (dhariwal path: one 2x box halving of 8x8 to 4x4), checked per image sum."""
     root = MZ.write_image_folder(spark, sf)
@@ -256,6 +270,7 @@ def q_stream_images(spark, sf):
 
 
 QUERIES = {
+    "io_convert_dataset": q_convert_dataset,
     "io_stream_images": q_stream_images,
     "io_scan_images": q_scan_images,
     "io_scan_images_manifest": q_scan_images_manifest,
@@ -286,6 +301,18 @@ QUERIES = {
 _PX = "list_transform(CAST(embedding AS DOUBLE[]), lambda v: CAST(floor((v + 1.0) * 127.5) AS BIGINT))"
 
 ORACLES = {
+    "io_convert_dataset": f"""WITH p AS (SELECT vec_id, label, {_PX} AS px,
+    'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel FROM embeddings),
+i AS (SELECT *, row_number() OVER (ORDER BY rel) - 1 AS idx FROM p),
+c AS (SELECT top, CAST(row_number() OVER (ORDER BY top) - 1 AS INTEGER) AS cls
+      FROM (SELECT DISTINCT 'class_' || CAST(label AS VARCHAR) AS top FROM embeddings)),
+b AS (SELECT idx, yy, xx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*xx + 2]
+                     + px[(2*yy+1)*8 + 2*xx + 1] + px[(2*yy+1)*8 + 2*xx + 2]) / 4.0, 0) AS v
+      FROM i, range(0, 4) r(yy), range(0, 4) s(xx)),
+t AS (SELECT idx, CAST(3 * sum(v) AS BIGINT) AS pixel_sum FROM b GROUP BY idx)
+SELECT substr(printf('%08d', i.idx), 1, 5) || '/img' || printf('%08d', i.idx) || '.png' AS archive_path,
+       c.cls AS label, t.pixel_sum
+FROM i JOIN t USING (idx) JOIN c ON c.top = 'class_' || CAST(i.label AS VARCHAR)""",
     "io_stream_images": f"""WITH p AS (SELECT vec_id AS idx, {_PX} AS px FROM embeddings),
 b AS (SELECT idx, yy, xx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*xx + 2]
                      + px[(2*yy+1)*8 + 2*xx + 1] + px[(2*yy+1)*8 + 2*xx + 2]) / 4.0, 0) AS v

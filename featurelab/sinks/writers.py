@@ -84,3 +84,30 @@ def write_eval_report(spark: SparkSession, numbers: dict, dest: str) -> None:
 def write_metrics(df: DataFrame, dest: str, run: str) -> None:
     """Append step metrics, partitioned by run."""
     df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(dest)
+
+
+def write_image_files(df: DataFrame, dest: str, idx_col: str = "idx", image_col: str = "image") -> DataFrame:
+    """O1 as files: each image becomes ``dest/<first 5 digits>/img<8 digits>.png``
+    (uncompressed PNG), written by the task holding it.  Names are a function
+    of the index, so a retried task overwrites its own files.  Needs ``dest``
+    mounted on the executors (POSIX path).  Returns ``(idx, archive_path)``."""
+    import os
+
+    import pandas as pd
+
+    root = dest[len("file:"):] if dest.startswith("file:") else dest
+
+    def write(batches):
+        for pdf in batches:
+            paths = []
+            for idx, im in zip(pdf[idx_col], pdf[image_col]):
+                s = f"{int(idx):08d}"
+                rel = f"{s[:5]}/img{s}.png"
+                os.makedirs(os.path.join(root, s[:5]), exist_ok=True)
+                with open(os.path.join(root, rel), "wb") as fh:
+                    fh.write(png_bytes(bytes(im["data"]), im["width"], im["height"], im["nChannels"]))
+                paths.append(rel)
+            yield pd.DataFrame({idx_col: pdf[idx_col].values, "archive_path": paths})
+
+    key_type = df.schema[idx_col].dataType.simpleString()
+    return df.select(idx_col, image_col).mapInPandas(write, f"{idx_col} {key_type}, archive_path string")
