@@ -101,3 +101,14 @@ def pixel_sum_encoder() -> Callable:
     def make():
         return lambda x: x.reshape(x.shape[0], -1).sum(axis=1, dtype=np.int64)[:, None].astype(np.float64)
     return make
+
+
+def channel_moments_encoder() -> Callable:
+    """A stand-in encoder for checks: per-channel mean then per-channel population
+    std of each image (``2C`` values, the packed mean/std layout)."""
+    def make():
+        def enc(x):
+            f = x.astype(np.float64).reshape(x.shape[0], -1, x.shape[-1])
+            return np.concatenate([f.mean(axis=1), f.std(axis=1)], axis=1)
+        return enc
+    return make

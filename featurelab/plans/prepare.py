@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators.images import drop_failed, read_images, transform_images
 from ..operators.labels import assert_uniform_square
-from ..sinks.writers import write_image_files, write_manifest
+from ..operators.scoring import encode_images
+from ..sinks.writers import write_array_files, write_image_files, write_manifest
+from ..operators.labels import read_label_manifest
 from ..sources.files import scan_images
 
 
@@ -35,3 +37,21 @@ def convert_dataset(spark: SparkSession, source: str, dest: str, transform: str
     labelled = written.join(rows.select("idx", "label"), "idx")
     write_manifest(labelled, dest.rstrip("/") + "/dataset.json", single_document=True)
     return labelled
+
+
+def encode_dataset(spark: SparkSession, converted: str, dest: str, make_encoder, dim: int,
+                   kind: str = "latents", shape: tuple | None = None) -> DataFrame:
+    """Encode a converted folder: decode its PNGs, run the user encoder (N1) in
+    Arrow batches, write ``<prefix>/img-mean-std-<idx>.npy`` (or token files),
+    and carry the labels of the converted manifest into ``dest/dataset.json``.
+    Returns ``(idx, artifact_path, label)``."""
+    imgs = read_images(spark, converted, "path", recursive=True)
+    keyed = imgs.select(F.regexp_extract("path", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "image")
+    feats = encode_images(keyed, make_encoder, "idx", dim)
+    written = write_array_files(feats, dest, kind, "idx", "features", shape)
+    labels = read_label_manifest(spark, converted.rstrip("/") + "/dataset.json").select(
+        F.regexp_extract("name", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "label")
+    out = written.join(labels, "idx", "left")
+    write_manifest(out.withColumnRenamed("artifact_path", "archive_path"), dest.rstrip("/") + "/dataset.json",
+                   single_document=True)
+    return out

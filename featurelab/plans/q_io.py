@@ -74,6 +74,21 @@ def q_convert_dataset(spark, sf):
     return labelled.join(back, "archive_path").select("archive_path", "label", "pixel_sum")
 
 
+def q_encode_dataset(spark, sf):
+    """The encoding flow after conversion: channel mean/std per image written as
+    ``img-mean-std-<idx>.npy`` files, read back through the array ingest (S5)."""
+    from .prepare import convert_dataset, encode_dataset
+    src = MZ.write_image_folder(spark, sf)
+    conv = MZ.fresh_folder(spark, "converted")
+    convert_dataset(spark, src, conv, "center-crop-dhariwal", 4, 4)
+    enc = MZ.fresh_folder(spark, "encoded")
+    encode_dataset(spark, conv, enc, SC.channel_moments_encoder(), 6)
+    back = S.ingest_arrays(spark, enc + "/*/*.npy")
+    return back.select(F.regexp_extract("path", r"img-mean-std-(\d{8})\.npy$", 1).cast("bigint").alias("idx"),
+                       rnd(F.element_at("values", 1), 4).alias("mean_r"),
+                       rnd(F.element_at("values", 4), 4).alias("std_r"), F.size("values").alias("n"))
+
+
 def q_transform_box(spark, sf):
     """G5 (dhariwal path: one 2x box halving of 8x8 to 4x4), checked per image sum."""
     root = MZ.write_image_folder(spark, sf)
@@ -271,6 +286,7 @@ def q_stream_images(spark, sf):
 
 QUERIES = {
     "io_convert_dataset": q_convert_dataset,
+    "io_encode_dataset": q_encode_dataset,
     "io_stream_images": q_stream_images,
     "io_scan_images": q_scan_images,
     "io_scan_images_manifest": q_scan_images_manifest,
@@ -313,6 +329,15 @@ t AS (SELECT idx, CAST(3 * sum(v) AS BIGINT) AS pixel_sum FROM b GROUP BY idx)
 SELECT substr(printf('%08d', i.idx), 1, 5) || '/img' || printf('%08d', i.idx) || '.png' AS archive_path,
        c.cls AS label, t.pixel_sum
 FROM i JOIN t USING (idx) JOIN c ON c.top = 'class_' || CAST(i.label AS VARCHAR)""",
+    "io_encode_dataset": f"""WITH p AS (SELECT vec_id, {_PX} AS px,
+    'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel FROM embeddings),
+i AS (SELECT *, row_number() OVER (ORDER BY rel) - 1 AS idx FROM p),
+b AS (SELECT idx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*xx + 2]
+                     + px[(2*yy+1)*8 + 2*xx + 1] + px[(2*yy+1)*8 + 2*xx + 2]) / 4.0, 0) AS v
+      FROM i, range(0, 4) r(yy), range(0, 4) s(xx))
+SELECT idx, round0(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 4) AS mean_r,
+       round0(CAST(CAST(stddev_pop(v) AS FLOAT) AS DOUBLE), 4) AS std_r, 6 AS n
+FROM b GROUP BY idx""",
     "io_stream_images": f"""WITH p AS (SELECT vec_id AS idx, {_PX} AS px FROM embeddings),
 b AS (SELECT idx, yy, xx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*xx + 2]
                      + px[(2*yy+1)*8 + 2*xx + 1] + px[(2*yy+1)*8 + 2*xx + 2]) / 4.0, 0) AS v

@@ -111,3 +111,41 @@ def write_image_files(df: DataFrame, dest: str, idx_col: str = "idx", image_col:
 
     key_type = df.schema[idx_col].dataType.simpleString()
     return df.select(idx_col, image_col).mapInPandas(write, f"{idx_col} {key_type}, archive_path string")
+
+
+def write_array_files(df: DataFrame, dest: str, kind: str = "latents", idx_col: str = "idx",
+                      values_col: str = "features", shape: tuple | None = None,
+                      dtype: str = "float32") -> DataFrame:
+    """Per-row ``.npy`` artifacts named by the index (``artifact_path`` kinds
+    ``latents``, ``cls``, ``patches``), written by the task holding the row;
+    deterministic names make retries overwrite.  Returns ``(idx, artifact_path)``."""
+    import io as _io
+    import os
+
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.paths import ARTIFACT_FORMATS
+
+    root = dest[len("file:"):] if dest.startswith("file:") else dest
+    fmt = ARTIFACT_FORMATS[kind]
+
+    def write(batches):
+        for pdf in batches:
+            paths = []
+            for idx, vals in zip(pdf[idx_col], pdf[values_col]):
+                s = f"{int(idx):08d}"
+                rel = f"{s[:5]}/" + (fmt % s)
+                os.makedirs(os.path.join(root, s[:5]), exist_ok=True)
+                arr = np.asarray(vals, dtype=dtype)
+                if shape is not None:
+                    arr = arr.reshape(shape)
+                buf = _io.BytesIO()
+                np.save(buf, arr)
+                with open(os.path.join(root, rel), "wb") as fh:
+                    fh.write(buf.getvalue())
+                paths.append(rel)
+            yield pd.DataFrame({idx_col: pdf[idx_col].values, "artifact_path": paths})
+
+    key_type = df.schema[idx_col].dataType.simpleString()
+    return df.select(idx_col, values_col).mapInPandas(write, f"{idx_col} {key_type}, artifact_path string")
