@@ -55,3 +55,21 @@ def encode_dataset(spark: SparkSession, converted: str, dest: str, make_encoder,
     write_manifest(out.withColumnRenamed("artifact_path", "archive_path"), dest.rstrip("/") + "/dataset.json",
                    single_document=True)
     return out
+
+
+def encode_tokens_dataset(spark: SparkSession, converted: str, dest: str, make_encoder, tokens: int,
+                          width: int, registers: int = 4) -> DataFrame:
+    """Token encoding: the encoder returns hidden states ``[1 + R + N, D]`` per image
+    (flattened); the class token (V4: ``h[0]``) goes to ``..._cls.npy`` and the
+    patch tokens (``h[1 + R:]``) to ``..._patches.npy``, register tokens dropped.
+    Returns ``(idx, cls_path, patches_path)``."""
+    imgs = read_images(spark, converted, "path", recursive=True)
+    keyed = imgs.select(F.regexp_extract("path", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "image")
+    hidden = encode_images(keyed, make_encoder, "idx", tokens * width)
+    split = hidden.select("idx", F.slice("features", 1, width).alias("cls"),
+                          F.slice("features", (1 + registers) * width + 1, (tokens - 1 - registers) * width)
+                          .alias("patches"))
+    cls = write_array_files(split, dest, "cls", "idx", "cls").withColumnRenamed("artifact_path", "cls_path")
+    pat = write_array_files(split, dest, "patches", "idx", "patches",
+                            shape=(tokens - 1 - registers, width)).withColumnRenamed("artifact_path", "patches_path")
+    return cls.join(pat, "idx")

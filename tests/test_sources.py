@@ -124,3 +124,28 @@ def test_load_npz_stats_and_fallback(spark, tmp_path):
     assert sp.mu.shape == (4,)
     missing = S.load_or_compute_stats(f, str(tmp_path / "none.npz"))  # absent: computed
     np.testing.assert_allclose(missing.mu, st.mu, atol=1e-12)
+
+
+def test_encode_tokens_flow(spark, tmp_path):
+    from featurelab.operators.align import missing_siblings
+    from featurelab.plans.prepare import convert_dataset, encode_tokens_dataset
+    for i, rel in enumerate(("a/1.png", "a/2.png", "b/3.png")):
+        p = tmp_path / "src" / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(W.png_bytes(bytes([10 * (i + 1)]) * (8 * 8 * 3), 8, 8, 3))
+    conv = tmp_path / "conv"
+    convert_dataset(spark, str(tmp_path / "src"), str(conv), "center-crop-dhariwal", 4, 4)
+    T, D_ = 1 + 4 + 3, 2  # class + 4 registers + 3 patches, width 2
+
+    def make():
+        return lambda x: np.repeat(x.reshape(x.shape[0], -1).mean(axis=1)[:, None], T * D_, axis=1) \
+            + np.arange(T * D_)[None, :]
+    out = encode_tokens_dataset(spark, str(conv), str(tmp_path / "tok"), make, T, D_).orderBy("idx").collect()
+    assert [r["cls_path"] for r in out] == [f"00000/img-dinov3-0000000{i}_cls.npy" for i in range(3)]
+    cls0 = np.load(tmp_path / "tok" / out[0]["cls_path"])
+    patches0 = np.load(tmp_path / "tok" / out[0]["patches_path"])
+    assert cls0.tolist() == [10.0, 11.0] and patches0.shape == (3, 2)
+    assert patches0[0].tolist() == [10.0 + 10, 10.0 + 11]  # first patch token follows the 4 registers
+    listing = S.list_files(spark, str(tmp_path / "tok"))
+    assert missing_siblings(listing.select(F.col("rel_path").alias("path")),
+                            listing.select(F.col("rel_path").alias("path"))).count() == 0
