@@ -141,7 +141,7 @@ def _blocks_for(df: DataFrame, block_rows: int | None, n_rows: int | None) -> tu
 def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=(3,),
               block_rows: int | None = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
               set_col: str | None = None, counts: dict | None = None,
-              n_blocks: int | None = None) -> DataFrame:
+              n_blocks: int | None = None, dim: int | None = None) -> DataFrame:
     """K1: squared distance to the k-th neighbour of every row, for each k in ``ks``.
 
     Position 0 of a row's sorted distance list is the row itself, so position
@@ -168,8 +168,9 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
         per_set = {k_: count_blocks(v, block_rows) for k_, v in counts.items()}
     else:
         from ..session import default_parallelism
-        row = feats.select(F.size("f").alias("d")).where(F.col("d").isNotNull()).first()
-        dim = int(row["d"]) if row else 1
+        if dim is None:
+            row = feats.select(F.size("f").alias("d")).where(F.col("d").isNotNull()).first()
+            dim = int(row["d"]) if row else 1
         slots = default_parallelism(df.sparkSession)
         per_set = {k_: auto_blocks(v, dim, slots) for k_, v in counts.items()}
     # each set gets its own block count (a small set next to a large one stays in few blocks)
@@ -315,7 +316,7 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
 
     def blocks(n):
         return count_blocks(n, block_rows) if block_rows else auto_blocks(n, dim, slots)
-    radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side", counts=counts)
+    radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side", counts=counts, dim=dim)
     # both sides read the radii: stage them once (N x (id, radius), small next to
     # the features) so the blocked k-NN job runs once, and survives lost executors
     from ..session import ensure_checkpoint_dir
