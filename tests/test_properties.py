@@ -70,3 +70,54 @@ def test_fnmatch_regex(spark, names, pattern):
     rx = P.fnmatch_regex(pattern)
     got = [r[0] for r in df.select(df.n.rlike(rx)).collect()]
     assert got == [fnmatch.fnmatchcase(n, pattern) for n in names]
+
+
+def test_generation_manifest_matches_rank_simulation(spark):
+    from featurelab.operators.sampling import generation_manifest
+    num, world, batch, seed = 50, 3, 4, 7
+    got = generation_manifest(spark, num, world, batch, seed, 1000).toPandas()
+    want = []
+    total, done = 0, 0
+    need = -(-num // (world * batch)) * world * batch
+    while done < need:  # every rank writes one batch per iteration
+        for rank in range(world):
+            for i in range(batch):
+                idx = i * world + rank + done
+                if idx < num:
+                    want.append((idx, rank, seed * world + rank))
+        done += world * batch
+    assert sorted(zip(got["index"], got["rank"], got["rank_seed"])) == sorted(want)
+    assert sorted(got["index"]) == list(range(num))
+
+
+def test_time_schedule_shape(spark):
+    from featurelab.operators.sampling import time_schedule
+    s = time_schedule(spark, 5, cfg_scale=2.0, lo=0.0, hi=0.5).toPandas().sort_values("i")
+    np.testing.assert_allclose(s["t"], np.linspace(1.0, 0.04, 5))
+    np.testing.assert_allclose(s["t_next"], list(np.linspace(1.0, 0.04, 5)[1:]) + [0.0])
+    assert s["noisy"].tolist() == [True, True, True, True, False]
+    assert s["guided"].tolist() == [t <= 0.5 for t in np.linspace(1.0, 0.04, 5)]
+
+
+@SETTINGS
+@given(st.lists(st.integers(0, 10**9), min_size=1, max_size=100))
+def test_artifact_and_checkpoint_names(spark, idxs):
+    df = spark.createDataFrame([(i,) for i in idxs], "i long")
+    got = df.select(P.artifact_path("i", "latents").alias("a"), P.artifact_path("i", "cls").alias("c"),
+                    P.checkpoint_name("i").alias("k")).collect()
+    for i, r in zip(idxs, got):
+        s = f"{i:08d}"
+        assert r["a"] == f"{s[:5]}/img-mean-std-{s}.npy"
+        assert r["c"] == f"{s[:5]}/img-dinov3-{s}_cls.npy"
+        assert r["k"] == f"{i:07d}.pt"
+
+
+@SETTINGS
+@given(st.lists(st.from_regex(r"([a-z]{1,3}/){0,2}[a-z]{1,3}(\.[a-zA-Z]{1,4})?", fullmatch=True),
+                min_size=1, max_size=100))
+def test_top_dir_and_extension(spark, paths):
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = df.select(P.top_dir("p").alias("t"), P.file_ext("p").alias("e")).collect()
+    for p, r in zip(paths, got):
+        assert r["t"] == (p.split("/")[0] if "/" in p else "")
+        assert r["e"] == p.split(".")[-1]
