@@ -291,3 +291,47 @@ def test_consistency_assertions(spark):
     with pytest.raises(AssertionError):
         A.assert_replicas_consistent(rep2)
     A.assert_replicas_consistent(rep2, ignore_regex="u")
+
+
+def test_microstep_rollup_matches_loop(spark):
+    rng = np.random.default_rng(3)
+    n = 300
+    pdf = pd.DataFrame({"seq": np.arange(n), "is_sync": rng.random(n) < 0.3,
+                        "fwd": rng.random(n), "ema": rng.random(n)})
+    pdf.loc[n - 1, "is_sync"] = False  # trailing micro-steps never close a step
+    want, acc_f, acc_e, k = [], 0.0, 0.0, 0
+    for f_, e_, s_ in zip(pdf["fwd"], pdf["ema"], pdf["is_sync"]):
+        acc_f += f_
+        k += 1
+        if s_:
+            acc_e += e_
+            want.append((k, acc_f, acc_e))
+            acc_f, acc_e, k = 0.0, 0.0, 0
+    got = M.microstep_rollup(spark.createDataFrame(pdf), ["seq"], "is_sync", ["fwd"], ["ema"]).toPandas()
+    got = got.sort_values("step")
+    assert got["step"].tolist() == list(range(1, len(want) + 1))
+    np.testing.assert_allclose(got[["n_micro", "fwd", "ema"]].to_numpy(), np.array(want), rtol=1e-12)
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_moments_delta_matches_collector(spark, keep):
+    # cumulative snapshots of two names; "b" gets no reports at update 2
+    per = {("a", 0): (2, 3.0, 5.0), ("b", 0): (1, 2.0, 4.0), ("a", 1): (1, 1.0, 1.0), ("b", 1): (2, 6.0, 20.0),
+           ("a", 2): (3, 6.0, 14.0), ("b", 2): (0, 0.0, 0.0)}
+    rows, cum = [], {}
+    for u in range(3):
+        for nm in ("a", "b"):
+            c = cum.get(nm, (0, 0.0, 0.0))
+            d = per[(nm, u)]
+            cum[nm] = (c[0] + d[0], c[1] + d[1], c[2] + d[2])
+            rows.append((u, nm) + cum[nm])
+    snaps = spark.createDataFrame(rows, "update long, name string, num long, sum double, sumsq double")
+    got = {(r["update"], r["name"]): (r["num"], r["sum"]) for r in M.moments_delta(snaps, keep).collect()}
+    last = {}
+    for u in range(3):
+        for nm in ("a", "b"):
+            d = per[(nm, u)]
+            if d[0] != 0:
+                last[nm] = d
+            want = (d[0], d[1]) if d[0] != 0 else ((last[nm][0], last[nm][1]) if keep else (0, 0.0))
+            assert got[(u, nm)] == want
