@@ -121,3 +121,31 @@ def test_top_dir_and_extension(spark, paths):
     for p, r in zip(paths, got):
         assert r["t"] == (p.split("/")[0] if "/" in p else "")
         assert r["e"] == p.split(".")[-1]
+
+
+def _u(*parts) -> float:
+    import hashlib
+    return int(hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()[:8], 16) / 2 ** 32
+
+
+def test_epoch_batches_and_sampler_match_python(spark):
+    from featurelab.operators.sampling import epoch_batches, infinite_sampler
+    ids = list(range(0, 137, 2))  # 69 non-dense ids
+    df = spark.createDataFrame([(i,) for i in ids], "i long")
+    seed, epoch, batch = 11, 4, 8
+    order = sorted(ids, key=lambda i: (_u(seed, epoch, i), i))
+    keep = (len(ids) // batch) * batch
+    got = epoch_batches(df, "i", batch, seed, epoch).toPandas().sort_values(["batch_id", "slot"])
+    assert got["i"].tolist() == order[:keep]
+    rank, replicas, start, steps = 2, 3, 50, 40
+    n = len(ids)
+    perms = {}
+    want = []
+    for j in range(steps):
+        idx = start + rank + j * replicas
+        e = idx // n
+        if e not in perms:
+            perms[e] = sorted(ids, key=lambda i: (_u(seed, e, i), i))
+        want.append(perms[e][idx % n])
+    s = infinite_sampler(df, "i", rank, replicas, seed, start, steps).toPandas().sort_values("j")
+    assert s["i"].tolist() == want
