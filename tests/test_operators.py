@@ -335,3 +335,13 @@ def test_moments_delta_matches_collector(spark, keep):
                 last[nm] = d
             want = (d[0], d[1]) if d[0] != 0 else ((last[nm][0], last[nm][1]) if keep else (0, 0.0))
             assert got[(u, nm)] == want
+
+
+def test_wide_crop_canvas(spark):
+    img = np.full((8, 16, 3), 200, dtype=np.uint8)  # h=8, w=16
+    df = spark.createDataFrame([(0, {"height": 8, "width": 16, "nChannels": 3, "data": img.tobytes()})],
+                               f"idx long, image {IM.IMAGE_STRUCT}")
+    r = IM.transform_images(df, "center-crop-wide", 8, 4).first()
+    assert r["error"] is None and (r["image"]["height"], r["image"]["width"]) == (8, 8)
+    out = np.frombuffer(r["image"]["data"], dtype=np.uint8).reshape(8, 8, 3)
+    assert (out[:2] == 0).all() and (out[6:] == 0).all() and (out[2:6] == 200).all()
