@@ -89,6 +89,23 @@ def q_encode_dataset(spark, sf):
                        rnd(F.element_at("values", 4), 4).alias("std_r"), F.size("values").alias("n"))
 
 
+def q_sample_batches(spark, sf):
+    """Generation output: decoder values (the embedding) quantised to uint8 pixels
+    (G8, truncating form), packed as sharded ``.npz`` sample batches and read
+    back with the batch reader (S6)."""
+    from ..functions import images as G
+    e = fx.table(spark, sf, "embeddings")
+    px = G.quantize_pixels(F.col("embedding"), "truncate")
+    rgb = F.flatten(F.transform(px, lambda v: F.array(v, v, v)))
+    samples = e.select(F.col("vec_id").alias("index"), rgb.alias("pixels"))
+    dest = MZ.fresh_folder(spark, "samples")
+    W.write_array_batches(samples, dest, shape=(8, 8, 3), rows_per_file=64).collect()
+    back = S.ingest_array_batches(spark, dest, "arr_0", batch_size=32)
+    first = F.regexp_extract("path", r"samples-(\d+)\.npz$", 1).cast("bigint")
+    return back.select((first + F.col("row")).alias("index"),
+                       F.aggregate("values", F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("pixel_sum"))
+
+
 def q_transform_box(spark, sf):
     """G5 (dhariwal path: one 2x box halving of 8x8 to 4x4), checked per image sum."""
     root = MZ.write_image_folder(spark, sf)
@@ -285,6 +302,7 @@ def q_stream_images(spark, sf):
 
 
 QUERIES = {
+    "io_sample_batches": q_sample_batches,
     "io_convert_dataset": q_convert_dataset,
     "io_encode_dataset": q_encode_dataset,
     "io_stream_images": q_stream_images,
@@ -317,6 +335,10 @@ QUERIES = {
 _PX = "list_transform(CAST(embedding AS DOUBLE[]), lambda v: CAST(floor((v + 1.0) * 127.5) AS BIGINT))"
 
 ORACLES = {
+    "io_sample_batches": """SELECT vec_id AS "index",
+  CAST(3 * list_sum(list_transform(CAST(embedding AS DOUBLE[]),
+       lambda v: floor(least(greatest((v + 1.0) / 2.0 * 255.0, 0.0), 255.0)))) AS BIGINT) AS pixel_sum
+FROM embeddings""",
     "io_convert_dataset": f"""WITH p AS (SELECT vec_id, label, {_PX} AS px,
     'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel FROM embeddings),
 i AS (SELECT *, row_number() OVER (ORDER BY rel) - 1 AS idx FROM p),

@@ -149,3 +149,53 @@ def write_array_files(df: DataFrame, dest: str, kind: str = "latents", idx_col:
 
     key_type = df.schema[idx_col].dataType.simpleString()
     return df.select(idx_col, values_col).mapInPandas(write, f"{idx_col} {key_type}, artifact_path string")
+
+
+def write_array_batches(df: DataFrame, dest: str, idx_col: str = "index", values_col: str = "pixels",
+                        shape: tuple = (8, 8, 3), member: str = "arr_0", rows_per_file: int = 1024,
+                        dtype: str = "uint8") -> DataFrame:
+    """The sample batch as ``.npz`` shards: rows of a task, in index order, are
+    stacked into ``member`` (``[n, *shape]``) in files of at most
+    ``rows_per_file`` rows named by their first index (retries overwrite).
+    The inverse of :func:`featurelab.sources.files.ingest_array_batches`; no
+    task ever holds more than one shard.  Returns ``(file, first_index, rows)``."""
+    import io as _io
+    import os
+
+    import numpy as np
+    import pandas as pd
+
+    root = dest[len("file:"):] if dest.startswith("file:") else dest
+
+    def write(batches):
+        rows, index = [], []
+
+        def flush():
+            if not rows:
+                return None
+            name = f"samples-{int(index[0]):09d}.npz"
+            buf = _io.BytesIO()
+            np.savez(buf, **{member: np.stack(rows).astype(dtype).reshape((len(rows),) + tuple(shape))})
+            os.makedirs(root, exist_ok=True)
+            with open(os.path.join(root, name), "wb") as fh:
+                fh.write(buf.getvalue())
+            out = (name, int(index[0]), len(rows))
+            rows.clear()
+            index.clear()
+            return out
+
+        done = []
+        for pdf in batches:
+            for i, v in zip(pdf[idx_col], pdf[values_col]):
+                rows.append(np.asarray(v))
+                index.append(i)
+                if len(rows) >= rows_per_file:
+                    done.append(flush())
+        last = flush()
+        if last:
+            done.append(last)
+        if done:
+            yield pd.DataFrame(done, columns=["file", "first_index", "rows"])
+
+    ordered = df.select(idx_col, values_col).repartitionByRange(F.col(idx_col)).sortWithinPartitions(idx_col)
+    return ordered.mapInPandas(write, "file string, first_index long, rows long")
