@@ -27,12 +27,13 @@ def _norm(v):
 
 
 def _assert_no_pair_joins(df):
-    """No registered query may form all pairs: no cartesian or nested-loop joins."""
+    """No registered query may form all pairs (cartesian or nested-loop joins) or
+    run row-at-a-time Python UDFs (only Arrow-batched pandas stages)."""
     buf = io.StringIO()
     with contextlib.redirect_stdout(buf):
         df.explain()
     plan = buf.getvalue()
-    for op in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+    for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert op not in plan, op
 
 
