@@ -49,3 +49,28 @@ def test_step_logs_drop_late_ranks(spark, tmp_path):
     assert 10 not in out.index                      # late: the watermark is 200 - 5
     assert out.loc[199, "n_ranks"] == 2 and out.loc[199, "mean"] == 2.0
     assert out.loc[150, "n_ranks"] == 1
+
+
+def test_window_moments_append_closes_windows(spark, tmp_path):
+    """Append mode emits a day's moments only after the watermark passes it."""
+    import datetime as dt
+    src = tmp_path / "src"
+    schema = "ts timestamp, name string, value double"
+    day = lambda d, h: dt.datetime(2024, 1, d, h)
+    spark.createDataFrame([(day(1, 1), "loss", 1.0), (day(1, 5), "loss", 3.0), (day(2, 1), "loss", 5.0)], schema) \
+        .coalesce(1).write.parquet(str(src / "a"))
+    out = tmp_path / "out"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+        agg = ST.stream_window_moments(stream, "ts", "1 day", "1 day")
+        q = (agg.select("window.start", "name", "num", "sum").writeStream.outputMode("append")
+             .format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "ck"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return {(r["start"].day, r["num"], r["sum"]) for r in spark.read.parquet(str(out)).collect()}
+
+    run()  # watermark reaches day 1 only: no window is complete yet
+    spark.createDataFrame([(day(5, 1), "loss", 7.0)], schema).coalesce(1).write.parquet(str(src / "b"))
+    got = run()  # the watermark moves to day 4: days 1 and 2 are final
+    assert got == {(1, 2, 4.0), (2, 1, 5.0)}
