@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality, toxicity
+from . import decontam, html, langid, packing, quality, toxicity
 from .common import table
 
 
@@ -41,11 +41,22 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 _OP3_SQL = r"""
