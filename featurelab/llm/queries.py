@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, near_dedup, packing, quality, substring_dedup, toxicity
+from . import chat, decontam, html, langid, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -49,6 +49,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), ("source", "lang", "text"), "majority")
+
+
+#: the tool that op8 reads the conversations' exchanges as calls of
+REPLY_TOOL = {"reply": {"properties": {"n_chars": "integer", "request": "string"}, "required": ["n_chars", "request"]}}
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn is a call of the tool ``reply``, the assistant turn after it its result."""
+    c = table(spark, sf_dir, "conversations")
+    ident = F.concat(F.col("conv_id").cast("string"), F.lit(":"))
+    user, assistant = (F.coalesce(F.col("role") == r, F.lit(False)) for r in ("user", "assistant"))
+    calls = c.where(user).select(
+        "conv_id", "turn", F.concat(ident, F.col("turn").cast("string")).alias("call_id"), F.lit("reply").alias("name"),
+        F.to_json(F.struct(F.col("text").alias("request"), F.length("text").alias("n_chars"))).alias("arguments"))
+    results = c.where(assistant).select(
+        "conv_id", "turn", F.concat(ident, (F.col("turn") - 1).cast("string")).alias("call_id"), "text")
+    return chat.link_tool_calls(c.where(~user & ~assistant), calls, results, REPLY_TOOL)
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html.extract(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
@@ -65,6 +86,8 @@ QUERIES = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_token_counts": op7_token_counts,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -129,7 +152,34 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+_OP8_SQL = r"""
+WITH calls AS (
+  SELECT conv_id, turn, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id FROM conversations WHERE role = 'user'),
+results AS (
+  SELECT conv_id, turn, text, conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id FROM conversations WHERE role = 'assistant'),
+hc AS (SELECT conv_id, call_id, count(*) AS n_calls, min(turn) AS call_turn FROM calls GROUP BY ALL),
+hr AS (SELECT conv_id, call_id, count(*) AS n_results FROM results GROUP BY ALL)
+SELECT conv_id, turn AS ord, 0::INTEGER AS level, 0::INTEGER AS step, turn, 'assistant' AS role, call_id,
+       CASE WHEN n_calls > 1 THEN 'ambiguous' WHEN text IS NULL THEN 'invalid: missing n_chars'
+            WHEN n_results > 0 THEN 'linked' ELSE 'unanswered' END AS status,
+       '{"role":"assistant","tool_calls":[{"arguments":'
+         || CASE WHEN text IS NULL THEN '{}' ELSE json_object('n_chars', length(text), 'request', text)::VARCHAR END
+         || ',' || substr(json_object('id', call_id, 'name', 'reply')::VARCHAR, 2) || ']}' AS message
+FROM calls LEFT JOIN hc USING (conv_id, call_id) LEFT JOIN hr USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, CASE WHEN n_calls = 1 THEN call_turn ELSE turn END, 0, 1, turn, 'tool', call_id,
+       CASE WHEN n_calls = 1 THEN 'linked' WHEN n_calls > 1 THEN 'ambiguous' ELSE 'orphan' END,
+       CASE WHEN text IS NULL THEN json_object('role', 'tool', 'tool_call_id', call_id)
+            ELSE json_object('content', text, 'role', 'tool', 'tool_call_id', call_id) END::VARCHAR
+FROM results LEFT JOIN hc USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, turn, 0, 0, turn, role, NULL, 'plain',
+       CASE WHEN text IS NULL THEN json_object('role', role) ELSE json_object('content', text, 'role', role) END::VARCHAR
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+"""
+
 ORACLES = {
+    "op8_chat_formatting": _OP8_SQL,
     "op6_decontamination": _OP6_SQL,
     "op3_quality_rules": _OP3_SQL,
 }
