@@ -227,3 +227,32 @@ def quality_rules(docs: DataFrame, rules: tuple[str, ...] | None = None, id_colu
                     names=["doc_id", *(c.split()[0] for c in _STATS.split(", ")), "base_failed", "kept", "failed_rule"])
 
     return src.mapInArrow(run, f"doc_id {id_type}, {_STATS}, base_failed boolean, kept boolean, failed_rule string")
+
+
+def keep_good(docs: DataFrame, rules: tuple[str, ...] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns.
+
+    Base and further rules form one cascade here, so a rejected document costs
+    only the rules up to the one that rejects it.
+    """
+    common.prepare(docs.sparkSession)
+    names = (*BASE_RULES, *(tuple(RULES) if rules is None else rules))
+    order = [p[0] for p in plan_cascade(docs, names, sample_rows)]
+    checks = {**BASE_RULES, **RULES}
+
+    def run(it):
+        for rb in it:
+            *columns, texts = rb.columns
+            keep = np.zeros(rb.num_rows, bool)
+            for i, _, raw, off in tx.utf8_chunks(texts):
+                live = Batch(raw, off)
+                alive = np.arange(live.n)
+                for name in order:
+                    if not len(alive):
+                        break
+                    bad = checks[name](live)
+                    alive, live = alive[~bad], live.take(~bad)
+                keep[i + alive] = True
+            yield pa.RecordBatch.from_arrays(columns, names=rb.schema.names[:-1]).filter(pa.array(keep))
+
+    return docs.select("*", F.col("text").cast("string").alias("_judged")).mapInArrow(run, docs.schema)

@@ -364,7 +364,7 @@ def _merge(runs: DataFrame) -> DataFrame:
 
 
 def _apply(texts: DataFrame, keep_text: bool) -> DataFrame:
-    """Cut the spans (``whole`` or ``spans``) out of each text."""
+    """Cut the spans (``whole`` or ``spans``) out of each text; ``doc_id`` may be of any type."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(it):
@@ -405,7 +405,10 @@ def _joined(spans) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text``) of every row."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (and ``kept_text``) of every row.
+
+    The id column may be a struct, which carries further columns along.
+    """
     spark = docs.sparkSession
     common.prepare(spark)
     src = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("did"),
