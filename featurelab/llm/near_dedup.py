@@ -5,13 +5,14 @@
    hashes.  Documents of equal sets form a class; only one row per class goes
    on, so copies cost nothing further.
 2. Inverted lists.  Two sets that are similar enough share at least ``c`` of
-   their sketch values, so they share one of the first ``|sketch| - c + 1``.
-   Only those are listed.  For sets below ``K`` this is exact; above, ``c`` lies
+   their sketch values, so in any common order they share one of the first
+   ``|sketch| - c + 1``.  Only those are listed; the order puts values of
+   crowded lists last.  For sets below ``K`` this is exact; above, ``c`` lies
    seven standard deviations below the mean of the hypergeometric law.
-3. A list longer than ``HOT`` (a passage or line that many documents hold) is
-   not paired up.  Its documents are listed again by the rarest shingles of
-   their whole sets - counted among these documents - under the exact prefix
-   bound, which puts the common passage last and so out of the lists.
+3. A list that is still longer than ``HOT`` (near copies of one document) is not
+   paired up.  Its documents are listed again by the rarest shingles of their
+   whole sets - counted among these documents - under the exact prefix and
+   position bounds, so documents too far from the common text leave the lists.
 4. Each list first proposes pairs with its hub (the member of the most common
    shingles).  Pairs pass the union-sketch estimate, then the exact Jaccard
    test on whole sets.  Connected components follow; then only pairs of one
@@ -44,6 +45,8 @@ K = 128
 HOT = 64
 #: up to so many ids (8 bytes each) a lookup of texts is a broadcast join, beyond it a shuffle join
 BROADCAST_IDS = 1_000_000
+#: at most so many crowded values (4 bytes each) are put last in the order of the lists; any choice of them is exact
+CROWDED = 1_000_000
 #: fixed part of a similarity threshold in percent
 THRESHOLD = 85
 _SIGMAS = 7.0
@@ -212,7 +215,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def _hot_lists(docs, id_column, reps, lists, percent) -> DataFrame | None:
     """Lists of the documents of hot lists, by the rarest shingles of their whole sets."""
-    hot = lists.where(F.col("size") > HOT).select("rep").distinct()
+    hot = lists.where(F.col("m") > HOT).select("rep").distinct()
     wanted = common.stage(hot.join(reps.select("rep", "doc_id", "d1", "d2"), "rep"), "hot-reps")
     if wanted.limit(1).count() == 0:
         return None
@@ -226,12 +229,36 @@ def _hot_lists(docs, id_column, reps, lists, percent) -> DataFrame | None:
     # position among the document's shingles in the order (df, value), rarest first
     flat = flat.withColumn("place", F.col("n") - F.col("common") + F.row_number().over(w.orderBy("df", "value")))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    return flat.where(F.col("place") <= prefix).select(
-        "value", "rep", F.col("n").cast("long").alias("n"), (-F.col("mass")).alias("order"), F.lit(True).alias("hot"))
+    flat = flat.where(F.col("place") <= prefix)
+    # the rest of a set after its place must suffice for the smallest set of the list
+    small = flat.groupBy("value").agg(F.min("n").alias("least"))
+    flat = flat.join(small, "value").where(F.col("n") - F.col("place") + 1 >= _overlap(F.col("n"), F.col("least"), percent))
+    return flat.select("value", "rep", F.col("n").cast("long").alias("n"), F.col("place").cast("int").alias("place"),
+                       F.col("n").cast("int").alias("size"), F.col("n").cast("int").alias("need"), F.lit(True).alias("whole"),
+                       (-F.col("mass")).alias("order"), F.lit(True).alias("hot"))
+
+
+def _overlap(a, b, percent: int):
+    """Shingles that sets of these sizes must share to be similar by ``percent``."""
+    return F.ceil((a + b) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
 
 def _pairs_ok(percent: int):
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    """Size and position bounds for members ``a`` and ``b`` of a list.
+
+    At their first common value the rest of both must hold what they need to
+    share, so a similar pair passes in at least one list.
+    """
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    need = F.when(F.col("wa") & F.col("wb"), _overlap(F.col("na"), F.col("nb"), percent)).otherwise(F.least("ca", "cb"))
+    return sizes & (1 + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) >= need)
+
+
+def _side(rows: DataFrame, x: str, rep: str = "rep") -> DataFrame:
+    """The list columns of one side of a pair."""
+    return rows.select("hot", "value", F.col(rep).alias(x), F.col("n").alias("n" + x), F.col("place").alias("p" + x),
+                       F.col("size").alias("s" + x), F.col("need").alias("c" + x), F.col("whole").alias("w" + x),
+                       *([F.col("comp").alias("comp_" + x)] if "comp" in rows.columns else []))
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_column: str = "doc_id") -> DataFrame:
@@ -249,38 +276,47 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_co
     reps = common.stage(known.join(classes.select(F.col("rep").alias("row")), "row")
                         .select(F.col("row").alias("rep"), "doc_id", *key, "sketch"), "class-reps")
 
+    # values that many sketches hold go last in the order; bounded, and any such set keeps the lists complete
+    crowded = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > HOT)
+    last = spark.sparkContext.broadcast(np.sort(np.array(
+        [r[0] for r in crowded.orderBy(F.desc("m"), "value").limit(CROWDED).collect()], np.int32)))
+
     def prefixes(it):
         for pdf in it:
-            out = []
-            for n, s in zip(pdf["n"], pdf["sketch"]):
-                out.append(s[:len(s) - min(len(s), shared_at_least(int(n), k, percent)) + 1])
-            yield pd.DataFrame({"rep": pdf["rep"], "n": pdf["n"], "values": out})
-
-    lists = reps.select("rep", "n", "sketch").mapInPandas(prefixes, "rep long, n long, values array<int>") \
-        .select("rep", "n", F.explode(F.col("values").cast("array<long>")).alias("value"))
-    sizes = lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    lists = common.stage(lists.join(sizes, "value"), "lists")
-    plain = lists.where(F.col("size") <= HOT).select(
-        "value", "rep", "n", F.lit(0.0).alias("order"), F.lit(False).alias("hot"))
+            rows = {c: [] for c in ("values", "size", "need")}
+            for n, sk in zip(pdf["n"], pdf["sketch"]):
+                need = min(len(sk), shared_at_least(int(n), k, percent))
+                tail = np.isin(sk, last.value)
+                rows["values"].append(np.concatenate([sk[~tail], sk[tail]])[:len(sk) - need + 1])
+                rows["size"].append(len(sk))
+                rows["need"].append(need)
+            yield pd.DataFrame({"rep": pdf["rep"], "n": pdf["n"], **rows})
+
+    lists = reps.select("rep", "n", "sketch").mapInPandas(prefixes, "rep long, n long, values array<int>, size int, need int") \
+        .select("rep", "n", "size", "need", F.posexplode(F.col("values").cast("array<long>")).alias("place", "value"))
+    members = lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
+    lists = common.stage(lists.join(members, "value"), "lists")
+    plain = lists.where(F.col("m") <= HOT).select(
+        "value", "rep", "n", (F.col("place") + 1).alias("place"), "size", "need",
+        (100 * F.col("n") < percent * k).alias("whole"), F.lit(0.0).cast("double").alias("order"), F.lit(False).alias("hot"))
     again = _hot_lists(docs, id_column, reps, lists, percent)
     lists = common.stage(plain.unionByName(again) if again is not None else plain, "pair-lists")
 
     check = _Verifier(docs, id_column, reps, k, percent)
-    hubs = lists.groupBy("hot", "value").agg(F.min(F.struct("order", "rep", "n")).alias("h"), F.count("*").alias("m")).where("m > 1") \
-        .select("hot", "value", F.col("h.rep").alias("hub"), F.col("h.n").alias("nb"))
-    star = lists.withColumnRenamed("n", "na").join(hubs, ["hot", "value"]).where(F.col("rep") != F.col("hub")).where(_pairs_ok(percent))
-    star = star.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    member = F.struct("order", "rep", "n", "place", "size", "need", "whole")
+    hubs = lists.groupBy("hot", "value").agg(F.min(member).alias("h"), F.count("*").alias("m")).where("m > 1").select("hot", "value", "h.*")
+    star = _side(lists, "a").join(_side(hubs, "b"), ["hot", "value"]).where("a <> b").where(_pairs_ok(percent))
+    star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = check.links(star, "star")
     label = components(links, "star-cc")
 
     # what is left: members of one list that lie in different components
-    tagged = lists.join(label.withColumnRenamed("node", "rep"), "rep", "left") \
-        .select("hot", "value", "rep", "n", F.coalesce("label", "rep").alias("comp")).join(hubs.select("hot", "value", "hub"), ["hot", "value"])
+    tagged = lists.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")) \
+        .join(hubs.select("hot", "value", F.col("rep").alias("hub")), ["hot", "value"])
     mixed = tagged.groupBy("hot", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hot", "value")
-    tagged = common.stage(tagged.join(mixed, ["hot", "value"]).where("rep <> hub").drop("hub"), "mixed-lists")
-    a = tagged.select("hot", "value", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = tagged.select("hot", "value", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    cross = a.join(b, ["hot", "value"]).where("a < b and ca <> cb").where(_pairs_ok(percent)).select("a", "b").distinct()
+    tagged = common.stage(tagged.join(mixed, ["hot", "value"]).where("rep <> hub").drop("hub", "label"), "mixed-lists")
+    cross = _side(tagged, "a").join(_side(tagged, "b"), ["hot", "value"]).where("a < b and comp_a <> comp_b").where(_pairs_ok(percent)) \
+        .select("a", "b").distinct()
     more = check.links(cross, "cross")
 
     final = components(links.unionByName(more), "cc")
