@@ -87,6 +87,9 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, t
     """
     common.prepare(messages.sparkSession)
     key = ["conv_id", "call_id"]
+    messages = messages.select("conv_id", "turn", "role", "text")
+    calls = calls.select(*key, "turn", "name", "arguments", *(["depends"] if "depends" in calls.columns else []))
+    results = results.select(*key, "turn", "text")
     # first what each id has on the other side, pre-aggregated; then one join by id per side
     has_calls = calls.groupBy(*key).agg(F.count("*").alias("n_calls"), F.min("turn").alias("call_turn"))
     has_results = results.groupBy(*key).agg(F.count("*").alias("n_results"))

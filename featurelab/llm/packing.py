@@ -229,7 +229,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     common.prepare(spark)
     pieces = common.stage(tokenize_pieces(docs, capacity, vocabulary, id_column, keep_ids), "pieces")
     # ranks inside each length: a frequent length is split into groups of about RANK_GROUP pieces
-    groups = max(1, pieces.count() // RANK_GROUP)
+    groups = max(16, pieces.count() // RANK_GROUP)
     pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("int"))
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = common.stage(counts, "piece-counts")
