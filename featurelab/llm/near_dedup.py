@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_co
 
     lists = reps.select("rep", "n", "sketch").mapInPandas(prefixes, "rep long, n long, values array<int>, size int, need int") \
         .select("rep", "n", "size", "need", F.posexplode(F.col("values").cast("array<long>")).alias("place", "value"))
-    members = lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1")
+    # staged, so that both sides of the join are plain exchanges and a crowded value is split
+    members = common.stage(lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "members")
     lists = common.stage(lists.join(members, "value"), "lists")
     plain = lists.where(F.col("m") <= HOT).select(
         "value", "rep", "n", (F.col("place") + 1).alias("place"), "size", "need",

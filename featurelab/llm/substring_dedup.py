@@ -219,6 +219,20 @@ def _unpack_run(blob: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
     return keys, lcp.tolist(), info
 
 
+def _joined_ranges(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Byte ranges with the overlapping and touching ones of each row joined."""
+    if not len(rows):
+        return rows, starts, ends
+    order = np.lexsort((starts, rows))
+    rows, starts, ends = rows[order], starts[order], ends[order]
+    far = int(ends.max()) + 2  # rows laid out one after another: a range never reaches the next row
+    _, rank = np.unique(rows, return_inverse=True)
+    s, e = starts + rank * far, np.maximum.accumulate(ends + rank * far)
+    new = np.concatenate([[True], s[1:] > e[:-1]])
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(s) - 1)
+    return rows[new], starts[new], e[last] - rank[last] * far
+
+
 def _runs(texts: DataFrame, parts: int) -> DataFrame:
     """``part, run, row, start, end``: front-coded runs, and byte ranges already known to be repeated."""
 
@@ -244,7 +258,7 @@ def _runs(texts: DataFrame, parts: int) -> DataFrame:
             out_part.append(part)
             out_run.append(_pack_run(keys, np.array(info, np.int64)))
         n = len(out_part)
-        s = np.array(settled, np.int64).reshape(-1, 3)
+        s = np.stack(_joined_ranges(*np.array(settled, np.int64).reshape(-1, 3).T), axis=1)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([np.array(out_part, np.int32), (s[:, 0] % parts).astype(np.int32)])),
              pa.array(out_run + [None] * len(s), pa.binary()),
@@ -358,7 +372,8 @@ def _merge(runs: DataFrame) -> DataFrame:
                 anchor = np.repeat(info[occ, 1], n)
                 starts.append(anchor - last[take])
                 ends.append(anchor - first[take] + WINDOW)
-        return pd.DataFrame({"row": np.concatenate(rows), "start": np.concatenate(starts), "end": np.concatenate(ends)})
+        r, s, e = _joined_ranges(np.concatenate(rows), np.concatenate(starts), np.concatenate(ends))
+        return pd.DataFrame({"row": r, "start": s, "end": e})
 
     return runs.groupBy("part").applyInPandas(merge, "row long, start long, end long")
 
@@ -419,7 +434,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", keep_text: bool =
     rows = common.stage(found.select("row", "did", "sha").join(copies, "sha"), "copies")
     flat = found.select("row", F.explode(F.arrays_zip("grams", "starts", "offs", "sizes")).alias("b")) \
         .select("row", F.col("b.grams").alias("gram"), F.col("b.starts").alias("start"), F.col("b.offs").alias("off"), F.col("b.sizes").alias("size"))
-    often = found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    # staged, so that both sides of the join below are plain exchanges and a frequent anchor string is split
+    often = common.stage(found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "often")
     candidates = flat.join(often, "gram").groupBy("row").agg(
         F.collect_list(F.struct("gram", "start", "off", "size", (F.col("n") > HOT).alias("hot"))).alias("found"))
     candidates = common.stage(candidates.join(rows.where("row = rep").select("row", "did", "sha"), "row"), "candidates")
