@@ -4,7 +4,8 @@ Plans (G1-G4) are computed per row from the image size; resampling is the
 separable convolution used by common image libraries (support scaled by the
 down-scale factor, weights normalised per output pixel) in numpy, one image at
 a time inside ``mapInPandas``.  Bit-exact parity with a particular library's
-fixed-point kernels is not attempted.
+fixed-point kernels is not attempted.  Arrow batches are bounded by bytes
+(``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB by default).
 
 Images are ``struct<height int, width int, nChannels int, data binary>`` with
 interleaved channels in RGB order; :func:`from_spark_image` converts Spark's
@@ -12,13 +13,16 @@ interleaved channels in RGB order; :func:`from_spark_image` converts Spark's
 """
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import images as G
+
 IMAGE_STRUCT = "struct<height:int,width:int,nChannels:int,data:binary>"
 
 
@@ -28,6 +32,7 @@ def _box(x):
 
 
 def _bicubic(x, a=-0.5):
+    # cubic convolution kernel (Keys, 1981)
     x = np.abs(x)
     return np.where(x < 1, ((a + 2) * x - (a + 3)) * x * x + 1,
                     np.where(x < 2, (((x - 5) * x + 8) * x - 4) * a, 0.0))
@@ -42,22 +47,21 @@ def _lanczos(x, a=3.0):
 FILTERS = {"box": (_box, 0.5), "bicubic": (_bicubic, 2.0), "lanczos": (_lanczos, 3.0)}
 
 
+@functools.lru_cache(maxsize=64)
 def resample_weights(n_in: int, n_out: int, kind: str) -> np.ndarray:
-    """``(n_out, n_in)`` weights of a 1-D resize."""
+    """``(n_out, n_in)`` weights of a 1-D resize; one image size is one cache entry."""
     f, support = FILTERS[kind]
     scale = n_in / n_out
-    fs = max(scale, 1.0)
-    sup = support * fs
+    stretch = max(scale, 1.0)
+    center = (np.arange(n_out) + 0.5) * scale
+    first = np.maximum((center - support * stretch + 0.5).astype(int), 0)
+    last = np.minimum((center + support * stretch + 0.5).astype(int), n_in)
+    taps = np.arange(int((last - first).max(initial=1)))
+    at = first[:, None] + taps[None, :]
+    k = np.where(at < last[:, None], f((at - center[:, None] + 0.5) / stretch), 0.0)
+    total = k.sum(axis=1, keepdims=True)
     w = np.zeros((n_out, n_in))
-    for i in range(n_out):
-        center = (i + 0.5) * scale
-        lo = max(int(center - sup + 0.5), 0)
-        hi = min(int(center + sup + 0.5), n_in)
-        j = np.arange(lo, hi)
-        k = f((j - center + 0.5) / fs)
-        s = k.sum()
-        if s != 0:
-            w[i, lo:hi] = k / s
+    np.add.at(w, (np.arange(n_out)[:, None], np.minimum(at, n_in - 1)), k / np.where(total == 0, 1.0, total))
     return w
 
 
@@ -66,9 +70,9 @@ def resize(img: np.ndarray, width: int, height: int, kind: str) -> np.ndarray:
     h, w = img.shape[:2]
     x = img.astype(np.float64)
     if w != width:
-        x = np.einsum("ow,hwc->hoc", resample_weights(w, width, kind), x)
+        x = np.matmul(resample_weights(w, width, kind), x)
     if h != height:
-        x = np.einsum("oh,hwc->owc", resample_weights(h, height, kind), x)
+        x = np.tensordot(resample_weights(h, height, kind), x, axes=(1, 0))
     return x
 
 
@@ -77,88 +81,95 @@ def to_uint8(x: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- transforms
-def _scale(img, W, H):
-    h, w = img.shape[:2]
-    if (W is None or W == w) and (H is None or H == h):
-        return img
-    return to_uint8(resize(img, W or w, H or h, "lanczos"))
-
-
-def _center_crop(img, W, H):
-    h, w = img.shape[:2]
-    c = min(h, w)
-    img = img[(h - c) // 2:(h + c) // 2, (w - c) // 2:(w + c) // 2]
-    return to_uint8(resize(img, W, H, "lanczos"))
-
-
-def _center_crop_wide(img, W, H):
-    h, w = img.shape[:2]
-    ch = int(np.round(W * h / w))
-    if w < W or ch < H:
-        return None
-    img = img[(h - ch) // 2:(h + ch) // 2]
-    img = to_uint8(resize(img, W, H, "lanczos"))
-    canvas = np.zeros((W, W, img.shape[2]), dtype=np.uint8)
-    canvas[(W - H) // 2:(W + H) // 2, :] = img
-    return canvas
-
-
-def _dhariwal(img, S, _unused=None):
-    x = img
-    while min(x.shape[0], x.shape[1]) >= 2 * S:
-        nh, nw = x.shape[0] // 2, x.shape[1] // 2
-        x = to_uint8(resize(x, nw, nh, "box"))
-    sc = S / min(x.shape[0], x.shape[1])
-    nw, nh = round(x.shape[1] * sc), round(x.shape[0] * sc)
-    x = to_uint8(resize(x, nw, nh, "bicubic"))
-    cy, cx = (x.shape[0] - S) // 2, (x.shape[1] - S) // 2
-    return x[cy:cy + S, cx:cx + S]
-
-
-TRANSFORMS = {None: _scale, "scale": _scale, "center-crop": _center_crop,
-              "center-crop-wide": _center_crop_wide, "center-crop-dhariwal": _dhariwal}
+MODES = (None, "scale", "center-crop", "center-crop-wide", "center-crop-dhariwal")
 
 
 def validate_transform_args(mode: str | None, width: int | None, height: int | None) -> None:
     """P5: crop modes need a size; the dhariwal crop needs a square one."""
-    if mode not in TRANSFORMS:
-        raise ValueError(f"unknown transform {mode!r}")
-    if mode in ("center-crop", "center-crop-wide", "center-crop-dhariwal") and (width is None or height is None):
-        raise ValueError("must specify --resolution=WxH when using " + mode)
+    if mode not in MODES:
+        raise ValueError(f"unknown transform {mode!r}; known: {MODES[1:]}")
+    if mode and mode.startswith("center-crop") and None in (width, height):
+        raise ValueError(f"transform {mode!r} needs both a width and a height")
     if mode == "center-crop-dhariwal" and width != height:
-        raise ValueError("width and height must match in --resolution=WxH when using center-crop-dhariwal")
+        raise ValueError(f"transform {mode!r} gives squares, not {width}x{height}")
+
+
+def plan_pixels(mode: str | None, width: int | None, height: int | None, w, h) -> Column:
+    """The steps of a transform as one struct column, from the geometry plans G1-G4.
+
+    A box of the source (``top, left, rows, cols``), how often it is halved,
+    the size and kernel it is resampled to, the box kept of that, and the
+    black canvas it is pasted on (0: none).  ``rejected`` images have no output.
+    """
+    zero, whole = F.lit(0), {"top": F.lit(0), "left": F.lit(0), "rows": h, "cols": w}
+    step = {"halvings": zero, "kernel": F.lit("lanczos"), "keep_top": zero, "keep_left": zero,
+            "canvas": zero, "paste": zero, "rejected": F.lit(False)}
+    if mode in (None, "scale"):
+        g = G.plan_scale(w, h, width, height)
+        step |= whole | {"to_cols": g["out_w"], "to_rows": g["out_h"]}
+    elif mode == "center-crop":
+        g = G.plan_center_crop(w, h, width, height)
+        step |= {"top": g["y0"], "left": g["x0"], "rows": g["y1"] - g["y0"], "cols": g["x1"] - g["x0"],
+                 "to_cols": g["out_w"], "to_rows": g["out_h"]}
+    elif mode == "center-crop-wide":
+        g = G.plan_center_crop_wide(w, h, width, height)
+        step |= whole | {"top": g["y0"], "rows": g["y1"] - g["y0"], "to_cols": F.lit(int(width)), "to_rows": F.lit(int(height)),
+                         "canvas": g["canvas"], "paste": g["paste_y0"], "rejected": g["rejected"]}
+    else:
+        g = G.plan_dhariwal(w, h, width)
+        step |= whole | {"halvings": g["halvings"], "kernel": F.lit("bicubic"), "to_cols": g["resize_w"], "to_rows": g["resize_h"],
+                         "keep_top": g["crop_y"], "keep_left": g["crop_x"]}
+    keep = F.lit(int(width)) if mode == "center-crop-dhariwal" else F.lit(0)
+    step |= {"keep": keep}
+    return F.struct(*(c.cast("string" if k == "kernel" else "boolean" if k == "rejected" else "int").alias(k) for k, c in step.items()))
+
+
+def run_plan(img: np.ndarray, p) -> np.ndarray:
+    """Apply one row of :func:`plan_pixels` to an ``(h, w, c)`` uint8 array."""
+    x = img[p["top"]:p["top"] + p["rows"], p["left"]:p["left"] + p["cols"]]
+    for _ in range(p["halvings"]):
+        x = to_uint8(resize(x, x.shape[1] // 2, x.shape[0] // 2, "box"))
+    x = to_uint8(resize(x, p["to_cols"], p["to_rows"], p["kernel"]))
+    if p["keep"]:
+        x = x[p["keep_top"]:p["keep_top"] + p["keep"], p["keep_left"]:p["keep_left"] + p["keep"]]
+    if p["canvas"]:
+        page = np.zeros((p["canvas"], p["canvas"], x.shape[2]), np.uint8)
+        page[p["paste"]:p["paste"] + x.shape[0]] = x
+        x = page
+    return x
 
 
 def transform_images(df: DataFrame, mode: str | None, width: int | None, height: int | None,
                      image_col: str = "image", key_col: str = "idx") -> DataFrame:
-    """``(key, image, error)``; ``error`` is non-null for rejected or failed rows."""
+    """``(key, image, error)``; ``error`` is non-null for rejected, missing or failed rows."""
     validate_transform_args(mode, width, height)
-    fn = TRANSFORMS[mode]
-    arg2 = height if mode != "center-crop-dhariwal" else None
 
     def run(batches):
         for pdf in batches:
             out, err = [], []
-            for im in pdf[image_col]:
+            for im, plan in zip(pdf[image_col], pdf["_plan"]):
+                image, error = None, None
                 try:
                     if im is None:
-                        raise ValueError("missing image")
-                    a = np.frombuffer(im["data"], dtype=np.uint8).reshape(im["height"], im["width"], im["nChannels"])
-                    r = fn(a, width, arg2)
-                    if r is None:
-                        out.append(None)
-                        err.append("rejected")
-                        continue
-                    out.append({"height": int(r.shape[0]), "width": int(r.shape[1]),
-                                "nChannels": int(r.shape[2]), "data": r.tobytes()})
-                    err.append(None)
+                        error = "missing or undecodable image"
+                    elif plan["rejected"]:
+                        error = "rejected"
+                    else:
+                        a = np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], im["nChannels"])
+                        r = run_plan(a, plan)
+                        image = {"height": int(r.shape[0]), "width": int(r.shape[1]),
+                                 "nChannels": int(r.shape[2]), "data": r.tobytes()}
                 except Exception as e:  # noqa: BLE001 - becomes a quarantine row
-                    out.append(None)
-                    err.append(f"{type(e).__name__}: {e}")
+                    error = f"{type(e).__name__}: {e}"
+                out.append(image)
+                err.append(error)
             yield pd.DataFrame({key_col: pdf[key_col].values, image_col: out, "error": err})
 
     key_type = df.schema[key_col].dataType.simpleString()
-    return df.select(key_col, image_col).mapInPandas(
+    # the plans divide by the image size: rows without one get none
+    size = [F.when(F.col(image_col)[c] > 0, F.col(image_col)[c]) for c in ("width", "height")]
+    plan = F.when(size[0].isNotNull() & size[1].isNotNull(), plan_pixels(mode, width, height, *size))
+    return df.select(key_col, image_col, plan.alias("_plan")).mapInPandas(
         run, f"{key_col} {key_type}, {image_col} {IMAGE_STRUCT}, error string")
 
 
@@ -169,24 +180,29 @@ def drop_failed(transformed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def from_spark_image(col: str = "image"):
-    """Spark's image source row (BGR bytes) to an RGB image struct column."""
+    """Spark's image source row (BGR bytes) to an RGB image struct column.
+
+    Grey images are repeated to three channels and alpha is dropped, so every
+    decoded image has three; an image that did not decode becomes null.
+    """
+    def convert(im):
+        if im is None or im["nChannels"] not in (1, 3, 4) or im["height"] <= 0:
+            return None
+        a = np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], im["nChannels"])
+        a = np.repeat(a, 3, axis=2) if im["nChannels"] == 1 else a[:, :, 2::-1]
+        return {"height": im["height"], "width": im["width"], "nChannels": 3, "data": np.ascontiguousarray(a).tobytes()}
+
     def swap(batches):
         for pdf in batches:
-            imgs = []
-            for im in pdf[col]:
-                a = np.frombuffer(im["data"], dtype=np.uint8).reshape(im["height"], im["width"], im["nChannels"])
-                if im["nChannels"] >= 3:
-                    a = a[:, :, [2, 1, 0] + list(range(3, im["nChannels"]))]
-                imgs.append({"height": im["height"], "width": im["width"], "nChannels": im["nChannels"],
-                             "data": np.ascontiguousarray(a).tobytes()})
-            yield pdf.assign(**{col: imgs})
+            yield pdf.assign(**{col: [convert(im) for im in pdf[col]]})
     return swap
 
 
-def read_images(spark, paths, key_col: str = "path", recursive: bool = False) -> DataFrame:
+def read_images(spark, paths, key_col: str = "path", recursive: bool = False, keep_invalid: bool = False) -> DataFrame:
     """Decode image files with Spark's ``image`` source; RGB struct + origin path.
-    Files that do not decode (manifests, text) are dropped."""
-    reader = spark.read.format("image").option("dropInvalid", True)
+    Files that do not decode (manifests, text) are dropped, or with
+    ``keep_invalid`` have a null image."""
+    reader = spark.read.format("image").option("dropInvalid", not keep_invalid)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     raw = reader.load(paths)

@@ -126,7 +126,7 @@ def assert_same_names(df: DataFrame, rank_col: str = "rank", name_col: str = "na
     per_rank = check_same_names(df, rank_col, name_col, seq_col)
     bad = per_rank.where(~F.col("consistent")).limit(3).collect()
     if bad:
-        raise ValueError(f"training statistics are inconsistent between ranks, e.g. {bad}")
+        raise ValueError(f"ranks report different metric names: {bad}")
 
 
 def parameter_totals(df: DataFrame, group_col: str = "group", shape_col: str = "shape") -> DataFrame:

@@ -26,8 +26,8 @@ from ..session import default_parallelism
 from .position import chunk_id, with_position
 
 SUMS_ROW = -1
-# Sets accepted by fit_statistics_multi (each costs a D x D partial per task and on the driver).
-MAX_SETS = 16
+# Partials (one D x D matrix per set and column) a task holds before it sends them on.
+HELD_SETS = 16
 
 
 @dataclass
@@ -107,48 +107,51 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
     """A3 for several feature columns and sets in ONE scan and one shuffle.
 
     Returns ``{(set, column): FeatureStats}`` (set ``None`` without ``set_col``).
-    Each task keeps one shifted ``(n, sum, Gram)`` per (set, column); the
-    number of sets must be small (it multiplies the partial size).
+    Each task keeps one shifted ``(n, sum, Gram)`` per (set, column) and sends
+    them on whenever it holds ``HELD_SETS`` sets, so its memory does not depend
+    on how many sets there are or how they are mixed over the tasks.
     """
     spark = df.sparkSession
     sel = [F.col(set_col).cast("string").alias("_set") if set_col else F.lit(None).cast("string").alias("_set")]
     sel += [_double_array(c).alias(f"_f{j}") for j, c in enumerate(feat_cols)]
     src = df.select(*sel)
-    first = src.where(F.col("_f0").isNotNull()).first()
-    if first is None:
-        raise ValueError("feature statistics of an empty set")
-    shifts = [np.asarray(first[f"_f{j}"], dtype=np.float64) for j in range(len(feat_cols))]
+    shifts = []
+    for j in range(len(feat_cols)):
+        first = src.select(f"_f{j}").where(F.col(f"_f{j}").isNotNull()).first()
+        if first is None:
+            raise ValueError("feature statistics of an empty set")
+        shifts.append(np.asarray(first[0], dtype=np.float64))
     tasks = max_tasks or default_parallelism(spark)
     src = src.coalesce(tasks)  # no-op when there are already fewer partitions
     ncol = len(feat_cols)
 
+    def send(acc):
+        rows = []
+        for (key, j), (n, sm, g) in acc.items():
+            rows.append((key, j, SUMS_ROW, n, sm))
+            # symmetric: ship the upper triangle only (row i holds g[i, i:])
+            rows.extend((key, j, i, 0, g[i, i:]) for i in range(g.shape[0]))
+        acc.clear()
+        return pd.DataFrame(rows, columns=["_set", "col", "i", "n", "g"])
+
     def partial(batches):
         acc: dict = {}
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
             for key, part in pdf.groupby("_set", dropna=False, sort=False):
                 key = None if (isinstance(key, float) and np.isnan(key)) else key
+                if (key, 0) not in acc and len(acc) >= HELD_SETS * ncol:
+                    yield send(acc)
                 for j in range(ncol):
-                    x = np.vstack(part[f"_f{j}"].values) - shifts[j]
-                    a = acc.get((key, j))
-                    if a is None:
-                        if len(acc) >= MAX_SETS * ncol:
-                            raise ValueError(
-                                f"fit_statistics_multi holds one D x D partial per set and column; more than "
-                                f"{MAX_SETS} sets: use grouped_feature_statistics for many groups")
-                        d = x.shape[1]
-                        a = acc[(key, j)] = [0, np.zeros(d), np.zeros((d, d))]
+                    x = [v for v in part[f"_f{j}"].values if v is not None]
+                    if not x:
+                        continue
+                    x = np.vstack(x) - shifts[j]
+                    a = acc.setdefault((key, j), [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))])
                     a[0] += x.shape[0]
                     a[1] += x.sum(axis=0)
                     a[2] += x.T @ x
-        rows = []
-        for (key, j), (n, sm, g) in acc.items():
-            rows.append((key, j, SUMS_ROW, n, sm))
-            # symmetric: ship the upper triangle only (row i holds g[i, i:])
-            rows.extend((key, j, i, 0, g[i, i:]) for i in range(g.shape[0]))
-        if rows:
-            yield pd.DataFrame(rows, columns=["_set", "col", "i", "n", "g"])
+        if acc:
+            yield send(acc)
 
     parts = src.mapInPandas(partial, schema="_set string, col int, i int, n long, g array<double>")
     merged = (parts.groupBy("_set", "col", "i")
@@ -174,19 +177,17 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
 def feature_cov(df: DataFrame, feat_col: str = "features", max_tasks: int | None = None) -> DataFrame:
     """A2: covariance (ddof = 1) as ``(i, j, cov)`` rows, computed in Spark.
 
-    The per-dimension sums table has D rows (feature width, not data size), so
-    joining it to the exploded Gram rows is a bounded broadcast.
+    The merged partials are ``D x D`` values (feature width, not data size).
     """
     merged, _ = gram_partials(df, feat_col, max_tasks)
-    sums = merged.where(F.col("i") == SUMS_ROW).select(
-        "n", F.posexplode("g").alias("j", "s"))
-    gram = merged.where(F.col("i") != SUMS_ROW).select("i", F.posexplode("g").alias("j", "g"))
-    si = sums.select(F.col("j").alias("i"), F.col("s").alias("s_i"), "n")
-    sj = sums.select("j", F.col("s").alias("s_j"))
-    return (gram.join(F.broadcast(si), "i").join(F.broadcast(sj), "j")
-            .select(F.col("i").cast("int"), F.col("j").cast("int"),
-                    ((F.col("g") - F.col("s_i") * F.col("s_j") / F.col("n")) /
-                     (F.col("n") - F.lit(1))).alias("cov")))
+    # D + 1 rows: gathered once into one row and split again, so the Gram matrix is computed once
+    rows = merged.groupBy().agg(
+        F.max(F.when(F.col("i") == SUMS_ROW, F.struct("n", F.col("g").alias("s")))).alias("t"),
+        F.collect_list(F.when(F.col("i") != SUMS_ROW, F.struct("i", "g"))).alias("gram"))
+    flat = rows.select("t", F.explode("gram").alias("r")).select("t", F.col("r.i").alias("i"), F.posexplode("r.g").alias("j", "g"))
+    s_i, s_j = F.get("t.s", F.col("i")), F.get("t.s", F.col("j"))
+    return flat.select(F.col("i").cast("int"), F.col("j").cast("int"),
+                       ((F.col("g") - s_i * s_j / F.col("t.n")) / (F.col("t.n") - F.lit(1))).alias("cov"))
 
 
 # ------------------------------------------------------------------ A4 / A5
@@ -203,24 +204,18 @@ def trace_sqrt_product(s1: np.ndarray, s2: np.ndarray) -> float:
     return float(np.sqrt(np.clip(w, 0.0, None)).sum())
 
 
-def frechet_distance(a: FeatureStats, b: FeatureStats, eps: float = 1e-6) -> float:
-    """A4: ``|mu1-mu2|^2 + tr(S1) + tr(S2) - 2 tr(sqrt(S1 S2))``.
+def frechet_distance(a: FeatureStats, b: FeatureStats) -> float:
+    """A4: squared 2-Wasserstein distance of two normal laws,
+    ``|mu_a - mu_b|^2 + tr(A + B - 2 (A^1/2 B A^1/2)^1/2)``.
 
-    Shapes must agree.  If the root is not finite, ``eps`` is added to both
-    diagonals and the root retried (the source's fallback).
+    The root is that of one symmetric matrix with its eigenvalues clipped at
+    zero, so singular covariances need no special case.
     """
-    mu1, mu2 = np.atleast_1d(a.mu), np.atleast_1d(b.mu)
-    s1, s2 = np.atleast_2d(a.sigma), np.atleast_2d(b.sigma)
-    if mu1.shape != mu2.shape:
-        raise ValueError(f"mean vectors have different lengths: {mu1.shape}, {mu2.shape}")
-    if s1.shape != s2.shape:
-        raise ValueError(f"covariances have different dimensions: {s1.shape}, {s2.shape}")
-    diff = mu1 - mu2
-    tr = trace_sqrt_product(s1, s2)
-    if not np.isfinite(tr):
-        off = np.eye(s1.shape[0]) * eps
-        tr = trace_sqrt_product(s1 + off, s2 + off)
-    return float(diff.dot(diff) + np.trace(s1) + np.trace(s2) - 2.0 * tr)
+    widths = {len(x) for st in (a, b) for x in (st.mu, st.sigma)} | {st.sigma.shape[-1] for st in (a, b)}
+    if len(widths) != 1:
+        raise ValueError(f"statistics of different feature widths: {sorted(widths)}")
+    gap = a.mu - b.mu
+    return float(gap @ gap + np.trace(a.sigma + b.sigma) - 2.0 * trace_sqrt_product(a.sigma, b.sigma))
 
 
 def frechet_terms(ref: DataFrame, smp: DataFrame, feat_col: str = "features") -> DataFrame:

@@ -198,7 +198,13 @@ def test_knn_two_level_merge(spark, monkeypatch):
     np.testing.assert_allclose(got["radius"].to_numpy(), want, rtol=1e-9, atol=1e-12)
 
 
-def test_fit_statistics_multi_refuses_many_sets(spark):
-    f = fx.features(spark, SF_SMALL).withColumn("g", F.col("id") % 40)
-    with pytest.raises(Exception, match="grouped_feature_statistics"):
-        S.fit_statistics_multi(f, ["features"], "g")
+def test_fit_statistics_multi_takes_any_number_of_sets(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(i % 40), [float(v) for v in rng.normal(size=3)]) for i in range(400)] + [(3, None)]
+    f = spark.createDataFrame(rows, "g int, features array<double>")
+    for parts in (1, 7):  # however the sets are mixed over the tasks
+        st = S.fit_statistics_multi(f.repartition(parts), ["features"], "g")
+        assert len(st) == 40
+        for g in (0, 3, 39):
+            x = np.array([v for k, v in rows if k == g and v is not None])
+            assert np.allclose(st[(str(g), "features")].sigma, np.cov(x, rowvar=False))

@@ -9,9 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
-
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from featurelab.plans.registry import ORACLES, QUERIES
 
 
 def _norm(v):
@@ -51,7 +49,8 @@ def test_every_query_has_a_name_and_callable():
     assert len(QUERIES) >= 100
     for name, fn in QUERIES.items():
         assert callable(fn), name
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(ORACLES) <= set(QUERIES) <= set(E.queries())
+    assert set(ORACLES) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
