@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", app: str = "featurelab",
@@ -42,14 +44,17 @@ def build_session(master: str = "local[8]", app: str = "featurelab",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    On a cluster this setting names shared storage and is only read here.  When
-    it is unset (local tests) a fresh scratch folder is created and set.
+    On a cluster this setting names shared storage and is only read here.  In
+    local mode, where driver and tasks share one disk, a fresh scratch folder is
+    created and set when it is unset; any other master without it is an error.
     """
     sc = _context(spark)
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur and sc is not None:
         cur = sc.getConf().get("spark.checkpoint.dir", None)
     if not cur:
+        if sc is None or not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         cur = tempfile.mkdtemp(prefix="featurelab-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     if sc is not None:
@@ -57,6 +62,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return cur
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
+    several consumers share one computation.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _context(spark: SparkSession):
     """The SparkContext of a classic session; None under Spark Connect."""
     try:
