@@ -1,11 +1,11 @@
 """Session and staging helpers shared by the training-data operators."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import ensure_checkpoint_dir, ship_package, stage
+
+__all__ = ["partitions", "prepare", "stage", "table"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -13,18 +13,6 @@ def prepare(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation, and
-    several consumers share one computation.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
