@@ -9,8 +9,8 @@ direction (precision / recall), or running max / argmin (manifold evaluate).
 
 Costs: shuffle volume is ``O(N * B * D)`` and output ``O(N * B)``; nothing is
 ever ``O(N^2)`` in rows.  Block sizes follow ``block_rows`` so the per-task
-memory stays ``block_rows * D`` values plus a ``chunk x block_rows`` distance
-tile, whatever N is.  Block ids are a hash of the row id, so no block is
+memory stays ``block_rows * D`` values plus a distance tile of ``TILE_BYTES``,
+whatever N is.  Block ids are a hash of the row id, so no block is
 hot even when ids are clustered.
 
 Distances are squared Euclidean, ``max(|u|^2 - 2 u.v + |v|^2, 0)``, computed in
@@ -35,8 +35,9 @@ MIN_BLOCK_ROWS = 256
 PARALLEL_BLOCK_ROWS = 4096
 # Above this many right blocks the k-NN candidate lists merge in two levels.
 TWO_LEVEL_BLOCKS = 64
-# Rows of the left block processed per distance tile inside a task.
-TILE_ROWS = 1024
+# Bytes of a distance tile inside a task: the rows of the left block taken at a
+# time follow from the width of the right block (numpy holds about two tiles).
+TILE_BYTES = 64 << 20
 REALISM_EPS = 1e-5
 
 
@@ -69,9 +70,15 @@ def sq_dist_tile(a: np.ndarray, b: np.ndarray, bb: np.ndarray | None = None) ->
     return d
 
 
-def _tiles(n: int):
-    for s in range(0, n, TILE_ROWS):
-        yield s, min(n, s + TILE_ROWS)
+def tile_rows(width: int) -> int:
+    """Left rows per tile against ``width`` right rows."""
+    return max(1, TILE_BYTES // (8 * max(1, width)))
+
+
+def _tiles(n: int, width: int):
+    step = tile_rows(width)
+    for s in range(0, n, step):
+        yield s, min(n, s + step)
 
 
 # ---------------------------------------------------------------- blocking
@@ -154,7 +161,7 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
     kmax = max(ks)
     sel = [F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")]
     sel.append((F.col(set_col).cast("string") if set_col else F.lit("")).alias("_set"))
-    feats = df.select(*sel)
+    feats = df.select(*sel).where("f is not null")  # rows without features take no part
     if counts is None:
         if set_col:
             counts = {r["_set"]: r["n"] for r in feats.groupBy("_set").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -186,7 +193,7 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
         bb = np.einsum("ij,ij->i", b, b)
         m = min(keep, b.shape[0])
         out = []
-        for s, e in _tiles(a.shape[0]):
+        for s, e in _tiles(a.shape[0], b.shape[0]):
             d = sq_dist_tile(a[s:e], b, bb)
             if m < d.shape[1]:
                 d = np.partition(d, m - 1, axis=1)[:, :m]
@@ -219,14 +226,19 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
     return out.drop("_set")
 
 
-def clamp_radii(radii: DataFrame, pct: float | None, col: str = "radius") -> DataFrame:
+def clamp_radii(radii: DataFrame, pct: float | None, col: str = "radius", staged: bool = False) -> DataFrame:
     """Radii above the (linearly interpolated) ``pct`` percentile become 0.
 
     The cut-off is one number: it is computed by an exact distributed
-    ``percentile`` aggregate and applied as a literal.
+    ``percentile`` aggregate and applied as a literal.  The radii are staged
+    first unless they are already (``staged``), so the blocked job behind them
+    runs once.
     """
     if pct is None:
         return radii
+    if not staged:
+        from ..session import stage
+        radii = stage(radii, "radii")
     cut = radii.agg(F.percentile(F.col(col), F.lit(pct / 100.0)).alias("_cut")).first()["_cut"]
     return radii.withColumn(col, F.when(F.col(col) > F.lit(cut), F.lit(0.0)).otherwise(F.col(col)))
 
@@ -262,8 +274,8 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
     ball (recall), side ``sample`` rows inside some reference ball (precision).
     Boundary included (``dist <= radius``).
     """
-    rf = ref.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
-    sf = smp.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
+    rf = ref.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
+    sf = smp.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
     br = ref_blocks or _blocks_for(rf, block_rows, n_ref)[1]
     bs = smp_blocks or _blocks_for(sf, block_rows, n_smp)[1]
     rf = _with_radius(rf, ref_radii, id_col)
@@ -280,7 +292,7 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
         bb = np.einsum("ij,ij->i", b, b)
         ref_in = np.zeros(a.shape[0], dtype=bool)
         smp_in = np.zeros(b.shape[0], dtype=bool)
-        for s, e in _tiles(a.shape[0]):
+        for s, e in _tiles(a.shape[0], b.shape[0]):
             d = sq_dist_tile(a[s:e], b, bb)
             ref_in[s:e] = (d <= rb[None, :]).any(axis=1)
             smp_in |= (d <= ra[s:e, None]).any(axis=0)
@@ -306,7 +318,7 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
     both = (ref.select(F.lit("ref").alias("_side"), id_col, feat_col)
             .unionByName(smp.select(F.lit("sample").alias("_side"), id_col, feat_col)))
     prof = {r["_side"]: (r["n"], r["d"]) for r in
-            both.groupBy("_side").agg(F.count(F.lit(1)).alias("n"), F.max(F.size(feat_col)).alias("d")).collect()}
+            both.where(F.col(feat_col).isNotNull()).groupBy("_side").agg(F.count(F.lit(1)).alias("n"), F.max(F.size(feat_col)).alias("d")).collect()}
     counts = {s_: v[0] for s_, v in prof.items()}
     if set(counts) != {"ref", "sample"}:
         raise ValueError("precision_recall needs non-empty reference and sample sets")
@@ -322,8 +334,8 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(ref.sparkSession)
     radii = radii.select("_side", id_col, "radius").checkpoint(eager=True)
-    r1 = clamp_radii(radii.where(F.col("_side") == "ref").drop("_side"), clamp_pct)
-    r2 = clamp_radii(radii.where(F.col("_side") == "sample").drop("_side"), clamp_pct)
+    r1 = clamp_radii(radii.where(F.col("_side") == "ref").drop("_side"), clamp_pct, staged=True)
+    r2 = clamp_radii(radii.where(F.col("_side") == "sample").drop("_side"), clamp_pct, staged=True)
     flags = membership_flags(ref, r1, smp, r2, id_col, feat_col, block_rows,
                              ref_blocks=blocks(counts["ref"]), smp_blocks=blocks(counts["sample"]))
     return flags.agg(
@@ -337,8 +349,8 @@ def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_c
                       eps: float = REALISM_EPS) -> DataFrame:
     """Per eval row ``inside`` (any ball holds it), ``max_realism`` =
     ``max(r / (d + eps))``, ``nearest_id`` (lowest id on ties) and its distance."""
-    rf = ref.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
-    ef = evl.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
+    rf = ref.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
+    ef = evl.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
     _, br = _blocks_for(rf, block_rows, None)
     _, be = _blocks_for(ef, block_rows, None)
     rf = _with_radius(rf, ref_radii, id_col)
@@ -356,7 +368,7 @@ def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_c
         rid = rpdf["id"].to_numpy()
         bb = np.einsum("ij,ij->i", b, b)
         inside, realism, mind, near = [], [], [], []
-        for s, e in _tiles(a.shape[0]):
+        for s, e in _tiles(a.shape[0], b.shape[0]):
             d = sq_dist_tile(a[s:e], b, bb)
             inside.append((d <= r[None, :]).any(axis=1))
             realism.append((r[None, :] / (d + eps)).max(axis=1))
@@ -391,8 +403,8 @@ def pairwise_distance_summary(left: DataFrame, right: DataFrame, id_col: str = "
                               feat_col: str = "features",
                               block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """J4 reduced per left row: count, min, max and sum of distances to the right set."""
-    lf = left.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
-    rf = right.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f"))
+    lf = left.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
+    rf = right.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
     _, bl = _blocks_for(lf, block_rows, None)
     _, brr = _blocks_for(rf, block_rows, None)
 
@@ -404,7 +416,7 @@ def pairwise_distance_summary(left: DataFrame, right: DataFrame, id_col: str = "
         a, b = _matrix(lpdf["f"]), _matrix(rpdf["f"])
         bb = np.einsum("ij,ij->i", b, b)
         mn, mx, sm = [], [], []
-        for s, e in _tiles(a.shape[0]):
+        for s, e in _tiles(a.shape[0], b.shape[0]):
             d = sq_dist_tile(a[s:e], b, bb)
             mn.append(d.min(axis=1)); mx.append(d.max(axis=1)); sm.append(d.sum(axis=1))
         return pd.DataFrame({"id": lpdf["id"].values, "n": np.full(len(a), b.shape[0], dtype=np.int64),

@@ -155,8 +155,9 @@ def transform_images(df: DataFrame, mode: str | None, width: int | None, height:
                     elif plan["rejected"]:
                         error = "rejected"
                     else:
-                        a = np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], im["nChannels"])
-                        r = run_plan(a, plan)
+                        # a column with nulls reaches pandas as floats
+                        a = np.frombuffer(im["data"], np.uint8).reshape([int(im[c]) for c in ("height", "width", "nChannels")])
+                        r = run_plan(a, {k: v if k == "kernel" else int(v) for k, v in plan.items()})
                         image = {"height": int(r.shape[0]), "width": int(r.shape[1]),
                                  "nChannels": int(r.shape[2]), "data": r.tobytes()}
                 except Exception as e:  # noqa: BLE001 - becomes a quarantine row
@@ -188,9 +189,10 @@ def from_spark_image(col: str = "image"):
     def convert(im):
         if im is None or im["nChannels"] not in (1, 3, 4) or im["height"] <= 0:
             return None
-        a = np.frombuffer(im["data"], np.uint8).reshape(im["height"], im["width"], im["nChannels"])
-        a = np.repeat(a, 3, axis=2) if im["nChannels"] == 1 else a[:, :, 2::-1]
-        return {"height": im["height"], "width": im["width"], "nChannels": 3, "data": np.ascontiguousarray(a).tobytes()}
+        h, w, channels = (int(im[c]) for c in ("height", "width", "nChannels"))
+        a = np.frombuffer(im["data"], np.uint8).reshape(h, w, channels)
+        a = np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, 2::-1]
+        return {"height": h, "width": w, "nChannels": 3, "data": np.ascontiguousarray(a).tobytes()}
 
     def swap(batches):
         for pdf in batches:

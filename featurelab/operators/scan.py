@@ -64,18 +64,23 @@ def _recur_var(x: np.ndarray, a: np.ndarray, b: np.ndarray, s0: float | None) ->
     out = np.empty(n)
     if n == 0:
         return out
-    out[0] = x[0] if s0 is None else a[0] * s0 + b[0] * x[0]
     bx = b * x
+    # a = 0 resets the state, whatever came before (an inf or NaN carry included)
+    out[0] = x[0] if s0 is None else bx[0] if a[0] == 0 else a[0] * s0 + bx[0]
     prev, i = out[0], 1
     while i < n:
         j = min(n, i + VAR_CHUNK)
         aa = a[i:j]
         start = 0
         for z in list(np.flatnonzero(aa == 0)) + [j - i]:
-            if z > start:  # run of non-zero coefficients: closed form by cumulative products
-                p = np.cumprod(aa[start:z])
-                out[i + start:i + z] = p * (prev + np.cumsum(bx[i + start:i + z] / p))
-                prev = out[i + z - 1]
+            while start < z:  # run of non-zero coefficients: closed form by cumulative products
+                size = np.abs(np.cumsum(np.log(np.abs(aa[start:z]))))
+                far = np.flatnonzero(size > 200.0)  # cut before the product leaves the range of doubles
+                e = z if not len(far) else start + max(1, int(far[0]))
+                p = np.cumprod(aa[start:e])
+                out[i + start:i + e] = p * (prev + np.cumsum(bx[i + start:i + e] / p))
+                prev = out[i + e - 1]
+                start = e
             if z < j - i:  # a = 0 resets the state
                 out[i + z] = bx[i + z]
                 prev = out[i + z]

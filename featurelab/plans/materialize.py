@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sinks.writers import png_bytes
+from ..sinks.writers import png_bytes, write_file
 from . import fixtures as fx
 
 SIDE = 8
@@ -44,19 +44,30 @@ def _emb(spark, sf):
     return fx.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
 
 
-def write_image_folder(spark: SparkSession, sf: str, with_manifest: bool = False) -> str:
-    """PNG files ``class_<label>/img_<vec_id>.png`` (plus ``dataset.json`` if asked)."""
+def write_image_folder(spark: SparkSession, sf: str, with_manifest: bool = False, copies: int = 0, odd: bool = False) -> str:
+    """PNG files ``class_<label>/img_<vec_id>.png`` (plus ``dataset.json`` if asked);
+    with ``copies`` that many ``img_<vec_id>_<k>.png`` each.  ``odd``: by the
+    last digit of the id, 3 is no image, 4 has one channel, 5 has four."""
     root = fresh_folder(spark, "images")
 
+    def image(vid, emb):
+        px = pixels_of(emb)
+        if odd and vid % 10 == 3:
+            return b"no image"
+        if odd and vid % 10 == 4:
+            return png_bytes(np.ascontiguousarray(px[:, :, :1]).tobytes(), SIDE, SIDE, 1)
+        if odd and vid % 10 == 5:
+            return png_bytes(np.concatenate([px, np.full((SIDE, SIDE, 1), 200, np.uint8)], axis=2).tobytes(), SIDE, SIDE, 4)
+        return png_bytes(px.tobytes(), SIDE, SIDE, 3)
+
     def write(batches):
         n = 0
         for pdf in batches:
             for vid, emb, lab in zip(pdf["vec_id"], pdf["embedding"], pdf["label"]):
-                d = os.path.join(root, f"class_{lab}")
-                os.makedirs(d, exist_ok=True)
-                with open(os.path.join(d, f"img_{vid}.png"), "wb") as fh:
-                    fh.write(png_bytes(pixels_of(emb).tobytes(), SIDE, SIDE, 3))
-                n += 1
+                for k in range(copies) if copies else [None]:
+                    name = f"img_{vid}.png" if k is None else f"img_{vid}_{k}.png"
+                    write_file(os.path.join(root, f"class_{lab}", name), image(vid, emb))
+                    n += 1
         yield pd.DataFrame({"n": [n]})
 
     _emb(spark, sf).mapInPandas(write, "n long").agg(F.sum("n")).collect()

@@ -1,75 +1,100 @@
-"""The dataset-conversion flow: image folder to a uniform, labelled artifact set.
+"""The dataset-conversion and encoding flows.
 
-scan (S1, with W2/S4 labels and P2) -> decode (Spark's image source) ->
-crop and resample (G5, failures quarantined: P3) -> uniform power-of-two
-square check (P4) -> PNG files under 5-digit prefixes (O1) -> manifest with
-the all-or-nothing label rule (O2/P8).
+convert: scan (S1 / S2, with W2/S4 labels and P2) -> decode (Spark's image
+source, RGB) -> crop and resample (G5) -> PNG files under 5-digit prefixes
+(O1).  These run as one pass whose output, the listing of what was written, is
+staged; the quarantine (P3), the uniform power-of-two square check (P4) and
+the manifest with the all-or-nothing label rule (O2 / P8) come from the
+listing, so each image is transformed and written exactly once.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.images import drop_failed, read_images, transform_images
-from ..operators.labels import assert_uniform_square
+from ..operators.images import read_images, transform_images
+from ..operators.labels import assert_uniform_square, read_label_manifest
 from ..operators.scoring import encode_images
-from ..sinks.writers import write_array_files, write_image_files, write_manifest
-from ..operators.labels import read_label_manifest
-from ..sources.files import scan_images
+from ..session import stage
+from ..sinks.writers import write_array_sets, write_image_files, write_manifest
+from ..sources.files import manifest_files, open_dataset, path_exists, unpack_archives
+
+
+def _empty_folder(spark: SparkSession, dest: str) -> None:
+    """O1: the destination folder must not hold files."""
+    if path_exists(spark, dest) and spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+            .load(dest).select("path").limit(1).count():
+        raise ValueError(f"destination folder is not empty: {dest}")
 
 
 def convert_dataset(spark: SparkSession, source: str, dest: str, transform: str | None = None,
                     width: int | None = None, height: int | None = None,
                     max_images: int | None = None) -> DataFrame:
-    """Convert the image folder ``source`` into ``dest``; returns the written
-    rows ``(idx, archive_path, label)`` (the quarantine goes to ``dest/_rejected``)."""
-    listed = scan_images(spark, source, max_images)
-    pixels = read_images(spark, source, "path", recursive=True)
+    """Convert ``source`` (an image folder, or ``.zip`` archives) into ``dest``;
+    returns the written rows ``(idx, archive_path, label)``.  Images that do
+    not decode or are rejected go to ``dest/_rejected`` as ``(idx, source, error)``."""
+    _empty_folder(spark, dest)
+    listed = open_dataset(spark, source, max_images)
+    if "member" in listed.columns:
+        listed, folder = unpack_archives(spark, listed)
+    else:
+        folder = source
     # the listing and the decoder may spell file URIs differently: join on the bare path
     bare = lambda c: F.regexp_replace(F.col(c), "^file:/*", "/")
-    rows = (listed.select("idx", bare("path").alias("_p"), "label")
-            .join(pixels.select(bare("path").alias("_p"), "image"), "_p"))
-    out, bad = drop_failed(transform_images(rows.select("idx", "image"), transform, width, height))
-    bad.write.mode("overwrite").parquet(dest.rstrip("/") + "/_rejected")
-    sized = out.select("idx", F.col("image.width").alias("w"), F.col("image.height").alias("h"))
-    assert_uniform_square(sized)
-    written = write_image_files(out, dest)
-    labelled = written.join(rows.select("idx", "label"), "idx")
-    write_manifest(labelled, dest.rstrip("/") + "/dataset.json", single_document=True)
-    return labelled
+    listed = stage(listed.select("idx", bare("path").alias("source"), "label"), "convert-listing")
+    pixels = read_images(spark, folder, "path", recursive=True, keep_invalid=True).select(bare("path").alias("source"), "image")
+    rows = listed.select("idx", "source").join(pixels, "source", "left")
+    written = stage(write_image_files(transform_images(rows, transform, width, height), dest), "convert-written")
+    written = written.join(listed, "idx")
+    written.where("archive_path is null").select("idx", "source", "error").write.mode("overwrite").parquet(dest.rstrip("/") + "/_rejected")
+    good = written.where("archive_path is not null")
+    assert_uniform_square(good.select("idx", F.col("width").alias("w"), F.col("height").alias("h")))
+    good = good.select("idx", "archive_path", "label")
+    write_manifest(good, dest, documents=True)
+    return good
+
+
+def _converted(spark: SparkSession, converted: str) -> DataFrame:
+    imgs = read_images(spark, converted, "path", recursive=True)
+    return imgs.select(F.regexp_extract("path", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "image")
+
+
+def _with_labels(spark: SparkSession, converted: str, dest: str, written: DataFrame, name_col: str) -> DataFrame:
+    """Carry the labels of the converted manifest into ``dest``."""
+    names = manifest_files(spark, converted)
+    if names:
+        labels = read_label_manifest(spark, names).select(
+            F.regexp_extract("name", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "label")
+        out = written.join(labels, "idx", "left")
+    else:
+        out = written.withColumn("label", F.lit(None).cast("int"))
+    write_manifest(out, dest, name_col, documents=True)
+    return out
 
 
 def encode_dataset(spark: SparkSession, converted: str, dest: str, make_encoder, dim: int,
-                   kind: str = "latents", shape: tuple | None = None) -> DataFrame:
+                   kind: str = "latents", shape: tuple | None = None, dtype: str = "float32") -> DataFrame:
     """Encode a converted folder: decode its PNGs, run the user encoder (N1) in
     Arrow batches, write ``<prefix>/img-mean-std-<idx>.npy`` (or token files),
-    and carry the labels of the converted manifest into ``dest/dataset.json``.
-    Returns ``(idx, artifact_path, label)``."""
-    imgs = read_images(spark, converted, "path", recursive=True)
-    keyed = imgs.select(F.regexp_extract("path", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "image")
-    feats = encode_images(keyed, make_encoder, "idx", dim)
-    written = write_array_files(feats, dest, kind, "idx", "features", shape)
-    labels = read_label_manifest(spark, converted.rstrip("/") + "/dataset.json").select(
-        F.regexp_extract("name", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "label")
-    out = written.join(labels, "idx", "left")
-    write_manifest(out.withColumnRenamed("artifact_path", "archive_path"), dest.rstrip("/") + "/dataset.json",
-                   single_document=True)
-    return out
+    and carry the labels of the converted manifest into ``dest``.  Each image
+    is encoded exactly once.  Returns ``(idx, artifact_path, label)``."""
+    feats = encode_images(_converted(spark, converted), make_encoder, "idx", dim)
+    written = stage(write_array_sets(feats, dest, [(kind, "features", shape)], dtype=dtype), "encode-written")
+    return _with_labels(spark, converted, dest, written.withColumnRenamed(kind, "artifact_path"), "artifact_path")
 
 
 def encode_tokens_dataset(spark: SparkSession, converted: str, dest: str, make_encoder, tokens: int,
-                          width: int, registers: int = 4) -> DataFrame:
+                          width: int, registers: int = 4, dtype: str = "float32") -> DataFrame:
     """Token encoding: the encoder returns hidden states ``[1 + R + N, D]`` per image
     (flattened); the class token (V4: ``h[0]``) goes to ``..._cls.npy`` and the
-    patch tokens (``h[1 + R:]``) to ``..._patches.npy``, register tokens dropped.
-    Returns ``(idx, cls_path, patches_path)``."""
-    imgs = read_images(spark, converted, "path", recursive=True)
-    keyed = imgs.select(F.regexp_extract("path", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "image")
-    hidden = encode_images(keyed, make_encoder, "idx", tokens * width)
-    split = hidden.select("idx", F.slice("features", 1, width).alias("cls"),
-                          F.slice("features", (1 + registers) * width + 1, (tokens - 1 - registers) * width)
-                          .alias("patches"))
-    cls = write_array_files(split, dest, "cls", "idx", "cls").withColumnRenamed("artifact_path", "cls_path")
-    pat = write_array_files(split, dest, "patches", "idx", "patches",
-                            shape=(tokens - 1 - registers, width)).withColumnRenamed("artifact_path", "patches_path")
-    return cls.join(pat, "idx")
+    patch tokens (``h[1 + R:]``) to ``..._patches.npy``, register tokens dropped;
+    both are written in the pass that encodes.  The manifest names the class
+    files.  Returns ``(idx, cls_path, patches_path, label)``."""
+    hidden = encode_images(_converted(spark, converted), make_encoder, "idx", tokens * width)
+    n_patches = tokens - 1 - registers
+    split = hidden.select("idx", F.slice("features", 1, width).alias("cls_values"),
+                          F.slice("features", (1 + registers) * width + 1, n_patches * width).alias("patch_values"))
+    sets = [("cls", "cls_values", None), ("patches", "patch_values", (n_patches, width))]
+    written = stage(write_array_sets(split, dest, sets, dtype=dtype), "tokens-written")
+    written = written.withColumnsRenamed({"cls": "cls_path", "patches": "patches_path"})
+    return _with_labels(spark, converted, dest, written, "cls_path")

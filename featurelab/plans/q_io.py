@@ -39,7 +39,7 @@ def q_scan_images(spark, sf):
 
 def q_scan_images_manifest(spark, sf):
     root = MZ.write_image_folder(spark, sf, with_manifest=True)
-    return S.scan_images(spark, root, max_images=300).select("rel_path", "idx", "label")
+    return S.scan_images(spark, root).select("rel_path", "idx", "label")
 
 
 def q_read_pixels(spark, sf):
@@ -74,6 +74,42 @@ def q_convert_dataset(spark, sf):
     return labelled.join(back, "archive_path").select("archive_path", "label", "pixel_sum")
 
 
+def q_convert_roundtrip(spark, sf):
+    """Labels survive the conversion: the written folder (three copies of each
+    image, so more than one prefix folder) is scanned again."""
+    from .prepare import convert_dataset
+    src = MZ.write_image_folder(spark, sf, copies=3)
+    dest = MZ.fresh_folder(spark, "converted")
+    convert_dataset(spark, src, dest, "center-crop-dhariwal", 4, 4)
+    return S.scan_images(spark, dest).select("rel_path", "idx", "label")
+
+
+def q_convert_quarantine(spark, sf):
+    """Grey and alpha images become RGB; files that do not decode, and images too
+    small for the crop, are quarantined, none is lost."""
+    from .prepare import convert_dataset
+    src = MZ.write_image_folder(spark, sf, odd=True)
+    dest = MZ.fresh_folder(spark, "converted")
+    good = convert_dataset(spark, src, dest, "center-crop", 4, 4)
+    back = IM.read_images(spark, dest, "path", recursive=True).select(
+        F.regexp_extract("path", r"(\d{5}/img\d{8}\.png)$", 1).alias("archive_path"), "image")
+    bad = spark.read.parquet(dest + "/_rejected")
+    return good.join(back, "archive_path", "left").select("idx", F.col("image.nChannels").alias("channels"), F.lit(None).cast("string").alias("error")) \
+        .unionByName(bad.select("idx", F.lit(None).cast("int").alias("channels"), "error"))
+
+
+def q_convert_archive(spark, sf):
+    """The conversion from zip archives, labels from their own manifests."""
+    from .prepare import convert_dataset
+    src = MZ.write_archives(spark, sf)
+    dest = MZ.fresh_folder(spark, "converted")
+    labelled = convert_dataset(spark, src + "/*.zip", dest, "center-crop-dhariwal", 4, 4)
+    back = IM.read_images(spark, dest, "path", recursive=True).select(
+        F.regexp_extract("path", r"(\d{5}/img\d{8}\.png)$", 1).alias("archive_path"),
+        _pixel_sum(F.col("image.data")).alias("pixel_sum"))
+    return labelled.join(back, "archive_path").select("archive_path", "label", "pixel_sum")
+
+
 def q_encode_dataset(spark, sf):
     """The encoding flow after conversion: channel mean/std per image written as
     ``img-mean-std-<idx>.npy`` files, read back through the array ingest (S5)."""
@@ -99,7 +135,7 @@ def q_sample_batches(spark, sf):
     rgb = F.flatten(F.transform(px, lambda v: F.array(v, v, v)))
     samples = e.select(F.col("vec_id").alias("index"), rgb.alias("pixels"))
     dest = MZ.fresh_folder(spark, "samples")
-    W.write_array_batches(samples, dest, shape=(8, 8, 3), rows_per_file=64).collect()
+    W.write_array_batches(samples, dest, shape=(8, 8, 3), rows_per_file=64).agg(F.sum("rows")).collect()
     back = S.ingest_array_batches(spark, dest, "arr_0", batch_size=32)
     first = F.regexp_extract("path", r"samples-(\d+)\.npz$", 1).cast("bigint")
     return back.select((first + F.col("row")).alias("index"),
@@ -202,7 +238,7 @@ def q_write_manifest(spark, sf):
     folder = MZ.fresh_folder(spark, "manifest")
     idx = image_index(spark, sf).withColumn("archive_path", F.format_string("img%08d.png", "idx"))
     lab = idx.withColumn("label", (F.col("doc_id") % 5).cast("int"))
-    W.write_manifest(lab, folder + "/one", single_document=True)
+    W.write_manifest(lab, folder + "/one", documents=True, rows=100)
     W.write_manifest(lab, folder + "/lines")
     doc = spark.read.schema(L.MANIFEST_SCHEMA).json(folder + "/one")
     pairs = doc.select(F.posexplode("labels").alias("pos", "p")).select(
@@ -258,7 +294,7 @@ def q_score_in_pandas(spark, sf):
 def q_stream_moments(spark, sf):
     ev = ST.table_stream(spark, sf, "events.parquet")
     reports = fx.metric_reports_from(ev)
-    m = ST.run_available_now(ST.stream_metric_moments(reports), "fl_stream_moments")
+    m = ST.upsert_available_now(ST.stream_metric_moments(reports), ["name"], MZ.fresh_folder(spark, "moments") + "/v", "fl_moments")
     return M.metric_summary(m).select("name", "num", rnd("sum", 4).alias("sum"), rnd("sumsq", 2).alias("sumsq"),
                                       rnd("mean").alias("mean"), rnd("std").alias("std"))
 
@@ -304,6 +340,9 @@ def q_stream_images(spark, sf):
 QUERIES = {
     "io_sample_batches": q_sample_batches,
     "io_convert_dataset": q_convert_dataset,
+    "io_convert_roundtrip_labels": q_convert_roundtrip,
+    "io_convert_quarantine": q_convert_quarantine,
+    "io_convert_archive": q_convert_archive,
     "io_encode_dataset": q_encode_dataset,
     "io_stream_images": q_stream_images,
     "io_scan_images": q_scan_images,
@@ -351,6 +390,25 @@ t AS (SELECT idx, CAST(3 * sum(v) AS BIGINT) AS pixel_sum FROM b GROUP BY idx)
 SELECT substr(printf('%08d', i.idx), 1, 5) || '/img' || printf('%08d', i.idx) || '.png' AS archive_path,
        c.cls AS label, t.pixel_sum
 FROM i JOIN t USING (idx) JOIN c ON c.top = 'class_' || CAST(i.label AS VARCHAR)""",
+    "io_convert_roundtrip_labels": """WITH f AS (SELECT 'class_' || CAST(label AS VARCHAR) AS top,
+    'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '_' || CAST(k AS VARCHAR) || '.png' AS rel
+    FROM embeddings, range(0, 3) c(k)),
+i AS (SELECT *, row_number() OVER (ORDER BY rel) - 1 AS idx, dense_rank() OVER (ORDER BY top) - 1 AS cls FROM f)
+SELECT substr(printf('%08d', idx), 1, 5) || '/img' || printf('%08d', idx) || '.png' AS rel_path, idx, CAST(cls AS INTEGER) AS label FROM i""",
+    "io_convert_quarantine": """WITH i AS (SELECT vec_id, row_number() OVER (
+    ORDER BY 'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png') - 1 AS idx FROM embeddings)
+SELECT idx, CASE WHEN vec_id % 10 <> 3 THEN CAST(3 AS INTEGER) END AS channels,
+  CASE WHEN vec_id % 10 = 3 THEN 'missing or undecodable image' END AS error FROM i""",
+    "io_convert_archive": f"""WITH p AS (SELECT vec_id, {_PX} AS px,
+    'label_' || CAST(label AS VARCHAR) || '_' || CAST(vec_id % 2 AS VARCHAR) || '.zip' AS archive, 'img_' || CAST(vec_id AS VARCHAR) || '.png' AS member
+    FROM embeddings),
+i AS (SELECT *, row_number() OVER (ORDER BY archive, member) - 1 AS idx FROM p),
+b AS (SELECT idx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*xx + 2]
+                     + px[(2*yy+1)*8 + 2*xx + 1] + px[(2*yy+1)*8 + 2*xx + 2]) / 4.0, 0) AS v
+      FROM i, range(0, 4) r(yy), range(0, 4) s(xx)),
+t AS (SELECT idx, CAST(3 * sum(v) AS BIGINT) AS pixel_sum FROM b GROUP BY idx)
+SELECT substr(printf('%08d', idx), 1, 5) || '/img' || printf('%08d', idx) || '.png' AS archive_path,
+       CAST(vec_id % 3 AS INTEGER) AS label, pixel_sum FROM i JOIN t USING (idx)""",
     "io_encode_dataset": f"""WITH p AS (SELECT vec_id, {_PX} AS px,
     'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel FROM embeddings),
 i AS (SELECT *, row_number() OVER (ORDER BY rel) - 1 AS idx FROM p),
@@ -373,7 +431,7 @@ SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS idx,
     "io_scan_images_manifest": """SELECT rel_path, idx, label FROM (
   SELECT 'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel_path,
          row_number() OVER (ORDER BY 'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png') - 1 AS idx,
-         CAST(vec_id % 7 AS INTEGER) AS label FROM embeddings) WHERE idx < 300""",
+         CAST(vec_id % 7 AS INTEGER) AS label FROM embeddings)""",
     "io_read_pixels": f"""SELECT 'img_' || CAST(vec_id AS VARCHAR) || '.png' AS name, 8 AS height, 8 AS width,
   CAST(3 * list_sum({_PX}) AS BIGINT) AS pixel_sum FROM embeddings""",
     "io_transform_box": f"""WITH p AS (SELECT vec_id AS idx, {_PX} AS px FROM embeddings),

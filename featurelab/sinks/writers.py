@@ -1,12 +1,16 @@
 """Writing datasets, manifests, evaluation reports and metric logs.
 
-Atomic writes (O3) come from Spark's file commit protocol: task output is
-written to a temporary location and renamed on job commit, so readers never
-see partial files.
+Tables are written through Spark's file commit protocol.  Artifacts written as
+plain files by the tasks (images, arrays, manifests) go to a name of the task
+attempt's own first and are renamed when complete (O3), so a killed or
+speculative task never leaves part of a file under the final name.
 """
 from __future__ import annotations
 
+import json
+import os
 import struct
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import artifact_path
 from ..operators.labels import all_or_nothing_labels
 
-# Rows above which the single-document manifest is refused (use the JSON-lines form).
-SINGLE_DOCUMENT_ROW_LIMIT = 5_000_000
+# Rows of one manifest document; a manifest of more rows is several documents.
+MANIFEST_ROWS = 50_000
 REPORT_LINES = ("Inception Score", "FID", "sFID", "Precision", "Recall")
 
 
@@ -45,29 +49,44 @@ def manifest_frame(df: DataFrame, name_col: str = "archive_path", label_col: str
     return all_or_nothing_labels(df.select(F.col(name_col).alias("name"), F.col(label_col).alias("label")), "label")
 
 
+def local_root(dest: str) -> str:
+    """The mounted folder of a destination for files written by the tasks."""
+    return dest[len("file:"):] if dest.startswith("file:") else dest
+
+
+def write_file(path: str, data: bytes) -> None:
+    """O3: write under a name of this attempt's own, then rename."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    with open(own, "wb") as fh:
+        fh.write(data)
+    os.replace(own, path)
+
+
 def write_manifest(df: DataFrame, dest: str, name_col: str = "archive_path", label_col: str = "label",
-                   single_document: bool = False, idx_col: str = "idx") -> None:
-    """O2: the manifest.  JSON lines per partition by default (scales with the data);
-    ``single_document`` writes the ``{"labels": [[name, label], ...] | null}`` file,
-    built in one task and refused above ``SINGLE_DOCUMENT_ROW_LIMIT`` rows."""
+                   documents: bool = False, idx_col: str = "idx", rows: int = MANIFEST_ROWS) -> None:
+    """O2: the manifest.  JSON lines per partition by default; ``documents`` writes
+    files ``dest/dataset-NNNNN.json`` of ``{"labels": [[name, label], ...] | null}``,
+    in index order, ``rows`` rows each, in parallel: what :func:`scan_images` reads."""
     m = manifest_frame(df.select(idx_col, name_col, label_col), name_col, label_col)
-    if not single_document:
+    if not documents:
         m.write.mode("errorifexists").json(dest)
         return
-    n = df.count()
-    if n > SINGLE_DOCUMENT_ROW_LIMIT:
-        raise ValueError(f"{n} rows: write the JSON-lines manifest instead of one document")
-    ordered = df.select(idx_col, F.col(name_col).alias("name"), F.col(label_col).alias("label"))
-    # the document text as the source writes it: [name, int] pairs, ", " separators
-    name_json = F.regexp_replace(F.to_json(F.array(F.col("name"))), r"^\[|\]$", "")
-    pair = F.concat(F.lit("["), name_json, F.lit(", "), F.col("label").cast("string"), F.lit("]"))
-    doc = ordered.agg(
-        F.coalesce(F.bool_and(F.col("label").isNotNull()), F.lit(True)).alias("all"),
-        F.array_sort(F.collect_list(F.struct(F.col(idx_col), pair.alias("p")))).alias("pairs"))
-    text = F.when(F.col("all"), F.concat(F.lit('{"labels": ['),
-                                         F.array_join(F.transform("pairs", lambda x: x["p"]), ", "),
-                                         F.lit("]}"))).otherwise(F.lit('{"labels": null}'))
-    doc.select(text.alias("value")).coalesce(1).write.mode("errorifexists").text(dest)
+    labelled = df.agg(F.coalesce(F.bool_and(F.col(label_col).isNotNull()), F.lit(True)).alias("a")).first()["a"]
+    root = local_root(dest)
+    shard = F.floor(F.col(idx_col) / F.lit(rows)).cast("long")
+    src = df.select(shard.alias("shard"), F.col(idx_col).alias("idx"), F.col(name_col).alias("name"), F.to_json(
+        F.struct(F.col(label_col).alias("v"))).alias("label")).where("name is not null")
+
+    def write(key, pdf):
+        import pandas as pd
+        pairs = [[n, json.loads(v).get("v")] for n, v in zip(pdf.sort_values("idx")["name"], pdf.sort_values("idx")["label"])]
+        write_file(os.path.join(root, f"dataset-{int(key[0]):05d}.json"),
+                   json.dumps({"labels": pairs if labelled else None}).encode())
+        return pd.DataFrame({"shard": [int(key[0])], "rows": [len(pairs)]})
+
+    # one group is one document of at most `rows` rows
+    src.groupBy("shard").applyInPandas(write, "shard long, rows long").agg(F.sum("rows")).collect()
 
 
 def report_text(numbers: dict) -> str:
@@ -89,28 +108,35 @@ def write_metrics(df: DataFrame, dest: str, run: str) -> None:
 def write_image_files(df: DataFrame, dest: str, idx_col: str = "idx", image_col: str = "image") -> DataFrame:
     """O1 as files: each image becomes ``dest/<first 5 digits>/img<8 digits>.png``
     (uncompressed PNG), written by the task holding it.  Names are a function
-    of the index, so a retried task overwrites its own files.  Needs ``dest``
-    mounted on the executors (POSIX path).  Returns ``(idx, archive_path)``."""
-    import os
-
+    of the index, so a retried task replaces its own files.  Needs ``dest``
+    mounted on the executors (POSIX path).  Returns ``(idx, archive_path,
+    width, height, error)``, lazily: every action writes again, so stage it
+    once (:func:`featurelab.session.stage`).  Rows without an image (P3) have a
+    null path and keep their ``error``."""
     import pandas as pd
 
-    root = dest[len("file:"):] if dest.startswith("file:") else dest
+    root = local_root(dest)
+    has_error = "error" in df.columns
 
     def write(batches):
         for pdf in batches:
-            paths = []
-            for idx, im in zip(pdf[idx_col], pdf[image_col]):
+            out = []
+            for idx, im, error in zip(pdf[idx_col], pdf[image_col], pdf["error"]):
+                if im is None:
+                    out.append((idx, None, None, None, error or "missing or undecodable image"))
+                    continue
                 s = f"{int(idx):08d}"
                 rel = f"{s[:5]}/img{s}.png"
-                os.makedirs(os.path.join(root, s[:5]), exist_ok=True)
-                with open(os.path.join(root, rel), "wb") as fh:
-                    fh.write(png_bytes(bytes(im["data"]), im["width"], im["height"], im["nChannels"]))
-                paths.append(rel)
-            yield pd.DataFrame({idx_col: pdf[idx_col].values, "archive_path": paths})
+                w, h, channels = (int(im[c]) for c in ("width", "height", "nChannels"))  # floats where the column has nulls
+                write_file(os.path.join(root, rel), png_bytes(bytes(im["data"]), w, h, channels))
+                out.append((idx, rel, w, h, None))
+            yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=t) for i, (c, t) in enumerate(
+                [(idx_col, "int64"), ("archive_path", "object"), ("width", "Int32"), ("height", "Int32"), ("error", "object")])})
 
     key_type = df.schema[idx_col].dataType.simpleString()
-    return df.select(idx_col, image_col).mapInPandas(write, f"{idx_col} {key_type}, archive_path string")
+    error = F.col("error") if has_error else F.lit(None).cast("string").alias("error")
+    return df.select(idx_col, image_col, error).mapInPandas(
+        write, f"{idx_col} {key_type}, archive_path string, width int, height int, error string")
 
 
 def write_array_files(df: DataFrame, dest: str, kind: str = "latents", idx_col: str = "idx",
@@ -118,37 +144,41 @@ def write_array_files(df: DataFrame, dest: str, kind: str = "latents", idx_col:
                       dtype: str = "float32") -> DataFrame:
     """Per-row ``.npy`` artifacts named by the index (``artifact_path`` kinds
     ``latents``, ``cls``, ``patches``), written by the task holding the row;
-    deterministic names make retries overwrite.  Returns ``(idx, artifact_path)``."""
+    deterministic names make retries replace them.  Returns ``(idx,
+    artifact_path)``, lazily (see :func:`write_image_files`)."""
+    return write_array_sets(df, dest, [(kind, values_col, shape)], idx_col, dtype).withColumnRenamed(kind, "artifact_path")
+
+
+def write_array_sets(df: DataFrame, dest: str, sets: list[tuple[str, str, tuple | None]], idx_col: str = "idx",
+                     dtype: str = "float32") -> DataFrame:
+    """Several ``.npy`` artifacts per row in one pass: ``sets`` lists ``(kind,
+    column, shape)``.  Returns the index and one path column per kind."""
     import io as _io
-    import os
 
     import numpy as np
     import pandas as pd
 
     from ..functions.paths import ARTIFACT_FORMATS
 
-    root = dest[len("file:"):] if dest.startswith("file:") else dest
-    fmt = ARTIFACT_FORMATS[kind]
+    root = local_root(dest)
 
     def write(batches):
         for pdf in batches:
-            paths = []
-            for idx, vals in zip(pdf[idx_col], pdf[values_col]):
-                s = f"{int(idx):08d}"
-                rel = f"{s[:5]}/" + (fmt % s)
-                os.makedirs(os.path.join(root, s[:5]), exist_ok=True)
-                arr = np.asarray(vals, dtype=dtype)
-                if shape is not None:
-                    arr = arr.reshape(shape)
-                buf = _io.BytesIO()
-                np.save(buf, arr)
-                with open(os.path.join(root, rel), "wb") as fh:
-                    fh.write(buf.getvalue())
-                paths.append(rel)
-            yield pd.DataFrame({idx_col: pdf[idx_col].values, "artifact_path": paths})
+            paths: dict = {kind: [] for kind, _, _ in sets}
+            for kind, column, shape in sets:
+                for idx, vals in zip(pdf[idx_col], pdf[column]):
+                    s = f"{int(idx):08d}"
+                    rel = f"{s[:5]}/" + (ARTIFACT_FORMATS[kind] % s)
+                    arr = np.asarray(vals, dtype=dtype)
+                    buf = _io.BytesIO()
+                    np.save(buf, arr if shape is None else arr.reshape(shape))
+                    write_file(os.path.join(root, rel), buf.getvalue())
+                    paths[kind].append(rel)
+            yield pd.DataFrame({idx_col: pdf[idx_col].values, **paths})
 
     key_type = df.schema[idx_col].dataType.simpleString()
-    return df.select(idx_col, values_col).mapInPandas(write, f"{idx_col} {key_type}, artifact_path string")
+    columns = ", ".join(f"{kind} string" for kind, _, _ in sets)
+    return df.select(idx_col, *(c for _, c, _ in sets)).mapInPandas(write, f"{idx_col} {key_type}, {columns}")
 
 
 def write_array_batches(df: DataFrame, dest: str, idx_col: str = "index", values_col: str = "pixels",
@@ -160,12 +190,11 @@ def write_array_batches(df: DataFrame, dest: str, idx_col: str = "index", values
     The inverse of :func:`featurelab.sources.files.ingest_array_batches`; no
     task ever holds more than one shard.  Returns ``(file, first_index, rows)``."""
     import io as _io
-    import os
 
     import numpy as np
     import pandas as pd
 
-    root = dest[len("file:"):] if dest.startswith("file:") else dest
+    root = local_root(dest)
 
     def write(batches):
         rows, index = [], []
@@ -176,9 +205,7 @@ def write_array_batches(df: DataFrame, dest: str, idx_col: str = "index", values
             name = f"samples-{int(index[0]):09d}.npz"
             buf = _io.BytesIO()
             np.savez(buf, **{member: np.stack(rows).astype(dtype).reshape((len(rows),) + tuple(shape))})
-            os.makedirs(root, exist_ok=True)
-            with open(os.path.join(root, name), "wb") as fh:
-                fh.write(buf.getvalue())
+            write_file(os.path.join(root, name), buf.getvalue())
             out = (name, int(index[0]), len(rows))
             rows.clear()
             index.clear()

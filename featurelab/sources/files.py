@@ -14,20 +14,21 @@ import io
 import json
 import os
 import re
+import uuid
 import zipfile
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import fnmatch_regex, is_image_path
 from ..operators.labels import labels_from_top_dir, read_label_manifest
 from ..operators.position import with_position
-from ..session import default_parallelism
+from ..session import default_parallelism, ensure_checkpoint_dir
 
-ARCHIVE_SCHEMA = "archive string, member string, content binary"
 ARRAY_SCHEMA = "path string, shape array<int>, dtype string, values array<double>"
 BATCH_SCHEMA = "path string, member string, row long, shape array<int>, values array<double>"
 DEFAULT_ARRAY_BATCH = 64
@@ -84,28 +85,35 @@ def scan_images(spark: SparkSession, root: str, max_images: int | None = None,
     return indexed.withColumn("label", F.lit(None).cast("int"))
 
 
-def _manifest_if_any(spark: SparkSession, root: str):
-    """Labels from ``dataset.json`` / ``dataset-*.json`` in ``root`` (any file system),
-    or None when there is no manifest or it holds no labels."""
+def manifest_files(spark: SparkSession, root: str) -> list[str]:
+    """``dataset.json`` / ``dataset-*.json`` in ``root`` (any file system), sorted."""
     base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "dataset*.json").load(base) \
-        if _exists(spark, base) else None
-    if found is None:
-        return None
-    names = [r["path"] for r in found.select("path").collect()  # manifest files only: a handful
-             if re.fullmatch(r"dataset(-[^/]*)?\.json", r["path"].rsplit("/", 1)[-1])]
+    if not path_exists(spark, base):
+        return []
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "dataset*.json").load(base)
+    # manifest files only: one per MANIFEST_ROWS images
+    return sorted(r["path"] for r in found.select("path").collect()
+                  if re.fullmatch(r"dataset(-[^/]*)?\.json", r["path"].rsplit("/", 1)[-1]))
+
+
+def _manifest_if_any(spark: SparkSession, root: str):
+    """Labels of the manifest in ``root``, or None when there is none or it holds no labels."""
+    names = manifest_files(spark, root)
     if not names:
         return None
-    manifest = read_label_manifest(spark, sorted(names))
+    manifest = read_label_manifest(spark, names)
     return None if manifest.limit(1).count() == 0 else manifest
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there; any other failure to look (permissions, I/O) is raised."""
     try:
         spark.read.format("binaryFile").load(path).select("path").limit(0).collect()
         return True
-    except Exception:  # noqa: BLE001 - missing path
-        return False
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or str(e)):
+            return False
+        raise
 
 
 # binaryFile ships a file as one value; Spark rejects values above 2 GB
@@ -126,24 +134,28 @@ def _open_archive(path, content):
     return io.BytesIO(content)
 
 
-def _explode_archives(batches):
-    """One archive in, one row per image member out (sorted by member name)."""
+def _archive_members(batches):
+    """The image members of each archive from its central directory; no member is read."""
     from ..functions.paths import IMAGE_EXTENSIONS
     exts = set(IMAGE_EXTENSIONS)
     for pdf in batches:
         contents = pdf["content"] if "content" in pdf else [None] * len(pdf)
         for path, content in zip(pdf["path"], contents):
             with _open_archive(path, content) as src, zipfile.ZipFile(src) as z:
-                names = sorted(n for n in z.namelist() if n.rsplit(".", 1)[-1].lower() in exts
-                               and not n.endswith("/"))
-                rows = []
-                for n in names:
-                    rows.append((path, n, z.read(n)))
-                    if len(rows) >= DEFAULT_ARRAY_BATCH:
-                        yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "member", "content"])
+                names = [n for n in z.namelist() if n.rsplit(".", 1)[-1].lower() in exts and not n.endswith("/")]
+            yield pd.DataFrame({"archive": path, "member": pd.Series(names, dtype="object")})
+
+
+def _read_members(batches):
+    """Bytes of the listed members, archive by archive, ``DEFAULT_ARRAY_BATCH`` at a time."""
+    for pdf in batches:
+        for archive, part in pdf.groupby("archive", sort=False):
+            content = part["content"].iloc[0] if "content" in part else None
+            with _open_archive(archive, content) as src, zipfile.ZipFile(src) as z:
+                for s in range(0, len(part), DEFAULT_ARRAY_BATCH):
+                    rows = part.iloc[s:s + DEFAULT_ARRAY_BATCH]
+                    yield pd.DataFrame({"archive": archive, "member": rows["member"].values, "idx": rows["idx"].values,
+                                        "label": rows["label"].values, "content": [z.read(n) for n in rows["member"]]})
 
 
 def _archive_labels(batches):
@@ -162,24 +174,58 @@ def _archive_labels(batches):
 
 
 def scan_image_archives(spark: SparkSession, pattern: str, max_images: int | None = None) -> DataFrame:
-    """Image members of zip archives, sorted by (archive, member); ``idx`` is the
-    position.  Labels only from a ``dataset.json`` inside the archive (no folder
-    fallback, as in the source).  Archives are not splittable: one task each.
-    Local archives are opened from disk in the task (``content`` is never
-    loaded as one value); other file systems ship the bytes."""
+    """Image members of zip archives, ``(archive, member, idx, label, path)``
+    sorted by (archive, member); ``idx`` is the position.  Labels only from a
+    ``dataset.json`` inside the archive (no folder fallback, as in the source).
+    Only names are numbered and shuffled; :func:`read_archive_members` reads the
+    bytes of what is still wanted.  ``path`` is the archive."""
     raw = spark.read.format("binaryFile").load(pattern)
     if _local_path(pattern) is None:
         _check_shippable(raw, "archive")
     cols = ["path"] if _local_path(pattern) is not None else ["path", "content"]
     listing = raw.select(*cols)
     listing = listing.repartition(default_parallelism(spark))  # spread files over the task slots
-    members = listing.mapInPandas(_explode_archives, ARCHIVE_SCHEMA)
-    indexed = with_position(members, ["archive", "member"], "idx")
+    indexed = with_position(listing.mapInPandas(_archive_members, "archive string, member string"), ["archive", "member"], "idx")
     if max_images is not None:
         indexed = indexed.where(F.col("idx") < F.lit(int(max_images)))
     labels = listing.mapInPandas(_archive_labels, "archive string, pos long, member string, label int")
     labels = labels.groupBy("archive", "member").agg(F.max_by("label", "pos").alias("label"))
-    return indexed.join(labels, ["archive", "member"], "left")
+    return indexed.join(labels, ["archive", "member"], "left").withColumn("path", F.col("archive"))
+
+
+def read_archive_members(spark: SparkSession, members: DataFrame) -> DataFrame:
+    """``(archive, member, idx, label, content)`` of listed members; a large archive is
+    read by several tasks, each taking a range of its members."""
+    rows = members.select("archive", "member", "idx", F.col("label").cast("double").alias("label"))
+    rows = rows.repartitionByRange(default_parallelism(spark), "idx")
+    first = members.select("archive").first()
+    if first is not None and _local_path(first["archive"]) is None:
+        whole = spark.read.format("binaryFile").load([r[0] for r in members.select("archive").distinct().collect()])
+        rows = rows.join(whole.select(F.col("path").alias("archive"), "content"), "archive")
+    out = rows.mapInPandas(_read_members, "archive string, member string, idx long, label double, content binary")
+    return out.withColumn("label", F.col("label").cast("int"))
+
+
+def unpack_archives(spark: SparkSession, members: DataFrame) -> tuple[DataFrame, str]:
+    """Write the listed members as files ``<idx div 1000>/<idx>.<ext>`` under the shared
+    checkpoint folder, for decoders that read files.  Returns ``(idx, path, label)`` and the folder."""
+    from ..session import stage
+    from ..sinks.writers import local_root, write_file
+    folder = f"{local_root(ensure_checkpoint_dir(spark)).rstrip('/')}/unpacked/{uuid.uuid4().hex}"
+    if "://" in folder:
+        folder = "/" + folder.split("://", 1)[1].lstrip("/")
+
+    def write(batches):
+        for pdf in batches:
+            paths = []
+            for idx, member, content in zip(pdf["idx"], pdf["member"], pdf["content"]):
+                paths.append(f"{folder}/{int(idx) // 1000:05d}/{int(idx):08d}.{member.rsplit('.', 1)[-1]}")
+                write_file(paths[-1], content)
+            yield pd.DataFrame({"idx": pdf["idx"], "path": paths, "label": pdf["label"]})
+
+    files = read_archive_members(spark, members).withColumn("label", F.col("label").cast("double"))
+    return stage(files.mapInPandas(write, "idx long, path string, label double"), "unpacked") \
+        .withColumn("label", F.col("label").cast("int")), folder
 
 
 def open_dataset(spark: SparkSession, source: str, max_images: int | None = None) -> DataFrame:
@@ -276,7 +322,7 @@ def load_npz_stats(spark: SparkSession, path: str, spatial: bool = False):
     fetched through Spark (any file system); its size is fixed by the feature
     width.  Returns None when the file or the keys are absent."""
     from ..operators.stats import FeatureStats
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return None
     row = spark.read.format("binaryFile").load(path).select("content").first()
     if row is None:
@@ -301,11 +347,8 @@ def load_or_compute_stats(features: DataFrame | None, stats_path: str | None = N
             return st
     elif stats_path:
         spark = (features.sparkSession if features is not None else SparkSession.getActiveSession())
-        try:
+        if path_exists(spark, stats_path):  # a missing table means compute
             t = spark.read.parquet(stats_path)
-        except Exception:  # noqa: BLE001 - missing table means compute
-            t = None
-        if t is not None:
             rows = sorted(t.select("i", "n", "mu", "sigma_row").collect(), key=lambda r: r["i"])
             if rows:
                 mu = np.array([r["mu"] for r in rows])
@@ -320,5 +363,5 @@ def save_stats(spark: SparkSession, stats, path: str) -> None:
     spark.createDataFrame(rows, "i int, n long, mu double, sigma_row array<double>").write.mode("overwrite").parquet(path)
 
 
-__all__ = ["list_files", "scan_images", "scan_image_archives", "open_dataset", "ingest_arrays",
+__all__ = ["list_files", "scan_images", "scan_image_archives", "read_archive_members", "unpack_archives", "open_dataset", "ingest_arrays",
            "ingest_array_batches", "scan_feature_set", "load_or_compute_stats", "save_stats"]

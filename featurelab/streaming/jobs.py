@@ -1,8 +1,10 @@
 """M1-M3: metric moments, step logs and encoding as Structured Streaming jobs.
 
-Checkpoints live under the session's ``spark.checkpoint.dir`` (shared storage
-on a cluster), one fresh folder per query run, so a restarted driver resumes
-with exactly-once progress.
+Every job takes ``checkpoint``: a stable folder on shared storage.  Starting
+the job again with the same folder resumes it - new files only, state and
+batch numbers kept - so nothing is encoded or counted twice.  Without one (a
+single run, as in the registered queries) a fresh folder under the session's
+``spark.checkpoint.dir`` is used, and a restart begins anew.
 """
 from __future__ import annotations
 
@@ -19,13 +21,15 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def table_stream(spark: SparkSession, folder: str, file_glob: str, max_files: int | None = None) -> DataFrame:
-    """Parquet files of ``folder`` matching ``file_glob`` as a stream (schema from a batch read)."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+def table_stream(spark: SparkSession, folder: str, name: str, max_files: int | None = None) -> DataFrame:
+    """Table ``folder/name`` as a stream, stored as one Parquet file or as a folder of
+    them (schema from a batch read).  ``name`` may hold wildcards."""
+    path = f"{folder.rstrip('/')}/{name}"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", int(max_files))
-    return r.parquet(folder)
+    # a stream source names a folder or a glob: the last letter as a class matches just this name
+    return r.parquet(path if any(c in name for c in "*?[{") else f"{path[:-1]}[{path[-1]}]")
 
 
 def stream_metric_moments(stream: DataFrame, keys=("name",), value_col: str = "value") -> DataFrame:
@@ -47,19 +51,6 @@ def stream_window_moments(stream: DataFrame, ts_col: str, window: str, delay: st
                                  value_col)
 
 
-def run_available_now(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drive a streaming aggregate over everything available, into a memory table.
-
-    Only for results bounded by the number of keys (moments per metric name).
-    """
-    spark = df.sparkSession
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", checkpoint_path(spark, name))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
-
-
 def upsert_available_now(df: DataFrame, keys: list[str], dest: str, name: str,
                          checkpoint: str | None = None) -> DataFrame:
     """Run an update-mode aggregate over what is available; each micro-batch's
@@ -100,7 +91,8 @@ def stream_step_logs(stream: DataFrame, late_steps: int = 1000, step_col: str =
             .select((F.unix_seconds("_fl_step_ts") - 1).alias(step_col), name_col, "mean", "n_ranks"))
 
 
-def stream_features(stream: DataFrame, score_udf, input_col: str, key_col: str, dest: str, name: str) -> None:
+def stream_features(stream: DataFrame, score_udf, input_col: str, key_col: str, dest: str, name: str,
+                    checkpoint: str | None = None) -> None:
     """M2: encode new rows once each as they arrive (N1 inside ``foreachBatch``),
     appending ``(key, features, batch)`` to Parquet; exactly-once progress comes
     from the checkpoint and the idempotent per-batch folder."""
@@ -111,7 +103,7 @@ def stream_features(stream: DataFrame, score_udf, input_col: str, key_col: str,
          .withColumn("_batch", F.lit(int(batch_id)))
          .write.mode("overwrite").parquet(f"{dest}/batch={batch_id}"))
 
-    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_path(spark, name))
+    q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint or checkpoint_path(spark, name))
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -128,7 +120,8 @@ def moments_summary(df: DataFrame) -> DataFrame:
 
 
 def stream_image_features(spark: SparkSession, folder: str, mode: str | None, width: int | None,
-                          height: int | None, make_encoder, dim: int, dest: str, name: str) -> DataFrame:
+                          height: int | None, make_encoder, dim: int, dest: str, name: str,
+                          checkpoint: str | None = None) -> DataFrame:
     """M2 from image files: new files are decoded (Spark's image source),
     cropped and resampled (G5, failures quarantined), encoded once each (N1)
     and appended per micro-batch; returns the ordered manifest ``(path, features)``."""
@@ -136,9 +129,10 @@ def stream_image_features(spark: SparkSession, folder: str, mode: str | None, wi
 
     from ..operators.images import IMAGE_STRUCT, drop_failed, from_spark_image, transform_images
     from ..operators.scoring import encode_images
+    from ..session import stage
 
     src = (spark.readStream.format("image").schema(ImageSchema.imageSchema)
-           .option("recursiveFileLookup", "true").option("dropInvalid", True).load(folder))
+           .option("recursiveFileLookup", "true").load(folder))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         imgs = batch.select(F.col("image.origin").alias("path"),
@@ -146,12 +140,13 @@ def stream_image_features(spark: SparkSession, folder: str, mode: str | None, wi
                                      F.col("image.nChannels").alias("nChannels"),
                                      F.col("image.data").alias("data")).alias("image"))
         rgb = imgs.mapInPandas(from_spark_image("image"), f"path string, image {IMAGE_STRUCT}")
-        good, bad = drop_failed(transform_images(rgb, mode, width, height, key_col="path"))
+        # staged: the transform runs once for the encoder and the quarantine
+        good, bad = drop_failed(stage(transform_images(rgb, mode, width, height, key_col="path"), "stream-images"))
         (encode_images(good, make_encoder, "path", dim).withColumn("_batch", F.lit(int(batch_id)))
          .write.mode("overwrite").parquet(f"{dest}/features/batch={batch_id}"))
         bad.write.mode("overwrite").parquet(f"{dest}/quarantine/batch={batch_id}")
 
-    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_path(spark, name))
+    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint or checkpoint_path(spark, name))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return features_manifest(spark, f"{dest}/features", "path").orderBy("path")

@@ -345,3 +345,34 @@ def test_wide_crop_canvas(spark):
     assert r["error"] is None and (r["image"]["height"], r["image"]["width"]) == (8, 8)
     out = np.frombuffer(r["image"]["data"], dtype=np.uint8).reshape(8, 8, 3)
     assert (out[:2] == 0).all() and (out[6:] == 0).all() and (out[2:6] == 200).all()
+
+
+def test_distance_tiles_stay_under_their_bound():
+    from featurelab.operators import distance as D
+    for rows, dim in ((10_000_000, 64), (10_000_000, 2048), (500, 64)):
+        block = -(-rows // D.auto_blocks(rows, dim, 64))
+        assert block * dim * 8 <= D.BLOCK_BYTES + 8 * dim
+        assert D.tile_rows(block) * block * 8 <= max(D.TILE_BYTES, 8 * block)
+
+
+def test_rows_without_features_take_no_part(spark):
+    from featurelab.operators import distance as D
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(19)]
+    df = spark.createDataFrame(rows + [(99, None)], "id long, features array<double>")
+    got = {r["id"]: round(r["radius"], 9) for r in D.knn_radii(df, ks=(3,)).collect()}
+    x = np.array([v for _, v in rows])
+    d = np.sort(((x[:, None] - x[None]) ** 2).sum(-1), axis=1)[:, 3]
+    assert got == {i: round(float(d[i]), 9) for i in range(19)}
+
+
+def test_recurrence_resets_and_small_coefficients():
+    from featurelab.operators.scan import _recur_var
+    x, one = np.arange(1.0, 5.0), np.ones(4)
+    assert _recur_var(x, np.array([0.0, 1, 1, 1]), one, float("nan")).tolist() == [1, 3, 6, 10]
+    a = np.full(200, 1e-6)
+    got, want, s = _recur_var(np.ones(200), a, np.ones(200), 1.0), [], 1.0
+    for _ in range(200):
+        s = 1e-6 * s + 1
+        want.append(s)
+    assert np.allclose(got, want)

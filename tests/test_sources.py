@@ -85,17 +85,53 @@ def test_png_roundtrip_through_spark_image_source(spark, tmp_path):
     np.testing.assert_array_equal(got, px)
 
 
-def test_manifest_single_document_all_or_nothing(spark, tmp_path):
+def test_manifest_documents_all_or_nothing(spark, tmp_path):
     df = spark.createDataFrame([(0, "a.png", 1), (1, "b.png", None)], "idx int, archive_path string, label int")
-    W.write_manifest(df, str(tmp_path / "m"), single_document=True)
-    doc = json.loads(spark.read.text(str(tmp_path / "m")).first()[0])
-    assert doc == {"labels": None}
-    ok = spark.createDataFrame([(1, "b.png", 2), (0, "a.png", 1)], "idx int, archive_path string, label int")
-    W.write_manifest(ok, str(tmp_path / "m2"), single_document=True)
-    doc = json.loads(spark.read.text(str(tmp_path / "m2")).first()[0])
-    assert doc == {"labels": [["a.png", 1], ["b.png", 2]]}
-    text = spark.read.text(str(tmp_path / "m2")).first()[0]
-    assert text == json.dumps({"labels": [["a.png", 1], ["b.png", 2]]})
+    W.write_manifest(df, str(tmp_path / "m"), documents=True)
+    assert json.loads((tmp_path / "m" / "dataset-00000.json").read_text()) == {"labels": None}
+    ok = spark.createDataFrame([(3, "d.png", 0), (1, "b.png", 2), (0, "a.png", 1), (2, "c.png", 5)], "idx int, archive_path string, label int")
+    W.write_manifest(ok, str(tmp_path / "m2"), documents=True, rows=3)
+    first, second = (json.loads((tmp_path / "m2" / f"dataset-0000{i}.json").read_text()) for i in (0, 1))
+    assert first == {"labels": [["a.png", 1], ["b.png", 2], ["c.png", 5]]} and second == {"labels": [["d.png", 0]]}
+    assert sorted(p.name for p in (tmp_path / "m2").iterdir() if not p.name.startswith(".")) == ["dataset-00000.json", "dataset-00001.json"]
+
+
+def test_flows_transform_and_encode_once(spark, tmp_path):
+    """Every call of the encoder leaves a mark per image; actions on the results write nothing again."""
+    from featurelab.plans.prepare import convert_dataset, encode_dataset
+    for i in range(6):
+        p = tmp_path / "src" / "ab"[i % 2] / f"{i}.png"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(W.png_bytes(bytes([40 * i]) * (8 * 8 * 3), 8, 8, 3))
+    (tmp_path / "src" / "a" / "x.png").write_bytes(b"broken")
+    (tmp_path / "src" / "b" / "y.webp").write_bytes(b"unknown")
+    marks = tmp_path / "marks"
+    marks.mkdir()
+    conv = str(tmp_path / "conv")
+    out = convert_dataset(spark, str(tmp_path / "src"), conv, "center-crop-dhariwal", 4, 4)
+    assert sorted((r["idx"], r["label"]) for r in out.collect()) == [(0, 0), (1, 0), (2, 0), (4, 1), (5, 1), (6, 1)]
+    when = {p: p.stat().st_mtime_ns for p in (tmp_path / "conv").rglob("*.png")}
+    out.count()
+    assert len(when) == 6 and when == {p: p.stat().st_mtime_ns for p in (tmp_path / "conv").rglob("*.png")}
+    bad = spark.read.parquet(conv + "/_rejected").collect()
+    assert sorted((r["idx"], r["source"].rsplit("/", 1)[1]) for r in bad) == [(3, "x.png"), (7, "y.webp")]
+    assert {r["rel_path"]: r["label"] for r in S.scan_images(spark, conv).collect()} == {r["archive_path"]: r["label"] for r in out.collect()}
+    with pytest.raises(ValueError, match="not empty"):
+        convert_dataset(spark, str(tmp_path / "src"), conv, "center-crop-dhariwal", 4, 4)
+
+    folder = str(marks)
+
+    def make():
+        def encode(x):
+            import os
+            import uuid
+            for _ in range(len(x)):
+                open(os.path.join(folder, f"e-{uuid.uuid4().hex}"), "w").close()
+            return x.reshape(len(x), -1)[:, :2]
+        return encode
+    enc = encode_dataset(spark, conv, str(tmp_path / "enc"), make, 2)
+    assert enc.count() == 6 and enc.where("label is null").count() == 0
+    assert len([p for p in marks.iterdir() if p.name.startswith("e-")]) == 6
 
 
 def test_report_text_order():
