@@ -177,3 +177,13 @@ def fnmatch_regex(pattern: str) -> str:
             out.append(re.escape(ch))
         i += 1
     return "^" + "".join(out) + "$"
+
+
+def latest_checkpoint(files, file_col: str = "file", pattern: str = CHECKPOINT_PATTERN):
+    """K4: the checkpoint file of the largest number among those whose whole name
+    fits ``pattern`` (its first group is the number): one row ``(latest, step,
+    n_matching)``, nulls and 0 when none fits."""
+    whole = f"^(?:{pattern})$"
+    fits = files.where(F.col(file_col).rlike(whole)).select(
+        F.col(file_col).alias("f"), F.regexp_extract(file_col, whole, 1).cast("double").alias("n"))
+    return fits.agg(F.max_by("f", "n").alias("latest"), F.max("n").cast("bigint").alias("step"), F.count(F.lit(1)).alias("n_matching"))

@@ -257,3 +257,13 @@ def unpatchify(tokens, p: int, c: int) -> Column:
         el = (F.pmod(y, F.lit(p)) * F.lit(p) + F.pmod(x, F.lit(p))) * F.lit(c) + ch
         return F.element_at(F.element_at(t, tok + 1), el + 1).cast("double")
     return F.transform(F.sequence(F.lit(0), F.lit(c) * checked * checked - 1), at)
+
+
+def shape_matches(shape, reference: list) -> Column:
+    """Equal rank, and every dimension that ``reference`` does not leave open (None) equal."""
+    shape = F.col(shape) if isinstance(shape, str) else shape
+    fits = [F.get(shape, F.lit(i)) == F.lit(int(r)) for i, r in enumerate(reference) if r is not None]
+    ok = F.size(shape) == F.lit(len(reference))
+    for f in fits:
+        ok = ok & F.coalesce(f, F.lit(False))
+    return ok

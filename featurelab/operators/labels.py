@@ -40,20 +40,30 @@ def resolve_manifest(pairs: DataFrame, pos_col: str = "pos", name_col: str = "na
     return pairs.groupBy(name_col).agg(F.max_by(F.col(label_col), F.col(pos_col)).alias(label_col))
 
 
-def read_label_manifest(spark, path: str) -> DataFrame:
+def read_label_manifest(spark, path, vectors: bool = False) -> DataFrame:
     """Read ``{"labels": [[name, label], ...] | null}`` documents into ``(name, label)``.
 
-    ``path`` may be one file or a glob of shards; later pairs win, ordered by
+    ``path`` may be one file, a glob of shards or a list of files; later pairs win, ordered by
     (file name, position).  A null ``labels`` yields no rows.  One JSON
     document is not splittable, so each document is one task; shards read in
-    parallel.
+    parallel.  Labels are whole numbers; ``vectors`` reads arrays of numbers as
+    ``array<double>`` (a number is an array of one).  A label of neither form is
+    an error, as a silent null would unlabel the data set.
     """
     raw = (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
            .select(F.input_file_name().alias("_file"), "labels"))
     pairs = raw.select("_file", F.posexplode("labels").alias("pos", "pair")).select(
         F.struct("_file", "pos").alias("pos"), F.element_at("pair", 1).alias("name"),
-        F.element_at("pair", 2).try_cast("int").alias("label"))
-    return resolve_manifest(pairs)
+        F.element_at("pair", 2).alias("text"))
+    text = F.col("text")
+    if vectors:
+        label = F.coalesce(F.from_json(F.when(text.startswith("["), text), "array<double>"),
+                           F.when(text.try_cast("double").isNotNull(), F.array(text.try_cast("double"))))
+    else:
+        label = text.try_cast("int")
+    kind = "numbers" if vectors else "whole numbers"
+    label = F.when(text.isNotNull() & label.isNull(), F.raise_error(F.concat(F.lit(f"manifest labels must be {kind}: "), text))).otherwise(label)
+    return resolve_manifest(pairs.withColumn("label", label))
 
 
 def attach_labels(samples: DataFrame, manifest: DataFrame, name_col: str = "name",

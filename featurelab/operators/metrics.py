@@ -165,6 +165,10 @@ def moments_delta(snapshots: DataFrame, keep_previous: bool = False, update_col:
                     F.col("d_sumsq").alias("sumsq")).select("*", *summary_columns())
 
 
+#: updates that one row of the snapshot grid expands to
+SNAPSHOT_BLOCK = 4096
+
+
 def cumulative_snapshots(reports: DataFrame, update_col: str = "update", name_col: str = "name",
                          value_col: str = "value") -> DataFrame:
     """Cumulative collector state after each update for every name seen so far.
@@ -176,8 +180,12 @@ def cumulative_snapshots(reports: DataFrame, update_col: str = "update", name_co
     per = metric_moments(reports, (update_col, name_col), value_col)
     last = per.agg(F.max(update_col).alias("m")).first()["m"]
     firsts = per.groupBy(name_col).agg(F.min(update_col).alias("_f"))
-    grid = firsts.select(name_col, F.explode(F.sequence(F.col("_f"), F.lit(last).cast(per.schema[update_col].dataType)))
-                         .alias(update_col))
+    # updates are generated block by block: names x blocks rows first, dealt over all tasks, then the updates of a block
+    kind = per.schema[update_col].dataType
+    step = F.lit(SNAPSHOT_BLOCK).cast(kind)
+    starts = firsts.where(F.col("_f") <= F.lit(last)).select(name_col, F.explode(F.sequence(F.col("_f"), F.lit(last).cast(kind), step)).alias("_b")) \
+        .repartition(name_col, "_b")
+    grid = starts.select(name_col, F.explode(F.sequence("_b", F.least(F.col("_b") + step - 1, F.lit(last).cast(kind)))).alias(update_col))
     dense = grid.join(per, [update_col, name_col], "left").na.fill(0, ["num", "sum", "sumsq"])
     cum = running_total(dense, [name_col], [update_col], ["num", "sum", "sumsq"], ["c_num", "c_sum", "c_sumsq"])
     return cum.select(update_col, name_col, F.col("c_num").cast("bigint").alias("num"),
@@ -189,12 +197,13 @@ def cadence(df: DataFrame, step_col: str, every: int) -> DataFrame:
     return df.where((F.pmod(F.col(step_col), F.lit(int(every))) == 0) & (F.col(step_col) > 0))
 
 
-def select_metrics(df: DataFrame, name_col: str = "name", prefixes=("loss", "time_")) -> DataFrame:
-    """Keep names starting with any prefix."""
-    cond = None
+def select_metrics(df: DataFrame, name_col: str = "name", prefixes=("loss", "time_"), regex: str | None = None) -> DataFrame:
+    """Keep names that start with any prefix, or, with ``regex``, whose whole name fits it."""
+    if regex is not None:
+        return df.where(F.col(name_col).rlike(f"^(?:{regex})$"))
+    cond = F.lit(False)
     for p in prefixes:
-        c = F.col(name_col).startswith(p)
-        cond = c if cond is None else (cond | c)
+        cond = cond | F.col(name_col).startswith(p)
     return df.where(cond)
 
 

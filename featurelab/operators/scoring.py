@@ -112,3 +112,19 @@ def channel_moments_encoder() -> Callable:
             return np.concatenate([f.mean(axis=1), f.std(axis=1)], axis=1)
         return enc
     return make
+
+
+def quadrant_token_encoder():
+    """A stand-in token encoder: nine tokens of width 2 per image - the mean, four
+    registers (zero), and for each quadrant its (mean, last pixel) of channel 0."""
+    def make():
+        def encode(x):
+            c = np.asarray(x, dtype=np.float64)[..., 0]
+            h, w = c.shape[1] // 2, c.shape[2] // 2
+            out = np.zeros((len(c), 9, 2))
+            out[:, 0] = c.mean(axis=(1, 2))[:, None]
+            for k, q in enumerate((c[:, :h, :w], c[:, :h, w:], c[:, h:, :w], c[:, h:, w:])):
+                out[:, 5 + k] = np.stack([q.mean(axis=(1, 2)), q[:, -1, -1]], axis=1)
+            return out.reshape(len(c), -1)
+        return encode
+    return make

@@ -5,8 +5,8 @@ Covariance is a two-level aggregate.  Each task turns its rows into a partial
 moments form that avoids the cancellation of raw moments), emitting ``D``
 rows ``(i, G[i, :])`` plus one row for the sums.  The merge groups by ``i``
 with ``Summarizer.sum`` (a partial-aggregating vector sum).  The input is
-coalesced to at most one partial per task slot first, so the shuffled bytes
-are ``slots * D^2`` whatever the row count is.  Only the final ``D x D``
+coalesced first to at most as many tasks as there are slots or shuffle
+partitions, so the shuffled bytes are ``tasks * D^2`` whatever the row count is.  Only the final ``D x D``
 matrix (fixed by the feature width) reaches the driver, and only where the
 matrix square root of the Frechet distance needs it.
 """
@@ -50,6 +50,12 @@ def feature_mean(df: DataFrame, feat_col: str = "features") -> DataFrame:
         .select(F.col("dim").cast("int"), "mean")
 
 
+def _scan_tasks(spark) -> int:
+    """Tasks that build partials: each sends D x D values, so their number is bounded, but
+    not by the slots alone, which dynamic allocation may report as very few at the start."""
+    return max(default_parallelism(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _shift_vector(df: DataFrame, feat_col: str) -> np.ndarray:
     row = df.select(_double_array(feat_col).alias("f")).where(F.col("f").isNotNull()).first()
     if row is None:
@@ -69,7 +75,7 @@ def gram_partials(df: DataFrame, feat_col: str = "features", max_tasks: int | No
         shift = _shift_vector(df, feat_col)
     k = shift.copy()
     d = len(k)
-    tasks = max_tasks or default_parallelism(spark)
+    tasks = max_tasks or _scan_tasks(spark)
     src = df.select(_double_array(feat_col).alias("f")).where(F.col("f").isNotNull())
     src = src.coalesce(tasks)  # no-op when there are already fewer partitions
 
@@ -121,7 +127,7 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
         if first is None:
             raise ValueError("feature statistics of an empty set")
         shifts.append(np.asarray(first[0], dtype=np.float64))
-    tasks = max_tasks or default_parallelism(spark)
+    tasks = max_tasks or _scan_tasks(spark)
     src = src.coalesce(tasks)  # no-op when there are already fewer partitions
     ncol = len(feat_cols)
 

@@ -144,24 +144,23 @@ def write_npy_files(spark: SparkSession, sf: str) -> str:
     return root
 
 
-def write_npz_batches(spark: SparkSession, sf: str, parts: int = 4) -> str:
-    """``part_<p>.npz`` with member ``arr_0`` of shape ``[N_p, 65]``: vec_id then the embedding."""
-    root = fresh_folder(spark, "npz")
-    e = _emb(spark, sf).repartition(parts, F.pmod("vec_id", F.lit(parts)))
+NPZ_ROWS = 256
 
-    def write(batches):
-        rows = []
-        for pdf in batches:
-            for vid, emb in zip(pdf["vec_id"], pdf["embedding"]):
-                rows.append(np.concatenate([[float(vid)], np.asarray(emb, dtype=np.float64)]))
-        if rows:
-            arr = np.vstack(rows)
-            buf = io.BytesIO()
-            np.savez(buf, arr_0=arr)
-            part = int(arr[0, 0]) % parts  # deterministic name: a retried task overwrites its file
-            with open(os.path.join(root, f"part_{part}.npz"), "wb") as fh:
-                fh.write(buf.getvalue())
-        yield pd.DataFrame({"n": [len(rows)]})
 
-    e.mapInPandas(write, "n long").collect()
+def write_npz_batches(spark: SparkSession, sf: str, parity: int | None = None) -> str:
+    """``part_<p>.npz`` with member ``arr_0`` of shape ``[N_p, 65]``: vec_id then the
+    embedding, ``NPZ_ROWS`` ids per file (of ids of one ``parity``, if given)."""
+    root = fresh_folder(spark, "npz")
+    e = _emb(spark, sf) if parity is None else _emb(spark, sf).where(F.pmod("vec_id", F.lit(2)) == parity)
+    e = e.withColumn("part", F.floor(F.col("vec_id") / F.lit(NPZ_ROWS)))
+
+    def write(key, pdf):
+        pdf = pdf.sort_values("vec_id")
+        arr = np.column_stack([pdf["vec_id"].to_numpy(np.float64), np.vstack(pdf["embedding"].tolist()).astype(np.float64)])
+        buf = io.BytesIO()
+        np.savez(buf, arr_0=arr)
+        write_file(os.path.join(root, f"part_{int(key[0]):06d}.npz"), buf.getvalue())  # a retried task replaces its file
+        return pd.DataFrame({"n": [len(arr)]})
+
+    e.groupBy("part").applyInPandas(write, "n long").agg(F.sum("n")).collect()
     return root

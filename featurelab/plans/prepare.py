@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.images import read_images, transform_images
-from ..operators.labels import assert_uniform_square, read_label_manifest
+from ..operators.align import missing_siblings
+from ..operators.labels import assert_uniform_square, attach_labels, read_label_manifest
+from ..operators.position import with_position
 from ..operators.scoring import encode_images
 from ..session import stage
 from ..sinks.writers import write_array_sets, write_image_files, write_manifest
-from ..sources.files import manifest_files, open_dataset, path_exists, unpack_archives
+from ..sources.files import (ingest_arrays, list_files, manifest_files, open_dataset, path_exists, scan_feature_set, scan_images,
+                              unpack_archives)
 
 
 def _empty_folder(spark: SparkSession, dest: str) -> None:
@@ -98,3 +101,43 @@ def encode_tokens_dataset(spark: SparkSession, converted: str, dest: str, make_e
     written = stage(write_array_sets(split, dest, sets, dtype=dtype), "tokens-written")
     written = written.withColumnsRenamed({"cls": "cls_path", "patches": "patches_path"})
     return _with_labels(spark, converted, dest, written, "cls_path")
+
+
+def load_training_set(spark: SparkSession, images: str, latents: str, tokens: str | None = None,
+                      vector_labels: bool = False) -> DataFrame:
+    """The training set of written artifacts, aligned by sorted position.
+
+    ``(idx, image, label, latents, latent_shape)`` and, with ``tokens``,
+    ``cls, patches, patch_shape``; arrays are row-major values.  It is an error
+    if the folders hold different numbers of samples, if the latents' manifest
+    is missing or leaves a file without a label (J2), or if a class file has no
+    patches (J3).
+    """
+    img = scan_images(spark, images, use_dir_labels=False).select("idx", F.col("rel_path").alias("image"))
+    lat = with_position(list_files(spark, latents).where(F.lower("rel_path").endswith(".npy")), "rel_path", "idx").select("idx", "rel_path", "path")
+    sides = {"images": img, "latents": lat}
+    if tokens:
+        sides["tokens"] = tok = scan_feature_set(spark, tokens).select("idx", F.col("path").alias("cls_file"), "sibling")
+        lone = missing_siblings(*[list_files(spark, tokens).select(F.col("rel_path").alias("path"))] * 2).limit(5).collect()
+        if lone:
+            raise FileNotFoundError(f"class files without patches: {[r[0] for r in lone]}")
+    counts = {name: df.count() for name, df in sides.items()}
+    if len(set(counts.values())) != 1:
+        raise ValueError(f"the folders hold different numbers of samples: {counts}")
+    names = manifest_files(spark, latents)
+    if not names:
+        raise FileNotFoundError(f"no dataset.json in {latents}")
+    labels = read_label_manifest(spark, names, vectors=vector_labels).withColumnRenamed("name", "rel_path")
+    lat = attach_labels(lat, labels, "rel_path", strict=True)
+    bare = lambda c: F.regexp_replace(F.col(c), "^file:/*", "/")
+    arrays = lambda folder: ingest_arrays(spark, folder, recursive=True).select(bare("path").alias("file"), "shape", "values")
+    lat = lat.withColumn("file", bare("path")).join(arrays(latents), "file") \
+        .select("idx", "label", F.col("values").alias("latents"), F.col("shape").alias("latent_shape"))
+    out = img.join(lat, "idx")
+    if tokens:
+        read = arrays(tokens)
+        tok = tok.withColumn("file", bare("cls_file")).join(read.select("file", F.col("values").alias("cls")), "file").drop("file")
+        tok = tok.withColumn("file", bare("sibling")).join(
+            read.select("file", F.col("values").alias("patches"), F.col("shape").alias("patch_shape")), "file")
+        out = out.join(tok.select("idx", "cls", "patches", "patch_shape"), "idx")
+    return out

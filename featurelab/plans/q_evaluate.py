@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import distance, stats
 from . import evaluate
+from .sqltext import frechet_sql
 from . import fixtures as fx
 
 R = 6  # digits kept in double outputs (both engines)
@@ -135,7 +136,7 @@ def q_fid(spark, sf):
 
 
 def q_evaluation_report(spark, sf):
-    return evaluate.evaluation_report(spark, sf)
+    return evaluate.evaluation_report(spark, sf).withColumn("value", rnd("value", R))
 
 
 QUERIES = {
@@ -300,6 +301,17 @@ SELECT 'sample' AS side, sid AS id, bool_or(d <= rr) AS inside FROM pd GROUP BY
 UNION ALL SELECT 'ref', rid, bool_or(d <= sr) FROM pd GROUP BY rid
 """)
 
+FID_SQL = "WITH RECURSIVE " + frechet_sql("f", 64) + """
+SELECT round0(fid, 6) AS fid, abs(self_fid) < 1e-9 AS self_is_zero FROM fid_f"""
+
+#: the five numbers as ``(o, metric, value)``; ``columns`` picks from them
+REPORT_SQL = ("WITH RECURSIVE " + frechet_sql("f", 64) + "," + frechet_sql("s", 32) + ",\nis_ AS (" + _is_sql("WHERE id % 2 = 1", 5000)
+              + "),\npr_ AS (" + PR_SQL + """)
+SELECT {columns} FROM (
+  SELECT 0 AS o, 'Inception Score' AS metric, inception_score AS value FROM is_
+  UNION ALL SELECT 1, 'FID', round0(fid, 6) FROM fid_f UNION ALL SELECT 2, 'sFID', round0(fid, 6) FROM fid_s
+  UNION ALL SELECT 3, 'Precision', precision FROM pr_ UNION ALL SELECT 4, 'Recall', recall FROM pr_)""")
+
 ORACLES = {
     "eval_membership_flags": MEMBERSHIP_SQL,
     "eval_knn_radii": KNN_SQL,
@@ -321,4 +333,6 @@ ORACLES = {
     "eval_probs": PROBS_LONG_SQL,
     "eval_linear_softmax": PROBS_LONG_SQL,
     "eval_grouped_stats": GROUPED_STATS_SQL,
+    "eval_fid": FID_SQL,
+    "eval_report": REPORT_SQL.format(columns="CAST(o AS INTEGER) AS metric_order, metric, value"),
 }

@@ -125,6 +125,37 @@ def q_encode_dataset(spark, sf):
                        rnd(F.element_at("values", 4), 4).alias("std_r"), F.size("values").alias("n"))
 
 
+def q_train_set(spark, sf):
+    """Converted images, their encodings and tokens written by the flows, read back as the training set."""
+    from .prepare import convert_dataset, encode_dataset, encode_tokens_dataset, load_training_set
+    conv, enc, tok = (MZ.fresh_folder(spark, x) for x in ("converted", "encoded", "tokens"))
+    convert_dataset(spark, MZ.write_image_folder(spark, sf), conv, "center-crop-dhariwal", 4, 4)
+    encode_dataset(spark, conv, enc, SC.channel_moments_encoder(), 6)
+    encode_tokens_dataset(spark, conv, tok, SC.quadrant_token_encoder(), 9, 2)
+    t = load_training_set(spark, conv, enc, tok)
+    return t.select("idx", "image", "label", rnd(F.element_at("latents", 1), 4).alias("mean_r"), F.size("latents").alias("n"),
+                    rnd(F.element_at("cls", 1), 4).alias("cls_0"), rnd(F.element_at("patches", 8), 4).alias("last_patch"),
+                    F.element_at("patch_shape", 1).alias("n_patches"))
+
+
+def q_eval_from_batches(spark, sf):
+    """The evaluation from ``.npz`` batches and an extractor; equals ``eval_report``."""
+    from .evaluate import REPORT_ORDER, evaluation_from_batches
+    ref, smp = (MZ.write_npz_batches(spark, sf, parity=p) for p in (0, 1))
+
+    def make():
+        import numpy as np
+
+        def extract(x):
+            v = x[:, 1:]
+            z = np.exp(20.0 * v[:, :10] - (20.0 * v[:, :10]).max(axis=1, keepdims=True))
+            return {"features": v, "spatial": v[:, :32], "probs": z / z.sum(axis=1, keepdims=True)}
+        return extract
+    nums = evaluation_from_batches(spark, ref, smp, make)
+    rows = [(i, name, float(nums[name])) for i, name in enumerate(REPORT_ORDER)]
+    return spark.createDataFrame(rows, "metric_order int, metric string, value double").withColumn("value", rnd("value"))
+
+
 def q_sample_batches(spark, sf):
     """Generation output: decoder values (the embedding) quantised to uint8 pixels
     (G8, truncating form), packed as sharded ``.npz`` sample batches and read
@@ -339,6 +370,8 @@ def q_stream_images(spark, sf):
 
 QUERIES = {
     "io_sample_batches": q_sample_batches,
+    "train_set_from_files": q_train_set,
+    "eval_from_batches": q_eval_from_batches,
     "io_convert_dataset": q_convert_dataset,
     "io_convert_roundtrip_labels": q_convert_roundtrip,
     "io_convert_quarantine": q_convert_quarantine,
@@ -390,6 +423,15 @@ t AS (SELECT idx, CAST(3 * sum(v) AS BIGINT) AS pixel_sum FROM b GROUP BY idx)
 SELECT substr(printf('%08d', i.idx), 1, 5) || '/img' || printf('%08d', i.idx) || '.png' AS archive_path,
        c.cls AS label, t.pixel_sum
 FROM i JOIN t USING (idx) JOIN c ON c.top = 'class_' || CAST(i.label AS VARCHAR)""",
+    "train_set_from_files": f"""WITH p AS (SELECT vec_id, label, {_PX} AS px,
+    'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel FROM embeddings),
+i AS (SELECT *, row_number() OVER (ORDER BY rel) - 1 AS idx, dense_rank() OVER (ORDER BY 'class_' || CAST(label AS VARCHAR)) - 1 AS cls FROM p),
+b AS (SELECT idx, cls, yy, xx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*xx + 2]
+                     + px[(2*yy+1)*8 + 2*xx + 1] + px[(2*yy+1)*8 + 2*xx + 2]) / 4.0, 0) AS v
+      FROM i, range(0, 4) r(yy), range(0, 4) s(xx))
+SELECT idx, substr(printf('%08d', idx), 1, 5) || '/img' || printf('%08d', idx) || '.png' AS image, CAST(max(cls) AS INTEGER) AS label,
+  round0(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 4) AS mean_r, 6 AS n, round0(CAST(CAST(avg(v) AS FLOAT) AS DOUBLE), 4) AS cls_0,
+  round0(max(v) FILTER (WHERE yy = 3 AND xx = 3), 4) AS last_patch, 4 AS n_patches FROM b GROUP BY idx""",
     "io_convert_roundtrip_labels": """WITH f AS (SELECT 'class_' || CAST(label AS VARCHAR) AS top,
     'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '_' || CAST(k AS VARCHAR) || '.png' AS rel
     FROM embeddings, range(0, 3) c(k)),
@@ -482,6 +524,12 @@ FROM ({fx.METRIC_REPORTS_SQL}) r JOIN events e USING (event_id) GROUP BY 1, 2"""
 
 
 def _late_oracles():
+    from .q_evaluate import REPORT_SQL
+    from .sqltext import frechet_sql
+    ORACLES["eval_from_batches"] = REPORT_SQL.format(columns="CAST(o AS INTEGER) AS metric_order, metric, value")
+    ORACLES["io_write_report"] = REPORT_SQL.format(columns="metric, value")
+    ORACLES["io_stats_roundtrip"] = "WITH RECURSIVE " + frechet_sql("f", 64) + """
+SELECT round0(fid, 6) AS fid, (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0) AS n_ref FROM fid_f"""
     from .q_metrics import CROSS_RANK_SQL, MOMENTS_SQL
     ORACLES["stream_moments"] = MOMENTS_SQL
     ORACLES["stream_step_logs"] = CROSS_RANK_SQL

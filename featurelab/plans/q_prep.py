@@ -164,12 +164,7 @@ def q_checkpoint_name(spark, sf):
 
 
 def q_latest_checkpoint(spark, sf):
-    c = fx.checkpoints(spark, sf)
-    pat = f"^(?:{P.CHECKPOINT_PATTERN})$"
-    num = F.regexp_extract("file", pat, 1)
-    m = c.where(F.col("file").rlike(pat)).select("file", num.cast("double").alias("n"))
-    return m.agg(F.max_by("file", "n").alias("latest"), F.max("n").cast("bigint").alias("step"),
-                 F.count(F.lit(1)).alias("n_matching"))
+    return P.latest_checkpoint(fx.checkpoints(spark, sf))
 
 
 def q_format_duration(spark, sf):

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions import images as G
 from ..functions import rng
 from ..functions import vectors as V
 from ..operators import sampling as S
@@ -179,10 +180,7 @@ def q_unpatchify(spark, sf):
 def q_shape_matches(spark, sf):
     """Rank equal and each non-null reference dimension equal."""
     ps = fx.param_shapes(spark, sf)
-    ref = F.array(F.lit(None).cast("bigint"), F.lit(3).cast("bigint"))
-    ok = (F.size("shape") == F.size(ref)) & F.forall(F.arrays_zip(F.col("shape").alias("s"), ref.alias("r")),
-                                                     lambda z: z["r"].isNull() | (z["s"] == z["r"]))
-    return ps.select("tensor_id", ok.alias("matches"))
+    return ps.select("tensor_id", V.shape_matches("shape", [None, 3]).alias("matches"))
 
 
 # ---------------------------------------------------------------- training set
@@ -232,8 +230,11 @@ def q_lookup_embedding(spark, sf):
 def q_collect_samples(spark, sf):
     n = fx.ref_features(spark, sf).count()
     man = S.generation_manifest(spark, n, 8, 16, SEED, 1000)
-    imgs = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("index"), "label")
-    return collect_samples(man, imgs, 100).select("index", "label")
+    e = fx.table(spark, sf, "embeddings")
+    imgs = e.select(F.col("vec_id").alias("index"), "label", G.quantize_pixels(F.col("embedding"), "truncate").alias("pixels"))
+    got = collect_samples(man, imgs, n, values_col="pixels")
+    return got.select("index", "label", F.size("pixels").alias("n_pixels"),
+                      F.aggregate("pixels", F.lit(0).cast("long"), lambda a, v: a + v).alias("pixel_sum"))
 
 
 def q_rng(spark, sf):
@@ -504,5 +505,7 @@ SELECT rq.j, rq.idx, rq.epoch, perm.id FROM rq JOIN perm USING (epoch, q)""",
     "train_pairs": _pairs_sql(),
     "gen_manifest": _manifest_sql(),
     "gen_lookup_embedding": _lookup_sql(),
-    "gen_collect_samples": """SELECT vec_id AS "index", label FROM embeddings WHERE vec_id < 100""",
+    "gen_collect_samples": """SELECT vec_id AS "index", label, len(embedding) AS n_pixels,
+  CAST(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: floor(least(greatest((v + 1.0) / 2.0 * 255.0, 0.0), 255.0)))) AS BIGINT) AS pixel_sum
+FROM embeddings WHERE vec_id < (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0)""",
 }

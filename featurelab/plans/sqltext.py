@@ -21,3 +21,41 @@ def expand_round0(sql: str) -> str:
         inner = expand_round0(sql[j + len(key):k - 1])
         out.append(f"(round({inner}) + 0.0)")
         i = k
+
+
+def _product(a: str, b: str, dim: int) -> str:
+    """Matrix product of two lists of rows."""
+    columns = f"list_transform(range(1, {dim + 1}), lambda j: list_transform({b}, lambda q: q[j]))"
+    return f"list_transform({a}, lambda r: list_transform({columns}, lambda c: list_dot_product(r, c)))"
+
+
+def frechet_sql(tag: str, dim: int, steps: int = 24) -> str:
+    """CTEs (for ``WITH RECURSIVE``) that end in ``fid_<tag>(fid, self_fid)``: the Fréchet
+    distance of the first ``dim`` features of odd against even ids.
+
+    ``tr (S1 S2)^1/2`` by the coupled Newton-Schulz iteration on the product
+    scaled by its norm; all of it is SQL over lists.
+    """
+    eye = f"list_transform(range(0, {dim}), lambda i: list_transform(range(0, {dim}), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))"
+    three = f"list_transform(range(1, {dim + 1}), lambda i: list_transform(range(1, {dim + 1}), lambda j: CASE WHEN i = j THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END - p[i][j]))"
+    half = "list_transform({0}, lambda r: list_transform(r, lambda v: v / 2.0))"
+    t = tag
+    return f"""
+e_{t} AS MATERIALIZED (SELECT vec_id AS id, vec_id % 2 AS side, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, {dim + 1}) r(i)),
+m_{t} AS MATERIALIZED (SELECT side, i, avg(v) AS mu, count(*) AS n FROM e_{t} GROUP BY side, i),
+d_{t} AS MATERIALIZED (SELECT id, side, i, v - mu AS v, n FROM e_{t} JOIN m_{t} USING (side, i)),
+c_{t} AS MATERIALIZED (SELECT a.side, a.i, b.i AS j, sum(a.v * b.v) / (max(a.n) - 1) AS s FROM d_{t} a JOIN d_{t} b ON a.id = b.id GROUP BY a.side, a.i, b.i),
+r_{t} AS (SELECT side, i, list(s ORDER BY j) AS r FROM c_{t} GROUP BY side, i),
+s_{t} AS MATERIALIZED (SELECT side, list(r ORDER BY i) AS s FROM r_{t} GROUP BY side),
+a_{t} AS MATERIALIZED (SELECT kind, a, sqrt(list_sum(list_transform(a, lambda r: list_sum(list_transform(r, lambda v: v * v))))) AS norm
+  FROM (SELECT x.side + y.side AS kind, {_product("x.s", "y.s", dim)} AS a FROM s_{t} x JOIN s_{t} y ON y.side = 0)),
+it_{t}(kind, k, norm, y, z) AS (
+  SELECT kind, 0, norm, list_transform(a, lambda r: list_transform(r, lambda v: v / norm)), {eye} FROM a_{t}
+  UNION ALL
+  SELECT kind, k + 1, norm, {half.format(_product("y", "t", dim))}, {half.format(_product("t", "z", dim))}
+  FROM (SELECT kind, k, norm, y, z, {three} AS t FROM (SELECT kind, k, norm, y, z, {_product("z", "y", dim)} AS p FROM it_{t} WHERE k < {steps}))),
+tr_{t} AS MATERIALIZED (SELECT kind, sqrt(norm) * list_sum(list_transform(range(1, {dim + 1}), lambda i: y[i][i])) AS root FROM it_{t} WHERE k = {steps}),
+q_{t} AS (SELECT sum(s) FILTER (WHERE side = 0 AND i = j) AS t0, sum(s) FILTER (WHERE side = 1 AND i = j) AS t1 FROM c_{t}),
+g_{t} AS (SELECT sum((a.mu - b.mu) * (a.mu - b.mu)) AS gap FROM m_{t} a JOIN m_{t} b ON a.i = b.i AND a.side = 0 AND b.side = 1),
+fid_{t} AS MATERIALIZED (SELECT gap + t0 + t1 - 2.0 * (SELECT root FROM tr_{t} WHERE kind = 1) AS fid, 2.0 * t0 - 2.0 * (SELECT root FROM tr_{t} WHERE kind = 0) AS self_fid
+  FROM q_{t}, g_{t})"""

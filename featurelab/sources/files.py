@@ -264,9 +264,9 @@ def _ingest_npy(batches):
         yield pd.DataFrame(rows, columns=["path", "shape", "dtype", "values"])
 
 
-def ingest_arrays(spark: SparkSession, pattern: str) -> DataFrame:
+def ingest_arrays(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
     """One ``.npy`` file per row: shape, dtype and row-major values (double)."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(pattern)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", recursive).load(pattern)
     return raw.select("path", "content").mapInPandas(_ingest_npy, ARRAY_SCHEMA)
 
 

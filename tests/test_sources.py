@@ -185,3 +185,55 @@ def test_encode_tokens_flow(spark, tmp_path):
     listing = S.list_files(spark, str(tmp_path / "tok"))
     assert missing_siblings(listing.select(F.col("rel_path").alias("path")),
                             listing.select(F.col("rel_path").alias("path"))).count() == 0
+
+
+def test_training_set_checks(spark, tmp_path):
+    from featurelab.operators.scoring import channel_moments_encoder, quadrant_token_encoder
+    from featurelab.plans.prepare import convert_dataset, encode_dataset, encode_tokens_dataset, load_training_set
+    for rel in ("a/1.png", "a/2.png", "b/3.png"):
+        p = tmp_path / "src" / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(W.png_bytes(bytes([int(rel[2]) * 20]) * (8 * 8 * 3), 8, 8, 3))
+    conv, enc, tok = (str(tmp_path / x) for x in ("conv", "enc", "tok"))
+    convert_dataset(spark, str(tmp_path / "src"), conv, "center-crop-dhariwal", 4, 4)
+    encode_dataset(spark, conv, enc, channel_moments_encoder(), 6)
+    encode_tokens_dataset(spark, conv, tok, quadrant_token_encoder(), 9, 2, dtype="float16")
+    rows = load_training_set(spark, conv, enc, tok).orderBy("idx").collect()
+    assert [(r["image"], r["label"], r["latents"][0], r["cls"][0], r["patch_shape"]) for r in rows] == [
+        (f"00000/img0000000{i}.png", label, v, v, [4, 2]) for i, label, v in ((0, 0, 20.0), (1, 0, 40.0), (2, 1, 60.0))]
+    # vector labels
+    manifest = tmp_path / "enc" / "dataset-00000.json"
+    pairs = json.loads(manifest.read_text())["labels"]
+    manifest.write_text(json.dumps({"labels": [[n, [0.1, float(v)]] for n, v in pairs]}))
+    assert [r["label"] for r in load_training_set(spark, conv, enc, vector_labels=True).orderBy("idx").collect()] == [[0.1, 0.0], [0.1, 0.0], [0.1, 1.0]]
+    with pytest.raises(Exception, match="whole numbers"):
+        load_training_set(spark, conv, enc).collect()
+    manifest.write_text(json.dumps({"labels": pairs[:2]}))
+    with pytest.raises(KeyError):
+        load_training_set(spark, conv, enc)
+    next((tmp_path / "tok").rglob("*0_patches.npy")).rename(tmp_path / "gone.npy")
+    with pytest.raises(FileNotFoundError, match="without patches"):
+        load_training_set(spark, conv, enc, tok)
+    next((tmp_path / "enc").rglob("*.npy")).rename(tmp_path / "gone2.npy")
+    with pytest.raises(ValueError, match="different numbers"):
+        load_training_set(spark, conv, enc)
+
+
+def test_conversion_from_zip(spark, tmp_path):
+    import zipfile
+
+    from featurelab.plans.prepare import convert_dataset
+    for k in range(2):
+        with zipfile.ZipFile(tmp_path / f"s{k}.zip", "w") as z:
+            for i in range(3):
+                z.writestr(f"m{i}.png", W.png_bytes(bytes([50 * k + 10 * i]) * (8 * 8 * 3), 8, 8, 3))
+            z.writestr("dataset.json", json.dumps({"labels": [[f"m{i}.png", i + 10 * k] for i in range(3)]}))
+    out = convert_dataset(spark, str(tmp_path / "s*.zip"), str(tmp_path / "conv"), "scale", 4, 4, max_images=5)
+    assert sorted((r["idx"], r["label"]) for r in out.collect()) == [(0, 0), (1, 1), (2, 2), (3, 10), (4, 11)]
+
+
+def test_metric_names_by_regex(spark):
+    from featurelab.operators.metrics import select_metrics
+    df = spark.createDataFrame([("loss",), ("loss_a",), ("time_x",), ("grad",)], "name string")
+    assert sorted(r[0] for r in select_metrics(df, regex="loss|grad").collect()) == ["grad", "loss"]
+    assert select_metrics(df, prefixes=()).count() == 0
