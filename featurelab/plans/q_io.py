@@ -22,6 +22,7 @@ from ..streaming import jobs as ST
 from . import fixtures as fx
 from . import materialize as MZ
 from .q_evaluate import rnd
+from .sqltext import resample_sql
 
 PROB_COLS = 10
 
@@ -60,6 +61,13 @@ def _byte_sum_impl(s):
     return pd.Series([int(np.frombuffer(b, dtype=np.uint8).sum(dtype=np.int64)) for b in s], dtype="int64")
 
 
+def _placed_sum_impl(s):
+    """Sum of the first channel's bytes, each times its place."""
+    import numpy as np
+    import pandas as pd
+    return pd.Series([int((np.frombuffer(b, np.uint8)[::3].astype(np.int64) * np.arange(1, len(b) // 3 + 1)).sum()) for b in s], dtype="int64")
+
+
 def q_convert_dataset(spark, sf):
     """The whole conversion flow (scan, folder labels, decode, box-halve to 4 x 4,
     uniform check, PNG files under 5-digit prefixes, manifest); the written
@@ -196,6 +204,25 @@ def q_transform_quarantine(spark, sf):
             .unionByName(c_ok.select(F.lit("crop").alias("mode"), "idx", F.lit(None).cast("string").alias("error"))))
 
 
+#: mode -> (width, height) on the 8 x 8 images
+PIXEL_MODES = {"scale": (5, 3), "center-crop": (5, 5), "center-crop-wide": (6, 4), "center-crop-dhariwal": (3, 3)}
+
+
+def q_transform_pixels(spark, sf):
+    """G5 on the plans G1-G4: pixels of every mode (Lanczos, and box halving then bicubic),
+    each weighted by its place, per image."""
+    root = MZ.write_image_folder(spark, sf)
+    imgs = IM.read_images(spark, root + "/*/*.png")
+    idx = imgs.select(F.regexp_extract("path", r"img_(\d+)\.png", 1).cast("bigint").alias("idx"), "image")
+    placed_sum = F.pandas_udf(_placed_sum_impl, "long")
+    parts = []
+    for mode, (w, h) in PIXEL_MODES.items():
+        out, _ = IM.drop_failed(IM.transform_images(idx, mode, w, h))
+        parts.append(out.select(F.lit(mode).alias("mode"), "idx", F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+                                placed_sum("image.data").alias("placed_sum")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def q_scan_archives(spark, sf):
     root = MZ.write_archives(spark, sf)
     a = S.scan_image_archives(spark, root + "/*.zip")
@@ -383,6 +410,7 @@ QUERIES = {
     "io_read_pixels": q_read_pixels,
     "io_transform_box": q_transform_box,
     "io_transform_quarantine": q_transform_quarantine,
+    "io_transform_pixels": q_transform_pixels,
     "io_scan_archives": q_scan_archives,
     "io_open_dataset": q_open_dataset,
     "io_read_manifest": q_read_manifest,
@@ -406,7 +434,31 @@ QUERIES = {
 # ---------------------------------------------------------------- oracles
 _PX = "list_transform(CAST(embedding AS DOUBLE[]), lambda v: CAST(floor((v + 1.0) * 127.5) AS BIGINT))"
 
+def _pixels_sql() -> str:
+    """Every mode: source pixels -> weights along rows and columns -> rounded pixels weighted by their place."""
+    cells = f"SELECT vec_id AS idx, y, x, px[y * 8 + x + 1]::DOUBLE AS v FROM (SELECT vec_id, {_PX} AS px FROM embeddings), range(0, 8) a(y), range(0, 8) b(x)"
+    even = lambda e: f"round_even({e}, 0)"
+
+    def resized(source, wx, wy):
+        return (f"SELECT s.idx, wy.o AS y, wx.o AS x, least(greatest({even('sum(s.v * wx.w * wy.w)')}, 0), 255) AS v "
+                f"FROM {source} s JOIN {wx} wx ON wx.i = s.x JOIN {wy} wy ON wy.i = s.y GROUP BY s.idx, wy.o, wx.o")
+
+    def placed(mode, table, width, height, top=0):
+        return (f"SELECT '{mode}' AS mode, idx, CAST({height} AS INTEGER) AS height, CAST({width} AS INTEGER) AS width, "
+                f"CAST(sum(v * ((y + {top}) * {width} + x + 1)) AS BIGINT) AS placed_sum FROM {table} GROUP BY idx")
+    return ("WITH " + ", ".join([
+        resample_sql("l85", 8, 5, "lanczos"), resample_sql("l83", 8, 3, "lanczos"), resample_sql("l86", 8, 6, "lanczos"),
+        resample_sql("l64", 6, 4, "lanczos"), resample_sql("b43", 4, 3, "bicubic"),
+        f"src AS MATERIALIZED ({cells})", "mid AS (SELECT idx, y - 1 AS y, x, v FROM src WHERE y BETWEEN 1 AND 6)",
+        f"half AS (SELECT idx, y // 2 AS y, x // 2 AS x, {even('avg(v)')} AS v FROM src GROUP BY idx, y // 2, x // 2)",
+        f"o1 AS ({resized('src', 'l85', 'l83')})", f"o2 AS ({resized('src', 'l85', 'l85')})",
+        f"o3 AS ({resized('mid', 'l86', 'l64')})", f"o4 AS ({resized('half', 'b43', 'b43')})"])
+        + "\n" + " UNION ALL ".join([placed("scale", "o1", 5, 3), placed("center-crop", "o2", 5, 5),
+                                     placed("center-crop-wide", "o3", 6, 6, 1), placed("center-crop-dhariwal", "o4", 3, 3)]))
+
+
 ORACLES = {
+    "io_transform_pixels": _pixels_sql(),
     "io_sample_batches": """SELECT vec_id AS "index",
   CAST(3 * list_sum(list_transform(CAST(embedding AS DOUBLE[]),
        lambda v: floor(least(greatest((v + 1.0) / 2.0 * 255.0, 0.0), 255.0)))) AS BIGINT) AS pixel_sum

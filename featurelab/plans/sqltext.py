@@ -59,3 +59,19 @@ q_{t} AS (SELECT sum(s) FILTER (WHERE side = 0 AND i = j) AS t0, sum(s) FILTER (
 g_{t} AS (SELECT sum((a.mu - b.mu) * (a.mu - b.mu)) AS gap FROM m_{t} a JOIN m_{t} b ON a.i = b.i AND a.side = 0 AND b.side = 1),
 fid_{t} AS MATERIALIZED (SELECT gap + t0 + t1 - 2.0 * (SELECT root FROM tr_{t} WHERE kind = 1) AS fid, 2.0 * t0 - 2.0 * (SELECT root FROM tr_{t} WHERE kind = 0) AS self_fid
   FROM q_{t}, g_{t})"""
+
+
+def resample_sql(name: str, n_in: int, n_out: int, kind: str) -> str:
+    """CTE ``name(o, i, w)``: the weights of a 1-D resize, from the kernels' definitions."""
+    support = {"lanczos": 3.0, "bicubic": 2.0}[kind]
+    scale = n_in / n_out
+    stretch = max(scale, 1.0)
+    sinc = "(CASE WHEN {0} = 0 THEN 1.0 ELSE sin(pi() * ({0})) / (pi() * ({0})) END)"
+    kernel = {"lanczos": f"CASE WHEN abs(x) < 3 THEN {sinc.format('x')} * {sinc.format('(x / 3.0)')} ELSE 0 END",
+              "bicubic": "CASE WHEN abs(x) < 1 THEN (1.5 * abs(x) - 2.5) * x * x + 1 "
+                         "WHEN abs(x) < 2 THEN -0.5 * (((abs(x) - 5) * abs(x) + 8) * abs(x) - 4) ELSE 0 END"}[kind]
+    center = f"((o + 0.5::DOUBLE) * {scale!r}::DOUBLE)"
+    reach = repr(support * stretch)
+    return f"""{name} AS (SELECT o, i, k / sum(k) OVER (PARTITION BY o) AS w FROM (SELECT o, i, {kernel} AS k FROM (
+  SELECT o, i, (i - {center} + 0.5) / {stretch!r}::DOUBLE AS x FROM range(0, {n_out}) a(o), range(0, {n_in}) b(i)
+  WHERE i >= greatest(trunc({center} - {reach} + 0.5), 0) AND i < least(trunc({center} + {reach} + 0.5), {n_in}))))"""
