@@ -120,9 +120,9 @@ def _bit_table(fps: DataFrame) -> np.ndarray:
     bits = min(MAX_BITS, max(16, int(n * 16).bit_length()))
     slot = F.col("fp").bitwiseAND(F.lit((1 << bits) - 1))
     words = fps.groupBy(F.shiftright(slot, 5).alias("w")) \
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 31 as int))")).alias("b")).toPandas()
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 31 as int))")).alias("b")).toArrow()
     table = np.zeros((1 << bits) >> 5, np.uint32)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).astype(np.uint32)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
     return table
 
 

@@ -128,8 +128,8 @@ def train(docs: DataFrame, where: Column | None = None) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(langs))])),
                                           pa.array(np.concatenate([total[at], n_docs]))], names=["cell", "n"])
 
-    got = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cell, n = got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    got = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cell, n = (got.column(c).to_numpy() for c in ("cell", "n"))
     counts = np.zeros(len(langs) * BUCKETS, np.int64)
     counts[cell[cell >= 0]] = n[cell >= 0]
     per_lang = np.zeros(len(langs), np.int64)

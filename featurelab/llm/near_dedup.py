@@ -45,8 +45,9 @@ K = 128
 HOT = 64
 #: up to so many ids (8 bytes each) a lookup of texts is a broadcast join, beyond it a shuffle join
 BROADCAST_IDS = 1_000_000
-#: at most so many crowded values (4 bytes each) are put last in the order of the lists; any choice of them is exact
-CROWDED = 1_000_000
+#: a value with more than 1 / CROWDED of all listed values goes last in the order of the lists, so at most this many
+#: (4 bytes each) are broadcast; any choice of them is exact
+CROWDED = 200_000
 #: fixed part of a similarity threshold in percent
 THRESHOLD = 85
 _SIGMAS = 7.0
@@ -277,9 +278,10 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_co
                         .select(F.col("row").alias("rep"), "doc_id", *key, "sketch"), "class-reps")
 
     # values that many sketches hold go last in the order; bounded, and any such set keeps the lists complete
-    crowded = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("m")).where(F.col("m") > HOT)
-    last = spark.sparkContext.broadcast(np.sort(np.array(
-        [r[0] for r in crowded.orderBy(F.desc("m"), "value").limit(CROWDED).collect()], np.int32)))
+    listed = reps.agg(F.sum(F.size("sketch")).alias("n")).first()["n"] or 0
+    crowded = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("m")) \
+        .where(F.col("m") > max(HOT, listed // CROWDED))
+    last = spark.sparkContext.broadcast(np.sort(crowded.select("value").toArrow().column(0).to_numpy().astype(np.int32)))
 
     def prefixes(it):
         for pdf in it:

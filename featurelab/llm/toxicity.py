@@ -153,9 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_r
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(pos[at]), pa.array(tot[at])], names=["cell", "pos", "tot"])
 
     got = rows.where("part <> 0").select("y", "text").mapInArrow(count, "cell long, pos long, tot long") \
-        .groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("tot").alias("tot")).toPandas()
+        .groupBy("cell").agg(F.sum("pos").alias("pos"), F.sum("tot").alias("tot")).toArrow()
     pos, tot = np.zeros(_SPAN, np.int64), np.zeros(_SPAN, np.int64)
-    pos[got["cell"]], tot[got["cell"]] = got["pos"], got["tot"]
+    cell = got.column("cell").to_numpy()
+    pos[cell], tot[cell] = got.column("pos").to_numpy(), got.column("tot").to_numpy()
     model = Model(pos, tot)
     shared = spark.sparkContext.broadcast(model)
 
@@ -172,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_r
                     [pa.array(y[i:j].astype(np.int32)), pa.array(ns, pa.int64()), pa.array(segs, pa.list_(pa.float64())),
                      pa.array(hist, pa.list_(pa.int64()))], names=["y", "n", "segs", "hist"])
 
-    cal = rows.where("part = 0").select("y", "text").mapInArrow(best, "y int, n long, segs array<double>, hist array<long>").toPandas()
+    cal = rows.where("part = 0").select("y", "text").mapInArrow(best, "y int, n long, segs array<double>, hist array<long>").toArrow().to_pandas()
     shared.unpersist()
     _calibrate(model, cal)
     return model
