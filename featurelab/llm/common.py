@@ -8,9 +8,17 @@ from ..session import ensure_checkpoint_dir, ship_package, stage
 __all__ = ["partitions", "prepare", "stage", "table"]
 
 
+#: rows of an Arrow batch: texts of some kB each, so that a worker holds tens of MB at a time
+BATCH_ROWS = 2048
+
+
 def prepare(spark: SparkSession) -> None:
+    """Shared folder, package on the workers, and Arrow batches of at most ``BATCH_ROWS`` rows."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def partitions(spark: SparkSession) -> int:
