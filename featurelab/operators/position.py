@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism, ensure_checkpoint_dir
+from ..session import default_parallelism, stage
 
 _PID, _MID, _OFF, _CNT = "_fl_pid", "_fl_mid", "_fl_off", "_fl_cnt"
 
@@ -35,11 +35,11 @@ def with_position(df: DataFrame, order, name: str = "pos",
                               int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # staged once: two evaluations of a range repartition may sample different
     # bounds (the sampler is seeded per plan), so counts and rows must come from
-    # the same materialised partitions (reliable checkpoint, survives lost executors)
-    ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id())).checkpoint(eager=True)
+    # the same written partitions.  As Parquet the counts read one column, and
+    # later steps only the columns they use; a lost executor costs a re-read.
+    tagged = stage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+                   .withColumn(_PID, F.spark_partition_id())
+                   .withColumn(_MID, F.monotonically_increasing_id()), "positions")
     # monotonically_increasing_id = (partition id << 33) + row index in partition
     local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
     counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
