@@ -45,9 +45,8 @@ K = 128
 HOT = 64
 #: up to so many ids (8 bytes each) a lookup of texts is a broadcast join, beyond it a shuffle join
 BROADCAST_IDS = 1_000_000
-#: a value with more than 1 / CROWDED of all listed values goes last in the order of the lists, so at most this many
-#: (4 bytes each) are broadcast; any choice of them is exact
-CROWDED = 200_000
+#: up to so many crowded values (4 bytes each) are broadcast to order the lists, beyond it they are joined
+CROWDED = 1_000_000
 #: fixed part of a similarity threshold in percent
 THRESHOLD = 85
 _SIGMAS = 7.0
@@ -277,11 +276,18 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_co
     reps = common.stage(known.join(classes.select(F.col("rep").alias("row")), "row")
                         .select(F.col("row").alias("rep"), "doc_id", *key, "sketch"), "class-reps")
 
-    # values that many sketches hold go last in the order; bounded, and any such set keeps the lists complete
-    listed = reps.agg(F.sum(F.size("sketch")).alias("n")).first()["n"] or 0
-    crowded = reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("m")) \
-        .where(F.col("m") > max(HOT, listed // CROWDED))
-    last = spark.sparkContext.broadcast(np.sort(crowded.select("value").toArrow().column(0).to_numpy().astype(np.int32)))
+    # values that many sketches hold go last in the order of the lists
+    crowded = common.stage(reps.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("m"))
+                           .where(F.col("m") > HOT).select("value"), "crowded")
+    ordered, last = reps.select("rep", "n", "sketch"), np.empty(0, np.int32)
+    if crowded.limit(CROWDED + 1).count() <= CROWDED:
+        last = np.sort(crowded.toArrow().column(0).to_numpy().astype(np.int32))
+    else:
+        flat = reps.select("rep", "n", F.posexplode("sketch").alias("at", "value")) \
+            .join(crowded.withColumn("late", F.lit(True)), "value", "left")
+        line = F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "at", "value")))
+        ordered = flat.groupBy("rep", "n").agg(F.transform(line, lambda x: x["value"]).alias("sketch"))
+    last = spark.sparkContext.broadcast(last)
 
     def prefixes(it):
         for pdf in it:
@@ -294,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_co
                 rows["need"].append(need)
             yield pd.DataFrame({"rep": pdf["rep"], "n": pdf["n"], **rows})
 
-    lists = reps.select("rep", "n", "sketch").mapInPandas(prefixes, "rep long, n long, values array<int>, size int, need int") \
+    lists = ordered.mapInPandas(prefixes, "rep long, n long, values array<int>, size int, need int") \
         .select("rep", "n", "size", "need", F.posexplode(F.col("values").cast("array<long>")).alias("place", "value"))
     # staged, so that both sides of the join are plain exchanges and a crowded value is split
     members = common.stage(lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "members")

@@ -80,10 +80,11 @@ def _variants(n, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("hot", [64, 4])
-def test_near_duplicates_match_brute_force(spark, edge_rows, monkeypatch, hot):
-    """Small and hot lists, sets below and above the sketch size, chains."""
+@pytest.mark.parametrize("hot, crowded", [(64, 10), (4, 10 ** 6), (4, 0)])
+def test_near_duplicates_match_brute_force(spark, edge_rows, monkeypatch, hot, crowded):
+    """Small and hot lists, sets below and above the sketch size, chains; crowded values broadcast and joined."""
     monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
     rows = edge_rows + [(1000 + i, t) for i, t in _variants(150)]
     rnd = random.Random(9)
     chain = [f"c{i}" for i in range(900)]
