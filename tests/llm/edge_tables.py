@@ -1,10 +1,6 @@
-import os
-import sys
-
+"""Small tables of odd rows: the fixtures that the tests of this folder import."""
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 PASSAGE = ("the quick survey of northern rivers shows that every second bridge was rebuilt after the long winter flood "
            "and that none of the older mills along the upper valley kept its wheel or its weir in working order today "
            "although several families still own the ground and plan to restore at least two of them before next spring")

@@ -4,6 +4,8 @@ import brute
 import numpy as np
 import pytest
 
+from edge_tables import edge_docs, edge_rows, no_docs  # noqa: F401
+
 from featurelab.llm import near_dedup, substring_dedup
 
 

@@ -3,6 +3,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from edge_tables import edge_docs, edge_rows, no_docs  # noqa: F401
+
 from featurelab.llm import decontam, langid, quality, toxicity
 
 SF = "/root/testdata/sf0.01"

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from edge_tables import edge_docs, edge_rows, no_docs  # noqa: F401
+
 from featurelab.llm import chat, html, packing, token_counts
 
 SF = "/root/testdata/sf0.001"

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_oracle import _rows
 
+from edge_tables import edge_docs, edge_rows, no_docs  # noqa: F401
+
 import __spark_entry__ as entry
 from featurelab.llm.queries import ORACLES, QUERIES
 
