@@ -121,12 +121,15 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
     sel = [F.col(set_col).cast("string").alias("_set") if set_col else F.lit(None).cast("string").alias("_set")]
     sel += [_double_array(c).alias(f"_f{j}") for j, c in enumerate(feat_cols)]
     src = df.select(*sel)
+    # one row gives the shifts of all columns; only if no row has them all, one row per column
+    names = [f"_f{j}" for j in range(len(feat_cols))]
+    row = src.select(*names).dropna().first()
     shifts = []
-    for j in range(len(feat_cols)):
-        first = src.select(f"_f{j}").where(F.col(f"_f{j}").isNotNull()).first()
+    for c in names:
+        first = row or src.select(c).where(F.col(c).isNotNull()).first()
         if first is None:
             raise ValueError("feature statistics of an empty set")
-        shifts.append(np.asarray(first[0], dtype=np.float64))
+        shifts.append(np.asarray(first[c], dtype=np.float64))
     tasks = max_tasks or _scan_tasks(spark)
     src = src.coalesce(tasks)  # no-op when there are already fewer partitions
     ncol = len(feat_cols)
