@@ -221,6 +221,22 @@ def test_blocks_of_a_marked_page():
     assert html.blocks("a < b <3 <p>c") == ["a < b <3", "c"]
 
 
+def test_left_out_elements_end_without_an_end_tag():
+    assert html.blocks('<article><h1>T</h1><p class="notice">N<p>One</p><p>Two</p></article>') == ["T", "One", "Two"]
+    assert html.blocks('<p class="ad">x<article><h1>T</h1><p>One</p></article><p>tail</p>') == ["T", "One"]
+    assert html.blocks('<ul><li class="ad">x<li>a<ul><li>b</ul><li class="promo">y</ul><p>c') == ["a", "b", "c"]
+    assert html.blocks('<dl><dt class="ad">x<dd>a<dt>b</dl>') == ["a", "b"]
+    assert html.blocks('<table><tr class="ad"><td>x<td>y<tr><td>a<td class="promo">z<td>b</table>c') == ["a", "b", "c"]
+    # the end of an element around it ends it too; an end tag inside it does not
+    assert html.blocks('<section><div class="ad">x<b>y</section><p>a') == ["a"]
+    assert html.blocks('<article><p class="notice">N</article><footer>f</footer>') == []
+    assert html.blocks('<b>s<div class="ad">x</b><p>y</p></div>a') == ["s", "a"]
+    assert html.blocks('<div class="ad"><ul><li>x<li>y</ul><p>z<div>u</div></div>a') == ["a"]
+    # a later element's end tag is not that of an open one
+    assert html.blocks("<nav>x<article>a</article><nav>y</nav>") == ["a"]
+    assert html.blocks("<nav>x<h1>y</h1><nav>z</nav></nav><p>a") == ["a"]
+
+
 def test_pages_give_their_documents(spark):
     sf = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
