@@ -57,25 +57,44 @@ def check_arguments(name: Column, arguments: Column, tools: dict[str, dict]) ->
     return F.when(~F.coalesce(known, F.lit(False)), F.lit("unknown tool")).otherwise(why)
 
 
+#: path lengths stop growing here: no chain of calls is as long, and only paths around a cycle get there
+_LONGEST = 1 << 40
+
+
 def _ordered(calls: DataFrame) -> DataFrame:
-    """``ord`` and ``level`` of each call from the calls it depends on; calls on a cycle have a null level."""
+    """``ord`` and ``level`` of each call from the calls it depends on; calls on a cycle have a null level.
+
+    ``level`` is the longest path of dependencies, ``ord`` the latest turn on
+    any.  Each round settles the calls whose needs are settled, and replaces a
+    need that has one need itself by that one, with the path's length and latest
+    turn; so a chain takes rounds in the logarithm of its length.
+    """
     key = ["conv_id", "call_id"]
     needs = calls.select(*key, F.explode("depends").alias("need")).where("need is not null").distinct()
     base = calls.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min("turn").alias("ord"))
     needs = needs.join(base.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_semi")
-    needs, base = common.stage(needs, "call-needs"), common.stage(base, "call-base")
+    base = common.stage(base, "call-base")
+    # paths from a call to a need: their length and the latest turn on them, without the need's
+    paths = common.stage(needs.join(base.withColumnRenamed("ord", "o"), key).select(*key, "need", F.lit(1).cast("long").alias("w"), "o"), "call-paths")
     # calls whose needs name no call of the conversation are free too
-    level = common.stage(base.join(needs.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0)), "call-level")
-    while True:  # one round per level of the longest chain
-        rest = needs.join(level.select(*key), key, "left_anti")
-        known = level.select("conv_id", F.col("call_id").alias("need"), F.col("ord").alias("o"), F.col("level").alias("l"))
-        ready = rest.join(known, ["conv_id", "need"], "left").groupBy(*key).agg(
-            F.max("o").alias("o"), F.max("l").alias("l"), F.count("l").alias("n"), F.count("*").alias("m")).where("n = m")
-        ready = common.stage(ready.join(base, key).select(*key, F.greatest("ord", "o").alias("ord"), (F.col("l") + 1).alias("level")), "call-ready")
+    level = common.stage(base.join(paths.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("long")), "call-level")
+    while True:
+        known = level.select("conv_id", F.col("call_id").alias("need"), F.col("ord").alias("known_o"), F.col("level").alias("l"))
+        ready = paths.join(known, ["conv_id", "need"], "left").groupBy(*key).agg(
+            F.max(F.greatest("o", "known_o")).alias("ord"), F.max(F.col("l") + F.col("w")).alias("level"),
+            F.count("l").alias("n"), F.count("*").alias("m")).where("n = m")
+        ready = common.stage(ready.select(*key, "ord", "level"), "call-ready")
         if ready.limit(1).count() == 0:
             return base.select(*key, F.col("ord").alias("own")).join(level, key, "left") \
                 .select(*key, F.coalesce("ord", "own").alias("ord"), "level")
         level = common.stage(level.unionByName(ready), "call-level")
+        rest = paths.join(ready.select(*key), key, "left_anti")
+        one = rest.groupBy(*key).agg(F.min("need").alias("far"), F.max("w").alias("far_w"), F.max("o").alias("far_o"), F.count("*").alias("m")) \
+            .where("m = 1").select("conv_id", F.col("call_id").alias("need"), "far", "far_w", "far_o")
+        step = rest.join(one, ["conv_id", "need"], "left")
+        length = F.least(F.col("w") + F.coalesce("far_w", F.lit(0)), F.lit(_LONGEST))
+        paths = common.stage(step.groupBy(*key, F.coalesce("far", "need").alias("need")).agg(
+            F.max(length).alias("w"), F.max(F.greatest("o", "far_o")).alias("o")), "call-paths")
 
 
 def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, tools: dict[str, dict]) -> DataFrame:

@@ -57,9 +57,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPLY_TOOL = {"reply": {"properties": {"n_chars": "integer", "request": "string"}, "required": ["n_chars", "request"]}}
 
 
-def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn is a call of the tool ``reply``, the assistant turn after it its result."""
-    c = table(spark, sf_dir, "conversations")
+def _exchanges(c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Other messages, calls and results: every user turn is a call of the tool ``reply``, the assistant turn after it its result."""
     ident = F.concat(F.col("conv_id").cast("string"), F.lit(":"))
     user, assistant = (F.coalesce(F.col("role") == r, F.lit(False)) for r in ("user", "assistant"))
     calls = c.where(user).select(
@@ -67,7 +66,19 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(F.col("text").alias("request"), F.length("text").alias("n_chars"))).alias("arguments"))
     results = c.where(assistant).select(
         "conv_id", "turn", F.concat(ident, (F.col("turn") - 1).cast("string")).alias("call_id"), "text")
-    return chat.link_tool_calls(c.where(~user & ~assistant), calls, results, REPLY_TOOL)
+    return c.where(~user & ~assistant), calls, results
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn is a call of the tool ``reply``, the assistant turn after it its result."""
+    return chat.link_tool_calls(*_exchanges(table(spark, sf_dir, "conversations")), REPLY_TOOL)
+
+
+def op8_chat_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op8_chat_formatting``, with every call depending on the calls of the two turns before it."""
+    messages, calls, results = _exchanges(table(spark, sf_dir, "conversations"))
+    before = [F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - k).cast("string")) for k in (1, 2)]
+    return chat.link_tool_calls(messages, calls.withColumn("depends", F.array(*before)), results, REPLY_TOOL)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +99,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_chat_formatting": op8_chat_formatting,
+    "op8_chat_dependencies": op8_chat_dependencies,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -178,6 +190,37 @@ SELECT conv_id, turn, 0, 0, turn, role, NULL, 'plain',
 FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
 
+#: a call's level is its place in its run of calls that are at most two turns apart
+_OP8_LEVELS_SQL = r"""
+WITH calls AS (
+  SELECT conv_id, turn, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id FROM conversations WHERE role = 'user'),
+results AS (
+  SELECT conv_id, turn, text, conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id FROM conversations WHERE role = 'assistant'),
+hc AS (SELECT conv_id, call_id, count(*) AS n_calls, min(turn) AS call_turn FROM calls GROUP BY ALL),
+hr AS (SELECT conv_id, call_id, count(*) AS n_results FROM results GROUP BY ALL),
+gap AS (SELECT conv_id, call_id, call_turn, CASE WHEN call_turn <= lag(call_turn) OVER (PARTITION BY conv_id ORDER BY call_turn) + 2 THEN 0 ELSE 1 END AS new
+        FROM hc WHERE call_id IS NOT NULL),
+run AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY call_turn) AS run FROM gap),
+lv AS (SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, run ORDER BY call_turn) - 1 AS level FROM run)
+SELECT conv_id, turn AS ord, coalesce(level, 0)::INTEGER AS level, 0::INTEGER AS step, turn, 'assistant' AS role, call_id,
+       CASE WHEN n_calls > 1 THEN 'ambiguous' WHEN text IS NULL THEN 'invalid: missing n_chars'
+            WHEN n_results > 0 THEN 'linked' ELSE 'unanswered' END AS status,
+       '{"role":"assistant","tool_calls":[{"arguments":'
+         || CASE WHEN text IS NULL THEN '{}' ELSE json_object('n_chars', length(text), 'request', text)::VARCHAR END
+         || ',' || substr(json_object('id', call_id, 'name', 'reply')::VARCHAR, 2) || ']}' AS message
+FROM calls LEFT JOIN hc USING (conv_id, call_id) LEFT JOIN hr USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, CASE WHEN n_calls = 1 THEN call_turn ELSE turn END, (CASE WHEN n_calls = 1 THEN coalesce(level, 0) ELSE 0 END)::INTEGER, 1, turn, 'tool', call_id,
+       CASE WHEN n_calls = 1 THEN 'linked' WHEN n_calls > 1 THEN 'ambiguous' ELSE 'orphan' END,
+       CASE WHEN text IS NULL THEN json_object('role', 'tool', 'tool_call_id', call_id)
+            ELSE json_object('content', text, 'role', 'tool', 'tool_call_id', call_id) END::VARCHAR
+FROM results LEFT JOIN hc USING (conv_id, call_id) LEFT JOIN lv USING (conv_id, call_id)
+UNION ALL
+SELECT conv_id, turn, 0, 0, turn, role, NULL, 'plain',
+       CASE WHEN text IS NULL THEN json_object('role', role) ELSE json_object('content', text, 'role', role) END::VARCHAR
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+"""
+
 _OP1_SQL = r"""
 WITH t AS MATERIALIZED (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
@@ -216,6 +259,7 @@ ORACLES = {
     "op1_suffix_array_dedup": _OP1_SQL,
     "op4_minhash_near_dedup": _OP4_SQL,
     "op8_chat_formatting": _OP8_SQL,
+    "op8_chat_dependencies": _OP8_LEVELS_SQL,
     "op6_decontamination": _OP6_SQL,
     "op3_quality_rules": _OP3_SQL,
 }

@@ -193,6 +193,36 @@ def test_tool_calls_are_linked_checked_and_ordered(transcript):
     assert sum(r["conv_id"] == 6 for r in rows) == 2 and len(rows) == 25
 
 
+def test_order_of_calls_is_the_longest_path(spark):
+    """Chains, forks and cycles against a plain longest-path walk; a chain takes few rounds."""
+    rnd = random.Random(5)
+    calls = [(1, i, f"c{i}", [f"c{i - 1}"]) for i in range(300)] + [(None, 0, "c1", ["c2"]), (1, 7, None, ["c3"])]
+    for conv in range(2, 40):
+        n = rnd.randint(1, 12)
+        turns = rnd.sample(range(n), n)
+        back = rnd.random() < 0.3
+        calls += [(conv, turns[i], f"c{i}", [f"c{rnd.randint(-1, n if back else i - 1)}" for _ in range(rnd.choice([0, 1, 1, 1, 2, 3]))] + [None])
+                  for i in range(n)]
+    own = {(v, c): t for v, t, c, _ in calls if v is not None and c is not None}
+    needs = {(v, c): [(v, x) for x in d if (v, x) in own] for v, _, c, d in calls if (v, c) in own}
+    place = {}
+    while True:
+        new = {k: (max([own[k], *(place[x][0] for x in d)]), max([-1, *(place[x][1] for x in d)]) + 1)
+               for k, d in needs.items() if k not in place and all(x in place for x in d)}
+        if not new:
+            break
+        place |= new
+    rounds = []
+    staged, chat.common.stage = chat.common.stage, lambda df, name: rounds.append(name) or staged(df, name)
+    try:
+        got = chat._ordered(spark.createDataFrame(calls, "conv_id long, turn long, call_id string, depends array<string>")).collect()
+    finally:
+        chat.common.stage = staged
+    assert {(r["conv_id"], r["call_id"]): (r["ord"], r["level"]) for r in got} == {k: place.get(k, (own[k], None)) for k in own}
+    assert any(k not in place for k in own) and place[1, "c299"] == (299, 299)
+    assert rounds.count("call-ready") <= 24
+
+
 def test_chat_runs_no_python(transcript, capsys):
     chat.link_tool_calls(*chat.parse_transcript(transcript.drop("status")), TOOLS).explain()
     plan = capsys.readouterr().out

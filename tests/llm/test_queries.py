@@ -60,6 +60,14 @@ def test_op7_counts_add_up(spark):
     assert bad == 0 and got.count() == len(_texts())
 
 
+def test_op8_orders_the_calls_of_the_whole_table(spark):
+    calls = {(r["conv_id"], r["turn"]): r["level"] for r in QUERIES["op8_chat_dependencies"](spark, SF).where("step = 0 and role = 'assistant'").collect()}
+    want = {}
+    for conv, turn in sorted(duckdb.sql(f"select conv_id, turn from '{SF}/conversations.parquet' where role = 'user'").fetchall()):
+        want[conv, turn] = max(want.get((conv, turn - 1), -1), want.get((conv, turn - 2), -1)) + 1
+    assert calls == want and max(want.values()) > 1
+
+
 def test_op9_columns(spark):
     out = QUERIES["op9_html_extraction"](spark, SF)
     assert out.columns[:4] == ["page_id", "url", "text", "n_chars"]
