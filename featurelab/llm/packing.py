@@ -4,8 +4,9 @@ The pieces' length histogram has at most ``capacity`` rows, whatever the size
 of the corpus, so the packing itself is planned on the driver: the
 configuration linear program (how often to use which multiset of lengths) is
 solved by multiplicative weights, where each step prices the best
-configuration with a knapsack dynamic program, then rounded down and applied;
-what rounding leaves is solved again, and the last few pieces go best-fit.
+configuration with a knapsack dynamic program, until every length is covered;
+it is then rounded and applied, what rounding leaves is solved again, at every
+size of input, and the last few pieces go best-fit.
 The plan - configurations and counts, at most a few thousand - is broadcast,
 and every piece finds its place from its rank among the pieces of its length.
 
@@ -31,6 +32,10 @@ from . import common
 CAPACITY = 2048
 END_TOKEN = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: fixed value: a configuration filled less is left to best-fit
+FULL = 0.995
+#: fixed value: power of a length's share of the capacity that is its weight at first
+LONG_FIRST = 1.05
 #: pieces per rank group (window partition)
 RANK_GROUP = 100_000
 
@@ -97,14 +102,14 @@ def _best_configuration(value: np.ndarray, lengths: np.ndarray, capacity: int, l
     """
     f = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1)
+    by_length, place = np.full(capacity + 1, -1.0), np.full(capacity + 1, -1)
+    by_length[lengths], place[lengths] = value, np.arange(len(lengths))
     for c in range(1, capacity + 1):
-        m = int(np.searchsorted(lengths, c, "right"))
         f[c] = f[c - 1]
-        if m:
-            v = f[c - lengths[:m]] + value[:m]
-            b = int(v.argmax())
-            if v[b] > f[c] + 1e-12:
-                f[c], pick[c] = v[b], b
+        v = f[c - 1::-1] + by_length[1:c + 1]
+        b = int(v.argmax())
+        if v[b] > f[c] + 1e-12:
+            f[c], pick[c] = v[b], place[b + 1]
     out: dict[int, int] = {}
     c = capacity
     while c > 0:
@@ -128,11 +133,15 @@ def _solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int) -
     """Fractional configuration LP by multiplicative weights: ``[(configuration, times), ...]``.
 
     Each length is a covering row; its weight falls as configurations cover it.
+    Long pieces start a little above their share, so that short ones are left to fill up the last sequences.
+    At least ``steps`` steps, and as many as it takes to cover every length.
     """
-    weight = lengths / capacity
+    weight = (lengths / capacity) ** LONG_FIRST
     covered = np.zeros(len(lengths))
     found: dict[tuple, float] = {}
-    for _ in range(steps):
+    step = 0
+    while step < steps or not covered.all():
+        step += 1
         conf = _best_configuration(weight, lengths, capacity, counts)
         if not conf:
             break
@@ -146,29 +155,37 @@ def _solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, steps: int) -
     return [(dict(k), x / scale) for k, x in found.items()]
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 60, rounds: int = 8) -> list[tuple[list[int], int]]:
-    """``[(lengths of one sequence, how many such sequences), ...]`` that use every piece exactly once."""
+def _configurations(left: dict[int, int], capacity: int, steps: int, rounds: int) -> tuple[list[tuple[list[int], int]], dict[int, int]]:
+    """The sequences that the rounded LP fills, and the pieces it leaves."""
     plan: list[tuple[list[int], int]] = []
-    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
-    if left.get(capacity):
-        plan.append(([capacity], left.pop(capacity)))
     for _ in range(rounds):
-        if sum(left.values()) <= 2 * capacity:
+        if not left:
             break
         lengths = np.array(sorted(left))
         counts = np.array([left[x] for x in lengths])
         before = counts.sum()
         for conf, x in sorted(_solve(lengths, counts.copy(), capacity, steps),
                               key=lambda p: -sum(int(lengths[i]) * a for i, a in p[0].items())):
-            k = min([int(np.floor(x)), *(int(counts[i]) // a for i, a in conf.items())])
-            if k > 0 and sum(int(lengths[i]) * a for i, a in conf.items()) >= 0.995 * capacity:
+            # rounded to the nearest, at least one, while the pieces last
+            k = min([max(1, int(x + 0.5)), *(int(counts[i]) // a for i, a in conf.items())])
+            if k > 0 and sum(int(lengths[i]) * a for i, a in conf.items()) >= FULL * capacity:
                 plan.append(([int(lengths[i]) for i, a in conf.items() for _ in range(a)], k))
                 for i, a in conf.items():
                     counts[i] -= a * k
         left = {int(x): int(n) for x, n in zip(lengths, counts) if n}
-        if counts.sum() > 0.9 * before:
+        if counts.sum() == before:
             break
-    return plan + _best_fit(left, capacity)
+    return plan, left
+
+
+def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 60, rounds: int = 8) -> list[tuple[list[int], int]]:
+    """``[(lengths of one sequence, how many such sequences), ...]`` that use every piece exactly once."""
+    plan: list[tuple[list[int], int]] = []
+    left = {int(k): int(v) for k, v in histogram.items() if v > 0}
+    if left.get(capacity):
+        plan.append(([capacity], left.pop(capacity)))
+    full, left = _configurations(left, capacity, steps, rounds)
+    return plan + full + _best_fit(left, capacity)
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

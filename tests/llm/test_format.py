@@ -90,6 +90,21 @@ def test_plan_uses_every_piece_once(seed):
     assert len(hist) < 400 or waste < 1.01
 
 
+@pytest.mark.parametrize("most", [1, 6])
+def test_the_linear_program_places_most_pieces_at_every_size(most):
+    rnd = random.Random(most)
+    hist = {n: rnd.randint(1, most) for n in rnd.sample(range(1, 2048), 700)}
+    lengths = np.array(sorted(hist))
+    solved = packing._solve(lengths, np.array([hist[n] for n in lengths]), 2048, 60)
+    assert {i for conf, _ in solved for i in conf} == set(range(len(lengths)))
+    full, left = packing._configurations(dict(hist), 2048, 60, 8)
+    assert sum(left.values()) < 0.2 * sum(hist.values())
+    used = sum(len(items) * n for items, n in full) + sum(left.values())
+    assert used == sum(hist.values())
+    n_best_fit = sum(n for _, n in packing._best_fit(dict(hist), 2048))
+    assert sum(n for _, n in packing.plan_packing(dict(hist))) <= n_best_fit + 1 + n_best_fit // 100
+
+
 def test_plan_of_large_pieces_meets_their_bound():
     hist = {1500: 1000, 1400: 1000, 600: 700, 500: 900}
     assert sum(n for _, n in packing.plan_packing(hist)) == 2000
