@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, langid, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from . import chat, decontam, html, langid, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -90,6 +90,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    text, runs = F.col("text"), F.col("keep_runs")
+    return out.select("doc_id", line_dedup.n_lines(text).alias("n_lines"), line_dedup.n_dropped(runs).alias("n_dropped"),
+                      F.sha2(line_dedup.kept_text(text, runs), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_id": op2_language_id,
@@ -102,6 +109,7 @@ QUERIES = {
     "op8_chat_dependencies": op8_chat_dependencies,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _OP3_SQL = r"""
@@ -255,6 +263,19 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = co
 FROM comp LEFT JOIN n USING (doc_id)
 """
 
+_OP13_SQL = r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+x AS (SELECT doc_id, i, lines[i] AS line,
+             translate(regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)),
+k AS (SELECT key, max(doc_id) AS holder FROM x WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+g AS (SELECT doc_id, count(*) AS n_lines, count(k.key) FILTER (doc_id <> holder) AS n_dropped,
+             string_agg(line, chr(10) ORDER BY i) FILTER (holder IS NULL OR doc_id = holder) AS kept
+      FROM x LEFT JOIN k USING (key) GROUP BY doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM g
+"""
+
 ORACLES = {
     "op1_suffix_array_dedup": _OP1_SQL,
     "op4_minhash_near_dedup": _OP4_SQL,
@@ -262,4 +283,5 @@ ORACLES = {
     "op8_chat_dependencies": _OP8_LEVELS_SQL,
     "op6_decontamination": _OP6_SQL,
     "op3_quality_rules": _OP3_SQL,
+    "op13_line_dedup": _OP13_SQL,
 }
