@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, langid, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts, toxicity
+from . import chat, decontam, html, langid, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -90,6 +90,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
     text, runs = F.col("text"), F.col("keep_runs")
@@ -109,6 +113,7 @@ QUERIES = {
     "op8_chat_dependencies": op8_chat_dependencies,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -263,6 +268,39 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = co
 FROM comp LEFT JOIN n USING (doc_id)
 """
 
+#: crc32 bit by bit: a byte is mixed in, then eight shifts
+_OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn,
+         md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS MATERIALIZED (SELECT c, k, octet_length(encode(text)) AS bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS p FROM t),
+h AS MATERIALIZED (
+  SELECT c, max(p) AS n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 9 AS h
+  FROM o GROUP BY c),
+r AS MATERIALIZED (
+  SELECT h.c, o.p AS d, k, bytes FROM h JOIN o ON o.c = h.c - h.c % 5 AND o.p <= h.h
+  UNION ALL
+  SELECT h.c, coalesce(least(b.n, h.h), 0) + o.p - h.h, k, bytes FROM h JOIN o ON o.c = h.c AND o.p > h.h LEFT JOIN h b ON b.c = h.c - h.c % 5),
+l AS MATERIALIZED (SELECT h.c, coalesce(list(k ORDER BY d) FILTER (k IS NOT NULL), []) AS ks FROM h LEFT JOIN r USING (c) GROUP BY h.c),
+m AS MATERIALIZED (SELECT c, d, md5(array_to_string(ks[1:d], ',')) AS node, len(ks) = d AS last FROM (SELECT c, ks, unnest(range(0, len(ks) + 1)) AS d FROM l)),
+e AS MATERIALIZED (
+  SELECT node, d, min(m.c) AS c, count(*) AS n_convs, coalesce(max(bytes), 0) AS bytes,
+         sha256(coalesce(string_agg(m.c::VARCHAR, ',' ORDER BY m.c) FILTER (last), '')) AS ends
+  FROM m LEFT JOIN r USING (c, d) GROUP BY node, d),
+u AS MATERIALIZED (
+  SELECT e.c, e.d, e.node, e.n_convs, e.bytes, e.ends, p.node AS up FROM e LEFT JOIN m p ON p.c = e.c AND p.d = e.d - 1),
+q AS (SELECT up, count(*) AS n_children FROM u WHERE up IS NOT NULL GROUP BY up),
+v AS MATERIALIZED (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN q ON q.up = u.node),
+s AS (SELECT m.node, m.d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * bytes) AS saved
+      FROM v JOIN m ON m.c = v.c AND m.d <= v.d GROUP BY m.node, m.d)
+SELECT v.c AS conv_id, v.d::BIGINT AS depth, w.c AS parent_conv_id, v.n_convs::BIGINT AS n_convs, v.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN s USING (node, d) LEFT JOIN e w ON w.node = v.up AND w.d = v.d - 1
+"""
+
 _OP13_SQL = r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 x AS (SELECT doc_id, i, lines[i] AS line,
@@ -283,5 +321,6 @@ ORACLES = {
     "op8_chat_dependencies": _OP8_LEVELS_SQL,
     "op6_decontamination": _OP6_SQL,
     "op3_quality_rules": _OP3_SQL,
+    "op12_conversation_trie": _OP12_SQL,
     "op13_line_dedup": _OP13_SQL,
 }
