@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, langid, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup, token_counts, toxicity
+from . import chat, decontam, html, langid, lexical_search, line_dedup, near_dedup, packing, prefix_trie, quality, substring_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -90,6 +90,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -113,6 +117,7 @@ QUERIES = {
     "op8_chat_dependencies": op8_chat_dependencies,
     "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_lexical_search": op11_lexical_search,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_line_dedup": op13_line_dedup,
 }
@@ -268,6 +273,26 @@ SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = co
 FROM comp LEFT JOIN n USING (doc_id)
 """
 
+_OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS MATERIALIZED (
+  SELECT item_id, t, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY item_id, t),
+c AS (SELECT count(*)::BIGINT AS nd, sum(len(w))::BIGINT AS nt FROM d WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY r, t),
+wt AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, c GROUP BY t, nd),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * nd) // nt AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT item_id, m.r, m.doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN f USING (t) JOIN wt USING (t) JOIN m ON m.r = f.r GROUP BY item_id, m.r, m.doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 10
+"""
+
 #: crc32 bit by bit: a byte is mixed in, then eight shifts
 _OP12_SQL = r"""
 WITH t AS (
@@ -321,6 +346,7 @@ ORACLES = {
     "op8_chat_dependencies": _OP8_LEVELS_SQL,
     "op6_decontamination": _OP6_SQL,
     "op3_quality_rules": _OP3_SQL,
+    "op11_lexical_search": _OP11_SQL,
     "op12_conversation_trie": _OP12_SQL,
     "op13_line_dedup": _OP13_SQL,
 }
