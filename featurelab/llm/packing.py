@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +33,12 @@ from . import common
 CAPACITY = 2048
 END_TOKEN = 0
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: fixed value: the vocabulary's special token and its id
+SPECIAL = {"<|endoftext|>": 50256}
+#: runs of white space from this length on do not go through the pre-tokenizer's backtracking pattern
+LONG_SPACE = 10_000
+#: fixed value: the characters that the pre-tokenizer's pattern counts as white space
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: fixed value: a configuration filled less is left to best-fit
 FULL = 0.995
 #: fixed value: power of a length's share of the capacity that is its weight at first
@@ -45,7 +52,8 @@ def encoder(vocabulary: str = VOCABULARY):
     """Byte-level BPE encoder of a public vocabulary file (a file name, or a path).
 
     The rank file holds the vocabulary of ``byte_bpe_50k.json``; the ids are the
-    same, at several times the speed.  Strings of special tokens are ordinary text.
+    same, at several times the speed.  As with that file, the string of the special
+    token in a text is that token.
     """
     import public_tokenizers
     import tiktoken
@@ -53,7 +61,25 @@ def encoder(vocabulary: str = VOCABULARY):
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     with open(path, "rb") as fh:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, fh)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+
+
+def encode(enc, text: str) -> np.ndarray:
+    """Ids of a text.
+
+    The pre-tokenizer takes a white-space run as one unit, without its last
+    character if text follows.  Long runs are cut out there and encoded as the
+    unit they are, since its pattern would backtrack over every character of them.
+    """
+    out, at = [], 0
+    for run in re.finditer(f"[{_SPACE}]{{{LONG_SPACE},}}", text):
+        last = run.end() == len(text) or text.startswith(tuple(SPECIAL), run.end())
+        stop = run.end() if last else run.end() - 1
+        out.append(enc.encode_to_numpy(text[at:run.start()], allowed_special="all"))
+        out.append(np.array(enc._core_bpe.encode_single_piece(text[run.start():stop].encode()), np.uint32))
+        at = stop
+    out.append(enc.encode_to_numpy(text[at:], allowed_special="all"))
+    return np.concatenate(out) if len(out) > 1 else out[0]
 
 
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -74,7 +100,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
         for rb in it:
             take, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(rb.column(1)):
-                tok = np.append(enc.encode_to_numpy(text.as_py(), disallowed_special=()), np.uint32(END_TOKEN)).astype("<u4")
+                tok = np.append(encode(enc, text.as_py()), np.uint32(END_TOKEN)).astype("<u4")
                 for k, (s, n) in enumerate(pieces_of(tok, capacity)):
                     take.append(i)
                     piece.append(k)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .packing import VOCABULARY, encoder
+from .packing import VOCABULARY, encode, encoder
 
 RULES = ("majority", "first", "last", "split")
 
@@ -81,7 +81,7 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), rule: str
                 sizes = np.array([len(s[2].encode()) + 1 for s in sections], np.int64)
                 sizes[-1] -= 1
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
-                ids = enc.encode_to_numpy("\n".join(c[i] for c in columns), disallowed_special=())
+                ids = encode(enc, "\n".join(c[i] for c in columns))
                 n, c = allocate(np.cumsum(width[ids]), bounds, rule)
                 take.extend([i] * len(sections))
                 name.extend(fields[s[0]] for s in sections)

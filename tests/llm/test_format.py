@@ -13,13 +13,14 @@ from edge_tables import edge_docs, edge_rows, no_docs  # noqa: F401
 from featurelab.llm import chat, html, packing, token_counts
 
 SF = "/root/testdata/sf0.001"
+#: runs around the length where the encoder cuts them out, and far above it
+LONG_SPACES = ["a" + c * n + b for c in (" ", "\t", "\n", " \n", "\u2003", "\x1f ", "\r\n") for n in (packing.LONG_SPACE - 1, packing.LONG_SPACE, 30_001)
+               for b in ("", "b", "<|endoftext|> b", "'s  x", " " * 9)] + ["x" + c * 2_000_000 + "y" for c in " \t\n"]
 
 
 @pytest.fixture(scope="module")
 def reference_tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 # ------------------------------------------------------------------ packing
@@ -53,6 +54,14 @@ def test_packing(edge_docs, edge_rows, reference_tokenizer, capacity):
     _check_packing(packing.pack(edge_docs, capacity).collect(), dict(edge_rows), reference_tokenizer, capacity)
 
 
+def test_long_white_space_in_spark(spark, reference_tokenizer):
+    texts = dict(enumerate(LONG_SPACES[-3:] + ["word " * 300_000]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    _check_packing(packing.pack(docs).collect(), texts, reference_tokenizer, 2048)
+    n = {r["doc_id"]: r["n"] for r in token_counts.token_counts(docs).groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert n == {i: len(reference_tokenizer.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+
+
 def test_packing_of_a_whole_table(spark, reference_tokenizer):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
@@ -70,9 +79,11 @@ def test_packing_keeps_ids_repeats_and_empty_table(spark, no_docs):
 def test_ids_equal_the_json_tokenizer(spark, reference_tokenizer):
     odd = ["<|endoftext|> a", "  \n\n\t x  ", "naïve ＡＢ 日本 ​  é", "don't WE'LL 12345 ١٢٣", "\x00\x1f\x7f", "🙂🙂 a" * 20, "a" * 5000, " " * 3000, "\r\n" * 40]
     odd += [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    odd += ["a <|endoftext|>  b<|endoftext|><|endof", "<|endoftext|>", *LONG_SPACES]
     enc = packing.encoder()
     for t in odd:
-        assert enc.encode_to_numpy(t, disallowed_special=()).tolist() == reference_tokenizer.encode(t, add_special_tokens=False).ids
+        assert packing.encode(enc, t).tolist() == reference_tokenizer.encode(t, add_special_tokens=False).ids
+    assert 50256 in packing.encode(enc, odd[0])
 
 
 @pytest.mark.parametrize("seed", range(4))
