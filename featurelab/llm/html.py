@@ -2,16 +2,20 @@
 
 A page is cut into text blocks by one scan over its tags.  Blocks inside
 elements that are not content by their role (navigation, page header and
-footer, asides, forms, scripts, styles, adverts, notices, reader comments) are
-left out.  If the page marks its main part (``article`` or ``main``), the
-blocks in it are the text.
-
-Pages without such a mark are differenced: within each host pages are ordered
-by URL path, each page is paired with its nearest neighbours on both sides, the
-text lines are aligned by longest common subsequence, and lines shared with a
+footer, asides, forms, scripts, styles, and elements whose class or id names
+adverts, notices, reader comments and the like) are left out.  If the page marks
+its main part (``article`` or ``main``), the blocks in it are its lines, else
+all blocks are.  A line is sure if it lies in the main part; it is in doubt on a
+page without one, and in an element whose class or id only contains such a name
+(``related-work``, ``notice-of-intent``).
+
+Every page is then differenced: within each host pages are ordered by URL path,
+each page is paired with its nearest neighbours on both sides, the lines are
+aligned by longest common subsequence, and lines in doubt that are shared with a
 neighbour are deleted as template.  Neighbours meet by position in a
-range-sorted order, so a host of any size spreads over many tasks.  A page all
-of whose lines are shared (a copy of its neighbour) keeps them.
+range-sorted order, so a host of any size spreads over many tasks.  A page
+without a main part all of whose lines are shared (a copy of its neighbour)
+keeps them.
 
 Differencing alone cannot meet the contract where the template holds random
 text per page, or where neighbouring articles share passages; see the README
@@ -41,9 +45,11 @@ from pyspark.sql import functions as F
 from ..operators.position import with_position
 from . import common
 
+# a quote opens a value only right after an equals sign; one that is never closed is an ordinary character
+_VALUE = r"""\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*|["']?)"""
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+                    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>=]|={_VALUE})*+)(?:>|\Z)|[^<]+|<", re.S)
+_ATTR = re.compile(r"""([^\s/>=]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)|["']?))?""")
 _SPACE = re.compile(r"\s+")
 
 # fixed values: element kinds of the HTML standard
@@ -58,8 +64,14 @@ _NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense
                    "cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup "
                    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar sidenav footer header masthead "
                    "toolbar comment comments disqus respond replies share sharing social related recommended widget login search".split())
-_WHOLE = frozenset("html body main article".split())
+_REPLIES = frozenset("comment comments disqus respond replies".split())
+# fixed values: words that add no meaning of their own to such a name (ad-slot, site-footer)
+_NEUTRAL = frozenset("area article articles author bar block body bottom box btn button buttons child col column container content depth even form "
+                     "global group icon icons id inner item items label left link links list main meta module node odd outer page panel parent "
+                     "post posts reader readers right row section single site slot text thread title top unit user users wrap wrapper".split())
 _WORD = re.compile(r"[a-z]+")
+#: how a class or id judges an element: content, in doubt, left out
+_KEEP, _DOUBT, _LEAVE = range(3)
 # fixed values: which open elements a start tag ends (HTML standard, optional tags)
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = _HEADINGS | frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -122,50 +134,64 @@ def _has_end(page: str, pos: int, tag: str) -> bool:
     return False
 
 
-def _not_content(tag: str, attrs: str, in_main: bool) -> bool:
-    if tag in _DROP or (tag == "header" and not in_main):
-        return True
-    if not attrs or tag in _WHOLE:
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        name = name.lower()
-        if name == "role" and value in _ROLES:
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id") and not _NAMES.isdisjoint(_WORD.findall(value)):
-            if not (in_main and tag in ("header", "h1", "h2", "h3")):
-                return True
-    return False
+def _name_judges(name: str) -> int:
+    """What one class or id says: it is, or it only contains, a word for what is not the article."""
+    parts = _WORD.findall(name)
+    if _NAMES.isdisjoint(parts):
+        return _KEEP
+    return _LEAVE if all(x in _NAMES or x in _NEUTRAL for x in parts) else _DOUBT
 
 
-def blocks(page: str) -> list[str]:
-    """Text blocks of a page in order: those of its marked main part if that has text, else all."""
-    out: list[tuple[str, bool]] = []
+def _judge(tag: str, attrs: str, in_main: bool) -> int:
+    """Whether an element is content."""
+    if tag in _DROP or (tag == "header" and not in_main):
+        return _LEAVE
+    if not attrs or tag in ("html", "body"):
+        return _KEEP
+    verdict = _KEEP
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" or (name == "role" and value in _ROLES) or (name == "aria-hidden" and value == "true"):
+            return _LEAVE if tag not in ("main", "article") else verdict
+        if name in ("class", "id") and not (in_main and tag in ("header", "h1", "h2", "h3")):
+            for word in value.split():
+                said = _name_judges(word)
+                if tag in ("main", "article") and not in_main and (said == _DOUBT or _REPLIES.isdisjoint(_WORD.findall(word))):
+                    said = _KEEP  # the main part itself, whatever else it is called
+                verdict = max(verdict, said)
+    return verdict
+
+
+def judged_blocks(page: str) -> tuple[list[tuple[str, bool]], bool]:
+    """Text blocks of a page in order, each with whether it is in doubt, and whether the page marks its main part.
+
+    The blocks are those of the main part if that has text, else all.
+    """
+    out: list[tuple[str, bool, bool]] = []
     text: list[str] = []
     depth = 0  # inside article / main
     stack: list[str] = []  # open elements, without html and body
     skip = -1  # place in the stack of the element that is left out
     ends = False  # it is known to have an end tag
+    doubt = -1  # place in the stack of the outermost element in doubt
     pos, n = 0, len(page)
 
     def flush():
         if text:
             t = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             if t:
-                out.append((t, depth > 0))
+                out.append((t, depth > 0, doubt >= 0))
             text.clear()
 
     while pos < n:
         m = _TOKEN.match(page, pos)
         pos = m.end()
-        tag = m.group(2)
+        tag = m["tag"]
         if tag is None:
             if skip < 0 and not m.group().startswith(("<!", "<?")):
                 text.append(m.group())
             continue
-        tag, closing = tag.lower(), bool(m.group(1))
+        tag, closing = tag.lower(), bool(m["end"])
         if tag in _RAW:
             if not closing and not m.group().endswith("/>"):
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, pos)
@@ -191,18 +217,28 @@ def blocks(page: str) -> list[str]:
         del stack[left:]
         if opens:
             stack.append(tag)
-        if tag not in _INLINE:
+        if tag not in _INLINE or left <= doubt:
             flush()
         elif tag in ("br", "td", "th"):
             text.append(" ")
-        if tag in ("article", "main"):
-            depth = max(0, depth - 1) if closing else depth + 1
-        elif not closing and tag not in _VOID and not m.group().endswith("/>") and _not_content(tag, m.group(3), depth > 0):
+        if left <= doubt:
+            doubt = -1
+        verdict = _judge(tag, m["attrs"], depth > 0) if opens else _KEEP
+        if verdict == _LEAVE:
             flush()
             skip, ends = len(stack) - 1, False
+        elif tag in ("article", "main"):
+            depth = max(0, depth - 1) if closing else depth + 1
+        elif verdict == _DOUBT and doubt < 0 and tag not in _INLINE:
+            doubt = len(stack) - 1
     flush()
-    marked = any(inside for _, inside in out)
-    return [t for t, inside in out if inside or not marked]
+    marked = any(inside for _, inside, _ in out)
+    return [(t, unsure or not marked) for t, inside, unsure in out if inside or not marked], marked
+
+
+def blocks(page: str) -> list[str]:
+    """Text blocks of a page without regard to its neighbours."""
+    return [t for t, _ in judged_blocks(page)[0]]
 
 
 def shared_lines(a: list[int], b: list[int]) -> np.ndarray:
@@ -250,33 +286,35 @@ def _url_key(url) -> tuple[str, str]:
 
 
 def parse_pages(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
-    """``page_id, url, host, path, lines`` of every page row."""
+    """``page_id, url, host, path, marked, lines, doubt`` of every page row."""
     src = pages.select(F.col(id_column).alias("page_id"), F.col("url").cast("string").alias("url"),
                        F.col("html").cast("string").alias("html"))
 
     def run(it):
         for rb in it:
-            host, path, lines = [], [], []
+            host, path, marked, lines, doubt = [], [], [], [], []
             for url, page in zip(rb.column(1), rb.column(2)):
                 h, p = _url_key(url.as_py())
+                found, mark = judged_blocks(page.as_py() or "")
                 host.append(h)
                 path.append(p)
-                lines.append(blocks(page.as_py() or ""))
+                marked.append(mark)
+                lines.append([t for t, _ in found])
+                doubt.append([d for _, d in found])
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), rb.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()),
-                 pa.array(lines, pa.list_(pa.string()))],
-                names=["page_id", "url", "host", "path", "lines"])
+                [rb.column(0), rb.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(marked, pa.bool_()),
+                 pa.array(lines, pa.list_(pa.string())), pa.array(doubt, pa.list_(pa.bool_()))],
+                names=["page_id", "url", "host", "path", "marked", "lines", "doubt"])
 
     kind = src.schema["page_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"page_id {kind}, url string, host string, path string, lines array<string>")
+    return src.mapInArrow(run, f"page_id {kind}, url string, host string, path string, marked boolean, lines array<string>, doubt array<boolean>")
 
 
 def difference(parsed: DataFrame) -> DataFrame:
-    """``page_id, url, lines`` with the lines deleted that a page shares with its nearest pages of the host."""
-    spark = parsed.sparkSession
-    keyed = common.stage(parsed.withColumn("row", F.monotonically_increasing_id()), "unmarked-pages")
-    slim = keyed.select("row", "host", "path", "page_id", F.transform("lines", lambda x: F.xxhash64(x)).alias("mine"))
-    slim = with_position(slim, ["host", "path", "page_id", "row"], "pos").select("row", "host", "pos", "mine")
+    """``page_id, url, lines`` with the lines in doubt deleted that a page shares with its nearest pages of the host."""
+    keyed = common.stage(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
+    slim = keyed.select("row", "host", "path", "page_id", "marked", "doubt", F.transform("lines", lambda x: F.xxhash64(x)).alias("mine"))
+    slim = with_position(slim, ["host", "path", "page_id", "row"], "pos").select("row", "host", "pos", "marked", "doubt", "mine")
     near = slim.select(F.col("host").alias("h"), F.col("pos").alias("p"), F.col("mine").alias("other"))
     both = slim
     for step, name in ((1, "before"), (-1, "after")):
@@ -286,28 +324,21 @@ def difference(parsed: DataFrame) -> DataFrame:
     def align(it):
         for pdf in it:
             keep = []
-            for mine, before, after in zip(pdf["mine"], pdf["before"], pdf["after"]):
+            for mine, before, after, marked, doubt in zip(pdf["mine"], pdf["before"], pdf["after"], pdf["marked"], pdf["doubt"]):
                 mine = list(mine)
-                gone = np.zeros(len(mine), bool)
+                shared = np.zeros(len(mine), bool)
                 for other in (before, after):
                     if other is not None:
-                        gone |= shared_lines(mine, list(other))
-                keep.append(list(range(len(mine))) if gone.all() else np.flatnonzero(~gone).tolist())
+                        shared |= shared_lines(mine, list(other))
+                gone = shared & np.asarray(doubt, bool)
+                keep.append(list(range(len(mine))) if gone.all() and not marked else np.flatnonzero(~gone).tolist())
             yield pd.DataFrame({"row": pdf["row"], "keep": keep})
 
-    kept = both.select("row", "mine", "before", "after").mapInPandas(align, "row long, keep array<int>")
-    out = keyed.join(kept, "row").select("page_id", "url", F.transform("keep", lambda i: F.get("lines", i)).alias("lines"))
-    return out
+    kept = both.select("row", "mine", "before", "after", "marked", "doubt").mapInPandas(align, "row long, keep array<int>")
+    return keyed.join(kept, "row").select("page_id", "url", F.transform("keep", lambda i: F.get("lines", i)).alias("lines"))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
-    """``page_id, url, text`` of every page row.
-
-    Whether a page marks its main part is a test of the raw html, so each page
-    is parsed once, and only the pages to be differenced are staged.
-    """
+    """``page_id, url, text`` of every page row."""
     common.prepare(pages.sparkSession)
-    marked = F.coalesce(F.col("html").cast("string").rlike(r"(?i)<(article|main)[\s>]"), F.lit(True))
-    done = parse_pages(pages.where(marked), id_column).select("page_id", "url", "lines")
-    rest = difference(parse_pages(pages.where(~marked), id_column))
-    return done.unionByName(rest).select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+    return difference(parse_pages(pages, id_column)).select("page_id", "url", F.array_join("lines", "\n").alias("text"))

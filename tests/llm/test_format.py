@@ -293,6 +293,34 @@ def test_left_out_elements_end_without_an_end_tag():
     assert html.blocks("<nav>x<h1>y</h1><nav>z</nav></nav><p>a") == ["a"]
 
 
+def test_quotes_open_values_only_after_an_equals_sign():
+    assert html.blocks("<article><p title=Bob's>One</p><p>It's two</p><p>Three</p></article>") == ["One", "It's two", "Three"]
+    assert html.blocks("<article><p it's='a>b' data-x=\"c>'d\">One<p>Two") == ["One", "Two"]
+    assert html.blocks("<p data-x=class=ad title='id=comments'>One<a href=/?a=b'c&d=\"e\">x</a><p class = ad>no<p>Two") == ["Onex", "Two"]
+    assert html.blocks("<p title='never closed>One<p>Two") == ["One", "Two"]
+    assert html.blocks("<p " + "a=b=" * 30_000 + ">One" + "<p =" * 5000 + ">Two") == ["One", "Two"]
+
+
+def test_names_that_only_contain_a_word_are_in_doubt():
+    judged = html.judged_blocks("<main><p id='related-work'>a<p class='notice-of-intent'>b<div><h4 class='ad-hoc'>c</h4>d</div><p class='x ad-slot'>e<p id=ad>f</main>")
+    assert judged == ([("a", True), ("b", True), ("c", True), ("d", False)], True)
+    assert html.blocks("<article>a<article class='comment'>no</article><article class='comment-thread'><p>no</article><p>b</article>") == ["a", "b"]
+    assert html.blocks("<article class='post ad-free related'><p>a</article><article id=comment-12>no</article>") == ["a"]
+    assert html.judged_blocks("<!-- <main> --><p>a</p>") == ([("a", True)], False)
+    assert html.judged_blocks("<section class='ad-hoc'><p>a<div>b</div></section>c") == ([("a", True), ("b", True), ("c", True)], False)
+
+
+def test_lines_in_doubt_are_judged_by_the_neighbours(spark):
+    def page(i):
+        return (f"<nav>m</nav><article><h1>T{i}</h1><p>Same passage</p><p class='ad-hoc'>Buy now</p><p class='ad-hoc'>Own {i}</p>"
+                f"<p id='related-work'>Related to {i}</p></article>")
+    rows = [(i, f"http://a.org/p/{i}", page(i)) for i in range(5)] + [(9, "http://a.org/p/9", "<!-- <main> --><div>m</div><p>Buy now</p><p>nine</p>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(5):
+        assert got[i] == f"T{i}\nSame passage\nOwn {i}\nRelated to {i}"
+    assert got[9] == "m\nnine"
+
+
 def test_pages_give_their_documents(spark):
     sf = "/root/testdata/sf0.01"
     pages = spark.read.parquet(f"{sf}/pages.parquet")
