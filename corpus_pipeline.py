@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from featurelab.llm import common, decontam, near_dedup, packing, quality, substring_dedup
 
+#: documents at least so similar over five-word shingles, in percent, are near-duplicates
+SIMILAR_PERCENT = 80
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest id of each near-duplicate group; of repeated rows, one."""
     docs = _keyed(docs)
-    judged = near_dedup.near_duplicates(docs, id_column="key")
+    judged = near_dedup.near_duplicates(docs, SIMILAR_PERCENT, id_column="key")
     removed = judged.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("key"))
     # the key is never null, so the join compares ids null-safely field by field
     left = docs.join(removed, docs["key"].eqNullSafe(removed["key"]), "left_anti")

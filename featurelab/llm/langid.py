@@ -2,10 +2,13 @@
 
 Training counts n-grams of code points (n = 1..``MAX_N``, lower case, letters
 and single word gaps only) into ``BUCKETS`` hash buckets per language.  Each
-task sends its sparse partial counts; the summed counts become one
-log-probability matrix, whose size ``languages x BUCKETS`` does not depend on
-the corpus and is broadcast.  Scoring gathers matrix rows for a whole batch of
-texts and sums them per text (a sparse batch product in numpy).
+task sends its sparse partial counts; the summed counts become log
+probabilities, kept as a language's value for an n-gram it never saw and, per
+bucket, what the languages that saw it add.  Scoring sums both for a whole batch
+of texts (a sparse batch product in numpy; languages that saw most buckets are
+gathered as columns).  Languages are taken in blocks of ``BLOCK_LANGS``, so a
+broadcast holds at most ``BLOCK_LANGS x BUCKETS`` values for any number of them;
+texts pass the blocks one after the other, each updates the best language so far.
 
 Defined results: a null text, or one without letters, gives ``und`` and score
 0; labels that are null are not learned from; with no training rows every text
@@ -26,8 +29,14 @@ from . import text as tx
 
 BUCKETS = 1 << 15
 MAX_N = 3
-#: the matrix must fit a broadcast: at most this many labels
-MAX_LANGS = 1024
+#: languages of one broadcast block
+BLOCK_LANGS = 256
+#: languages whose dense counts a training task holds before it sends them on
+HELD_LANGS = 64
+#: additive smoothing of the counts
+ALPHA = 0.5
+#: products of a text and a bucket's language that are formed at a time
+_PRODUCTS = 1 << 20
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -78,29 +87,63 @@ def ngram_buckets(raw: np.ndarray, offsets: np.ndarray):
     return buckets, owner, letters
 
 
-class Model:
-    """``langs`` (sorted) and the ``BUCKETS x langs`` matrix of log probabilities; log priors."""
-
-    def __init__(self, langs: list[str], counts: np.ndarray, docs: np.ndarray, alpha: float = 0.5):
-        self.langs = langs
-        c = counts.astype(np.float64) + alpha
-        self.logp = np.ascontiguousarray(np.log(c / c.sum(axis=0, keepdims=True)).astype(np.float32)) if langs else None
-        self.prior = np.log(np.maximum(docs, 1) / max(1, docs.sum())) if langs else None
-
-    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        n = len(offsets) - 1
-        buckets, owner, letters = ngram_buckets(raw, offsets)
-        if not self.langs:
-            return ["und"] * n, np.zeros(n)
-        ll = np.tile(self.prior, (n, 1))
+class Block:
+    """Log probabilities of some languages (``langs``, sorted): ``lang, bucket, n`` are their counts."""
+
+    def __init__(self, langs: list[str], docs: np.ndarray, all_docs: int, lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        self.langs, k = langs, len(langs)
+        self.prior = np.log(np.maximum(docs, 1) / max(1, all_docs))
+        self.base = np.log(ALPHA / (np.bincount(lang, weights=n, minlength=k) + ALPHA * BUCKETS))
+        value = np.log1p(n / ALPHA).astype(np.float32)
+        often = np.bincount(lang, minlength=k) > BUCKETS // 4
+        self.often = np.flatnonzero(often)
+        self.columns = np.zeros((len(self.often), BUCKETS), np.float32)
+        full = often[lang]
+        self.columns[np.searchsorted(self.often, lang[full]), bucket[full]] = value[full]
+        order = np.argsort(bucket[~full], kind="stable")
+        self.lang, self.value = lang[~full][order], value[~full][order]
+        self.starts = np.searchsorted(bucket[~full][order], np.arange(BUCKETS + 1))
+
+    def scores(self, buckets: list[np.ndarray], owner: list[np.ndarray], n: int) -> np.ndarray:
+        """Log likelihood of each of ``n`` texts under each language."""
+        grams = sum((np.bincount(o, minlength=n) for o in owner), np.zeros(n))
+        ll = self.prior + grams[:, None] * self.base
+        k = len(self.langs)
         for b, o in zip(buckets, owner):
-            if len(o):
-                for k in range(len(self.langs)):
-                    ll[:, k] += np.bincount(o, weights=self.logp[:, k][b], minlength=n)
-        best = ll.argmax(axis=1)
-        score = 1.0 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
-        none = letters == 0
-        return ["und" if none[i] else self.langs[best[i]] for i in range(n)], np.where(none, 0.0, score)
+            for j, column in zip(self.often, self.columns):
+                ll[:, j] += np.bincount(o, weights=column[b], minlength=n)
+            sizes = self.starts[b + 1] - self.starts[b]
+            some = np.flatnonzero(sizes)
+            ends = np.cumsum(sizes[some])
+            for i, j in _slices(ends, _PRODUCTS):
+                at, size = some[i:j], sizes[some[i:j]]
+                first = np.repeat(self.starts[b[at]] - (np.cumsum(size) - size), size)
+                cell = first + np.arange(len(first))
+                ll += np.bincount(np.repeat(o[at], size) * k + self.lang[cell], weights=self.value[cell], minlength=n * k).reshape(n, k)
+        return ll
+
+
+def _slices(ends: np.ndarray, limit: int):
+    """Runs of items whose running total ``ends`` grows by about ``limit`` each."""
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j
+        i = j
+
+
+class Model:
+    """The sorted language names, their rows and the staged counts; the driver builds one block at a time."""
+
+    def __init__(self, langs: list[str], cells: DataFrame | None, per_lang: np.ndarray):
+        self.langs, self.cells, self.per_lang = langs, cells, per_lang
+
+    def blocks(self):
+        for a in range(0, len(self.langs), BLOCK_LANGS):
+            b = min(a + BLOCK_LANGS, len(self.langs))
+            got = self.cells.where((F.col("lang") >= a) & (F.col("lang") < b)).toArrow()
+            lang, bucket, n = (got.column(c).to_numpy() for c in ("lang", "bucket", "n"))
+            yield Block(self.langs[a:b], self.per_lang[a:b], int(self.per_lang.sum()), lang - a, bucket, n)
 
 
 def train(docs: DataFrame, where: Column | None = None) -> Model:
@@ -110,46 +153,74 @@ def train(docs: DataFrame, where: Column | None = None) -> Model:
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
                        F.coalesce(where if where is not None else F.lit(True), F.lit(False)).alias("use"))
     rows = rows.where("use and lang is not null and text is not null").select("lang", "text")
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages: this is not a language column")
+    per_lang = sorted(tuple(r) for r in rows.groupBy("lang").count().collect())
+    if not per_lang:
+        return Model([], None, np.empty(0, np.int64))
+    langs = [r[0] for r in per_lang]
+    names = spark.sparkContext.broadcast({v: i for i, v in enumerate(langs)})
 
     def count(it):
-        code = {v: i for i, v in enumerate(langs)}
-        total = np.zeros(len(langs) * BUCKETS, np.int64)
-        n_docs = np.zeros(len(langs), np.int64)
+        held: dict[int, np.ndarray] = {}
+
+        def send():
+            for k, total in held.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
+            held.clear()
+
         for rb in it:
-            lang = np.array([code[x] for x in rb.column(0).to_pylist()], np.int64)
-            n_docs += np.bincount(lang, minlength=len(langs))
+            lang = np.array([names.value[x] for x in rb.column(0).to_pylist()], np.int64)
             for i, j, raw, off in tx.utf8_chunks(rb.column(1)):
+                present, local = np.unique(lang[i:j], return_inverse=True)
                 for b, o in zip(*ngram_buckets(raw, off)[:2]):
-                    total += np.bincount(lang[i:j][o] * BUCKETS + b, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(langs))])),
-                                          pa.array(np.concatenate([total[at], n_docs]))], names=["cell", "n"])
-
-    got = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = (got.column(c).to_numpy() for c in ("cell", "n"))
-    counts = np.zeros(len(langs) * BUCKETS, np.int64)
-    counts[cell[cell >= 0]] = n[cell >= 0]
-    per_lang = np.zeros(len(langs), np.int64)
-    per_lang[-1 - cell[cell < 0]] = n[cell < 0]
-    return Model(langs, counts.reshape(len(langs), BUCKETS).T if langs else counts, per_lang)
+                    for s in range(0, len(present), HELD_LANGS):
+                        some = present[s:s + HELD_LANGS]
+                        code = local[o] - s
+                        if len(some) < len(present):
+                            of = (code >= 0) & (code < len(some))
+                            code, part = code[of], b[of]
+                        else:
+                            part = b
+                        total = np.bincount(code * BUCKETS + part, minlength=len(some) * BUCKETS).reshape(len(some), BUCKETS)
+                        for k, t in zip(some.tolist(), total):
+                            held[k] = held[k] + t if k in held else t.copy()
+                        if len(held) > HELD_LANGS:
+                            yield from send()
+        yield from send()
+
+    cells = rows.mapInArrow(count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return Model(langs, common.stage(cells, "language-counts"), np.array([r[1] for r in per_lang], np.int64))
 
 
 def detect(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
     """``doc_id, lang_pred, score`` of every row; reads the text only."""
     spark = docs.sparkSession
     common.prepare(spark)
-    shared = spark.sparkContext.broadcast(model)
-    src = docs.select(F.col(id_column).alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def run(it):
-        m = shared.value
-        for rb in it:
-            for i, j, raw, off in tx.utf8_chunks(rb.column(1)):
-                langs, score = m.predict(raw, off)
-                yield pa.RecordBatch.from_arrays([rb.column(0).slice(i, j - i), pa.array(langs, pa.string()),
-                                                  pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    out = docs.select(F.col(id_column).alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit("und").alias("lang_pred"),
+                      F.lit(float("-inf")).alias("top"), F.lit(float("-inf")).alias("total"))
+    kind = out.schema["doc_id"].dataType.simpleString()
+
+    def update(shared):
+        def run(it):
+            block = shared.value
+            for rb in it:
+                for i, j, raw, off in tx.utf8_chunks(rb.column(1)):
+                    buckets, owner, letters = ngram_buckets(raw, off)
+                    ll = block.scores(buckets, owner, j - i)
+                    before, top, total = (rb.column(c).slice(i, j - i) for c in (2, 3, 4))
+                    best, most = ll.argmax(axis=1), ll.max(axis=1)
+                    better = (most > top.to_numpy()) & (letters > 0)
+                    total = np.where(letters > 0, np.logaddexp(total.to_numpy(), most + np.log(np.exp(ll - most[:, None]).sum(axis=1))), -np.inf)
+                    names = [block.langs[k] if b else x for k, b, x in zip(best, better, before.to_pylist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [rb.column(0).slice(i, j - i), rb.column(1).slice(i, j - i), pa.array(names, pa.string()),
+                         pa.array(np.where(better, most, top.to_numpy())), pa.array(total)], names=["doc_id", "text", "lang_pred", "top", "total"])
+
+        return run
+
+    for block in model.blocks():
+        out = out.mapInArrow(update(spark.sparkContext.broadcast(block)), f"doc_id {kind}, text string, lang_pred string, top double, total double")
+    score = F.when(F.col("total") == float("-inf"), 0.0).otherwise(F.least(F.exp(F.col("top") - F.col("total")), F.lit(1.0)))
+    if not model.langs:
+        score = F.lit(0.0)
+    return out.select("doc_id", "lang_pred", score.alias("score"))

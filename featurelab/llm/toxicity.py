@@ -18,7 +18,7 @@
 
 Defined results: null and empty texts have no tokens and get the probability
 of zero evidence; a document with several labels takes the largest; null
-labels are not learned from; without both classes among the labels every
+labels are not learned from; of several texts of one id the smallest is learned from; without both classes among the labels every
 score is the observed rate (0 without labels); repeated rows are scored one by
 one; an empty table gives an empty result.
 """
@@ -130,8 +130,9 @@ def _fit_rows(docs: DataFrame, labels: DataFrame, where: Column | None, limit: i
     h = F.xxhash64("doc_id")
     lab = lab.withColumn("h", h).orderBy("h", "doc_id").limit(limit)
     lab = lab.select("doc_id", (F.col("y") > 0).cast("int").alias("y"), F.pmod("h", F.lit(CALIBRATE)).cast("int").alias("part"))
-    # at most `limit` rows of three numbers: a broadcast of bounded size
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(lab), "doc_id")
+    # at most `limit` rows of three numbers: a broadcast of bounded size; of rows that share an id one text is fitted
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(lab), "doc_id")
+    return rows.groupBy("doc_id", "y", "part").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:

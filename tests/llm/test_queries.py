@@ -4,9 +4,12 @@ import zlib
 import brute
 import corpus_pipeline
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from test_oracle import _rows
+from tokenizers import Tokenizer
 
 from edge_tables import edge_docs, edge_rows, no_docs  # noqa: F401
 
@@ -23,7 +26,7 @@ def _texts():
 def test_registration():
     names = set(entry.queries())
     assert set(QUERIES) <= names and "pipeline" in names and set(ORACLES) <= set(entry.oracle_sql())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -77,21 +80,23 @@ def test_op9_columns(spark):
 def test_pipeline_matches_brute_force(spark):
     items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet'").fetchall()
     rows = [(i, t) for i, t in _texts() if brute.good(t)]
-    comp = brute.components(rows)
+    comp = brute.components(rows, 80)
     rows = [(i, t) for i, t in rows if comp[i][1] == i]
     rows = [(i, k.decode("utf-8", "ignore")) for (i, _), (*_, k) in zip(rows, brute.repeats([t for _, t in rows]))]
     rows = [(i, t) for i, t in rows if not (lambda n, h, _: h > 0 and 20 * h >= n)(*brute.contamination(t, items))]
-    from featurelab.llm.packing import encoder
-    enc = encoder()
-    want = {i: zlib.crc32(b"".join([enc.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes(), bytes(4)])) for i, t in rows}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in rows}
     got = {}
     for r in corpus_pipeline.run(spark, SF).collect():
         got.setdefault(r["doc_id"], []).append(r)
     assert set(got) == set(want)
     for i, pieces in got.items():
-        if len(pieces) == 1:
-            assert pieces[0]["ids_crc32"] == want[i]
-    assert len(want) > 50
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["piece"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(np.array(want[i][at:at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(want[i])
+    assert len(want) > 50 and max(map(len, got.values())) > 1
 
 
 def test_pipeline_stages_keep_columns_and_handle_odd_rows(spark, edge_docs, edge_rows, no_docs):
