@@ -1,20 +1,32 @@
 """Global positions in sorted order without a single-partition window.
 
-``row_number() OVER (ORDER BY k)`` moves every row into one task.  Here the
-rows are range-partitioned on the order key, each partition is sorted locally,
-and a partition's first position is the running total of the row counts of
-the partitions before it.  The counts table has one row per partition, so its
-size is bounded by the partition count (a parameter), never by the data, and
-it is broadcast.
+``row_number() OVER (ORDER BY k)`` moves every row into one task.  Here
+
+1. a sample of the order keys (those of the smallest hashes: of bounded size,
+   mergeable, and the same whatever the partitioning) gives splitters, which
+   become literals of the plan;
+2. one aggregate over the key columns counts the rows between two splitters;
+3. the rows meet by bucket, are numbered inside it, and the rows of the buckets
+   before it are added, again a literal.
+
+Nothing is written: the rows pass one exchange.  Splitters and counts are fixed
+values, so a recomputed partition (lost executor) gives the same positions, and
+positions do not depend on the number of partitions.  What the driver holds is
+bounded by ``MAX_BUCKETS``, never by the data.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism, stage
+from ..session import default_parallelism
+
+#: buckets per shuffle partition (hashed to tasks, several smooth their sizes), and at most
+BUCKETS_PER_PARTITION, MAX_BUCKETS = 2, 16_384
+#: sampled keys per bucket: a bucket's size varies by about a fifth
+SAMPLED = 32
 
-_PID, _MID, _OFF, _CNT = "_fl_pid", "_fl_mid", "_fl_off", "_fl_cnt"
+_BUCKET = "_fl_bucket"
 
 
 def _as_cols(order) -> list[Column]:
@@ -23,9 +35,37 @@ def _as_cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def with_position(df: DataFrame, order, name: str = "pos",
-                  num_partitions: int | None = None) -> DataFrame:
-    """Add a dense 0-based ``name`` column following ``order``.
+def _key(cols: list[Column]) -> Column:
+    return F.struct(*(c.alias(f"k{i}") for i, c in enumerate(cols)))
+
+
+def key_splitters(df: DataFrame, order, buckets: int, sampled: int = SAMPLED) -> Column | None:
+    """Literal array of the splitters of ``buckets`` parts of about equal size; None if the sample is empty."""
+    key = df.select(_key(_as_cols(order)).alias("k"))
+    h = F.xxhash64("k")
+    sample = key.orderBy(h).limit(buckets * sampled).distinct().orderBy("k").select("k.*")
+    rows = sample.collect()
+    if not rows:
+        return None
+    at = sorted({len(rows) * i // buckets for i in range(1, buckets)} - {0})
+    types = [(f.name, f.dataType) for f in sample.schema.fields]
+    value = lambda v: bytes(v) if isinstance(v, bytearray) else v
+    return F.array(*(F.struct(*(F.lit(value(r[n])).cast(t).alias(n) for n, t in types)) for r in (rows[i] for i in at)))
+
+
+def bucket_of(order, splitters: Column | None, buckets: int) -> Column:
+    """Number of splitters at or below the key, by binary search."""
+    if splitters is None or buckets < 2:
+        return F.lit(0)
+    key = _key(_as_cols(order))
+    steps = [1 << j for j in range(buckets.bit_length() - 1, -1, -1)]
+    # beyond the last splitter there is null, which is not at or below the key
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
+                       lambda at, step: F.when(key >= F.get(splitters, at + step - 1), at + step).otherwise(at))
+
+
+def with_position(df: DataFrame, order, name: str = "pos", num_partitions: int | None = None) -> DataFrame:
+    """Add a dense 0-based ``name`` column following ``order`` (ascending, nulls first).
 
     ``order`` should be a unique key (add a tiebreaker otherwise) so that a
     recomputed partition (lost executor) yields the same positions.
@@ -33,21 +73,16 @@ def with_position(df: DataFrame, order, name: str = "pos",
     cols = _as_cols(order)
     n = num_partitions or max(default_parallelism(df.sparkSession),
                               int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # staged once: two evaluations of a range repartition may sample different
-    # bounds (the sampler is seeded per plan), so counts and rows must come from
-    # the same written partitions.  As Parquet the counts read one column, and
-    # later steps only the columns they use; a lost executor costs a re-read.
-    tagged = stage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-                   .withColumn(_PID, F.spark_partition_id())
-                   .withColumn(_MID, F.monotonically_increasing_id()), "positions")
-    # monotonically_increasing_id = (partition id << 33) + row index in partition
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("bigint"), 33)
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias(_CNT))
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, F.coalesce(F.sum(_CNT).over(w), F.lit(0)).alias(_OFF))
-    return (tagged.join(F.broadcast(offsets), _PID)
-            .withColumn(name, (F.col(_OFF) + local).cast("bigint"))
-            .drop(_PID, _MID, _OFF))
+    buckets = min(BUCKETS_PER_PARTITION * n, MAX_BUCKETS)
+    bucket = bucket_of(cols, key_splitters(df, cols, buckets), buckets)
+    counts = {r[0]: r[1] for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1))).collect()}
+    before, total = [], 0
+    for b in range(buckets):
+        before.append(total)
+        total += counts.get(b, 0)
+    inside = F.row_number().over(Window.partitionBy(_BUCKET).orderBy(*cols)) - 1
+    offset = F.get(F.array(*(F.lit(x).cast("bigint") for x in before)), F.col(_BUCKET))
+    return df.withColumn(_BUCKET, bucket).withColumn(name, (offset + inside).cast("bigint")).drop(_BUCKET)
 
 
 def chunk_id(pos: Column | str, size: int) -> Column:

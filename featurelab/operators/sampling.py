@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions import vectors as V
+from ..functions.permute import permuted, unpermuted
 from .position import with_position
 
 # Largest lookup table (estimated bytes) broadcast to every task; larger ones are joined normally.
@@ -52,20 +53,34 @@ def label_dropout(label, p: float, num_classes: int, key=None, seed=0, force=Non
     return F.when(drop, F.lit(int(num_classes))).otherwise(lab.cast("int"))
 
 
-def epoch_batches(df: DataFrame, id_col: str, batch: int, seed: int, epoch: int) -> DataFrame:
-    """T4: shuffle by a keyed hash, cut into batches of ``batch``, drop the last partial one.
+def _indexed(df: DataFrame, id_col: str, index_col: str | None) -> tuple[DataFrame, int]:
+    """``df`` with its dense 0-based index as ``_fl_index``, and its row count.
 
-    Adds ``epoch``, ``batch_id`` and ``slot`` (position inside the batch).
+    ``index_col`` is such an index already (checked); without one the rows are
+    numbered in the order of their ids.
     """
-    n = df.count()
+    if index_col is None:
+        return with_position(df, id_col, "_fl_index"), df.count()
+    n, lo, hi, total = df.agg(F.count(F.lit(1)), F.min(index_col), F.max(index_col), F.sum(F.col(index_col).cast("decimal(38,0)"))).first()
+    if n and (lo, hi, int(total)) != (0, n - 1, n * (n - 1) // 2):
+        raise ValueError(f"{index_col} must number the rows from 0 to {n - 1}")
+    return df.withColumn("_fl_index", F.col(index_col).cast("bigint")), n
+
+
+def epoch_batches(df: DataFrame, id_col: str, batch: int, seed: int, epoch: int, index_col: str | None = None) -> DataFrame:
+    """T4: rows in the order of a keyed permutation, in batches of ``batch``; the last partial one is dropped.
+
+    Adds ``epoch``, ``batch_id`` and ``slot`` (position inside the batch).  Each row
+    computes its own place, so with an index there is no shuffle and no sort.
+    """
+    rows, n = _indexed(df, id_col, index_col)
     keep = (n // batch) * batch
-    keyed = df.withColumn("_fl_key", rng.uniform(seed, epoch, F.col(id_col)))
-    pos = with_position(keyed, ["_fl_key", id_col], "_fl_pos")
-    return (pos.where(F.col("_fl_pos") < F.lit(keep))
+    placed = rows.withColumn("_fl_pos", unpermuted("_fl_index", max(1, n), seed, epoch))
+    return (placed.where(F.col("_fl_pos") < F.lit(keep))
             .withColumn("epoch", F.lit(int(epoch)))
             .withColumn("batch_id", F.floor(F.col("_fl_pos") / F.lit(batch)).cast("bigint"))
             .withColumn("slot", F.pmod(F.col("_fl_pos"), F.lit(batch)).cast("int"))
-            .drop("_fl_key", "_fl_pos"))
+            .drop("_fl_index", "_fl_pos"))
 
 
 def local_batch_size(global_batch: int, processes: int) -> int:
@@ -73,27 +88,24 @@ def local_batch_size(global_batch: int, processes: int) -> int:
 
 
 def infinite_sampler(df: DataFrame, id_col: str, rank: int, replicas: int, seed: int,
-                     start: int, steps: int) -> DataFrame:
+                     start: int, steps: int, index_col: str | None = None) -> DataFrame:
     """T5: the ids a rank reads at steps ``j = 0..steps-1``.
 
     Stream position ``idx = start + rank + j * replicas``; ``epoch = idx div N``;
-    a fresh keyed permutation per (seed, epoch).  Rows are replicated once per
-    touched epoch (a generate, not a join), ranked, and joined to the requests.
+    a keyed permutation per (seed, epoch).  A request computes the index of its
+    row and finds it by one equi-join, whatever the number of epochs.
     """
     spark = df.sparkSession
-    n = df.count()
-    first = start + rank
-    last = start + rank + (steps - 1) * replicas
-    e0, e1 = first // n, last // n
+    rows, n = _indexed(df.select(id_col, *([index_col] if index_col not in (None, id_col) else [])), id_col, index_col)
+    if n == 0:
+        raise ValueError("no rows to sample from")
     req = spark.range(steps).select(F.col("id").alias("j"),
-                                    (F.lit(first) + F.col("id") * F.lit(replicas)).alias("idx"))
-    req = req.select("j", "idx", F.floor(F.col("idx") / F.lit(n)).cast("bigint").alias("epoch"),
-                     F.pmod("idx", F.lit(n)).alias("q"))
-    per_epoch = df.select(id_col, F.explode(F.sequence(F.lit(e0).cast("bigint"), F.lit(e1).cast("bigint"))).alias("epoch"))
-    keyed = per_epoch.withColumn("_fl_key", rng.uniform(seed, F.col("epoch"), F.col(id_col)))
-    ranked = with_position(keyed, ["epoch", "_fl_key", id_col], "_fl_pos").select(
-        id_col, "epoch", (F.col("_fl_pos") - (F.col("epoch") - F.lit(e0)) * F.lit(n)).alias("q"))
-    return req.join(ranked, ["epoch", "q"]).select("j", "idx", "epoch", id_col)
+                                    (F.lit(start + rank) + F.col("id") * F.lit(replicas)).alias("idx"))
+    req = req.select("j", "idx", F.floor(F.col("idx") / F.lit(n)).cast("bigint").alias("epoch"))
+    req = req.withColumn("_fl_index", permuted(F.pmod("idx", F.lit(n)), n, seed, F.col("epoch")))
+    rows = rows.select("_fl_index", id_col)
+    smaller, larger = (rows, req) if n <= steps else (req, rows)
+    return larger.join(smaller.hint("shuffle_hash"), "_fl_index").select("j", "idx", "epoch", id_col)
 
 
 def time_schedule(spark: SparkSession, n: int, cfg_scale: float = 1.0, lo: float = 0.0, hi: float = 1.0) -> DataFrame:

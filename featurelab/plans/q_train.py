@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import images as G
 from ..functions import rng
 from ..functions import vectors as V
+from ..functions.permute import permuted_sql
 from ..operators import sampling as S
 from ..operators.align import collect_samples
 from . import fixtures as fx
@@ -192,13 +193,13 @@ def q_label_dropout(spark, sf):
 
 def q_epoch_batches(spark, sf):
     e = _emb(spark, sf).select("id")
-    return S.epoch_batches(e, "id", 32, SEED, 3).select("id", "epoch", "batch_id", "slot")
+    return S.epoch_batches(e, "id", 32, SEED, 3, "id").select("id", "epoch", "batch_id", "slot")
 
 
 def q_infinite_sampler(spark, sf):
     e = _emb(spark, sf).select("id")
     n = e.count()
-    return S.infinite_sampler(e, "id", 1, 4, SEED, 100, n)
+    return S.infinite_sampler(e, "id", 1, 4, SEED, 100, n, "id")
 
 
 def q_training_pairs(spark, sf):
@@ -228,7 +229,7 @@ def q_lookup_embedding(spark, sf):
 
 
 def q_collect_samples(spark, sf):
-    n = fx.ref_features(spark, sf).count()
+    n = fx.table(spark, sf, "embeddings").count()
     man = S.generation_manifest(spark, n, 8, 16, SEED, 1000)
     e = fx.table(spark, sf, "embeddings")
     imgs = e.select(F.col("vec_id").alias("index"), "label", G.quantize_pixels(F.col("embedding"), "truncate").alias("pixels"))
@@ -490,22 +491,18 @@ SELECT round0(avg(l_img) + avg(l_proj) * 0.5 + avg(l_cls) * 0.03, 6) AS total_lo
     "train_label_dropout": f"""SELECT id,
   CASE WHEN {u_sql(key(repr(str(SEED)), 'id', repr('drop')))} < {f(0.1)} THEN {NUM_CLASSES} ELSE label END AS label,
   CASE WHEN id % 5 = 0 THEN {NUM_CLASSES} ELSE label END AS forced FROM ({_E})""",
-    "train_epoch_batches": f"""WITH k AS (SELECT id, {u_sql(key(repr(str(SEED)), repr('3'), 'id'))} AS h FROM ({_E})),
-p AS (SELECT id, row_number() OVER (ORDER BY h, id) - 1 AS pos FROM k),
-n AS (SELECT count(*) AS n FROM k)
-SELECT id, 3 AS epoch, CAST(pos // 32 AS BIGINT) AS batch_id, CAST(pos % 32 AS INTEGER) AS slot
-FROM p, n WHERE pos < (n.n // 32) * 32""",
-    "train_infinite_sampler": f"""WITH n AS (SELECT count(*) AS n FROM embeddings),
-req AS (SELECT j, 101 + j * 4 AS idx FROM n, range(0, n.n) r(j)),
-rq AS (SELECT j, idx, CAST(idx // n AS BIGINT) AS epoch, idx % n AS q FROM req, n),
-ep AS (SELECT DISTINCT epoch FROM rq),
-perm AS (SELECT vec_id AS id, epoch, row_number() OVER (PARTITION BY epoch
-           ORDER BY {u_sql(key(repr(str(SEED)), 'epoch', 'vec_id'))}, vec_id) - 1 AS q FROM embeddings, ep)
-SELECT rq.j, rq.idx, rq.epoch, perm.id FROM rq JOIN perm USING (epoch, q)""",
+    "train_epoch_batches": f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings),
+{permuted_sql('SELECT r.j, 3 AS epoch, r.j AS q FROM n, range(0, (n.n // 32) * 32) r(j)', str(SEED))},
+k AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS x FROM embeddings)
+SELECT id, epoch::INTEGER AS epoch, j // 32 AS batch_id, (j % 32)::INTEGER AS slot FROM permuted JOIN k USING (x)""",
+    "train_infinite_sampler": f"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM embeddings),
+{permuted_sql('SELECT r.j, (101 + r.j * 4) // n.n AS epoch, (101 + r.j * 4) % n.n AS q FROM n, range(0, n.n) r(j)', str(SEED))},
+k AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS x FROM embeddings)
+SELECT j, 101 + j * 4 AS idx, epoch, id FROM permuted JOIN k USING (x)""",
     "train_pairs": _pairs_sql(),
     "gen_manifest": _manifest_sql(),
     "gen_lookup_embedding": _lookup_sql(),
     "gen_collect_samples": """SELECT vec_id AS "index", label, len(embedding) AS n_pixels,
   CAST(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: floor(least(greatest((v + 1.0) / 2.0 * 255.0, 0.0), 255.0)))) AS BIGINT) AS pixel_sum
-FROM embeddings WHERE vec_id < (SELECT count(*) FROM embeddings WHERE vec_id % 2 = 0)""",
+FROM embeddings""",
 }

@@ -26,6 +26,32 @@ def test_with_position_dense_and_ordered(spark, parts):
     assert got["pos"].tolist() == list(range(len(got)))
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "double", "date", "timestamp", "decimal(20,3)", "binary", "boolean"])
+def test_positions_follow_the_order_of_every_key_type(spark, kind):
+    rows = [(int(v), int(v) % 7 == 0) for v in np.random.default_rng(5).permutation(900)]
+    df = spark.createDataFrame(rows, "u long, none boolean").select(
+        "u", F.when(~F.col("none"), {"date": F.date_add(F.lit("2000-01-01").cast("date"), F.pmod("u", F.lit(50)).cast("int")),
+                                     "timestamp": F.timestamp_seconds(F.pmod("u", F.lit(50)) * 3600.5), "boolean": F.col("u") % 2 == 0,
+                                     "double": F.when(F.col("u") % 5 == 0, float("nan")).otherwise(F.pmod("u", F.lit(50)) / 7 - 3)}
+                            .get(kind, F.concat(F.lit("é\u0000" if kind in ("string", "binary") else ""), F.pmod("u", F.lit(50)).cast("string")))
+                            .cast(kind)).alias("k"))
+    want = [r["u"] for r in df.orderBy("k", "u").collect()]
+    for parts in (1, 5, 12):
+        got = with_position(df.repartition(parts), ["k", "u"], num_partitions=parts)
+        assert [r["u"] for r in got.orderBy("pos").collect()] == want
+        assert sorted(r["pos"] for r in got.select("pos").collect()) == list(range(900))
+
+
+def test_positions_write_nothing_and_survive_ties_and_empty_input(spark):
+    df = spark.range(0, 3000, numPartitions=5).select("id", F.lit(1).alias("one"), F.col("id").cast("string").alias("payload"))
+    plan = with_position(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan" not in plan and "staged" not in plan and "rangepartitioning" not in plan
+    assert plan.count("Exchange") == 1
+    assert sorted(r["pos"] for r in with_position(df, "one").collect()) == list(range(3000))
+    assert with_position(df.limit(0), ["one", "id"]).count() == 0
+    assert [r["pos"] for r in with_position(df.limit(1), "id").collect()] == [0]
+
+
 @pytest.mark.parametrize("parts", [1, 4, 13])
 def test_linear_scan_matches_loop(spark, parts):
     rng = np.random.default_rng(parts)

@@ -1,11 +1,15 @@
 """Property checks: column functions against plain-Python statements of the same rules."""
 import fnmatch
+import hashlib
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from featurelab.functions import paths as P
+from featurelab.functions.permute import permuted, unpermuted
 
 SETTINGS = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -121,9 +125,49 @@ def test_top_dir_and_extension(spark, paths):
         assert r["e"] == p.split(".")[-1]
 
 
-def _u(*parts) -> float:
-    import hashlib
-    return int(hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()[:8], 16) / 2 ** 32
+M = 2 ** 31 - 1
+
+
+def _permutation(n, seed, epoch):
+    """The keyed permutation of 0..n-1, from its definition."""
+    a = next(a for a in range(1, n + 1) if a * a >= n)
+    b = -(-n // a)
+    h = hashlib.md5(f"{seed}:{epoch}".encode()).hexdigest()
+    k = [int(h[8 * i:8 * i + 8], 16) % M for i in range(4)]
+
+    def once(x):
+        low, high = x % a, x // a
+        for j in range(8):
+            v = high if j % 2 == 0 else low
+            t = (v + k[0] + j * k[1]) % M
+            add = t * t % M * (1 + (k[2] + j * k[3]) % (M - 1)) % M
+            low, high = ((low + add) % a, high) if j % 2 == 0 else (low, (high + add) % b)
+        return high * a + low
+
+    out = []
+    for x in range(n):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 100, 1023, 1024, 1025, 4099])
+def test_keyed_permutation(spark, n):
+    df = spark.range(n).select("id", permuted("id", n, 11, 4).alias("x"))
+    got = df.select("id", "x", unpermuted("x", n, 11, 4).alias("back")).orderBy("id").collect()
+    assert [r["x"] for r in got] == _permutation(n, 11, 4)
+    assert sorted(r["x"] for r in got) == list(range(n)) and all(r["back"] == r["id"] for r in got)
+
+
+def test_keyed_permutation_of_large_ranges(spark):
+    for n in (10 ** 9 + 7, 2 ** 61 + 3):
+        df = spark.range(0, n, max(1, n // 5000)).withColumn("x", permuted("id", n, 1, "e"))
+        df = df.withColumn("back", unpermuted("x", n, 1, "e"))
+        assert df.where((F.col("x") < 0) | (F.col("x") >= n) | (F.col("back") != F.col("id"))).count() == 0
+        share = df.select(F.avg((F.col("x") < n // 2).cast("double")), F.countDistinct("x"), F.count("*")).first()
+        assert abs(share[0] - 0.5) < 0.05 and share[1] == share[2]
 
 
 def test_epoch_batches_and_sampler_match_python(spark):
@@ -131,19 +175,25 @@ def test_epoch_batches_and_sampler_match_python(spark):
     ids = list(range(0, 137, 2))  # 69 non-dense ids
     df = spark.createDataFrame([(i,) for i in ids], "i long")
     seed, epoch, batch = 11, 4, 8
-    order = sorted(ids, key=lambda i: (_u(seed, epoch, i), i))
-    keep = (len(ids) // batch) * batch
+    n = len(ids)
+    order = [ids[x] for x in _permutation(n, seed, epoch)]
+    keep = (n // batch) * batch
     got = epoch_batches(df, "i", batch, seed, epoch).toPandas().sort_values(["batch_id", "slot"])
     assert got["i"].tolist() == order[:keep]
-    rank, replicas, start, steps = 2, 3, 50, 40
-    n = len(ids)
-    perms = {}
-    want = []
-    for j in range(steps):
-        idx = start + rank + j * replicas
-        e = idx // n
-        if e not in perms:
-            perms[e] = sorted(ids, key=lambda i: (_u(seed, e, i), i))
-        want.append(perms[e][idx % n])
+    rank, replicas, start, steps = 2, 3, 50, 140
+    idx = [start + rank + j * replicas for j in range(steps)]
+    want = [ids[_permutation(n, seed, i // n)[i % n]] for i in idx]
     s = infinite_sampler(df, "i", rank, replicas, seed, start, steps).toPandas().sort_values("j")
     assert s["i"].tolist() == want
+    with pytest.raises(ValueError):
+        epoch_batches(df, "i", batch, seed, epoch, "i")
+
+
+def test_epochs_are_neither_sorted_nor_copied(spark):
+    from featurelab.operators.sampling import epoch_batches, infinite_sampler
+    df = spark.range(1000).withColumn("payload", F.col("id").cast("string"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    batches = plan(epoch_batches(df, "id", 10, 1, 2, "id"))
+    assert "Exchange" not in batches and "Sort" not in batches and "Window" not in batches
+    stream = plan(infinite_sampler(df, "id", 0, 2, 1, 0, 5000, "id"))
+    assert "Sort" not in stream and "Window" not in stream and "payload" not in stream
