@@ -55,15 +55,18 @@ def read_label_manifest(spark, path, vectors: bool = False) -> DataFrame:
     pairs = raw.select("_file", F.posexplode("labels").alias("pos", "pair")).select(
         F.struct("_file", "pos").alias("pos"), F.element_at("pair", 1).alias("name"),
         F.element_at("pair", 2).alias("text"))
-    text = F.col("text")
+    return resolve_manifest(pairs.withColumn("label", manifest_label(F.col("text"), vectors)))
+
+
+def manifest_label(text, vectors: bool = False):
+    """The label that a manifest holds as JSON ``text``; one of another form is an error."""
     if vectors:
         label = F.coalesce(F.from_json(F.when(text.startswith("["), text), "array<double>"),
                            F.when(text.try_cast("double").isNotNull(), F.array(text.try_cast("double"))))
     else:
         label = text.try_cast("int")
     kind = "numbers" if vectors else "whole numbers"
-    label = F.when(text.isNotNull() & label.isNull(), F.raise_error(F.concat(F.lit(f"manifest labels must be {kind}: "), text))).otherwise(label)
-    return resolve_manifest(pairs.withColumn("label", label))
+    return F.when(text.isNotNull() & label.isNull(), F.raise_error(F.concat(F.lit(f"manifest labels must be {kind}: "), text))).otherwise(label)
 
 
 def attach_labels(samples: DataFrame, manifest: DataFrame, name_col: str = "name",

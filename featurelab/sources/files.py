@@ -1,9 +1,9 @@
 """File scans as Spark jobs.
 
 Listings use the ``binaryFile`` source with the ``content`` column pruned, so
-only paths and sizes are read until a task needs the bytes.  Archive and array
-readers run inside ``mapInPandas``: one task per file, Arrow batches out, and
-local files are streamed from disk instead of loading whole files as one value.
+only paths and sizes are read until a task needs the bytes.  Archives and stored
+arrays are read in ranges (:mod:`featurelab.sources.ranged`): a task reads the
+members or rows it needs, Arrow batches out, and no file is one value.
 
 Note: Spark's file index skips names starting with ``_`` or ``.``; such files
 are not listed (the source lists every file).
@@ -15,32 +15,26 @@ import json
 import os
 import re
 import uuid
-import zipfile
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.paths import fnmatch_regex, is_image_path
-from ..operators.labels import labels_from_top_dir, read_label_manifest
+from ..operators.labels import labels_from_top_dir, manifest_label, read_label_manifest
 from ..operators.position import with_position
-from ..session import default_parallelism, ensure_checkpoint_dir
+from ..session import default_parallelism, ensure_checkpoint_dir, stage
+from .ranged import Member, StoredArray, array_header, array_rows, local_path, open_ranged, reachable, read_member, stored_array, zip_directory
 
 ARRAY_SCHEMA = "path string, shape array<int>, dtype string, values array<double>"
 BATCH_SCHEMA = "path string, member string, row long, shape array<int>, values array<double>"
 DEFAULT_ARRAY_BATCH = 64
 
 
-def _local_path(uri: str) -> str | None:
-    u = urlparse(uri)
-    if u.scheme in ("", "file"):
-        return unquote(u.path)
-    return None
-
-
 def _strip_root(path_col, root: str):
     r = root.rstrip("/") + "/"
     p = F.regexp_replace(path_col, "^file:(//)?", "")
@@ -51,10 +45,10 @@ def list_files(spark: SparkSession, root: str, ignores: list[str] | None = None,
                add_base_to_relative: bool = False) -> DataFrame:
     """Recursive ``(path, rel_path, length)``; a glob in ``ignores`` prunes any
     directory or file name it matches, at every level."""
-    root_abs = os.path.abspath(root) if _local_path(root) is not None and "://" not in root else root
+    root_abs = os.path.abspath(root) if local_path(root) is not None and "://" not in root else root
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_abs)
           .select("path", "length"))
-    rel = _strip_root(F.col("path"), _local_path(root_abs) or root_abs)
+    rel = _strip_root(F.col("path"), local_path(root_abs) or root_abs)
     df = df.withColumn("rel_path", rel)
     for g in ignores or []:
         rx = fnmatch_regex(g)
@@ -116,122 +110,153 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-# binaryFile ships a file as one value; Spark rejects values above 2 GB
+# a store that only Spark reads ships a file as one value; Spark rejects values above 2 GB
 MAX_SHIPPED_BYTES = (2 << 30) - (64 << 20)
+#: bytes that a task reads of archives and stored arrays, at about
+RANGE_BYTES = 64 << 20
 
 
-def _check_shippable(raw: DataFrame, what: str) -> None:
-    big = raw.where(F.col("length") > F.lit(MAX_SHIPPED_BYTES)).select("path", "length").limit(3).collect()
-    if big:
-        raise ValueError(f"{what} too large to read as one value from a remote file system "
-                         f"(split it into shards under 2 GB): {[(r['path'], r['length']) for r in big]}")
+def _files_to_read(spark: SparkSession, raw: DataFrame, opener) -> DataFrame:
+    """``path`` and, for a store that only Spark reads, ``content`` (refused above 2 GB)."""
+    first = raw.select("path").first()
+    if first is None or opener is not open_ranged or reachable(first["path"]):
+        files = raw.select("path", F.lit(None).cast("binary").alias("content"))
+    else:
+        big = raw.where(F.col("length") > F.lit(MAX_SHIPPED_BYTES)).select("path", "length").limit(3).collect()
+        if big:
+            raise ValueError("too large to read as one value from a store that only Spark reads "
+                             f"(give an opener, or split into files under 2 GB): {[(r['path'], r['length']) for r in big]}")
+        files = raw.select("path", "content")
+    return files.repartition(default_parallelism(spark))  # spread files over the task slots
 
 
-def _open_archive(path, content):
-    local = _local_path(path)
-    if content is None:
-        return open(local, "rb")
-    return io.BytesIO(content)
+def _opened(opener, path: str, content):
+    return opener(path) if content is None else io.BytesIO(content)
 
 
-def _archive_members(batches):
-    """The image members of each archive from its central directory; no member is read."""
-    from ..functions.paths import IMAGE_EXTENSIONS
-    exts = set(IMAGE_EXTENSIONS)
-    for pdf in batches:
-        contents = pdf["content"] if "content" in pdf else [None] * len(pdf)
-        for path, content in zip(pdf["path"], contents):
-            with _open_archive(path, content) as src, zipfile.ZipFile(src) as z:
-                names = [n for n in z.namelist() if n.rsplit(".", 1)[-1].lower() in exts and not n.endswith("/")]
-            yield pd.DataFrame({"archive": path, "member": pd.Series(names, dtype="object")})
+_DIRECTORY = "archive string, member string, offset long, stored long, method int, crc long"
 
 
-def _read_members(batches):
-    """Bytes of the listed members, archive by archive, ``DEFAULT_ARRAY_BATCH`` at a time."""
-    for pdf in batches:
-        for archive, part in pdf.groupby("archive", sort=False):
-            content = part["content"].iloc[0] if "content" in part else None
-            with _open_archive(archive, content) as src, zipfile.ZipFile(src) as z:
-                for s in range(0, len(part), DEFAULT_ARRAY_BATCH):
-                    rows = part.iloc[s:s + DEFAULT_ARRAY_BATCH]
-                    yield pd.DataFrame({"archive": archive, "member": rows["member"].values, "idx": rows["idx"].values,
-                                        "label": rows["label"].values, "content": [z.read(n) for n in rows["member"]]})
+def archive_directory(spark: SparkSession, pattern: str, opener=open_ranged) -> DataFrame:
+    """``archive, member, offset, stored, method, crc`` of the members of zip archives, from
+    the directories at their ends; no member is read."""
 
+    def read(batches):
+        for rb in batches:
+            for path, content in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+                with _opened(opener, path, content) as fh:
+                    found = zip_directory(fh)
+                columns = [list(c) for c in zip(*found)] if found else [[]] * 5
+                types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), *(pa.array(c, t) for c, t in zip(columns, types))],
+                                                 names=["archive", *Member._fields])
 
-def _archive_labels(batches):
-    for pdf in batches:
-        contents = pdf["content"] if "content" in pdf else [None] * len(pdf)
-        for path, content in zip(pdf["path"], contents):
-            with _open_archive(path, content) as src, zipfile.ZipFile(src) as z:
-                if "dataset.json" not in z.namelist():
-                    continue
-                data = json.loads(z.read("dataset.json")).get("labels")
-                if data is None:
-                    continue
-                yield pd.DataFrame({"archive": [path] * len(data), "pos": list(range(len(data))),
-                                    "member": [str(x[0]) for x in data],
-                                    "label": [None if x[1] is None else int(x[1]) for x in data]})
-
-
-def scan_image_archives(spark: SparkSession, pattern: str, max_images: int | None = None) -> DataFrame:
-    """Image members of zip archives, ``(archive, member, idx, label, path)``
+    return _files_to_read(spark, spark.read.format("binaryFile").load(pattern), opener).mapInArrow(read, _DIRECTORY)
+
+
+def read_archive_members(spark: SparkSession, members: DataFrame, opener=open_ranged) -> DataFrame:
+    """``(archive, member, idx, label, content)`` of listed members.
+
+    Members meet by ranges of (archive, offset), about ``RANGE_BYTES`` a task, and are
+    read by their offsets, so a large archive is read by several tasks and none
+    reads more than its members.  From a store that only Spark reads, the members
+    of an archive meet its bytes in one row.
+    """
+    keep = [f for f in members.schema.fields if f.name in ("archive", "member", "idx", "label")]
+    rows = members.select("archive", "offset", "stored", "method", "crc", "member", "idx", "label")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", content binary"
+    first = members.select("archive").first()
+    if first is not None and opener is open_ranged and not reachable(first["archive"]):
+        inner = [c for c in rows.columns if c != "archive"]
+        held = rows.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct(*inner))).alias("members"))
+        whole = spark.read.format("binaryFile").load([r[0] for r in held.select("archive").collect()])
+        held = held.join(whole.select(F.col("path").alias("archive"), "content"), "archive")
+
+        def unpack(batches):
+            for rb in batches:
+                for archive, found, content in zip(*(c.to_pylist() for c in rb.columns)):
+                    yield from _member_batches(io.BytesIO(content), archive, found, keep)
+
+        return held.select("archive", "members", "content").mapInArrow(unpack, schema)
+    total = members.agg(F.coalesce(F.sum("stored"), F.lit(0))).first()[0]
+    parts = max(default_parallelism(spark), -(-total // RANGE_BYTES))
+    rows = rows.repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
+
+    def read(batches):
+        for rb in batches:
+            found = rb.to_pylist()
+            for archive in dict.fromkeys(r["archive"] for r in found):
+                with opener(archive) as fh:
+                    yield from _member_batches(fh, archive, [r for r in found if r["archive"] == archive], keep)
+
+    return rows.mapInArrow(read, schema)
+
+
+def _member_batches(fh, archive: str, found: list[dict], keep):
+    """The wanted columns and bytes of members of one archive, ``DEFAULT_ARRAY_BATCH`` at a time."""
+    types = {"archive": pa.string(), "member": pa.string(), "idx": pa.int64()}
+    for s in range(0, len(found), DEFAULT_ARRAY_BATCH):
+        part = found[s:s + DEFAULT_ARRAY_BATCH]
+        columns = {f.name: pa.array([archive if f.name == "archive" else r[f.name] for r in part], types.get(f.name) or to_arrow_type(f.dataType))
+                   for f in keep}
+        content = [read_member(fh, Member(*(r[c] for c in Member._fields))) for r in part]
+        yield pa.RecordBatch.from_pydict(columns | {"content": pa.array(content, pa.binary())})
+
+
+def _manifest_pairs(batches):
+    """``archive, pos, member, text`` of the label pairs of ``dataset.json`` members, labels as JSON."""
+    for rb in batches:
+        for archive, content in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            data = json.loads(content).get("labels") or []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([archive] * len(data), pa.string()), pa.array(range(len(data)), pa.int64()), pa.array([str(x[0]) for x in data], pa.string()),
+                 pa.array([None if x[1] is None else json.dumps(x[1]) for x in data], pa.string())], names=["archive", "pos", "member", "text"])
+
+
+def scan_image_archives(spark: SparkSession, pattern: str, max_images: int | None = None, vectors: bool = False,
+                        opener=open_ranged) -> DataFrame:
+    """Image members of zip archives, ``(archive, member, idx, label, path)`` and where each lies,
     sorted by (archive, member); ``idx`` is the position.  Labels only from a
-    ``dataset.json`` inside the archive (no folder fallback, as in the source).
-    Only names are numbered and shuffled; :func:`read_archive_members` reads the
-    bytes of what is still wanted.  ``path`` is the archive."""
-    raw = spark.read.format("binaryFile").load(pattern)
-    if _local_path(pattern) is None:
-        _check_shippable(raw, "archive")
-    cols = ["path"] if _local_path(pattern) is not None else ["path", "content"]
-    listing = raw.select(*cols)
-    listing = listing.repartition(default_parallelism(spark))  # spread files over the task slots
-    indexed = with_position(listing.mapInPandas(_archive_members, "archive string, member string"), ["archive", "member"], "idx")
+    ``dataset.json`` inside the archive (no folder fallback, as in the source), whole
+    numbers or, with ``vectors``, arrays of numbers.  Only names are numbered and
+    shuffled; :func:`read_archive_members` reads the bytes of what is still wanted.
+    ``path`` is the archive."""
+    entries = stage(archive_directory(spark, pattern, opener), "archive-directory")
+    indexed = with_position(entries.where(is_image_path("member")), ["archive", "member"], "idx")
     if max_images is not None:
         indexed = indexed.where(F.col("idx") < F.lit(int(max_images)))
-    labels = listing.mapInPandas(_archive_labels, "archive string, pos long, member string, label int")
-    labels = labels.groupBy("archive", "member").agg(F.max_by("label", "pos").alias("label"))
+    documents = entries.where("member = 'dataset.json'").withColumn("idx", F.lit(0).cast("long")).withColumn("label", F.lit(None).cast("int"))
+    pairs = read_archive_members(spark, documents, opener).select("archive", "content") \
+        .mapInArrow(_manifest_pairs, "archive string, pos long, member string, text string")
+    labels = pairs.withColumn("label", manifest_label(F.col("text"), vectors)).groupBy("archive", "member").agg(F.max_by("label", "pos").alias("label"))
     return indexed.join(labels, ["archive", "member"], "left").withColumn("path", F.col("archive"))
 
 
-def read_archive_members(spark: SparkSession, members: DataFrame) -> DataFrame:
-    """``(archive, member, idx, label, content)`` of listed members; a large archive is
-    read by several tasks, each taking a range of its members."""
-    rows = members.select("archive", "member", "idx", F.col("label").cast("double").alias("label"))
-    rows = rows.repartitionByRange(default_parallelism(spark), "idx")
-    first = members.select("archive").first()
-    if first is not None and _local_path(first["archive"]) is None:
-        whole = spark.read.format("binaryFile").load([r[0] for r in members.select("archive").distinct().collect()])
-        rows = rows.join(whole.select(F.col("path").alias("archive"), "content"), "archive")
-    out = rows.mapInPandas(_read_members, "archive string, member string, idx long, label double, content binary")
-    return out.withColumn("label", F.col("label").cast("int"))
-
-
 def unpack_archives(spark: SparkSession, members: DataFrame) -> tuple[DataFrame, str]:
     """Write the listed members as files ``<idx div 1000>/<idx>.<ext>`` under the shared
     checkpoint folder, for decoders that read files.  Returns ``(idx, path, label)`` and the folder."""
-    from ..session import stage
     from ..sinks.writers import local_root, write_file
     folder = f"{local_root(ensure_checkpoint_dir(spark)).rstrip('/')}/unpacked/{uuid.uuid4().hex}"
     if "://" in folder:
         folder = "/" + folder.split("://", 1)[1].lstrip("/")
 
     def write(batches):
-        for pdf in batches:
+        for rb in batches:
             paths = []
-            for idx, member, content in zip(pdf["idx"], pdf["member"], pdf["content"]):
-                paths.append(f"{folder}/{int(idx) // 1000:05d}/{int(idx):08d}.{member.rsplit('.', 1)[-1]}")
+            for idx, member, content in zip(*(rb.column(c).to_pylist() for c in ("idx", "member", "content"))):
+                paths.append(f"{folder}/{idx // 1000:05d}/{idx:08d}.{member.rsplit('.', 1)[-1]}")
                 write_file(paths[-1], content)
-            yield pd.DataFrame({"idx": pdf["idx"], "path": paths, "label": pdf["label"]})
+            yield pa.RecordBatch.from_arrays([rb.column("idx"), pa.array(paths, pa.string()), rb.column("label")], names=["idx", "path", "label"])
 
-    files = read_archive_members(spark, members).withColumn("label", F.col("label").cast("double"))
-    return stage(files.mapInPandas(write, "idx long, path string, label double"), "unpacked") \
-        .withColumn("label", F.col("label").cast("int")), folder
+    kind = members.schema["label"].dataType.simpleString()
+    files = read_archive_members(spark, members)
+    return stage(files.mapInArrow(write, f"idx long, path string, label {kind}"), "unpacked"), folder
 
 
 def open_dataset(spark: SparkSession, source: str, max_images: int | None = None) -> DataFrame:
     """S3: a directory reads as an image folder; a ``.zip`` file (or a glob of
     them, e.g. ``shards/*.zip``) as archives."""
-    local = _local_path(source)
+    local = local_path(source)
     if local is not None and os.path.isdir(local):
         return scan_images(spark, source, max_images)
     if source.rsplit(".", 1)[-1] == "zip":
@@ -240,16 +265,8 @@ def open_dataset(spark: SparkSession, source: str, max_images: int | None = None
 
 
 # ---------------------------------------------------------------- arrays
-def _header(f):
-    """Shape, order and dtype from an open ``.npy`` stream (public readers per version)."""
-    version = np.lib.format.read_magic(f)
-    if version == (1, 0):
-        return np.lib.format.read_array_header_1_0(f)
-    return np.lib.format.read_array_header_2_0(f)
-
-
 def _read_npy(f) -> np.ndarray:
-    shape, fortran, dtype = _header(f)
+    shape, fortran, dtype = array_header(f)
     count = int(np.prod(shape)) if shape else 1
     data = np.frombuffer(f.read(count * dtype.itemsize), dtype=dtype, count=count)
     return data.reshape(shape, order="F" if fortran else "C")
@@ -271,41 +288,49 @@ def ingest_arrays(spark: SparkSession, pattern: str, recursive: bool = False) ->
 
 
 def ingest_array_batches(spark: SparkSession, pattern: str, member: str = "arr_0",
-                         batch_size: int = DEFAULT_ARRAY_BATCH) -> DataFrame:
+                         batch_size: int = DEFAULT_ARRAY_BATCH, opener=open_ranged) -> DataFrame:
     """Member ``member`` of each ``.npz`` holds N stacked arrays; one row per array.
 
-    Local files are streamed ``batch_size`` arrays at a time; a missing member is
-    an error.  The last batch may be short.
+    The rows of an uncompressed member are read in ranges of about ``RANGE_BYTES``,
+    by several tasks for a large file; a compressed one is streamed by one task.
+    Arrays are held ``batch_size`` at a time; a missing member is an error.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(pattern)
-    # local files are streamed from disk in the task; other file systems ship the bytes
-    if _local_path(pattern) is None:
-        _check_shippable(raw, "array batch file")
-    listing = raw.select("path") if _local_path(pattern) is not None else raw.select("path", "content")
-    listing = listing.repartition(default_parallelism(spark))  # spread files over the task slots
+    name = member + ".npy"
+
+    def heads(batches):
+        for rb in batches:
+            for path, content in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+                with _opened(opener, path, content) as fh:
+                    try:
+                        a = stored_array(fh, name)
+                    except KeyError:
+                        raise KeyError(f"{path} has no member {member!r}") from None
+                per = max(1, int(np.prod(a.shape)) * np.dtype(a.dtype).itemsize)
+                step = a.rows if a.start is None or content is not None else max(1, RANGE_BYTES // per)
+                lo = list(range(0, a.rows, max(1, step)))
+                yield pa.RecordBatch.from_pydict(
+                    {"path": [path] * len(lo), "lo": lo, "hi": [min(a.rows, x + step) for x in lo], "rows": [a.rows] * len(lo),
+                     "inner": [a.shape] * len(lo), "dtype": [a.dtype] * len(lo), "start": [a.start] * len(lo), "content": [content] * len(lo)},
+                    schema=pa.schema([("path", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("rows", pa.int64()), ("inner", pa.list_(pa.int64())),
+                                      ("dtype", pa.string()), ("start", pa.int64()), ("content", pa.binary())]))
 
     def read(batches):
-        for pdf in batches:
-            contents = pdf["content"] if "content" in pdf else [None] * len(pdf)
-            for path, content in zip(pdf["path"], contents):
-                with _open_archive(path, content) as fh, zipfile.ZipFile(fh) as z:
-                    name = member + ".npy"
-                    if name not in z.namelist():
-                        raise KeyError(f"{path} has no member {member!r}")
-                    with z.open(name) as f:
-                        shape, fortran, dtype = _header(f)
-                        n = shape[0]
-                        inner = shape[1:]
-                        per = int(np.prod(inner)) if inner else 1
-                        for s in range(0, n, batch_size):
-                            k = min(batch_size, n - s)
-                            buf = f.read(k * per * dtype.itemsize)
-                            block = np.frombuffer(buf, dtype=dtype).reshape((k,) + tuple(inner))
-                            yield pd.DataFrame({"path": [path] * k, "member": [member] * k,
-                                                "row": np.arange(s, s + k, dtype=np.int64),
-                                                "shape": [list(inner)] * k,
-                                                "values": list(block.reshape(k, -1).astype(np.float64))})
-    return listing.mapInPandas(read, BATCH_SCHEMA)
+        for rb in batches:
+            for path, lo, hi, rows, inner, dtype, start, content in zip(*(c.to_pylist() for c in rb.columns)):
+                with _opened(opener, path, content) as fh:
+                    for s, block in array_rows(fh, name, StoredArray(rows, inner, dtype, start), lo, hi, batch_size):
+                        k = len(block)
+                        values = np.ascontiguousarray(block, np.float64).ravel()
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([path] * k, pa.string()), pa.array([member] * k, pa.string()), pa.array(np.arange(s, s + k)),
+                             pa.array([inner] * k, pa.list_(pa.int32())),
+                             pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * block.shape[1], pa.int32()), pa.array(values))],
+                            names=["path", "member", "row", "shape", "values"])
+
+    ranges = _files_to_read(spark, raw, opener).mapInArrow(
+        heads, "path string, lo long, hi long, rows long, inner array<long>, dtype string, start long, content binary")
+    return ranges.repartition(default_parallelism(spark), "path", "lo").mapInArrow(read, BATCH_SCHEMA)
 
 
 def scan_feature_set(spark: SparkSession, root: str, suffix: str = "_cls.npy",

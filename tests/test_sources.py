@@ -237,3 +237,110 @@ def test_metric_names_by_regex(spark):
     df = spark.createDataFrame([("loss",), ("loss_a",), ("time_x",), ("grad",)], "name string")
     assert sorted(r[0] for r in select_metrics(df, regex="loss|grad").collect()) == ["grad", "loss"]
     assert select_metrics(df, prefixes=()).count() == 0
+
+
+def _counting(log):
+    """An opener whose files leave the number of bytes read from them in a log file (local classes travel to the tasks)."""
+    class Counted(io.FileIO):
+        n = 0
+
+        def read(self, size=-1):
+            data = super().read(size)
+            self.n += len(data)
+            return data
+
+        def readinto(self, b):
+            k = super().readinto(b)
+            self.n += k
+            return k
+
+        def close(self):
+            if not self.closed:
+                with open(log, "a") as f:
+                    f.write(f"{self.n}\n")
+            super().close()
+
+    return lambda uri: Counted(uri.replace("file:", "", 1))
+
+
+def _taken(log):
+    n = sum(map(int, log.read_text().split())) if log.exists() else 0
+    log.write_text("")
+    return n
+
+
+def test_archive_members_are_read_by_range(spark, tmp_path):
+    big, rng = tmp_path / "a.zip", np.random.default_rng(3)
+    data = {f"{i % 3}/{i:03}.png": rng.bytes(100_000) for i in range(40)}
+    with zipfile.ZipFile(big, "w") as z:
+        for i, (n, b) in enumerate(data.items()):
+            z.writestr(n, b, zipfile.ZIP_DEFLATED if i % 2 else zipfile.ZIP_STORED)
+        z.writestr("dataset.json", json.dumps({"labels": [[n, i] for i, n in enumerate(data)] + [["0/000.png", 77]]}))
+        z.writestr("folder/", b"")
+    log = tmp_path / "log"
+    opener = _counting(str(log))
+    found = S.scan_image_archives(spark, str(big), opener=opener)
+    rows = found.orderBy("idx").collect()
+    assert [r["member"] for r in rows] == sorted(data) and rows[0]["label"] == 77
+    # the directory and the manifest, in a few passes; no member
+    assert _taken(log) < 300_000 < big.stat().st_size / 10
+    one = S.read_archive_members(spark, found.where("idx = 7"), opener).collect()
+    assert len(one) == 1 and one[0]["content"] == data[sorted(data)[7]]
+    assert _taken(log) < 100_000 + 400_000
+    every = {r["member"]: r["content"] for r in S.read_archive_members(spark, found, opener).collect()}
+    assert every == data
+    with zipfile.ZipFile(big) as z:
+        offset = z.getinfo(sorted(data)[7]).header_offset
+    with open(big, "r+b") as f:
+        f.seek(offset + 200)
+        f.write(b"\x00\x01\x02\x03")
+    with pytest.raises(Exception, match="checksum|decompress"):
+        S.read_archive_members(spark, found.where("idx = 7")).collect()
+
+
+def test_a_store_that_only_spark_reads_ships_each_archive_once(spark, tmp_path, monkeypatch):
+    for a in ("x", "y"):
+        with zipfile.ZipFile(tmp_path / f"{a}.zip", "w") as z:
+            for i in range(5):
+                z.writestr(f"{i}.png", f"{a}{i}".encode() * 50)
+    monkeypatch.setattr(S, "reachable", lambda uri: False)
+    found = S.scan_image_archives(spark, str(tmp_path / "*.zip"))
+    rows = S.read_archive_members(spark, found)
+    assert sorted((r["archive"][-5:], r["member"], bytes(r["content"])) for r in rows.collect()) == sorted(
+        (f"{a}.zip", f"{i}.png", f"{a}{i}".encode() * 50) for a in "xy" for i in range(5))
+    monkeypatch.setattr(S, "MAX_SHIPPED_BYTES", 10)
+    with pytest.raises(ValueError, match="only Spark reads"):
+        S.scan_image_archives(spark, str(tmp_path / "*.zip"))
+
+
+def test_vector_labels_inside_archives(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for n in ("0.png", "1.png", "2.png"):
+            z.writestr(n, b"x")
+        z.writestr("dataset.json", json.dumps({"labels": [["0.png", [1, 2.5]], ["1.png", 3]]}))
+    found = S.scan_image_archives(spark, str(tmp_path / "a.zip"), vectors=True)
+    assert [r["label"] for r in found.orderBy("idx").collect()] == [[1.0, 2.5], [3.0], None]
+    assert [r["label"] for r in S.read_archive_members(spark, found).orderBy("idx").collect()] == [[1.0, 2.5], [3.0], None]
+    with pytest.raises(Exception, match="whole numbers"):
+        S.scan_image_archives(spark, str(tmp_path / "a.zip")).collect()
+
+
+def test_stored_arrays_are_read_by_row_ranges(spark, tmp_path, monkeypatch):
+    stack = np.random.default_rng(0).random((40, 30, 20))
+    np.savez(tmp_path / "plain.npz", arr_0=stack, other=np.zeros(3))
+    np.savez_compressed(tmp_path / "packed.npz", arr_0=stack.astype(np.float32))
+    np.savez(tmp_path / "columns.npz", arr_0=np.asfortranarray(stack))
+    np.savez(tmp_path / "none.npz", arr_0=np.zeros((0, 4)))
+    np.savez(tmp_path / "flat.npz", arr_0=np.arange(5))
+    monkeypatch.setattr(S, "RANGE_BYTES", 20_000)
+    log = tmp_path / "log"
+    rows = S.ingest_array_batches(spark, str(tmp_path / "plain.npz"), batch_size=3, opener=_counting(str(log))).collect()
+    assert [x["row"] for x in sorted(rows, key=lambda x: x["row"])] == list(range(40)) and len(log.read_text().split()) > 10
+    assert _taken(log) < 1.2 * stack.nbytes
+    got = {}
+    for r in S.ingest_array_batches(spark, str(tmp_path), batch_size=7).collect():
+        got.setdefault(r["path"].rsplit("/", 1)[-1], {})[r["row"]] = (r["shape"], r["values"])
+    for name in ("plain.npz", "packed.npz", "columns.npz"):
+        assert sorted(got[name]) == list(range(40)) and got[name][3][0] == [30, 20]
+        np.testing.assert_allclose([got[name][i][1] for i in range(40)], stack.reshape(40, -1), rtol=1e-6)
+    assert [got["flat.npz"][i] for i in range(5)] == [([], [float(i)]) for i in range(5)] and "none.npz" not in got
