@@ -18,6 +18,7 @@ from ..operators.labels import assert_uniform_square, attach_labels, read_label_
 from ..operators.position import with_position
 from ..operators.scoring import encode_images
 from ..session import stage
+from ..sinks.archives import write_image_archives
 from ..sinks.writers import write_array_sets, write_image_files, write_manifest
 from ..sources.files import (ingest_arrays, list_files, manifest_files, open_dataset, path_exists, scan_feature_set, scan_images,
                               unpack_archives)
@@ -30,13 +31,23 @@ def _empty_folder(spark: SparkSession, dest: str) -> None:
         raise ValueError(f"destination folder is not empty: {dest}")
 
 
+#: up to so many listed paths (some hundred bytes each) are broadcast to the decoder, beyond it all files are decoded
+BROADCAST_PATHS = 100_000
+
+
 def convert_dataset(spark: SparkSession, source: str, dest: str, transform: str | None = None,
                     width: int | None = None, height: int | None = None,
                     max_images: int | None = None) -> DataFrame:
-    """Convert ``source`` (an image folder, or ``.zip`` archives) into ``dest``;
-    returns the written rows ``(idx, archive_path, label)``.  Images that do
-    not decode or are rejected go to ``dest/_rejected`` as ``(idx, source, error)``."""
-    _empty_folder(spark, dest)
+    """Convert ``source`` (an image folder, or ``.zip`` archives) into ``dest``, a folder or,
+    ending in ``.zip``, archives (:mod:`featurelab.sinks.archives`); returns the written rows
+    ``(idx, archive_path, label)``.  Images that do not decode or are rejected go to
+    ``dest/_rejected`` (``<dest>_rejected`` beside archives) as ``(idx, source, error)``.
+
+    Images are cropped and resampled where they are decoded; only the results meet
+    their index."""
+    archives = dest.endswith(".zip")
+    if not archives:
+        _empty_folder(spark, dest)
     listed = open_dataset(spark, source, max_images)
     if "member" in listed.columns:
         listed, folder = unpack_archives(spark, listed)
@@ -46,14 +57,22 @@ def convert_dataset(spark: SparkSession, source: str, dest: str, transform: str
     bare = lambda c: F.regexp_replace(F.col(c), "^file:/*", "/")
     listed = stage(listed.select("idx", bare("path").alias("source"), "label"), "convert-listing")
     pixels = read_images(spark, folder, "path", recursive=True, keep_invalid=True).select(bare("path").alias("source"), "image")
-    rows = listed.select("idx", "source").join(pixels, "source", "left")
-    written = stage(write_image_files(transform_images(rows, transform, width, height), dest), "convert-written")
+    if max_images is not None and max_images <= BROADCAST_PATHS:
+        pixels = pixels.join(F.broadcast(listed.select("source")), "source", "left_semi")
+    done = transform_images(pixels, transform, width, height, key_col="source")
+    rows = listed.join(done, "source", "left")
+    if archives:
+        written = write_image_archives(rows, dest)
+    else:
+        written = stage(write_image_files(rows.select("idx", "image", "error"), dest), "convert-written")
     written = written.join(listed, "idx")
-    written.where("archive_path is null").select("idx", "source", "error").write.mode("overwrite").parquet(dest.rstrip("/") + "/_rejected")
+    rejected = dest[:-len(".zip")] + "_rejected" if archives else dest.rstrip("/") + "/_rejected"
+    written.where("archive_path is null").select("idx", "source", "error").write.mode("overwrite").parquet(rejected)
     good = written.where("archive_path is not null")
     assert_uniform_square(good.select("idx", F.col("width").alias("w"), F.col("height").alias("h")))
     good = good.select("idx", "archive_path", "label")
-    write_manifest(good, dest, documents=True)
+    if not archives:
+        write_manifest(good, dest, documents=True)
     return good
 
 

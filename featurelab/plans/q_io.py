@@ -118,6 +118,18 @@ def q_convert_archive(spark, sf):
     return labelled.join(back, "archive_path").select("archive_path", "label", "pixel_sum")
 
 
+def q_convert_to_archive(spark, sf):
+    """The conversion into zip archives, scanned and decoded again."""
+    from .prepare import convert_dataset
+    dest = MZ.fresh_folder(spark, "converted") + "/images.zip"
+    convert_dataset(spark, MZ.write_image_folder(spark, sf), dest, "center-crop-dhariwal", 4, 4)
+    found = S.scan_image_archives(spark, dest[:-len(".zip")] + "*.zip")
+    files, folder = S.unpack_archives(spark, found)
+    back = IM.read_images(spark, folder, "path", recursive=True).select(
+        F.regexp_extract("path", r"(\d{8})\.png$", 1).cast("bigint").alias("idx"), _pixel_sum(F.col("image.data")).alias("pixel_sum"))
+    return found.join(back, "idx").select(F.col("member").alias("archive_path"), "label", "pixel_sum")
+
+
 def q_encode_dataset(spark, sf):
     """The encoding flow after conversion: channel mean/std per image written as
     ``img-mean-std-<idx>.npy`` files, read back through the array ingest (S5)."""
@@ -403,6 +415,7 @@ QUERIES = {
     "io_convert_roundtrip_labels": q_convert_roundtrip,
     "io_convert_quarantine": q_convert_quarantine,
     "io_convert_archive": q_convert_archive,
+    "io_convert_to_archive": q_convert_to_archive,
     "io_encode_dataset": q_encode_dataset,
     "io_stream_images": q_stream_images,
     "io_scan_images": q_scan_images,
@@ -457,13 +470,8 @@ def _pixels_sql() -> str:
                                      placed("center-crop-wide", "o3", 6, 6, 1), placed("center-crop-dhariwal", "o4", 3, 3)]))
 
 
-ORACLES = {
-    "io_transform_pixels": _pixels_sql(),
-    "io_sample_batches": """SELECT vec_id AS "index",
-  CAST(3 * list_sum(list_transform(CAST(embedding AS DOUBLE[]),
-       lambda v: floor(least(greatest((v + 1.0) / 2.0 * 255.0, 0.0), 255.0)))) AS BIGINT) AS pixel_sum
-FROM embeddings""",
-    "io_convert_dataset": f"""WITH p AS (SELECT vec_id, label, {_PX} AS px,
+#: the converted images of the folder fixture
+_CONVERTED_SQL = f"""WITH p AS (SELECT vec_id, label, {_PX} AS px,
     'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel FROM embeddings),
 i AS (SELECT *, row_number() OVER (ORDER BY rel) - 1 AS idx FROM p),
 c AS (SELECT top, CAST(row_number() OVER (ORDER BY top) - 1 AS INTEGER) AS cls
@@ -474,7 +482,16 @@ b AS (SELECT idx, yy, xx, round_even((px[(2*yy)*8 + 2*xx + 1] + px[(2*yy)*8 + 2*
 t AS (SELECT idx, CAST(3 * sum(v) AS BIGINT) AS pixel_sum FROM b GROUP BY idx)
 SELECT substr(printf('%08d', i.idx), 1, 5) || '/img' || printf('%08d', i.idx) || '.png' AS archive_path,
        c.cls AS label, t.pixel_sum
-FROM i JOIN t USING (idx) JOIN c ON c.top = 'class_' || CAST(i.label AS VARCHAR)""",
+FROM i JOIN t USING (idx) JOIN c ON c.top = 'class_' || CAST(i.label AS VARCHAR)"""
+
+ORACLES = {
+    "io_transform_pixels": _pixels_sql(),
+    "io_sample_batches": """SELECT vec_id AS "index",
+  CAST(3 * list_sum(list_transform(CAST(embedding AS DOUBLE[]),
+       lambda v: floor(least(greatest((v + 1.0) / 2.0 * 255.0, 0.0), 255.0)))) AS BIGINT) AS pixel_sum
+FROM embeddings""",
+    "io_convert_dataset": _CONVERTED_SQL,
+    "io_convert_to_archive": _CONVERTED_SQL,
     "train_set_from_files": f"""WITH p AS (SELECT vec_id, label, {_PX} AS px,
     'class_' || CAST(label AS VARCHAR) || '/img_' || CAST(vec_id AS VARCHAR) || '.png' AS rel FROM embeddings),
 i AS (SELECT *, row_number() OVER (ORDER BY rel) - 1 AS idx, dense_rank() OVER (ORDER BY 'class_' || CAST(label AS VARCHAR)) - 1 AS cls FROM p),

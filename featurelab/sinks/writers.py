@@ -86,7 +86,9 @@ def write_manifest(df: DataFrame, dest: str, name_col: str = "archive_path", lab
         return pd.DataFrame({"shard": [int(key[0])], "rows": [len(pairs)]})
 
     # one group is one document of at most `rows` rows
-    src.groupBy("shard").applyInPandas(write, "shard long, rows long").agg(F.sum("rows")).collect()
+    written = src.groupBy("shard").applyInPandas(write, "shard long, rows long").agg(F.sum("rows")).first()[0]
+    if not written:  # an empty dataset has a manifest too
+        write_file(os.path.join(root, "dataset-00000.json"), json.dumps({"labels": []}).encode())
 
 
 def report_text(numbers: dict) -> str:

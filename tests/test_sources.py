@@ -344,3 +344,87 @@ def test_stored_arrays_are_read_by_row_ranges(spark, tmp_path, monkeypatch):
         assert sorted(got[name]) == list(range(40)) and got[name][3][0] == [30, 20]
         np.testing.assert_allclose([got[name][i][1] for i in range(40)], stack.reshape(40, -1), rtol=1e-6)
     assert [got["flat.npz"][i] for i in range(5)] == [([], [float(i)]) for i in range(5)] and "none.npz" not in got
+
+
+def _folder(root, n, labelled=True):
+    for i in range(n):
+        p = root / ("ab"[i % 2] if labelled else "a") / f"{i}.png"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(W.png_bytes(bytes([10 * i]) * (8 * 8 * 3), 8, 8, 3))
+
+
+def test_zip_destination_scans_back(spark, tmp_path):
+    from featurelab.plans.prepare import convert_dataset
+    _folder(tmp_path / "src", 9)
+    (tmp_path / "src" / "a" / "x.png").write_bytes(b"broken")
+    dest = str(tmp_path / "out" / "set.zip")
+    (tmp_path / "out").mkdir()
+    out = convert_dataset(spark, str(tmp_path / "src"), dest, "center-crop-dhariwal", 4, 4)
+    want = {(r["archive_path"], r["label"]) for r in out.collect()}
+    assert len(want) == 9
+    found = S.scan_image_archives(spark, str(tmp_path / "out" / "set*.zip"))
+    assert {(r["member"], r["label"]) for r in found.collect()} == want
+    assert [r["member"] for r in found.orderBy("idx").collect()] == sorted(n for n, _ in want)
+    assert not list((tmp_path / "out").glob("*.work"))
+    bad = spark.read.parquet(str(tmp_path / "out" / "set_rejected")).collect()
+    assert [r["source"].rsplit("/", 1)[1] for r in bad] == ["x.png"]
+    with zipfile.ZipFile(sorted((tmp_path / "out").glob("set*.zip"))[0]) as z:
+        assert {i.compress_type for i in z.infolist()} == {zipfile.ZIP_STORED}
+        assert z.testzip() is None
+    with pytest.raises(ValueError, match="exists"):
+        convert_dataset(spark, str(tmp_path / "src"), dest, "center-crop-dhariwal", 4, 4)
+
+
+def _images(spark, n, labels, error_at=None):
+    px = bytes(range(48))
+    rows = [(i, None if i == error_at else (4, 4, 3, px), "e" if i == error_at else None, labels(i)) for i in range(n)]
+    return spark.createDataFrame(rows, "idx int, image struct<height:int,width:int,nChannels:int,data:binary>, error string, label int").repartition(3)
+
+
+def test_archives_are_cut_by_rows_and_share_one_label_rule(spark, tmp_path):
+    from featurelab.sinks.archives import write_image_archives
+    full = write_image_archives(_images(spark, 10, lambda i: i, error_at=4), str(tmp_path / "f.zip"), rows_per_archive=2)
+    assert sorted((r["idx"], r["archive_path"] is None) for r in full.collect()) == [(i, i == 4) for i in range(10)]
+    names = sorted(p.name for p in tmp_path.glob("f*.zip"))
+    assert names == [f"f-{i:05d}.zip" for i in range(len(names))] and len(names) >= 5
+    assert {r["member"][-6:-4]: r["label"] for r in S.scan_image_archives(spark, str(tmp_path / "f-*.zip")).collect()} == {
+        f"{i:02}": i for i in range(10) if i != 4}
+    write_image_archives(_images(spark, 10, lambda i: None if i == 7 else i), str(tmp_path / "g.zip"), rows_per_archive=2)
+    assert {r["label"] for r in S.scan_image_archives(spark, str(tmp_path / "g-*.zip")).collect()} == {None}
+    write_image_archives(_images(spark, 1, lambda i: i).where("idx > 5"), str(tmp_path / "none.zip"))
+    with zipfile.ZipFile(tmp_path / "none.zip") as z:
+        assert json.loads(z.read("dataset.json")) == {"labels": []}
+
+
+def test_a_failing_task_leaves_no_archive(spark, tmp_path):
+    from featurelab.sinks.archives import write_image_archives
+    bad = _images(spark, 10, lambda i: i).withColumn("image", F.when(F.col("idx") == 6, F.raise_error(F.lit("boom"))).otherwise(F.col("image")))
+    with pytest.raises(Exception, match="boom"):
+        write_image_archives(bad, str(tmp_path / "h.zip"), rows_per_archive=2)
+    assert list(tmp_path.iterdir()) == []
+    odd = _images(spark, 10, lambda i: i).withColumn("image", F.when(F.col("idx") == 6, F.col("image").withField("nChannels", F.lit(2)))
+                                                     .otherwise(F.col("image")))
+    with pytest.raises(Exception, match="KeyError"):  # in the writer
+        write_image_archives(odd, str(tmp_path / "h.zip"), rows_per_archive=2)
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_source_size_images_cross_no_exchange(spark, tmp_path, monkeypatch):
+    from featurelab.plans import prepare
+    _folder(tmp_path / "src", 4)
+    seen = {}
+    real = prepare.write_image_files
+    monkeypatch.setattr(prepare, "write_image_files", lambda df, dest: seen.setdefault("plan", df._jdf.queryExecution().sparkPlan().toString()) and real(df, dest))
+    prepare.convert_dataset(spark, str(tmp_path / "src"), str(tmp_path / "out"), "center-crop-dhariwal", 4, 4, max_images=3)
+    lines = seen["plan"].splitlines()
+    scan = next(i for i, x in enumerate(lines) if "image" in x and "Scan" in x and "origin" in x or "FileScan image" in x)
+    above = [x for x in lines[:scan] if "MapInPandas" in x]
+    assert len(above) == 2  # decode, transform: on top of the scan, before any join
+    last = max(i for i, x in enumerate(lines) if "Join" in x and "SemiJoin" not in x and "LeftSemi" not in x)
+    assert last < lines.index(above[0])
+
+
+def test_manifest_of_an_empty_dataset(spark, tmp_path):
+    df = spark.createDataFrame([], "idx int, archive_path string, label int")
+    W.write_manifest(df, str(tmp_path / "m"), documents=True)
+    assert json.loads((tmp_path / "m" / "dataset-00000.json").read_text()) == {"labels": []}
