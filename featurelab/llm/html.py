@@ -27,7 +27,7 @@ element that is left out ends as in HTML also without an end tag (a paragraph
 at the next block, list items, terms, cells, rows and options at the next one,
 any at the end of an element around it), and if it has no end tag, where an
 ``article``, ``main`` or ``h1`` starts; a null or unparsable url is a host of its own kind ('' as host
-and path); repeated rows are extracted one by one; an empty table gives an
+and path); repeated rows are extracted one by one, none is a neighbour of its copies; an empty table gives an
 empty result; extra and clashing columns are not read.
 """
 from __future__ import annotations
@@ -37,7 +37,6 @@ import re
 from urllib.parse import urlsplit
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +69,8 @@ _NEUTRAL = frozenset("area article articles author bar block body bottom box btn
                      "global group icon icons id inner item items label left link links list main meta module node odd outer page panel parent "
                      "post posts reader readers right row section single site slot text thread title top unit user users wrap wrapper".split())
 _WORD = re.compile(r"[a-z]+")
+#: up to so many deleted lines (4 bytes each, and some per page) are broadcast to the pages, beyond it they are joined
+BROADCAST_LINES = 4_000_000
 #: how a class or id judges an element: content, in doubt, left out
 _KEEP, _DOUBT, _LEAVE = range(3)
 # fixed values: which open elements a start tag ends (HTML standard, optional tags)
@@ -285,10 +286,15 @@ def _url_key(url) -> tuple[str, str]:
         return "", ""
 
 
-def parse_pages(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
-    """``page_id, url, host, path, marked, lines, doubt`` of every page row."""
-    src = pages.select(F.col(id_column).alias("page_id"), F.col("url").cast("string").alias("url"),
-                       F.col("html").cast("string").alias("html"))
+def _source(pages: DataFrame, id_column: str) -> DataFrame:
+    """``page_id, url, html, page_hash``; rows equal in these are one page, extracted for each of them."""
+    html = F.col("html").cast("string")
+    return pages.select(F.col(id_column).alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"),
+                        F.xxhash64(F.coalesce(html, F.lit(""))).alias("page_hash"))
+
+
+def parsed_pages(source: DataFrame) -> DataFrame:
+    """``page_id, url, page_hash, host, path, marked, mine, doubt`` of every page: its lines only as hashes."""
 
     def run(it):
         for rb in it:
@@ -302,19 +308,22 @@ def parse_pages(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
                 lines.append([t for t, _ in found])
                 doubt.append([d for _, d in found])
             yield pa.RecordBatch.from_arrays(
-                [rb.column(0), rb.column(1), pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(marked, pa.bool_()),
-                 pa.array(lines, pa.list_(pa.string())), pa.array(doubt, pa.list_(pa.bool_()))],
-                names=["page_id", "url", "host", "path", "marked", "lines", "doubt"])
-
-    kind = src.schema["page_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"page_id {kind}, url string, host string, path string, marked boolean, lines array<string>, doubt array<boolean>")
-
-
-def difference(parsed: DataFrame) -> DataFrame:
-    """``page_id, url, lines`` with the lines in doubt deleted that a page shares with its nearest pages of the host."""
-    keyed = common.stage(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed-pages")
-    slim = keyed.select("row", "host", "path", "page_id", "marked", "doubt", F.transform("lines", lambda x: F.xxhash64(x)).alias("mine"))
-    slim = with_position(slim, ["host", "path", "page_id", "row"], "pos").select("row", "host", "pos", "marked", "doubt", "mine")
+                [rb.column(0), rb.column(1), rb.column(3), pa.array(host, pa.string()), pa.array(path, pa.string()),
+                 pa.array(marked, pa.bool_()), pa.array(lines, pa.list_(pa.string())), pa.array(doubt, pa.list_(pa.bool_()))],
+                names=["page_id", "url", "page_hash", "host", "path", "marked", "lines", "doubt"])
+
+    kind = source.schema["page_id"].dataType.simpleString()
+    out = source.mapInArrow(run, f"page_id {kind}, url string, page_hash long, host string, path string, marked boolean, "
+                                 "lines array<string>, doubt array<boolean>")
+    return out.withColumn("mine", F.transform("lines", lambda x: F.xxhash64(x))).drop("lines")
+
+
+def shared_with_neighbours(parsed: DataFrame) -> DataFrame:
+    """``page_id, url, page_hash, gone``: the numbers of the lines in doubt that a page shares with its nearest pages of the
+    host, for the pages that have some."""
+    key = ["page_id", "url", "page_hash"]
+    slim = common.stage(parsed.dropDuplicates(key), "parsed-pages")
+    slim = with_position(slim, ["host", "path", *key], "pos").drop("path")
     near = slim.select(F.col("host").alias("h"), F.col("pos").alias("p"), F.col("mine").alias("other"))
     both = slim
     for step, name in ((1, "before"), (-1, "after")):
@@ -322,23 +331,45 @@ def difference(parsed: DataFrame) -> DataFrame:
         both = both.join(side, (both["pos"] == side["p"]) & (both["host"] == side["h"]), "left").drop("h", "p")
 
     def align(it):
-        for pdf in it:
-            keep = []
-            for mine, before, after, marked, doubt in zip(pdf["mine"], pdf["before"], pdf["after"], pdf["marked"], pdf["doubt"]):
-                mine = list(mine)
+        for rb in it:
+            out = []
+            for mine, before, after, marked, doubt in zip(*(c.to_pylist() for c in rb.columns[3:])):
                 shared = np.zeros(len(mine), bool)
                 for other in (before, after):
                     if other is not None:
-                        shared |= shared_lines(mine, list(other))
+                        shared |= shared_lines(mine, other)
                 gone = shared & np.asarray(doubt, bool)
-                keep.append(list(range(len(mine))) if gone.all() and not marked else np.flatnonzero(~gone).tolist())
-            yield pd.DataFrame({"row": pdf["row"], "keep": keep})
+                out.append([] if gone.all() and not marked else np.flatnonzero(gone).tolist())
+            rows = pa.RecordBatch.from_arrays([*rb.columns[:3], pa.array(out, pa.list_(pa.int32()))], names=[*key, "gone"])
+            yield rows.filter(pa.array([len(g) > 0 for g in out], pa.bool_()))
 
-    kept = both.select("row", "mine", "before", "after", "marked", "doubt").mapInPandas(align, "row long, keep array<int>")
-    return keyed.join(kept, "row").select("page_id", "url", F.transform("keep", lambda i: F.get("lines", i)).alias("lines"))
+    kind = slim.schema["page_id"].dataType.simpleString()
+    return both.select(*key, "mine", "before", "after", "marked", "doubt") \
+        .mapInArrow(align, f"page_id {kind}, url string, page_hash long, gone array<int>")
 
 
 def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
-    """``page_id, url, text`` of every page row."""
+    """``page_id, url, text`` of every page row.
+
+    Pages are parsed once for the hashes of their lines, which meet those of the
+    neighbours, and once for the text, so no text is written or exchanged unless
+    so many pages lose lines that their list is no small table.
+    """
     common.prepare(pages.sparkSession)
-    return difference(parse_pages(pages, id_column)).select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+    source = _source(pages, id_column)
+    gone = common.stage(shared_with_neighbours(parsed_pages(source)), "shared-lines")
+    small = gone.agg(F.coalesce(F.sum(F.size("gone") + 16), F.lit(0))).first()[0] <= BROADCAST_LINES
+    gone = gone.withColumnsRenamed({"page_id": "p", "url": "u", "page_hash": "h"})
+    rows = source.join(F.broadcast(gone) if small else gone, F.col("page_id").eqNullSafe(F.col("p")) & F.col("url").eqNullSafe(F.col("u"))
+                       & (F.col("page_hash") == F.col("h")), "left").select("page_id", "url", "html", "gone")
+
+    def run(it):
+        for rb in it:
+            text = []
+            for page, gone in zip(rb.column(2).to_pylist(), rb.column(3).to_pylist()):
+                lines = blocks(page or "")
+                drop = set(gone or ())
+                text.append("\n".join(t for i, t in enumerate(lines) if i not in drop))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    return rows.mapInArrow(run, f"page_id {source.schema['page_id'].dataType.simpleString()}, url string, text string")
