@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import exact_percentile
+
 DEFAULT_BLOCK_ROWS = None  # None: sized from the feature width and the cluster (auto_blocks)
 # Bytes of one side's block inside a task (rows x D doubles) when sizing blocks automatically.
 BLOCK_BYTES = 256 << 20
@@ -229,17 +231,17 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
 def clamp_radii(radii: DataFrame, pct: float | None, col: str = "radius", staged: bool = False) -> DataFrame:
     """Radii above the (linearly interpolated) ``pct`` percentile become 0.
 
-    The cut-off is one number: it is computed by an exact distributed
-    ``percentile`` aggregate and applied as a literal.  The radii are staged
-    first unless they are already (``staged``), so the blocked job behind them
-    runs once.
+    The cut-off is one number: it is selected exactly in a few counting passes
+    (:mod:`featurelab.operators.selection`) and applied as a literal.  The radii
+    are staged first unless they are already (``staged``), so the blocked job
+    behind them runs once.
     """
     if pct is None:
         return radii
     if not staged:
         from ..session import stage
         radii = stage(radii, "radii")
-    cut = radii.agg(F.percentile(F.col(col), F.lit(pct / 100.0)).alias("_cut")).first()["_cut"]
+    cut = exact_percentile(radii, col, pct / 100.0)
     return radii.withColumn(col, F.when(F.col(col) > F.lit(cut), F.lit(0.0)).otherwise(F.col(col)))
 
 

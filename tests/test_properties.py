@@ -197,3 +197,26 @@ def test_epochs_are_neither_sorted_nor_copied(spark):
     assert "Exchange" not in batches and "Sort" not in batches and "Window" not in batches
     stream = plan(infinite_sampler(df, "id", 0, 2, 1, 0, 5000, "id"))
     assert "Sort" not in stream and "Window" not in stream and "payload" not in stream
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_percentile_by_radix_selection(spark, seed):
+    from featurelab.operators.selection import exact_percentile, exact_ranks
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), np.repeat(rng.normal(), 200), [0.0, -0.0, np.inf, -np.inf, 5e-324]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 7, "r double").repartition(3)
+    assert exact_ranks(df, "r", list(range(0, 505, 31))) == np.sort(values)[::31].tolist()
+    finite = df.where("abs(r) < 1e305")
+    for q in (0.0, 0.1, 0.5, 0.9, 0.999, 1.0):
+        assert exact_percentile(finite, "r", q) == finite.agg(F.percentile("r", F.lit(q))).first()[0]
+    assert exact_percentile(df.limit(0), "r", 0.5) is None
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "r double")
+    assert exact_ranks(nan, "r", [0, 1]) == [1.0, 2.0] and np.isnan(exact_ranks(nan, "r", [2])[0])
+
+
+def test_clamping_counts_instead_of_gathering(spark):
+    from featurelab.operators import distance as D
+    radii = spark.range(1000).select("id", (F.col("id") * 7919 % 1000).cast("double").alias("radius"))
+    out = D.clamp_radii(radii, 90.0, staged=True)
+    assert out.where("radius > 899.1").count() == 0 and out.where("radius > 0").count() == 899
+    assert "percentile" not in out._jdf.queryExecution().toString()
