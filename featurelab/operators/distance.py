@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .pruning import CellPairs, Cells, choose_pivots, finite_or_far, pivots_wanted, with_cell
 from .selection import exact_percentile
 
 DEFAULT_BLOCK_ROWS = None  # None: sized from the feature width and the cluster (auto_blocks)
@@ -150,14 +152,14 @@ def _blocks_for(df: DataFrame, block_rows: int | None, n_rows: int | None) -> tu
 def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=(3,),
               block_rows: int | None = DEFAULT_BLOCK_ROWS, n_rows: int | None = None,
               set_col: str | None = None, counts: dict | None = None,
-              n_blocks: int | None = None, dim: int | None = None) -> DataFrame:
+              n_blocks: int | None = None, dim: int | None = None, stats: dict | None = None) -> DataFrame:
     """K1: squared distance to the k-th neighbour of every row, for each k in ``ks``.
 
     Position 0 of a row's sorted distance list is the row itself, so position
     ``k`` is taken (the source's convention).  Returns ``(id, radii)`` with
     ``radii[j]`` for ``ks[j]`` and ``radius`` = ``radii[0]``.  With ``set_col``
-    the radii of several sets come from one blocked job (rows only meet rows
-    of their own set); the output then carries the set column.
+    rows only meet rows of their own set and the output carries the set column.
+    ``stats`` receives the number of block pairs and of those that were not skipped.
     """
     ks = tuple(int(k) for k in ks)
     kmax = max(ks)
@@ -182,50 +184,95 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
             dim = int(row["d"]) if row else 1
         slots = default_parallelism(df.sparkSession)
         per_set = {k_: auto_blocks(v, dim, slots) for k_, v in counts.items()}
-    # each set gets its own block count (a small set next to a large one stays in few blocks)
-    nb = F.element_at(F.create_map(*[x for k_, v in per_set.items() for x in (F.lit(k_), F.lit(v))]),
-                      F.col("_set")) if len(per_set) > 1 else F.lit(next(iter(per_set.values())))
-    keep = kmax + 1
+    radii = lambda d: F.array(*[F.element_at(d, k + 1) for k in ks])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf["f"])
+        return pd.DataFrame({"_set": pdf["_set"].values, "id": pdf["id"].values, "d": _k_smallest(x, x, kmax + 1)})
+
+    found = None
+    if max(per_set.values()) == 1:  # every set is one block: one job for all
+        found = feats.groupBy("_set").applyInPandas(whole, "_set string, id long, d array<double>") \
+            .select("_set", F.col("id").alias(id_col), radii("d").alias("radii"))
+        per_set = {}
+    for name, n_set in sorted((k_, counts[k_]) for k_ in per_set):
+        own = feats.where(F.col("_set") == name).drop("_set")
+        rows = max(kmax + 1, -(-n_set // per_set[name]))
+        one = _nearest_in_blocks(own, n_set, rows, kmax + 1, stats).select(F.lit(name).alias("_set"), F.col("id").alias(id_col), radii("nearest").alias("radii"))
+        found = one if found is None else found.unionByName(one)
+    out = found.withColumn("radius", F.element_at("radii", 1))
+    if set_col:
+        return out.withColumnRenamed("_set", set_col)
+    return out.drop("_set")
+
+
+def _k_smallest(a: np.ndarray, b: np.ndarray, keep: int) -> list[np.ndarray]:
+    """The ``keep`` smallest squared distances of each row of ``a`` to the rows of ``b``, ascending."""
+    bb = np.einsum("ij,ij->i", b, b)
+    m, out = min(keep, b.shape[0]), []
+    for s, e in _tiles(a.shape[0], b.shape[0]):
+        d = sq_dist_tile(a[s:e], b, bb)
+        if m < d.shape[1]:
+            d = np.partition(d, m - 1, axis=1)[:, :m]
+        d.sort(axis=1)
+        out.extend(list(d))
+    return out
+
+
+_CANDIDATES = "id long, blk int, d array<double>"
+
+
+def _nearest_in_blocks(feats: DataFrame, n_rows: int, block_rows: int, keep: int, stats: dict | None) -> DataFrame:
+    """``id, nearest``: the ``keep`` smallest squared distances of every row of ``feats`` (``id, f``) within it.
 
-    def kernel(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+    Blocks are cells around pivots.  Each block is first searched alone, which
+    bounds how far the neighbours of its rows can lie; then it only meets blocks
+    that the triangle inequality does not put farther away
+    (:mod:`featurelab.operators.pruning`).
+    """
+    row = feats.select(F.size("f").alias("d")).first()
+    pivots = choose_pivots(feats, pivots_wanted(n_rows, block_rows) if n_rows > block_rows else 1, int(row["d"]) if row else 1)
+    celled = with_cell(feats, pivots)
+    cells = Cells.of(celled, len(pivots), block_rows)
+    block = F.pmod(F.xxhash64("id"), F.get(F.array(*(F.lit(int(n)) for n in cells.blocks)), F.col("cell"))).cast("int")
+
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(pdf["f"])
+        return pd.DataFrame({"id": pdf["id"].values, "cell": pdf["cell"].values, "blk": np.full(len(pdf), -1, np.int32), "d": _k_smallest(x, x, keep)})
+
+    first = celled.withColumn("block", block).groupBy("cell", "block").applyInPandas(alone, "id long, cell int, blk int, d array<double>")
+    if int(cells.blocks[cells.rows > 0].sum()) <= 1:
+        return first.select("id", F.col("d").alias("nearest"))
+    first = stage(first, "neighbours-in-block")
+    # squared distance that holds `keep` rows for every row of a cell; without so many in its block there is no bound yet
+    bound = np.zeros(len(pivots))
+    far = F.when(F.size("d") < keep, F.lit(float("inf"))).otherwise(F.element_at("d", -1))
+    for r in first.groupBy("cell").agg(F.max(far).alias("b")).collect():
+        bound[r["cell"]] = finite_or_far(r["b"])
+    pairs = CellPairs(cells, cells, pivots, np.repeat(np.sqrt(bound)[:, None], len(pivots), axis=1))
+    if stats is not None:
+        stats.update(pairs.shares())
+
+    def meet(key, lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if len(lpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"_set": pd.Series([], dtype=object), "id": pd.Series([], dtype="int64"),
-                                 "blk": pd.Series([], dtype="int32"), "d": pd.Series([], dtype=object)})
-        a, b = _matrix(lpdf["f"]), _matrix(rpdf["f"])
-        bb = np.einsum("ij,ij->i", b, b)
-        m = min(keep, b.shape[0])
-        out = []
-        for s, e in _tiles(a.shape[0], b.shape[0]):
-            d = sq_dist_tile(a[s:e], b, bb)
-            if m < d.shape[1]:
-                d = np.partition(d, m - 1, axis=1)[:, :m]
-            d.sort(axis=1)
-            out.extend(list(d))
-        return pd.DataFrame({"_set": lpdf["_set"].values, "id": lpdf["id"].values,
-                             "blk": np.full(len(lpdf), int(key[2]), dtype=np.int32), "d": out})
-
-    # the right side gets fresh attributes: a cogroup of a plan with itself
-    # otherwise loses columns to pruning when the result is counted
-    right = feats.select(F.col("id").alias("id"), F.col("f").alias("f"), F.col("_set").alias("_set"))
-    lb = _replicate(feats, "_bl", "_br", "id", nb, nb)
-    rb = _replicate(right, "_br", "_bl", "id", nb, nb)
-    partial = (lb.groupBy("_set", "_bl", "_br").cogroup(rb.groupBy("_set", "_bl", "_br"))
-               .applyInPandas(kernel, schema="_set string, id long, blk int, d array<double>"))
+            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "blk": pd.Series([], dtype="int32"), "d": pd.Series([], dtype=object)})
+        return pd.DataFrame({"id": lpdf["id"].values, "blk": np.full(len(lpdf), int(key[2]), np.int32),
+                             "d": _k_smallest(_matrix(lpdf["f"]), _matrix(rpdf["f"]), keep)})
+
+    key = ["l_cell", "l_block", "r_cell", "r_block"]
+    other = F.expr("l_cell <> r_cell or l_block <> r_block")
+    left = pairs.spread(celled, "l", "r").where(other)
+    right = pairs.spread(celled.select(*(F.col(c).alias(c) for c in celled.columns)), "r", "l").where(other)
+    second = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, _CANDIDATES)
+    partial = first.select("id", "blk", "d").unionByName(second)
     top = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, keep)
-    max_b = max(per_set.values())
-    if max_b > TWO_LEVEL_BLOCKS:
-        # many right blocks: merge within groups of ~sqrt(B) blocks first, so no
+    blocks = int(cells.blocks.sum())
+    if blocks > TWO_LEVEL_BLOCKS:
+        # many right blocks: merge within groups of ~sqrt(B) cells first, so no
         # row ever collects more than ~sqrt(B) * (k + 1) candidate distances
-        g = int(math.ceil(math.sqrt(max_b)))
-        partial = (partial.groupBy("_set", "id", F.floor(F.col("blk") / F.lit(g)).alias("_grp"))
-                   .agg(top("d").alias("d")))
-    merged = partial.groupBy("_set", "id").agg(top("d").alias("nearest"))
-    radii = F.array(*[F.element_at("nearest", k + 1) for k in ks])
-    out = merged.select(F.col("_set"), F.col("id").alias(id_col), radii.alias("radii")) \
-        .withColumn("radius", F.element_at("radii", 1))
-    if set_col:
-        return out.withColumnRenamed("_set", set_col)
-    return out.drop("_set")
+        g = int(math.ceil(math.sqrt(len(pivots))))
+        partial = partial.groupBy("id", F.floor(F.col("blk") / F.lit(g)).alias("_grp")).agg(top("d").alias("d"))
+    return partial.groupBy("id").agg(top("d").alias("nearest"))
 
 
 def clamp_radii(radii: DataFrame, pct: float | None, col: str = "radius", staged: bool = False) -> DataFrame:
@@ -239,7 +286,6 @@ def clamp_radii(radii: DataFrame, pct: float | None, col: str = "radius", staged
     if pct is None:
         return radii
     if not staged:
-        from ..session import stage
         radii = stage(radii, "radii")
     cut = exact_percentile(radii, col, pct / 100.0)
     return radii.withColumn(col, F.when(F.col(col) > F.lit(cut), F.lit(0.0)).otherwise(F.col(col)))
@@ -269,19 +315,20 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
                      id_col: str = "id", feat_col: str = "features",
                      block_rows: int | None = DEFAULT_BLOCK_ROWS,
                      n_ref: int | None = None, n_smp: int | None = None,
-                     ref_blocks: int | None = None, smp_blocks: int | None = None) -> DataFrame:
+                     ref_blocks: int | None = None, smp_blocks: int | None = None,
+                     stats: dict | None = None) -> DataFrame:
     """J5 + U3 in both directions in one pass over (ref block, sample block) pairs.
 
     Returns ``(side, id, inside)``: side ``ref`` rows are inside some sample
     ball (recall), side ``sample`` rows inside some reference ball (precision).
-    Boundary included (``dist <= radius``).
+    Boundary included (``dist <= radius``).  With several blocks a side, blocks are
+    cells around pivots, and pairs farther apart than the larger radius of both
+    are skipped; ``stats`` receives the number of pairs and of those kept.
     """
     rf = ref.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
     sf = smp.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
     br = ref_blocks or _blocks_for(rf, block_rows, n_ref)[1]
     bs = smp_blocks or _blocks_for(sf, block_rows, n_smp)[1]
-    rf = _with_radius(rf, ref_radii, id_col)
-    sf = _with_radius(sf, smp_radii, id_col)
 
     def kernel(_key, rpdf: pd.DataFrame, spdf: pd.DataFrame) -> pd.DataFrame:
         rpdf, spdf = _split_radius(rpdf), _split_radius(spdf)
@@ -304,8 +351,36 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
             "inside": np.concatenate([ref_in, smp_in]),
         })
 
-    partial = blocked_cogroup(rf, sf, kernel, "side string, id long, inside boolean", br, bs)
-    return partial.groupBy("side", "id").agg(F.bool_or("inside").alias("inside"))
+    schema = "side string, id long, inside boolean"
+    if br == bs == 1:
+        partial = blocked_cogroup(_with_radius(rf, ref_radii, id_col), _with_radius(sf, smp_radii, id_col), kernel, schema, br, bs)
+        return partial.groupBy("side", "id").agg(F.bool_or("inside").alias("inside"))
+    sides = {"l": (rf, ref_radii, br, "ref"), "r": (sf, smp_radii, bs, "sample")}
+    row = rf.select(F.size("f").alias("d")).first()
+    pivots = choose_pivots(rf, 4 * max(br, bs), int(row["d"]) if row else 1)
+    if not len(pivots):
+        return rf.sparkSession.createDataFrame([], schema)
+    cells, most, rows, ids = {}, {}, {}, None
+    for s, (feats, radii, blocks, name) in sides.items():
+        celled = with_cell(feats, pivots)
+        n = feats.count()
+        cells[s] = Cells.of(celled, len(pivots), max(1, -(-n // blocks)))
+        own = stage(celled.select("id", "cell", "gap").join(
+            radii.select(F.col(id_col).cast("bigint").alias("id"), F.col("radius").cast("double").alias("r")), "id"), "block-radii")
+        most[s] = np.zeros(len(pivots))
+        for r in own.groupBy("cell").agg(F.max("r").alias("r")).collect():
+            most[s][r["cell"]] = math.sqrt(max(0.0, finite_or_far(r["r"])))
+        rows[s] = celled.select("id", "f", F.lit(None).cast("double").alias("r"), "cell", "gap").unionByName(
+            own.select("id", F.lit(None).cast(feats.schema["f"].dataType).alias("f"), "r", "cell", "gap"))
+        none = own.select(F.lit(name).alias("side"), "id", F.lit(False).alias("inside"))
+        ids = none if ids is None else ids.unionByName(none)
+    pairs = CellPairs(cells["l"], cells["r"], pivots, np.maximum(most["l"][:, None], most["r"][None, :]))
+    if stats is not None:
+        stats.update(pairs.shares())
+    key = ["l_cell", "l_block", "r_cell", "r_block"]
+    left, right = pairs.spread(rows["l"], "l", "r"), pairs.spread(rows["r"], "r", "l")
+    partial = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(kernel, schema)
+    return partial.unionByName(ids).groupBy("side", "id").agg(F.bool_or("inside").alias("inside"))
 
 
 def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "id",

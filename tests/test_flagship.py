@@ -208,3 +208,43 @@ def test_fit_statistics_multi_takes_any_number_of_sets(spark):
         for g in (0, 3, 39):
             x = np.array([v for k, v in rows if k == g and v is not None])
             assert np.allclose(st[(str(g), "features")].sigma, np.cov(x, rowvar=False))
+
+
+def _clustered(seed, n, groups=12, dim=6):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim)) * 40
+    x = centres[rng.integers(0, groups, n)] + rng.normal(size=(n, dim))
+    x[: n // 3] = centres[0] + rng.normal(size=(n // 3, dim)) * 0.5  # a crowded cell
+    return np.vstack([x[:-4], np.repeat(x[:1], 4, axis=0)])  # and repeated rows
+
+
+def _brute_radii(x, k):
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    return np.sort(d, axis=1)[:, k]
+
+
+def test_block_pairs_of_clustered_data_are_skipped_without_a_loss(spark):
+    x = _clustered(1, 600)
+    stats = {}
+    got = D.knn_radii(_frame(spark, np.arange(len(x)), x), ks=(3, 1), block_rows=40, stats=stats).toPandas().sort_values("id")
+    np.testing.assert_allclose(np.vstack(got["radii"].values), np.stack([_brute_radii(x, 3), _brute_radii(x, 1)], axis=1), atol=1e-8)
+    assert stats["pairs"] > 200 and stats["kept"] < 0.5 * stats["pairs"]
+    flat = np.random.default_rng(2).normal(size=(300, 6))  # nothing to skip, nothing to lose
+    got = D.knn_radii(_frame(spark, np.arange(300), flat), ks=(3,), block_rows=30).toPandas().sort_values("id")
+    np.testing.assert_allclose(got["radius"], _brute_radii(flat, 3), atol=1e-8)
+    far = np.vstack([flat[:50] + 1e6, flat[50:100]])  # far from the origin: the bounds must allow for rounding
+    got = D.knn_radii(_frame(spark, np.arange(100), far), ks=(3,), block_rows=10).toPandas().sort_values("id")
+    np.testing.assert_allclose(got["radius"], _brute_radii(far, 3), atol=0.05)
+
+
+def test_memberships_skip_pairs_without_a_loss(spark):
+    a, b = _clustered(3, 500), np.vstack([_clustered(3, 300)[::2], _clustered(9, 200)])
+    ra, rb = _brute_radii(a, 3), _brute_radii(b, 3)
+    frame = lambda x, r: spark.createDataFrame([(i, float(v)) for i, v in enumerate(r)], "id long, radius double")
+    stats = {}
+    flags = D.membership_flags(_frame(spark, np.arange(len(a)), a), frame(a, ra), _frame(spark, np.arange(len(b)), b), frame(b, rb),
+                               block_rows=40, stats=stats).toPandas()
+    d = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+    want = {("ref", i): v for i, v in enumerate((d <= rb[None, :]).any(axis=1))} | {("sample", i): v for i, v in enumerate((d <= ra[:, None]).any(axis=0))}
+    assert {(r.side, r.id): r.inside for r in flags.itertuples()} == want
+    assert stats["pairs"] > 100 and stats["kept"] < 0.5 * stats["pairs"]
