@@ -13,6 +13,8 @@
    paired up.  Its documents are listed again by the rarest shingles of their
    whole sets - counted among these documents - under the exact prefix and
    position bounds, so documents too far from the common text leave the lists.
+   A pair of them is only looked at further if their prefixes share so many
+   shingles that, with all that follows the prefixes, the sets can be similar.
 4. Each list first proposes pairs with its hub (the member of the most common
    shingles).  Pairs pass the union-sketch estimate, then the exact Jaccard
    test on whole sets.  Connected components follow; then only pairs of one
@@ -179,10 +181,12 @@ def _exact(percent: int):
 class _Verifier:
     """Runs pairs of classes through the estimate and the exact test."""
 
-    def __init__(self, docs, id_column, reps, k, percent):
-        self.docs, self.id_column, self.reps, self.k, self.percent = docs, id_column, reps, k, percent
+    def __init__(self, docs, id_column, reps, k, percent, prefixes=None):
+        self.docs, self.id_column, self.reps, self.k, self.percent, self.prefixes = docs, id_column, reps, k, percent, prefixes
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
+        if self.prefixes is not None:
+            pairs = self._prefixes_ok(pairs)
         sk = self.reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
         both = pairs.join(sk, "a").join(sk.select(F.col("a").alias("b"), F.col("sa").alias("sb")), "b")
         likely = common.stage(_similar(both, "sa", "sb", _estimate(self.k, self.percent)), f"{name}-likely")
@@ -194,6 +198,19 @@ class _Verifier:
         return common.stage(_similar(likely.join(sb, "b").join(sa, "a"), "sa", "sb", _exact(self.percent)), f"{name}-links")
 
 
+    def _prefixes_ok(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that the shared shingles of their whole-set prefixes allow (others, and those without prefixes, stay).
+
+        What two sets share beyond the prefix that ends first lies in the rest of that set.
+        """
+        for x in "ab":
+            side = self.prefixes.select(F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("prefix").alias("p" + x))
+            pairs = pairs.join(side, x, "left")
+        rest = [F.ceil(F.col(n) * F.lit(self.percent) / F.lit(100)) - 1 for n in ("na", "nb")]
+        most = F.size(F.array_intersect("pa", "pb")) + F.greatest(*rest)
+        return pairs.where(F.coalesce(most >= _overlap(F.col("na"), F.col("nb"), self.percent), F.lit(True))).select("a", "b")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node, label``: the smallest node reachable over the edges ``a, b``; nodes without edges are left out.
 
@@ -213,15 +230,16 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def _hot_lists(docs, id_column, reps, lists, percent) -> DataFrame | None:
-    """Lists of the documents of hot lists, by the rarest shingles of their whole sets."""
+def _hot_lists(docs, id_column, reps, lists, percent) -> tuple[DataFrame, DataFrame] | tuple[None, None]:
+    """Lists of the documents of hot lists, by the rarest shingles of their whole sets, and those prefixes (``rep, n, prefix``)."""
     hot = lists.where(F.col("m") > HOT).select("rep").distinct()
     wanted = common.stage(hot.join(reps.select("rep", "doc_id", "d1", "d2"), "rep"), "hot-reps")
     if wanted.limit(1).count() == 0:
-        return None
+        return None, None
     sets = common.stage(_full_sets(docs, id_column, wanted).dropDuplicates(["rep"]), "hot-sets")
     flat = sets.select("rep", F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
-    df = flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    # aggregates are staged before they are joined, so that a crowded value is split
+    df = common.stage(flat.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "hot-frequencies")
     # shingles of one document only are the rarest: their number is n minus the rest
     flat = flat.join(df, "value")
     w = Window.partitionBy("rep")
@@ -229,13 +247,15 @@ def _hot_lists(docs, id_column, reps, lists, percent) -> DataFrame | None:
     # position among the document's shingles in the order (df, value), rarest first
     flat = flat.withColumn("place", F.col("n") - F.col("common") + F.row_number().over(w.orderBy("df", "value")))
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    flat = flat.where(F.col("place") <= prefix)
+    flat = common.stage(flat.where(F.col("place") <= prefix), "hot-prefix-rows")
+    prefixes = common.stage(flat.groupBy("rep", "n").agg(F.collect_list("value").alias("prefix")), "hot-prefixes")
     # the rest of a set after its place must suffice for the smallest set of the list
-    small = flat.groupBy("value").agg(F.min("n").alias("least"))
+    small = common.stage(flat.groupBy("value").agg(F.min("n").alias("least")), "hot-least")
     flat = flat.join(small, "value").where(F.col("n") - F.col("place") + 1 >= _overlap(F.col("n"), F.col("least"), percent))
-    return flat.select("value", "rep", F.col("n").cast("long").alias("n"), F.col("place").cast("int").alias("place"),
-                       F.col("n").cast("int").alias("size"), F.col("n").cast("int").alias("need"), F.lit(True).alias("whole"),
-                       (-F.col("mass")).alias("order"), F.lit(True).alias("hot"))
+    lists = flat.select("value", "rep", F.col("n").cast("long").alias("n"), F.col("place").cast("int").alias("place"),
+                        F.col("n").cast("int").alias("size"), F.col("n").cast("int").alias("need"), F.lit(True).alias("whole"),
+                        (-F.col("mass")).alias("order"), F.lit(True).alias("hot"))
+    return lists, prefixes
 
 
 def _overlap(a, b, percent: int):
@@ -308,12 +328,13 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_co
     plain = lists.where(F.col("m") <= HOT).select(
         "value", "rep", "n", (F.col("place") + 1).alias("place"), "size", "need",
         (100 * F.col("n") < percent * k).alias("whole"), F.lit(0.0).cast("double").alias("order"), F.lit(False).alias("hot"))
-    again = _hot_lists(docs, id_column, reps, lists, percent)
+    again, prefixes = _hot_lists(docs, id_column, reps, lists, percent)
     lists = common.stage(plain.unionByName(again) if again is not None else plain, "pair-lists")
 
-    check = _Verifier(docs, id_column, reps, k, percent)
+    check = _Verifier(docs, id_column, reps, k, percent, prefixes)
     member = F.struct("order", "rep", "n", "place", "size", "need", "whole")
-    hubs = lists.groupBy("hot", "value").agg(F.min(member).alias("h"), F.count("*").alias("m")).where("m > 1").select("hot", "value", "h.*")
+    hubs = common.stage(lists.groupBy("hot", "value").agg(F.min(member).alias("h"), F.count("*").alias("m")).where("m > 1").select("hot", "value", "h.*"),
+                        "hubs")
     star = _side(lists, "a").join(_side(hubs, "b"), ["hot", "value"]).where("a <> b").where(_pairs_ok(percent))
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = check.links(star, "star")
@@ -323,6 +344,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_co
     tagged = lists.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")) \
         .join(hubs.select("hot", "value", F.col("rep").alias("hub")), ["hot", "value"])
     mixed = tagged.groupBy("hot", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hot", "value")
+    mixed = common.stage(mixed, "mixed-values")
     tagged = common.stage(tagged.join(mixed, ["hot", "value"]).where("rep <> hub").drop("hub", "label"), "mixed-lists")
     cross = _side(tagged, "a").join(_side(tagged, "b"), ["hot", "value"]).where("a < b and comp_a <> comp_b").where(_pairs_ok(percent)) \
         .select("a", "b").distinct()

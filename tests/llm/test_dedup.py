@@ -122,3 +122,53 @@ def test_shared_value_bound_holds_on_samples():
                 continue
             got = len(np.intersect1d(x[:k], y[:k]))
             assert got >= min(near_dedup.shared_at_least(len(x), k, 85), near_dedup.shared_at_least(len(y), k, 85))
+
+
+def _template_family(n, seed):
+    """Texts of one 500-word template with 16 slots of 8 options each, and the options of each text."""
+    rnd = random.Random(seed)
+    template = [f"t{k}" for k in range(500)]
+    picks = [[rnd.randrange(8) for _ in range(16)] for _ in range(n)]
+    texts = []
+    for p in picks:
+        w = list(template)
+        for slot, option in enumerate(p):
+            w[15 + 30 * slot] = f"s{slot}o{option}"
+        texts.append(" ".join(w))
+    return texts, np.array(picks)
+
+
+def _family_components(picks):
+    """Smallest index of each text's component: texts that differ in d slots share 496 - 5 d of 496 + 5 d shingles."""
+    parent = list(range(len(picks)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(picks)):
+        d = (picks[:i] != picks[i]).sum(axis=1)
+        for j in np.flatnonzero(100 * (496 - 5 * d) >= 85 * (496 + 5 * d)):
+            a, b = sorted((find(i), find(int(j))))
+            parent[b] = a
+    return [find(i) for i in range(len(picks))]
+
+
+def test_template_families_are_not_tested_pair_by_pair(spark, monkeypatch):
+    tests = {}
+    real = near_dedup.common.stage
+
+    def counted(df, name):
+        out = real(df, name)
+        if name.endswith("-likely"):
+            tests[n] = tests.get(n, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup.common, "stage", counted)
+    for n in (300, 600):
+        texts, picks = _template_family(n, 7)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+        assert [got[i] for i in range(n)] == _family_components(picks)
+    assert all(k < n / 2 for n, k in tests.items())  # of n * (n - 1) / 2 pairs; the similar ones are among them
