@@ -70,12 +70,29 @@ def _exchanges(c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn is a call of the tool ``reply``, the assistant turn after it its result."""
-    return chat.link_tool_calls(*_exchanges(table(spark, sf_dir, "conversations")), REPLY_TOOL)
+    """Every user turn is a call, the assistant turn after it its result; calls depend on those of the two turns before.
+
+    Which tool a call names, and the form of its arguments, follow from its conversation and turn, so that every rule
+    of the schema fails for some; in some conversations a call also depends on that of two turns later, a cycle.
+    """
+    messages, calls, results = _exchanges(table(spark, sf_dir, "conversations"))
+    raw = table(spark, sf_dir, "conversations").where("role = 'user'")
+    call_id = lambda step: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") + step).cast("string"))
+    text, n_chars = F.col("text").alias("request"), F.length("text").alias("n_chars")
+    arguments = F.when(F.col("turn") % 19 == 13, F.concat(F.lit("call: "), "text")) \
+        .when(F.col("turn") % 17 == 11, F.to_json(F.struct(n_chars))) \
+        .when(F.col("turn") % 13 == 5, F.to_json(F.struct(F.lit("x").alias("zz"), text, n_chars))) \
+        .when(F.col("turn") % 7 == 3, F.to_json(F.struct(text, n_chars.cast("string").alias("n_chars")))) \
+        .otherwise(F.to_json(F.struct(text, n_chars)))
+    name = F.when((F.col("conv_id") % 11 == 7) & (F.col("turn") % 3 == 0), F.lit("search")).otherwise(F.lit("reply"))
+    later = F.when((F.col("conv_id") % 29 == 3) & (F.col("turn") % 10 == 4), call_id(2))
+    calls = raw.select("conv_id", "turn", call_id(0).alias("call_id"), name.alias("name"), arguments.alias("arguments"),
+                       F.array(call_id(-1), call_id(-2), later).alias("depends"))
+    return chat.link_tool_calls(messages, calls, results, REPLY_TOOL)
 
 
 def op8_chat_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op8_chat_formatting``, with every call depending on the calls of the two turns before it."""
+    """Every user turn is a fitting call of the tool ``reply`` that depends on the calls of the two turns before it."""
     messages, calls, results = _exchanges(table(spark, sf_dir, "conversations"))
     before = [F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - k).cast("string")) for k in (1, 2)]
     return chat.link_tool_calls(messages, calls.withColumn("depends", F.array(*before)), results, REPLY_TOOL)
@@ -182,26 +199,44 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+#: a call's level is its place in its run of calls that are at most two turns apart, up to the first that waits for a later one
 _OP8_SQL = r"""
 WITH calls AS (
-  SELECT conv_id, turn, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id FROM conversations WHERE role = 'user'),
+  SELECT conv_id, turn, text, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id,
+         CASE WHEN conv_id % 11 = 7 AND turn % 3 = 0 THEN 'search' ELSE 'reply' END AS name,
+         CASE WHEN turn % 19 = 13 THEN 'plain' WHEN turn % 17 = 11 THEN 'short' WHEN turn % 13 = 5 THEN 'extra' WHEN turn % 7 = 3 THEN 'string' ELSE 'fit' END AS form
+  FROM conversations WHERE role = 'user'),
 results AS (
   SELECT conv_id, turn, text, conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id FROM conversations WHERE role = 'assistant'),
 hc AS (SELECT conv_id, call_id, count(*) AS n_calls, min(turn) AS call_turn FROM calls GROUP BY ALL),
-hr AS (SELECT conv_id, call_id, count(*) AS n_results FROM results GROUP BY ALL)
-SELECT conv_id, turn AS ord, 0::INTEGER AS level, 0::INTEGER AS step, turn, 'assistant' AS role, call_id,
-       CASE WHEN n_calls > 1 THEN 'ambiguous' WHEN text IS NULL THEN 'invalid: missing n_chars'
+hr AS (SELECT conv_id, call_id, count(*) AS n_results FROM results GROUP BY ALL),
+gap AS (SELECT h.*, CASE WHEN h.call_turn <= lag(h.call_turn) OVER (PARTITION BY h.conv_id ORDER BY h.call_turn) + 2 THEN 0 ELSE 1 END AS new,
+               h.conv_id % 29 = 3 AND h.call_turn % 10 = 4 AND l.call_id IS NOT NULL AS waits
+        FROM hc h LEFT JOIN hc l ON l.conv_id = h.conv_id AND l.call_turn = h.call_turn + 2 WHERE h.call_id IS NOT NULL),
+run AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY call_turn) AS run FROM gap),
+lv AS (SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id, run ORDER BY call_turn) - 1 AS place,
+              bool_or(waits) OVER (PARTITION BY conv_id, run ORDER BY call_turn) AS stuck FROM run),
+lev AS (SELECT conv_id, call_id, CASE WHEN stuck THEN 0 ELSE place END AS level, stuck FROM lv),
+j AS (SELECT *, CASE WHEN form = 'plain' THEN to_json('call: ' || text)::VARCHAR
+                     WHEN text IS NULL THEN CASE WHEN form = 'extra' THEN '{"zz":"x"}' ELSE '{}' END
+                     WHEN form = 'short' THEN json_object('n_chars', length(text))::VARCHAR
+                     WHEN form = 'extra' THEN json_object('n_chars', length(text), 'request', text, 'zz', 'x')::VARCHAR
+                     WHEN form = 'string' THEN json_object('n_chars', length(text)::VARCHAR, 'request', text)::VARCHAR
+                     ELSE json_object('n_chars', length(text), 'request', text)::VARCHAR END AS arguments,
+             CASE WHEN name = 'search' THEN 'unknown tool' WHEN form = 'plain' THEN 'not an object' WHEN text IS NULL THEN 'missing n_chars'
+                  WHEN form = 'short' THEN 'missing request' WHEN form = 'extra' THEN 'unexpected key' WHEN form = 'string' THEN 'n_chars is no integer' END AS why
+      FROM calls)
+SELECT conv_id, turn AS ord, coalesce(level, 0)::INTEGER AS level, 0::INTEGER AS step, turn, 'assistant' AS role, call_id,
+       CASE WHEN n_calls > 1 THEN 'ambiguous' WHEN why IS NOT NULL THEN 'invalid: ' || why WHEN stuck THEN 'cycle'
             WHEN n_results > 0 THEN 'linked' ELSE 'unanswered' END AS status,
-       '{"role":"assistant","tool_calls":[{"arguments":'
-         || CASE WHEN text IS NULL THEN '{}' ELSE json_object('n_chars', length(text), 'request', text)::VARCHAR END
-         || ',' || substr(json_object('id', call_id, 'name', 'reply')::VARCHAR, 2) || ']}' AS message
-FROM calls LEFT JOIN hc USING (conv_id, call_id) LEFT JOIN hr USING (conv_id, call_id)
+       '{"role":"assistant","tool_calls":[{' || coalesce('"arguments":' || arguments || ',', '') || substr(json_object('id', call_id, 'name', name)::VARCHAR, 2) || ']}' AS message
+FROM j LEFT JOIN hc USING (conv_id, call_id) LEFT JOIN hr USING (conv_id, call_id) LEFT JOIN lev USING (conv_id, call_id)
 UNION ALL
-SELECT conv_id, CASE WHEN n_calls = 1 THEN call_turn ELSE turn END, 0, 1, turn, 'tool', call_id,
+SELECT conv_id, CASE WHEN n_calls = 1 THEN call_turn ELSE turn END, (CASE WHEN n_calls = 1 THEN coalesce(level, 0) ELSE 0 END)::INTEGER, 1, turn, 'tool', call_id,
        CASE WHEN n_calls = 1 THEN 'linked' WHEN n_calls > 1 THEN 'ambiguous' ELSE 'orphan' END,
        CASE WHEN text IS NULL THEN json_object('role', 'tool', 'tool_call_id', call_id)
             ELSE json_object('content', text, 'role', 'tool', 'tool_call_id', call_id) END::VARCHAR
-FROM results LEFT JOIN hc USING (conv_id, call_id)
+FROM results LEFT JOIN hc USING (conv_id, call_id) LEFT JOIN lev USING (conv_id, call_id)
 UNION ALL
 SELECT conv_id, turn, 0, 0, turn, role, NULL, 'plain',
        CASE WHEN text IS NULL THEN json_object('role', role) ELSE json_object('content', text, 'role', role) END::VARCHAR
