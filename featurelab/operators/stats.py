@@ -108,15 +108,8 @@ def fit_statistics(df: DataFrame, feat_col: str = "features", max_tasks: int | N
     return fit_statistics_multi(df, [feat_col], None, max_tasks)[(None, feat_col)]
 
 
-def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | None = None,
-                         max_tasks: int | None = None) -> dict:
-    """A3 for several feature columns and sets in ONE scan and one shuffle.
-
-    Returns ``{(set, column): FeatureStats}`` (set ``None`` without ``set_col``).
-    Each task keeps one shifted ``(n, sum, Gram)`` per (set, column) and sends
-    them on whenever it holds ``HELD_SETS`` sets, so its memory does not depend
-    on how many sets there are or how they are mixed over the tasks.
-    """
+def _merged_moments(df: DataFrame, feat_cols: list[str], set_col: str | None, max_tasks: int | None) -> tuple[DataFrame, list[np.ndarray]]:
+    """Rows ``(_set, col, i, n, g)``: the shifted sums (``i`` = ``SUMS_ROW``) and the upper triangle of the Gram matrix, and the shifts."""
     spark = df.sparkSession
     sel = [F.col(set_col).cast("string").alias("_set") if set_col else F.lit(None).cast("string").alias("_set")]
     sel += [_double_array(c).alias(f"_f{j}") for j, c in enumerate(feat_cols)]
@@ -165,22 +158,35 @@ def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | Non
     parts = src.mapInPandas(partial, schema="_set string, col int, i int, n long, g array<double>")
     merged = (parts.groupBy("_set", "col", "i")
               .agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")))
+    return merged, shifts
+
+
+def _stats_of(rows: dict[int, tuple[int, np.ndarray]], shift: np.ndarray) -> FeatureStats:
+    """Statistics from the rows ``i -> (n, g)`` of one set and column."""
+    d = len(shift)
+    n, sm = int(rows[SUMS_ROW][0]), np.asarray(rows[SUMS_ROW][1])
+    g = np.zeros((d, d))
+    for i in range(d):
+        g[i, i:] = rows[i][1]
+    g = np.triu(g) + np.triu(g, 1).T
+    sigma = (g - np.outer(sm, sm) / n) / (n - 1) if n > 1 else np.full((d, d), np.nan)
+    return FeatureStats(n, shift + sm / n, sigma)
+
+
+def fit_statistics_multi(df: DataFrame, feat_cols: list[str], set_col: str | None = None,
+                         max_tasks: int | None = None) -> dict:
+    """A3 for several feature columns and sets in ONE scan and one shuffle.
+
+    Returns ``{(set, column): FeatureStats}`` (set ``None`` without ``set_col``).
+    Each task keeps one shifted ``(n, sum, Gram)`` per (set, column) and sends
+    them on whenever it holds ``HELD_SETS`` sets, so its memory does not depend
+    on how many sets there are or how they are mixed over the tasks.
+    """
+    merged, shifts = _merged_moments(df, feat_cols, set_col, max_tasks)
     rows: dict = {}
-    for r in merged.collect():  # (sets x columns x (D + 1)) rows: fixed by the feature widths
-        rows.setdefault((r["_set"], r["col"]), {})[r["i"]] = r
-    out = {}
-    for (key, j), rr in rows.items():
-        k = shifts[j]
-        d = len(k)
-        n = int(rr[SUMS_ROW]["n"])
-        sm = np.asarray(rr[SUMS_ROW]["g"])
-        g = np.zeros((d, d))
-        for i in range(d):
-            g[i, i:] = np.asarray(rr[i]["g"])
-        g = np.triu(g) + np.triu(g, 1).T
-        sigma = (g - np.outer(sm, sm) / n) / (n - 1) if n > 1 else np.full((d, d), np.nan)
-        out[(key, feat_cols[j])] = FeatureStats(n, k + sm / n, sigma)
-    return out
+    for r in merged.collect():  # (sets x columns x (D + 1)) rows: for few sets; frechet_by_set takes any number
+        rows.setdefault((r["_set"], r["col"]), {})[r["i"]] = (r["n"], r["g"])
+    return {(key, feat_cols[j]): _stats_of(rr, shifts[j]) for (key, j), rr in rows.items()}
 
 
 def feature_cov(df: DataFrame, feat_col: str = "features", max_tasks: int | None = None) -> DataFrame:
@@ -227,6 +233,32 @@ def frechet_distance(a: FeatureStats, b: FeatureStats) -> float:
     return float(gap @ gap + np.trace(a.sigma + b.sigma) - 2.0 * trace_sqrt_product(a.sigma, b.sigma))
 
 
+def frechet_by_set(ref: DataFrame, smp: DataFrame, set_col: str, feat_col: str = "features", max_tasks: int | None = None) -> DataFrame:
+    """A4 / N2 for any number of sets: ``(set, n_ref, n_sample, fid)`` of the reference and sample rows of each set.
+
+    The moments of a set meet in one task, which holds two ``D x D`` matrices and
+    solves the root; no matrix reaches the driver.  A set that one side lacks, or
+    of which it has a single row, has a null distance; rows of a null set take no part.
+    """
+    rows = [df.where(F.col(set_col).isNotNull() & F.col(feat_col).isNotNull()).select(
+        F.concat(F.lit(side), F.col(set_col).cast("string")).alias("_key"), F.col(feat_col).alias("_feat")) for side, df in (("r", ref), ("s", smp))]
+    both = rows[0].unionByName(rows[1])
+    schema = f"{set_col} string, n_ref long, n_sample long, fid double"
+    if both.limit(1).count() == 0:
+        return ref.sparkSession.createDataFrame([], schema).withColumn(set_col, F.col(set_col).cast(ref.schema[set_col].dataType))
+    merged, (shift,) = _merged_moments(both, ["_feat"], "_key", max_tasks)
+    parts = merged.select(F.substring("_set", 1, 1).alias("side"), F.expr("substring(_set, 2)").alias("name"), "i", "n", "g")
+
+    def solve(key, pdf):
+        stats = {side: _stats_of({int(i): (n, g) for i, n, g in zip(p["i"], p["n"], p["g"])}, shift) for side, p in pdf.groupby("side")}
+        n = {side: stats[side].n if side in stats else 0 for side in "rs"}
+        fid = frechet_distance(stats["r"], stats["s"]) if min(n.values()) > 1 else None
+        return pd.DataFrame({set_col: [key[0]], "n_ref": [n["r"]], "n_sample": [n["s"]], "fid": pd.Series([fid], dtype="float64")})
+
+    out = parts.groupBy("name").applyInPandas(solve, schema)
+    return out.withColumn(set_col, F.col(set_col).cast(ref.schema[set_col].dataType)).withColumn("fid", F.when(~F.isnan("fid"), F.col("fid")))
+
+
 def frechet_terms(ref: DataFrame, smp: DataFrame, feat_col: str = "features") -> DataFrame:
     """The SQL-checkable part of A4: ``|mu1-mu2|^2``, ``tr(S1)``, ``tr(S2)`` as one row.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import distance, stats
 from . import evaluate
-from .sqltext import frechet_sql
+from .sqltext import frechet_by_label_sql, frechet_sql
 from . import fixtures as fx
 
 R = 6  # digits kept in double outputs (both engines)
@@ -130,6 +130,13 @@ def q_membership_flags(spark, sf):
     return distance.membership_flags(ref, r1, smp, r2, block_rows=100).select("side", "id", "inside")
 
 
+def q_fid_per_label(spark, sf):
+    """The first four features of the reference rows against the sample rows of each label."""
+    side = lambda df: df.select("label", F.slice("features", 1, 4).alias("features"))
+    out = stats.frechet_by_set(side(fx.ref_features(spark, sf)), side(fx.sample_features(spark, sf)), "label")
+    return out.withColumn("fid", rnd("fid", 5))
+
+
 def q_fid(spark, sf):
     return evaluate.fid_only(spark, sf).select(rnd("fid", R).alias("fid"),
                                                (F.abs("self_fid") < 1e-9).alias("self_is_zero"))
@@ -160,6 +167,7 @@ QUERIES = {
     "eval_linear_softmax": q_linear_softmax,
     "eval_membership_flags": q_membership_flags,
     "eval_fid": q_fid,
+    "eval_fid_per_label": q_fid_per_label,
     "eval_report": q_evaluation_report,
 }
 
@@ -334,5 +342,6 @@ ORACLES = {
     "eval_linear_softmax": PROBS_LONG_SQL,
     "eval_grouped_stats": GROUPED_STATS_SQL,
     "eval_fid": FID_SQL,
+    "eval_fid_per_label": frechet_by_label_sql(4),
     "eval_report": REPORT_SQL.format(columns="CAST(o AS INTEGER) AS metric_order, metric, value"),
 }

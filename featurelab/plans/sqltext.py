@@ -61,6 +61,34 @@ fid_{t} AS MATERIALIZED (SELECT gap + t0 + t1 - 2.0 * (SELECT root FROM tr_{t} W
   FROM q_{t}, g_{t})"""
 
 
+def frechet_by_label_sql(dim: int, steps: int = 40) -> str:
+    """Rows ``(label, n_ref, n_sample, fid)``: the distance of the first ``dim`` features of odd against even ids of each label,
+    with the root as in :func:`frechet_sql`."""
+    eye = f"list_transform(range(0, {dim}), lambda i: list_transform(range(0, {dim}), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))"
+    three = f"list_transform(range(1, {dim + 1}), lambda i: list_transform(range(1, {dim + 1}), lambda j: CASE WHEN i = j THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END - p[i][j]))"
+    half = "list_transform({0}, lambda r: list_transform(r, lambda v: v / 2.0))"
+    return f"""WITH RECURSIVE
+e AS MATERIALIZED (SELECT label, vec_id AS id, vec_id % 2 AS side, i, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, {dim + 1}) r(i)),
+m AS MATERIALIZED (SELECT label, side, i, avg(v) AS mu, count(*) AS n FROM e GROUP BY ALL),
+d AS MATERIALIZED (SELECT e.label, id, side, i, v - mu AS v, n FROM e JOIN m USING (label, side, i)),
+c AS MATERIALIZED (SELECT a.label, a.side, a.i, b.i AS j, sum(a.v * b.v) / (max(a.n) - 1) AS s FROM d a JOIN d b ON a.id = b.id GROUP BY ALL),
+r AS (SELECT label, side, i, list(s ORDER BY j) AS r FROM c GROUP BY ALL),
+s AS MATERIALIZED (SELECT label, side, list(r ORDER BY i) AS s FROM r GROUP BY ALL),
+a AS MATERIALIZED (SELECT label, a, sqrt(list_sum(list_transform(a, lambda r: list_sum(list_transform(r, lambda v: v * v))))) AS norm
+  FROM (SELECT x.label, {_product("x.s", "y.s", dim)} AS a FROM s x JOIN s y ON x.label = y.label AND x.side = 1 AND y.side = 0)),
+it(label, k, norm, y, z) AS (
+  SELECT label, 0, norm, list_transform(a, lambda r: list_transform(r, lambda v: v / norm)), {eye} FROM a
+  UNION ALL
+  SELECT label, k + 1, norm, {half.format(_product("y", "t", dim))}, {half.format(_product("t", "z", dim))}
+  FROM (SELECT label, k, norm, y, z, {three} AS t FROM (SELECT label, k, norm, y, z, {_product("z", "y", dim)} AS p FROM it WHERE k < {steps}))),
+q AS (SELECT label, sum(s) FILTER (WHERE i = j) AS traces FROM c GROUP BY label),
+g AS (SELECT a.label, max(a.n) AS n_ref, max(b.n) AS n_sample, sum((a.mu - b.mu) * (a.mu - b.mu)) AS gap
+      FROM m a JOIN m b ON a.label = b.label AND a.i = b.i AND a.side = 0 AND b.side = 1 GROUP BY a.label)
+SELECT label, n_ref, n_sample,
+  round0(gap + traces - 2.0 * sqrt(norm) * list_sum(list_transform(range(1, {dim + 1}), lambda i: y[i][i])), 5) AS fid
+FROM it JOIN q USING (label) JOIN g USING (label) WHERE k = {steps}"""
+
+
 def resample_sql(name: str, n_in: int, n_out: int, kind: str) -> str:
     """CTE ``name(o, i, w)``: the weights of a 1-D resize, from the kernels' definitions."""
     support = {"lanczos": 3.0, "bicubic": 2.0}[kind]

@@ -248,3 +248,25 @@ def test_memberships_skip_pairs_without_a_loss(spark):
     want = {("ref", i): v for i, v in enumerate((d <= rb[None, :]).any(axis=1))} | {("sample", i): v for i, v in enumerate((d <= ra[:, None]).any(axis=0))}
     assert {(r.side, r.id): r.inside for r in flags.itertuples()} == want
     assert stats["pairs"] > 100 and stats["kept"] < 0.5 * stats["pairs"]
+
+
+def test_frechet_distance_of_many_sets_is_solved_in_their_tasks(spark):
+    from featurelab.operators import stats as ST
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 5)) * rng.uniform(0.5, 3, 5) + 7
+    key = rng.integers(0, 60, 900)
+    key[:300] = 0  # a hot set
+    rows = [(int(k), i % 2, [float(v) for v in r]) for i, (k, r) in enumerate(zip(key, x))] + [(None, 0, [1.0] * 5), (70, 0, [1.0] * 5), (71, 1, [2.0] * 5), (72, 0, None)]
+    df = spark.createDataFrame(rows, "k int, side int, features array<double>").repartition(5)
+    out = ST.frechet_by_set(df.where("side = 0"), df.where("side = 1"), "k")
+    got = {r["k"]: (r["n_ref"], r["n_sample"], r["fid"]) for r in out.collect()}
+    assert set(got) == {*range(60), 70, 71} and got[70] == (1, 0, None) and got[71] == (0, 1, None)
+    for k in range(60):
+        a, b = (x[(key == k) & (np.arange(900) % 2 == s)] for s in (0, 1))
+        assert got[k][:2] == (len(a), len(b))
+        if min(len(a), len(b)) < 2:
+            assert got[k][2] is None
+            continue
+        stat = [ST.FeatureStats(len(v), v.mean(axis=0), np.cov(v, rowvar=False)) for v in (a, b)]
+        assert got[k][2] == pytest.approx(ST.frechet_distance(*stat), rel=1e-6)  # roots of singular matrices
+    assert ST.frechet_by_set(df.limit(0), df.limit(0), "k").count() == 0
