@@ -20,7 +20,7 @@ from ..operators.scoring import encode_images
 from ..session import stage
 from ..sinks.archives import write_image_archives
 from ..sinks.writers import write_array_sets, write_image_files, write_manifest
-from ..sources.files import (ingest_arrays, list_files, manifest_files, open_dataset, path_exists, scan_feature_set, scan_images,
+from ..sources.files import (list_files, manifest_files, open_dataset, path_exists, read_array_files, scan_feature_set, scan_images,
                               unpack_archives)
 
 
@@ -127,7 +127,9 @@ def load_training_set(spark: SparkSession, images: str, latents: str, tokens: st
     """The training set of written artifacts, aligned by sorted position.
 
     ``(idx, image, label, latents, latent_shape)`` and, with ``tokens``,
-    ``cls, patches, patch_shape``; arrays are row-major values.  It is an error
+    ``cls, patches, patch_shape``; arrays are row-major values.  Names and labels
+    are joined first, then each task opens the files of its rows, so no array is
+    exchanged.  It is an error
     if the folders hold different numbers of samples, if the latents' manifest
     is missing or leaves a file without a label (J2), or if a class file has no
     patches (J3).
@@ -148,15 +150,10 @@ def load_training_set(spark: SparkSession, images: str, latents: str, tokens: st
         raise FileNotFoundError(f"no dataset.json in {latents}")
     labels = read_label_manifest(spark, names, vectors=vector_labels).withColumnRenamed("name", "rel_path")
     lat = attach_labels(lat, labels, "rel_path", strict=True)
-    bare = lambda c: F.regexp_replace(F.col(c), "^file:/*", "/")
-    arrays = lambda folder: ingest_arrays(spark, folder, recursive=True).select(bare("path").alias("file"), "shape", "values")
-    lat = lat.withColumn("file", bare("path")).join(arrays(latents), "file") \
-        .select("idx", "label", F.col("values").alias("latents"), F.col("shape").alias("latent_shape"))
-    out = img.join(lat, "idx")
+    out = img.join(lat.select("idx", "label", F.col("path").alias("_latents")), "idx")
+    wanted = {"_latents": ("latents", "latent_shape")}
     if tokens:
-        read = arrays(tokens)
-        tok = tok.withColumn("file", bare("cls_file")).join(read.select("file", F.col("values").alias("cls")), "file").drop("file")
-        tok = tok.withColumn("file", bare("sibling")).join(
-            read.select("file", F.col("values").alias("patches"), F.col("shape").alias("patch_shape")), "file")
-        out = out.join(tok.select("idx", "cls", "patches", "patch_shape"), "idx")
-    return out
+        out = out.join(tok.withColumnsRenamed({"cls_file": "_cls", "sibling": "_patches"}), "idx")
+        wanted |= {"_cls": ("cls", "cls_shape"), "_patches": ("patches", "patch_shape")}
+    out = read_array_files(out, wanted).drop(*wanted)
+    return out.drop("cls_shape")

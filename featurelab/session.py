@@ -1,6 +1,7 @@
 """Session defaults and shared-storage helpers."""
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import re
@@ -74,6 +75,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def staged(df: DataFrame, name: str):
+    """As :func:`stage`, for tables that are done with when the block ends: they are deleted then."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove_path(spark, path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Spark knows (kept under Spark Connect, which has no handle on it)."""
+    sc = _context(spark)
+    if sc is not None:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _context(spark: SparkSession):
     """The SparkContext of a classic session; None under Spark Connect."""
     try:

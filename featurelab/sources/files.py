@@ -287,6 +287,33 @@ def ingest_arrays(spark: SparkSession, pattern: str, recursive: bool = False) ->
     return raw.select("path", "content").mapInPandas(_ingest_npy, ARRAY_SCHEMA)
 
 
+def read_array_files(df: DataFrame, columns: dict[str, tuple[str, str]], opener=open_ranged) -> DataFrame:
+    """``df`` with the ``.npy`` files that its path columns name: ``columns`` maps a path column to the
+    names of its ``(values, shape)`` columns (row-major values as doubles).
+
+    The task that holds a row opens its files, so only paths are ever exchanged.
+    Paths must be in a store that ``opener`` can open.
+    """
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    added = ", ".join(f"{v} array<double>, {s} array<int>" for v, s in columns.values())
+
+    def read(batches):
+        for rb in batches:
+            for lo in range(0, rb.num_rows, DEFAULT_ARRAY_BATCH):
+                part = rb.slice(lo, DEFAULT_ARRAY_BATCH)
+                out = {n: part.column(n) for n in part.schema.names}
+                for path, (values, shape) in columns.items():
+                    arrays = []
+                    for p in part.column(path).to_pylist():
+                        with opener(p) as fh:
+                            arrays.append(_read_npy(fh))
+                    out[values] = pa.array([a.astype(np.float64).ravel() for a in arrays], pa.list_(pa.float64()))
+                    out[shape] = pa.array([list(a.shape) for a in arrays], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict(out)
+
+    return df.mapInArrow(read, f"{fields}, {added}")
+
+
 def ingest_array_batches(spark: SparkSession, pattern: str, member: str = "arr_0",
                          batch_size: int = DEFAULT_ARRAY_BATCH, opener=open_ranged) -> DataFrame:
     """Member ``member`` of each ``.npz`` holds N stacked arrays; one row per array.

@@ -121,18 +121,18 @@ def moments_summary(df: DataFrame) -> DataFrame:
 
 def stream_image_features(spark: SparkSession, folder: str, mode: str | None, width: int | None,
                           height: int | None, make_encoder, dim: int, dest: str, name: str,
-                          checkpoint: str | None = None) -> DataFrame:
-    """M2 from image files: new files are decoded (Spark's image source),
+                          checkpoint: str | None = None, max_files: int | None = None) -> DataFrame:
+    """M2 from image files (``max_files`` a micro-batch): new files are decoded (Spark's image source),
     cropped and resampled (G5, failures quarantined), encoded once each (N1)
     and appended per micro-batch; returns the ordered manifest ``(path, features)``."""
     from pyspark.ml.image import ImageSchema
 
     from ..operators.images import IMAGE_STRUCT, drop_failed, from_spark_image, transform_images
     from ..operators.scoring import encode_images
-    from ..session import stage
+    from ..session import staged
 
-    src = (spark.readStream.format("image").schema(ImageSchema.imageSchema)
-           .option("recursiveFileLookup", "true").load(folder))
+    reader = spark.readStream.format("image").schema(ImageSchema.imageSchema).option("recursiveFileLookup", "true")
+    src = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(folder)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         imgs = batch.select(F.col("image.origin").alias("path"),
@@ -140,11 +140,12 @@ def stream_image_features(spark: SparkSession, folder: str, mode: str | None, wi
                                      F.col("image.nChannels").alias("nChannels"),
                                      F.col("image.data").alias("data")).alias("image"))
         rgb = imgs.mapInPandas(from_spark_image("image"), f"path string, image {IMAGE_STRUCT}")
-        # staged: the transform runs once for the encoder and the quarantine
-        good, bad = drop_failed(stage(transform_images(rgb, mode, width, height, key_col="path"), "stream-images"))
-        (encode_images(good, make_encoder, "path", dim).withColumn("_batch", F.lit(int(batch_id)))
-         .write.mode("overwrite").parquet(f"{dest}/features/batch={batch_id}"))
-        bad.write.mode("overwrite").parquet(f"{dest}/quarantine/batch={batch_id}")
+        # staged for the length of the batch: the transform runs once for the encoder and the quarantine
+        with staged(transform_images(rgb, mode, width, height, key_col="path"), "stream-images") as images:
+            good, bad = drop_failed(images)
+            (encode_images(good, make_encoder, "path", dim).withColumn("_batch", F.lit(int(batch_id)))
+             .write.mode("overwrite").parquet(f"{dest}/features/batch={batch_id}"))
+            bad.write.mode("overwrite").parquet(f"{dest}/quarantine/batch={batch_id}")
 
     q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint or checkpoint_path(spark, name))
          .trigger(availableNow=True).start())

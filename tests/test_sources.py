@@ -428,3 +428,25 @@ def test_manifest_of_an_empty_dataset(spark, tmp_path):
     df = spark.createDataFrame([], "idx int, archive_path string, label int")
     W.write_manifest(df, str(tmp_path / "m"), documents=True)
     assert json.loads((tmp_path / "m" / "dataset-00000.json").read_text()) == {"labels": []}
+
+
+def test_training_arrays_cross_no_exchange(spark, tmp_path):
+    from featurelab.operators import scoring as SC
+    from featurelab.plans.prepare import convert_dataset, encode_dataset, encode_tokens_dataset, load_training_set
+    _folder(tmp_path / "src", 6)
+    conv, enc, tok = (str(tmp_path / x) for x in ("conv", "enc", "tok"))
+    convert_dataset(spark, str(tmp_path / "src"), conv, "center-crop-dhariwal", 4, 4)
+    encode_dataset(spark, conv, enc, SC.channel_moments_encoder(), 6)
+    encode_tokens_dataset(spark, conv, tok, SC.quadrant_token_encoder(), 9, 2)
+    out = load_training_set(spark, conv, enc, tok)
+    assert out.columns == ["idx", "image", "label", "latents", "latent_shape", "cls", "patches", "patch_shape"]
+    rows = out.orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == list(range(6)) and {r["label"] for r in rows} == {0, 1}
+    for r in rows:
+        s = f"{r['idx']:08d}"
+        np.testing.assert_allclose(r["latents"], np.load(f"{enc}/{s[:5]}/img-mean-std-{s}.npy").ravel())
+        assert len(r["cls"]) == 2 and r["patch_shape"] == [4, 2]
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    reading = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    assert all("latents#" not in x and "patches#" not in x for x in lines[reading + 1:] if "Exchange" in x)
+    assert not any("Exchange" in x or "Join" in x for x in lines[:reading])

@@ -104,3 +104,18 @@ def test_restarted_feature_stream_encodes_nothing_twice(spark, tmp_path):
     assert run() == {i: 2.0 * i for i in range(10)} and calls.value == 10
     more(10, 14)
     assert run() == {i: 2.0 * i for i in range(14)} and calls.value == 14
+
+
+def test_image_stream_leaves_no_staged_pixels(spark, tmp_path):
+    import glob
+
+    from featurelab.operators import scoring as SC
+    from featurelab.session import ensure_checkpoint_dir
+    from featurelab.sinks.writers import png_bytes
+    for i in range(5):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{i}.png").write_bytes(png_bytes(bytes([30 * i]) * (8 * 8 * 3), 8, 8, 3))
+    out = ST.stream_image_features(spark, str(tmp_path / "in"), "center-crop", 4, 4, SC.channel_moments_encoder(), 6, str(tmp_path / "out"), "t_images",
+                                   max_files=1)
+    assert out.count() == 5 and len(glob.glob(str(tmp_path / "out" / "features" / "batch=*"))) == 5
+    assert not glob.glob(ensure_checkpoint_dir(spark).replace("file:", "") + "/staged/stream-images*")
