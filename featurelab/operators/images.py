@@ -76,6 +76,24 @@ def resize(img: np.ndarray, width: int, height: int, kind: str) -> np.ndarray:
     return x
 
 
+@functools.lru_cache(maxsize=64)
+def interpolation_weights(n_in: int, n_out: int) -> np.ndarray:
+    """``(n_out, n_in)`` weights of a 1-D cubic interpolation (a = -0.75): four taps around the sample
+    point whatever the scale, those beyond the border taken at the border."""
+    at = (np.arange(n_out) + 0.5) * (n_in / n_out) - 0.5
+    first = np.floor(at).astype(int)
+    w = np.zeros((n_out, n_in))
+    for tap in range(-1, 3):
+        np.add.at(w, (np.arange(n_out), np.clip(first + tap, 0, n_in - 1)), _bicubic(first + tap - at, -0.75))
+    return w
+
+
+def interpolate(img: np.ndarray, side: int) -> np.ndarray:
+    """Cubic interpolation of an ``(h, w, c)`` array to ``(side, side, c)``."""
+    x = np.matmul(interpolation_weights(img.shape[1], side), img)
+    return np.tensordot(interpolation_weights(img.shape[0], side), x, axes=(1, 0))
+
+
 def to_uint8(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x), 0, 255).astype(np.uint8)
 
@@ -219,42 +237,43 @@ def image_grid_size(n: int) -> int:
     return round(math.sqrt(n))
 
 
-# encoder families: (resize before normalising, resize after normalising)
-_RESIZE_BEFORE = ("clip",)
-_RESIZE_AFTER = ("dinov2", "jepa")
+#: fixed values: encoder families by the part of their name, with when they resize
+_FAMILIES = (("clip", "before"), ("mocov3", None), ("mae", None), ("dinov2", "after"), ("dinov1", None), ("jepa", "after"))
 
 
-def encoder_inputs(df: DataFrame, family: str, image_col: str = "image", key_col: str = "idx") -> DataFrame:
+def encoder_inputs(df: DataFrame, family: str, image_col: str = "image", key_col: str = "idx", side: int | None = None) -> DataFrame:
     """Pixels to encoder inputs ``(x / 255 - mean_c) / std_c`` (CLIP statistics for
     ``clip``, ImageNet statistics otherwise), channel-first float arrays.
 
-    ``clip`` resizes (bicubic) to ``224 * (resolution div 256)`` before
-    normalising, ``dinov2``/``jepa`` after; the other families do not resize.
-    The output is ``(key, shape, values)`` with ``shape = [C, H, W]``.
+    ``clip`` is resized (:func:`interpolate`) to ``side``, by default ``224 * (width div 256)``,
+    before it is normalised, ``dinov2`` and ``jepa`` after; ``mocov3``, ``mae`` and ``dinov1`` are not
+    resized; an unknown family keeps its pixel values.  A target below one pixel
+    leaves the size.  The output is ``(key, shape, values)`` with ``shape = [C, H, W]``;
+    a null image gives nulls.
     """
     from ..functions.images import CLIP_MEAN, CLIP_STD, IMAGENET_MEAN, IMAGENET_STD, resize_target
+    known, when = next(((True, w) for name, w in _FAMILIES if name in family), (False, None))
     mean, std = (CLIP_MEAN, CLIP_STD) if "clip" in family else (IMAGENET_MEAN, IMAGENET_STD)
     m, sd = np.asarray(mean), np.asarray(std)
-    before = any(f in family for f in _RESIZE_BEFORE)
-    after = any(f in family for f in _RESIZE_AFTER)
     key_type = df.schema[key_col].dataType.simpleString()
 
+    def values_of(im) -> np.ndarray:
+        h, w, channels = (int(im[c]) for c in ("height", "width", "nChannels"))  # floats where the column has nulls
+        x = np.frombuffer(im["data"], dtype=np.uint8).reshape(h, w, channels).astype(np.float64)
+        if not known:
+            return x
+        target = resize_target(w) if side is None else side
+        x = x / 255.0
+        if when == "before" and target > 0:
+            x = interpolate(x, target)
+        x = (x - m) / sd
+        return interpolate(x, target) if when == "after" and target > 0 else x
+
     def run(batches):
         for pdf in batches:
-            shapes, values = [], []
-            for im in pdf[image_col]:
-                x = np.frombuffer(im["data"], dtype=np.uint8).reshape(im["height"], im["width"], im["nChannels"])
-                x = x.astype(np.float64) / 255.0
-                side = resize_target(x.shape[1])
-                if before and side > 0:
-                    x = resize(x, side, side, "bicubic")
-                x = (x - m) / sd
-                if after and side > 0:
-                    x = resize(x, side, side, "bicubic")
-                chw = np.transpose(x, (2, 0, 1))
-                shapes.append(list(chw.shape))
-                values.append(chw.ravel())
-            yield pd.DataFrame({key_col: pdf[key_col].values, "shape": shapes, "values": values})
+            images = [None if im is None else np.transpose(values_of(im), (2, 0, 1)) for im in pdf[image_col]]
+            yield pd.DataFrame({key_col: pdf[key_col].values, "shape": [None if x is None else list(x.shape) for x in images],
+                                "values": [None if x is None else x.ravel() for x in images]})
 
     return df.select(key_col, image_col).mapInPandas(
         run, f"{key_col} {key_type}, shape array<int>, values array<double>")

@@ -193,6 +193,21 @@ def q_sample_batches(spark, sf):
                        F.aggregate("values", F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("pixel_sum"))
 
 
+def q_encoder_inputs(spark, sf):
+    """G7 for one family of each kind, 8 x 8 pixels to 6 x 6 where it resizes: all values, weighted by their place."""
+    px = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.floor((v + 1.0) * 127.5).cast("int"))
+    data = F.unhex(F.array_join(F.transform(px, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), 3)), ""))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("nChannels"), data.alias("data"))
+    images = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), image.alias("image"))
+    out = None
+    for family in ("clip", "dinov2", "mae", "other"):
+        one = IM.encoder_inputs(images, family, side=6).select(
+            "idx", F.lit(family).alias("family"), F.element_at("shape", 2).alias("side"),
+            rnd(F.aggregate(F.transform("values", lambda v, i: v * (i % 97 + 1)), F.lit(0.0), lambda a, v: a + v), 3).alias("placed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_transform_box(spark, sf):
     """G5 (dhariwal path: one 2x box halving of 8x8 to 4x4), checked per image sum."""
     root = MZ.write_image_folder(spark, sf)
@@ -421,6 +436,7 @@ QUERIES = {
     "io_scan_images": q_scan_images,
     "io_scan_images_manifest": q_scan_images_manifest,
     "io_read_pixels": q_read_pixels,
+    "prep_encoder_inputs": q_encoder_inputs,
     "io_transform_box": q_transform_box,
     "io_transform_quarantine": q_transform_quarantine,
     "io_transform_pixels": q_transform_pixels,
@@ -447,6 +463,25 @@ QUERIES = {
 # ---------------------------------------------------------------- oracles
 _PX = "list_transform(CAST(embedding AS DOUBLE[]), lambda v: CAST(floor((v + 1.0) * 127.5) AS BIGINT))"
 
+
+def _encoder_inputs_sql() -> str:
+    """Cubic interpolation (a = -0.75, four taps, border repeated) from 8 to 6, and the channels' statistics."""
+    from ..functions.images import CLIP_MEAN, CLIP_STD, IMAGENET_MEAN, IMAGENET_STD
+    stats = ", ".join(f"('{f}', {c}, {m!r}::DOUBLE, {s!r}::DOUBLE)" for f, mean, std in (
+        ("clip", CLIP_MEAN, CLIP_STD), ("dinov2", IMAGENET_MEAN, IMAGENET_STD), ("mae", IMAGENET_MEAN, IMAGENET_STD)) for c, (m, s) in enumerate(zip(mean, std)))
+    return f"""WITH st(family, c, mean, std) AS (VALUES {stats}),
+t AS (SELECT o, least(greatest(f + k, 0), 7) AS i, abs(f + k - src) AS x
+      FROM (SELECT o, (o + 0.5::DOUBLE) * 8 / 6 - 0.5 AS src, floor((o + 0.5::DOUBLE) * 8 / 6 - 0.5) AS f FROM range(0, 6) r(o)), range(-1, 3) s(k)),
+w AS (SELECT o, i, sum(CASE WHEN x < 1 THEN (1.25 * x - 2.25) * x * x + 1 WHEN x < 2 THEN -0.75 * (((x - 5) * x + 8) * x - 4) ELSE 0 END) AS w FROM t GROUP BY o, i),
+p AS (SELECT vec_id AS idx, {_PX} AS px FROM embeddings),
+g AS (SELECT idx, yy, xx, px[yy * 8 + xx + 1]::DOUBLE AS v FROM p, range(0, 8) a(yy), range(0, 8) b(xx)),
+z AS (SELECT idx, a.o AS oy, b.o AS ox, sum(v * a.w * b.w) AS v FROM g JOIN w a ON a.i = yy JOIN w b ON b.i = xx GROUP BY idx, a.o, b.o),
+n AS (SELECT idx, family, 6 AS side, c * 36 + oy * 6 + ox AS place, (v / 255 - mean) / std AS v FROM z, st WHERE family <> 'mae'
+      UNION ALL SELECT idx, family, 8, c * 64 + yy * 8 + xx, (v / 255 - mean) / std FROM g, st WHERE family = 'mae'
+      UNION ALL SELECT idx, 'other', 8, c * 64 + yy * 8 + xx, v FROM g, range(0, 3) r(c))
+SELECT idx, family, side::INTEGER AS side, round0(sum(v * (place % 97 + 1)), 3) AS placed FROM n GROUP BY idx, family, side"""
+
+
 def _pixels_sql() -> str:
     """Every mode: source pixels -> weights along rows and columns -> rounded pixels weighted by their place."""
     cells = f"SELECT vec_id AS idx, y, x, px[y * 8 + x + 1]::DOUBLE AS v FROM (SELECT vec_id, {_PX} AS px FROM embeddings), range(0, 8) a(y), range(0, 8) b(x)"
@@ -485,6 +520,7 @@ SELECT substr(printf('%08d', i.idx), 1, 5) || '/img' || printf('%08d', i.idx) ||
 FROM i JOIN t USING (idx) JOIN c ON c.top = 'class_' || CAST(i.label AS VARCHAR)"""
 
 ORACLES = {
+    "prep_encoder_inputs": _encoder_inputs_sql(),
     "io_transform_pixels": _pixels_sql(),
     "io_sample_batches": """SELECT vec_id AS "index",
   CAST(3 * list_sum(list_transform(CAST(embedding AS DOUBLE[]),

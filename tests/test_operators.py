@@ -224,6 +224,31 @@ def test_encoder_inputs_families(spark):
     assert dino["shape"] == [3, 224, 224]
 
 
+def test_encoder_inputs_interpolate_with_four_taps(spark):
+    def weight(x):
+        x, a = abs(x), -0.75
+        return (a + 2) * x ** 3 - (a + 3) * x ** 2 + 1 if x <= 1 else a * x ** 3 - 5 * a * x ** 2 + 8 * a * x - 4 * a if x < 2 else 0.0
+
+    rng = np.random.default_rng(2)
+    img = rng.integers(0, 256, (7, 9, 3)).astype(np.uint8)
+    want = np.zeros((5, 5, 3))
+    for y in range(5):
+        for x in range(5):
+            sy, sx = (y + 0.5) * 7 / 5 - 0.5, (x + 0.5) * 9 / 5 - 0.5
+            for j in range(int(np.floor(sy)) - 1, int(np.floor(sy)) + 3):
+                for i in range(int(np.floor(sx)) - 1, int(np.floor(sx)) + 3):
+                    want[y, x] += weight(j - sy) * weight(i - sx) * img[min(max(j, 0), 6), min(max(i, 0), 8)] / 255.0
+    rows = [(0, {"height": 7, "width": 9, "nChannels": 3, "data": img.tobytes()}), (1, None)]
+    df = spark.createDataFrame(rows, f"idx long, image {IM.IMAGE_STRUCT}").coalesce(1)
+    got = {r["idx"]: r for r in IM.encoder_inputs(df, "clip-vit", side=5).collect()}
+    norm = (want - np.array(G.CLIP_MEAN)) / np.array(G.CLIP_STD)
+    np.testing.assert_allclose(np.reshape(got[0]["values"], (3, 5, 5)), norm.transpose(2, 0, 1), atol=1e-9)
+    assert got[1]["values"] is None and got[1]["shape"] is None
+    raw = IM.encoder_inputs(df, "vae").where("idx = 0").first()
+    assert raw["shape"] == [3, 7, 9] and raw["values"] == img.transpose(2, 0, 1).ravel().astype(float).tolist()
+    assert IM.encoder_inputs(df, "jepa").where("idx = 0").first()["shape"] == [3, 7, 9]  # no target below a width of 256
+
+
 def test_empty_metric_inputs(spark):
     empty = spark.createDataFrame([], "name string, value double")
     assert M.metric_moments(empty).count() == 0
