@@ -321,9 +321,12 @@ def q_tile_layout(spark, sf):
 
 
 def q_order_results(spark, sf):
-    """K3: output in index order whatever the task finish order (range partitions)."""
+    """K3: output in index order whatever the task finish order (range partitions): each row
+    with its place in the files as written."""
     from ..operators.position import order_results
-    return order_results(image_index(spark, sf), "idx").select("idx", "path")
+    from ..session import stage
+    written = stage(order_results(image_index(spark, sf), "idx").select("idx", "path", F.monotonically_increasing_id().alias("at")), "ordered")
+    return with_position(written, "at", "place").select("idx", "path", "place")
 
 
 def q_json_config(spark, sf):
@@ -434,7 +437,7 @@ _CLIP_M = "[" + ", ".join(repr(v) for v in G.CLIP_MEAN) + "]"
 _CLIP_S = "[" + ", ".join(repr(v) for v in G.CLIP_STD) + "]"
 
 ORACLES = {
-    "prep_order_results": f"SELECT idx, path FROM ({_IDX})",
+    "prep_order_results": f"SELECT idx, path, row_number() OVER (ORDER BY idx) - 1 AS place FROM ({_IDX})",
     "paths_json_config": """SELECT p_partkey, 'model-XL/2' AS model, round0(1.0 + p_size / 10.0, 6) AS cfg_scale,
   p_partkey AS seed, p_size AS res0 FROM part""",
     "prep_is_image": f"""SELECT doc_id, path, lower(string_split(path, '.')[-1]) IN ({IMG_EXT_SQL}) AS is_image
@@ -544,12 +547,10 @@ UNION ALL SELECT 'tokens', count(*) FROM documents""",
     "align_stems_missing": "SELECT printf('%08d', doc_id) AS stem FROM documents WHERE doc_id % 13 = 0",
     "align_merge_by_name": """SELECT d.p_partkey AS key, d.p_name AS name, round0(coalesce(s.v, d.p_retailprice), 4) AS value
 FROM part d LEFT JOIN (SELECT p_name, p_retailprice * 2 AS v FROM part WHERE p_partkey % 3 = 0) s ON d.p_name = s.p_name""",
-    "align_replica_diff": """WITH r AS (SELECT vec_id, rk AS rank, 'vec_' || CAST(vec_id AS VARCHAR) AS name, i - 1 AS pos,
-    CASE WHEN vec_id % 50 = rk AND i - 1 = vec_id % 64 THEN CAST(embedding[i] AS DOUBLE) + 1.0
-         ELSE CAST(embedding[i] AS DOUBLE) END AS v
-  FROM embeddings, range(0, 4) a(rk), range(1, 65) b(i)
-  WHERE NOT regexp_full_match('vec_' || CAST(vec_id AS VARCHAR), 'vec_1\\d*'))
-SELECT CAST(o.rank AS INTEGER) AS rank, o.name, CAST(o.pos AS INTEGER) AS pos, round0(o.v, 6) AS value, round0(b.v, 6) AS reference
-FROM r o JOIN r b ON o.name = b.name AND o.pos = b.pos AND b.rank = 0
-WHERE o.rank <> 0 AND o.v IS DISTINCT FROM b.v""",
+    # one pass: a replica's element and that of replica 0 come from the same row
+    "align_replica_diff": """WITH r AS (SELECT rk, 'vec_' || CAST(vec_id AS VARCHAR) AS name, i - 1 AS pos, CAST(embedding[i] AS DOUBLE) AS e,
+    CASE WHEN vec_id % 50 = rk AND i - 1 = vec_id % 64 THEN 1.0 ELSE 0.0 END AS d, CASE WHEN vec_id % 50 = 0 AND i - 1 = vec_id % 64 THEN 1.0 ELSE 0.0 END AS d0
+  FROM embeddings, range(1, 4) a(rk), range(1, 65) b(i))
+SELECT CAST(rk AS INTEGER) AS rank, name, CAST(pos AS INTEGER) AS pos, round0(e + d, 6) AS value, round0(e + d0, 6) AS reference
+FROM r WHERE e + d IS DISTINCT FROM e + d0 AND NOT regexp_full_match(name, 'vec_1\\d*')""",
 }
