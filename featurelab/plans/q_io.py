@@ -393,6 +393,17 @@ def q_stream_window_moments(spark, sf):
     return out.select("day_start", "name", "num", rnd("sum", 4).alias("sum"))
 
 
+def q_stream_step_logs_complete(spark, sf):
+    """Four events are one step, one per rank, of three metrics by turns; reported when all four are there."""
+    from ..streaming.complete import append_available_now, stream_complete_steps
+    ev = ST.table_stream(spark, sf, "events.parquet", max_files=1)
+    step = F.floor(F.col("event_id") / 4).cast("bigint")
+    reports = ev.select(F.concat(F.lit("m"), F.pmod(step, F.lit(3)).cast("string")).alias("name"), step.alias("step"),
+                        F.pmod("event_id", F.lit(4)).alias("rank"), "value")
+    out = append_available_now(stream_complete_steps(reports, 4, decay=0.9), MZ.fresh_folder(spark, "complete-steps"), "complete-steps")
+    return out.select("name", "step", "n_ranks", "complete", rnd("mean").alias("mean"), rnd("ema").alias("ema"))
+
+
 def q_stream_step_logs(spark, sf):
     ev = ST.table_stream(spark, sf, "events.parquet")
     log = fx.step_log_from(fx.metric_reports_from(ev))
@@ -457,6 +468,7 @@ QUERIES = {
     "stream_moments": q_stream_moments,
     "stream_window_moments": q_stream_window_moments,
     "stream_step_logs": q_stream_step_logs,
+    "stream_step_logs_complete": q_stream_step_logs_complete,
     "stream_features": q_stream_features,
 }
 
@@ -638,6 +650,14 @@ SELECT round0(fid, 6) AS fid, (SELECT count(*) FROM embeddings WHERE vec_id % 2
     from .q_metrics import CROSS_RANK_SQL, MOMENTS_SQL
     ORACLES["stream_moments"] = MOMENTS_SQL
     ORACLES["stream_step_logs"] = CROSS_RANK_SQL
+    ORACLES["stream_step_logs_complete"] = """WITH RECURSIVE
+m AS (SELECT 'm' || ((event_id // 4) % 3)::VARCHAR AS name, event_id // 4 AS step, count(DISTINCT event_id % 4) AS n, avg(value) AS mean
+      FROM events WHERE value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT event_id % 4) = 4),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY name ORDER BY step) AS k FROM m),
+e(name, step, n, mean, k, ema) AS (
+  SELECT name, step, n, mean, k, mean FROM o WHERE k = 1
+  UNION ALL SELECT o.name, o.step, o.n, o.mean, o.k, 0.9::DOUBLE * e.ema + (1 - 0.9::DOUBLE) * o.mean FROM e JOIN o ON o.name = e.name AND o.k = e.k + 1)
+SELECT name, step, n::INTEGER AS n_ranks, true AS complete, round0(mean, 6) AS mean, round0(ema, 6) AS ema FROM e"""
 
 
 _late_oracles()

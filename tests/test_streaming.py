@@ -119,3 +119,35 @@ def test_image_stream_leaves_no_staged_pixels(spark, tmp_path):
                                    max_files=1)
     assert out.count() == 5 and len(glob.glob(str(tmp_path / "out" / "features" / "batch=*"))) == 5
     assert not glob.glob(ensure_checkpoint_dir(spark).replace("file:", "") + "/staged/stream-images*")
+
+
+def test_complete_steps_wait_for_every_rank(spark, tmp_path):
+    """Restarts keep the state; a step in doubt holds later ones back; a lost rank is given up once the watermark has passed."""
+    from featurelab.streaming.complete import append_available_now, stream_complete_steps
+    schema = "name string, step long, rank int, value double"
+    src = tmp_path / "src"
+
+    def put(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / name))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
+        out = append_available_now(stream_complete_steps(stream, 2, late_steps=3, decay=0.5), str(tmp_path / "out"), "t_complete", str(tmp_path / "ck"))
+        return {(r["name"], r["step"]): (r["mean"], r["n_ranks"], r["complete"], r["ema"]) for r in out.collect()}
+
+    def waiting():
+        return spark.read.format("statestore").option("stateVarName", "pending").load(str(tmp_path / "ck")).count()
+
+    put([("a", s, r, float(s + r)) for s in range(5) for r in range(2) if (s, r) != (3, 1)] + [("b", 2, 0, 7.0), (None, 1, 0, 1.0), ("a", 1, None, 1.0)], "0")
+    first = run()
+    assert first == {("a", 0): (0.5, 2, True, 0.5), ("a", 1): (1.5, 2, True, 1.0), ("a", 2): (2.5, 2, True, 1.75)} and waiting() == 3
+    put([("a", 3, 1, 4.0), ("a", 3, 1, 99.0), ("a", 0, 1, 5.0), ("a", 5, 0, 1.0)], "1")
+    second = run()
+    # step 5 less 3 has passed step 2: the other rank of b is given up
+    assert second == first | {("a", 3): (3.5, 2, True, 2.625), ("a", 4): (4.5, 2, True, 3.5625), ("b", 2): (7.0, 1, False, 7.0)}
+    put([("a", 20, 0, 1.0), ("a", 20, 1, 3.0), ("b", 20, 1, 1.0), ("b", 20, 0, 1.0)], "2")
+    third = run()
+    assert third == second | {("a", 5): (1.0, 1, False, 2.28125), ("a", 20): (2.0, 2, True, 2.140625), ("b", 20): (1.0, 2, True, 4.0)}
+    assert waiting() == 0
+    put([("a", 5, 1, 50.0), ("a", 20, 1, 9.0)], "3")
+    assert run() == third
