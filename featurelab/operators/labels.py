@@ -9,6 +9,8 @@ from ..functions.images import is_pow2_square
 from ..functions.paths import top_dir
 from .position import with_position
 
+#: a manifest document above this size is read in byte ranges
+DOCUMENT_BYTES = 64 << 20
 MANIFEST_SCHEMA = T.StructType([T.StructField("labels", T.ArrayType(T.ArrayType(T.StringType())), True)])
 
 
@@ -44,20 +46,48 @@ def read_label_manifest(spark, path, vectors: bool = False) -> DataFrame:
     """Read ``{"labels": [[name, label], ...] | null}`` documents into ``(name, label)``.
 
     ``path`` may be one file, a glob of shards or a list of files; later pairs win, ordered by
-    (file name, position).  A null ``labels`` yields no rows.  One JSON
-    document is not splittable, so each document is one task; shards read in
-    parallel.  Labels are whole numbers; ``vectors`` reads arrays of numbers as
+    (file name, position).  A null ``labels`` yields no rows.  Documents of up to
+    ``DOCUMENT_BYTES`` are one task each; if one is larger, all are read in byte ranges
+    (:func:`split_manifest`).  Labels are whole numbers; ``vectors`` reads arrays of numbers as
     ``array<double>`` (a number is an array of one).  A label of neither form is
     an error, as a silent null would unlabel the data set.
     """
-    raw = (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
-           .select(F.input_file_name().alias("_file"), "labels"))
-    pairs = raw.select("_file", F.posexplode("labels").alias("pos", "pair")).select(
-        F.struct("_file", "pos").alias("pos"), F.element_at("pair", 1).alias("name"),
-        F.element_at("pair", 2).alias("text"))
+    pairs = None
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    if largest is not None and largest > DOCUMENT_BYTES:
+        pairs = split_manifest(spark, path)
+    if pairs is None:
+        raw = (spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(path)
+               .select(F.input_file_name().alias("_file"), "labels"))
+        pairs = raw.select("_file", F.posexplode("labels").alias("pos", "pair")).select(
+            F.struct("_file", "pos").alias("pos"), F.element_at("pair", 1).alias("name"),
+            F.element_at("pair", 2).alias("text"))
     return resolve_manifest(pairs.withColumn("label", manifest_label(F.col("text"), vectors)))
 
 
+def split_manifest(spark, path) -> DataFrame | None:
+    """``pos, name, text`` of the pairs of large documents ``{"labels": [[name, label], ...]}``.
+
+    The text is cut behind the bracket and comma that end a pair, which Spark's text
+    source does at any byte range of a file, so one document is many tasks.  ``pos``
+    orders by file, range and place in it.  None if a piece is no pair (other keys, or
+    names with a bracket and a comma): such documents are read whole.
+    """
+    pieces = spark.read.option("lineSep", "],").text(path).select(
+        "value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                          F.monotonically_increasing_id().alias("place")).alias("pos"))
+    body = F.regexp_replace("value", r'^\s*\{\s*"labels"\s*:\s*(\[|null\s*\}\s*$)', "")
+    body = F.trim(F.regexp_replace(body, r"(\]\s*)?\]\s*\}\s*$", ""))
+    # a vector's own bracket may have gone with the document's end
+    closed = F.when(F.length(F.regexp_replace(body, r"[^\[]", "")) > F.length(F.regexp_replace(body, r"[^\]]", "")) + 1, F.concat(body, F.lit("]"))).otherwise(body)
+    pair = F.from_json(F.concat(closed, F.lit("]")), "array<string>")
+    rows = pieces.withColumn("body", body).where("body <> ''").select("pos", pair.alias("pair"))
+    whole = F.coalesce((F.size("pair") == 2) & F.element_at("pair", 1).isNotNull(), F.lit(False))
+    if rows.where(~whole).limit(1).count():
+        return None
+    return rows.select("pos", F.element_at("pair", 1).alias("name"), F.element_at("pair", 2).alias("text"))
+
+
 def manifest_label(text, vectors: bool = False):
     """The label that a manifest holds as JSON ``text``; one of another form is an error."""
     if vectors:

@@ -427,3 +427,31 @@ def test_recurrence_resets_and_small_coefficients():
         s = 1e-6 * s + 1
         want.append(s)
     assert np.allclose(got, want)
+
+
+def test_one_large_manifest_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "DOCUMENT_BYTES", 1000)
+    rows = [[f"{i % 900:05d}/img \"{i % 900}\" [é].png", i] for i in range(4000)] + [["last.png", None]]
+    vectors = [[n, None if v is None else [v, 0.5]] for n, v in rows]
+    for kind, data in (("scalars", rows), ("vectors", vectors)):
+        for style, text in (("plain", json.dumps({"labels": data})), ("indented", json.dumps({"labels": data}, indent=2)),
+                            ("odd", json.dumps({"labels": [*data, ["a],b.png", data[0][1]]]}))):
+            f = tmp_path / f"{kind}-{style}.json"
+            f.write_text(text)
+            pieces = L.split_manifest(spark, str(f))
+            assert (pieces is None) == (style == "odd")
+            want = {n: v for n, v in json.loads(text)["labels"]}
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+            try:
+                got = L.read_label_manifest(spark, str(f), vectors=kind == "vectors")
+                assert {r["name"]: r["label"] for r in got.collect()} == want
+                assert style == "odd" or L.split_manifest(spark, str(f)).rdd.getNumPartitions() > 3
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for text in ('{"labels": null}' + " " * 2000, '{"labels": []}' + " " * 2000):
+        (tmp_path / "none.json").write_text(text)
+        assert L.read_label_manifest(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "d0.json").write_text(json.dumps({"labels": [["x.png", 1], ["y.png", 2]] + rows[:50]}))
+    (tmp_path / "d1.json").write_text(json.dumps({"labels": [["x.png", 3]]}))
+    got = {r["name"]: r["label"] for r in L.read_label_manifest(spark, str(tmp_path / "d*.json")).collect()}
+    assert (got["x.png"], got["y.png"]) == (3, 2)
