@@ -423,14 +423,17 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
 # ---------------------------------------------------------------- A8 / K2
 def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_col: str = "id",
                       feat_col: str = "features", block_rows: int | None = DEFAULT_BLOCK_ROWS,
-                      eps: float = REALISM_EPS) -> DataFrame:
+                      eps: float = REALISM_EPS, stats: dict | None = None) -> DataFrame:
     """Per eval row ``inside`` (any ball holds it), ``max_realism`` =
-    ``max(r / (d + eps))``, ``nearest_id`` (lowest id on ties) and its distance."""
+    ``max(r / (d + eps))``, ``nearest_id`` (lowest id on ties) and its distance.
+
+    With several blocks a side, blocks are cells around pivots.  The rows of a cell
+    meet first; what they find bounds how far a better ball or a nearer row can lie,
+    and block pairs beyond that are skipped (``stats`` receives their numbers)."""
     rf = ref.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
     ef = evl.select(F.col(id_col).cast("bigint").alias("id"), F.col(feat_col).alias("f")).where("f is not null")
-    _, br = _blocks_for(rf, block_rows, None)
-    _, be = _blocks_for(ef, block_rows, None)
-    rf = _with_radius(rf, ref_radii, id_col)
+    n_ref, br = _blocks_for(rf, block_rows, None)
+    n_eval, be = _blocks_for(ef, block_rows, None)
 
     def kernel(_key, rpdf: pd.DataFrame, epdf: pd.DataFrame) -> pd.DataFrame:
         rpdf = _split_radius(rpdf)
@@ -456,9 +459,11 @@ def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_c
                              "realism": np.concatenate(realism), "min_d": np.concatenate(mind),
                              "nearest_id": np.concatenate(near)})
 
-    partial = blocked_cogroup(rf, ef, kernel,
-                              "id long, inside boolean, realism double, min_d double, nearest_id long",
-                              br, be)
+    schema = "id long, inside boolean, realism double, min_d double, nearest_id long"
+    if br == be == 1 or n_ref == 0:
+        partial = blocked_cogroup(_with_radius(rf, ref_radii, id_col), ef, kernel, schema, br, be)
+    else:
+        partial = _evaluate_in_cells(rf, ref_radii, ef, id_col, -(-n_ref // br), max(1, -(-n_eval // be)), 4 * max(br, be), kernel, schema, eps, stats)
     return (partial.groupBy("id")
             .agg(F.bool_or("inside").alias("inside"),
                  F.max("realism").alias("max_realism"),
@@ -468,11 +473,48 @@ def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_c
                     F.col("_nn.min_d").alias("nearest_dist")))
 
 
+def _evaluate_in_cells(rf, ref_radii, ef, id_col, ref_rows, eval_rows, n_pivots, kernel, schema, eps, stats) -> DataFrame:
+    """The partial results of the block pairs that can matter: those of a cell with itself, then those in reach."""
+    row = rf.select(F.size("f").alias("d")).first()
+    pivots = choose_pivots(rf, n_pivots, int(row["d"]))
+    celled = with_cell(rf, pivots)
+    ev = with_cell(ef, pivots)
+    left, right = Cells.of(celled, len(pivots), ref_rows), Cells.of(ev, len(pivots), eval_rows)
+    own = stage(celled.select("id", "cell", "gap").join(
+        ref_radii.select(F.col(id_col).cast("bigint").alias("id"), F.col("radius").cast("double").alias("r")), "id"), "block-radii")
+    most = np.zeros(len(pivots))
+    for r in own.groupBy("cell").agg(F.max("r").alias("r")).collect():
+        most[r["cell"]] = max(0.0, finite_or_far(r["r"]))
+    rows = celled.select("id", "f", F.lit(None).cast("double").alias("r"), "cell", "gap").unionByName(
+        own.select("id", F.lit(None).cast(rf.schema["f"].dataType).alias("f"), "r", "cell", "gap"))
+    key = ["l_cell", "l_block", "r_cell", "r_block"]
+
+    def meet(pairs: CellPairs) -> DataFrame:
+        a, b = pairs.spread(rows, "l", "r"), pairs.spread(ev.select(*(F.col(c).alias(c) for c in ev.columns)), "r", "l")
+        return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(kernel, schema)
+
+    far = np.full((len(pivots), len(pivots)), np.inf)
+    same = CellPairs(left, right, pivots, far)
+    same.keep &= np.eye(len(pivots), dtype=bool)
+    first = stage(meet(same), "own-cell")
+    found = ev.select("id", "cell").join(first.groupBy("id").agg(F.min("min_d").alias("d"), F.max("realism").alias("m")), "id", "left")
+    near, real = np.zeros(len(pivots)), np.full(len(pivots), np.inf)
+    for r in found.groupBy("cell").agg(F.max(F.coalesce("d", F.lit(float("inf")))).alias("d"), F.min(F.coalesce("m", F.lit(0.0))).alias("m")).collect():
+        near[r["cell"]], real[r["cell"]] = finite_or_far(r["d"]), r["m"] if r["m"] == r["m"] else 0.0
+    # a ball of radius r beats the realism m up to the distance r / m - eps
+    beat = np.where(most[:, None] > 0, most[:, None] / np.maximum(real[None, :], 1e-300) - eps, 0.0)
+    rest = CellPairs(left, right, pivots, np.sqrt(np.maximum(np.maximum(most[:, None], near[None, :]), beat)))
+    if stats is not None:
+        stats.update(rest.shares())
+    rest.keep &= ~np.eye(len(pivots), dtype=bool)
+    return first.unionByName(meet(rest))
+
+
 def nearest(ref: DataFrame, evl: DataFrame, id_col: str = "id", feat_col: str = "features",
-            block_rows: int | None = DEFAULT_BLOCK_ROWS) -> DataFrame:
+            block_rows: int | None = DEFAULT_BLOCK_ROWS, stats: dict | None = None) -> DataFrame:
     """K2: id of the closest reference row for each eval row (first id on ties)."""
     zero = ref.select(F.col(id_col), F.lit(0.0).alias("radius"))
-    return manifold_evaluate(ref, zero, evl, id_col, feat_col, block_rows).select(
+    return manifold_evaluate(ref, zero, evl, id_col, feat_col, block_rows, stats=stats).select(
         id_col, "nearest_id", "nearest_dist")
 
 

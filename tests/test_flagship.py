@@ -270,3 +270,20 @@ def test_frechet_distance_of_many_sets_is_solved_in_their_tasks(spark):
         stat = [ST.FeatureStats(len(v), v.mean(axis=0), np.cov(v, rowvar=False)) for v in (a, b)]
         assert got[k][2] == pytest.approx(ST.frechet_distance(*stat), rel=1e-6)  # roots of singular matrices
     assert ST.frechet_by_set(df.limit(0), df.limit(0), "k").count() == 0
+
+
+def test_manifold_and_nearest_skip_pairs_without_a_loss(spark):
+    a, b = _clustered(5, 400), np.vstack([_clustered(5, 260)[::2], _clustered(8, 120)])
+    radii = _brute_radii(a, 3)
+    r = spark.createDataFrame([(i, float(v)) for i, v in enumerate(radii)], "id long, radius double")
+    d = ((b[:, None, :] - a[None, :, :]) ** 2).sum(axis=2)
+    stats = {}
+    got = D.manifold_evaluate(_frame(spark, np.arange(len(a)), a), r, _frame(spark, np.arange(len(b)), b), block_rows=30, stats=stats).toPandas().sort_values("id")
+    assert got["inside"].tolist() == (d <= radii[None, :]).any(axis=1).tolist()
+    np.testing.assert_allclose(got["max_realism"], (radii[None, :] / (d + D.REALISM_EPS)).max(axis=1), rtol=1e-6)
+    np.testing.assert_allclose(got["nearest_dist"], d.min(axis=1), atol=1e-8)
+    assert stats["pairs"] > 100 and stats["kept"] < 0.8 * stats["pairs"]
+    stats = {}
+    near = D.nearest(_frame(spark, np.arange(len(a)), a), _frame(spark, np.arange(len(b)), b), block_rows=30, stats=stats).toPandas().sort_values("id")
+    np.testing.assert_allclose(d[np.arange(len(b)), near["nearest_id"]], d.min(axis=1), atol=1e-8)
+    assert stats["kept"] < 0.8 * stats["pairs"]
