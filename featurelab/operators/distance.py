@@ -8,9 +8,10 @@ smallest distances per row (k-NN radii), or one membership flag per row and
 direction (precision / recall), or running max / argmin (manifold evaluate).
 
 Costs: shuffle volume is ``O(N * B * D)`` and output ``O(N * B)``; nothing is
-ever ``O(N^2)`` in rows.  Block sizes follow ``block_rows`` so the per-task
-memory stays ``block_rows * D`` values plus a distance tile of ``TILE_BYTES``,
-whatever N is.  Block ids are a hash of the row id, so no block is
+ever ``O(N^2)`` in rows.  ``B`` follows ``block_rows`` up to ``MAX_BLOCKS``; beyond
+that there are more blocks only where one would exceed ``BLOCK_BYTES``.  So the
+exchange grows with N, and a task holds two blocks and a distance tile of
+``TILE_BYTES``, whatever N is; only the arithmetic grows with ``N^2``.  Block ids are a hash of the row id, so no block is
 hot even when ids are clustered.
 
 Distances are squared Euclidean, ``max(|u|^2 - 2 u.v + |v|^2, 0)``, computed in
@@ -27,21 +28,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .pruning import CellPairs, Cells, choose_pivots, finite_or_far, pivots_wanted, with_cell
+from .pruning import CellPairs, Cells, choose_pivots, finite_or_far, with_cell
 from .selection import exact_percentile
 
 DEFAULT_BLOCK_ROWS = None  # None: sized from the feature width and the cluster (auto_blocks)
 # Bytes of one side's block inside a task (rows x D doubles) when sizing blocks automatically.
-BLOCK_BYTES = 256 << 20
+BLOCK_BYTES = 32 << 20
 MIN_BLOCK_ROWS = 256
 # Blocks are split for parallelism only down to this many rows (about 1e7
 # distance pairs per task); smaller blocks cost more in task overhead than they save.
 PARALLEL_BLOCK_ROWS = 4096
+# Blocks a side that ``block_rows`` may ask for (each row is copied once per block of the other
+# side); there are more only where a block would exceed BLOCK_BYTES.
+MAX_BLOCKS = 24
 # Above this many right blocks the k-NN candidate lists merge in two levels.
 TWO_LEVEL_BLOCKS = 64
-# Bytes of a distance tile inside a task: the rows of the left block taken at a
-# time follow from the width of the right block (numpy holds about two tiles).
-TILE_BYTES = 64 << 20
+# Bytes of a distance tile inside a task, and the right rows of one: the left rows
+# taken at a time follow from both.  A tile stays in the processor's cache.
+TILE_BYTES = 4 << 20
+TILE_COLUMNS = 2048
 REALISM_EPS = 1e-5
 
 
@@ -64,25 +69,28 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.vstack(series.values).astype(np.float64, copy=False)
 
 
-def sq_dist_tile(a: np.ndarray, b: np.ndarray, bb: np.ndarray | None = None) -> np.ndarray:
-    """Squared distances between rows of ``a`` and rows of ``b``."""
-    aa = np.einsum("ij,ij->i", a, a)
-    if bb is None:
-        bb = np.einsum("ij,ij->i", b, b)
-    d = aa[:, None] - 2.0 * (a @ b.T) + bb[None, :]
-    np.maximum(d, 0.0, out=d)
-    return d
-
-
 def tile_rows(width: int) -> int:
     """Left rows per tile against ``width`` right rows."""
     return max(1, TILE_BYTES // (8 * max(1, width)))
 
 
-def _tiles(n: int, width: int):
-    step = tile_rows(width)
-    for s in range(0, n, step):
-        yield s, min(n, s + step)
+def sq_dist_tiles(a: np.ndarray, b: np.ndarray):
+    """Squared distances between rows of ``a`` and of ``b``, as tiles ``(rows of a, rows of b, distances)``;
+    the right rows ascend for the same left rows.  The next tile overwrites the last one."""
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    width = min(TILE_COLUMNS, max(1, len(b)))
+    step = min(tile_rows(width), max(1, len(a)))
+    twice, room = a * -2.0, np.empty(step * width)
+    for s in range(0, len(a), step):
+        left = slice(s, min(len(a), s + step))
+        for t in range(0, len(b), width):
+            right = slice(t, min(len(b), t + width))
+            n, m = left.stop - s, right.stop - t
+            d = np.matmul(twice[left], b[right].T, out=room[:n * m].reshape(n, m))
+            d += aa[left, None]
+            d += bb[None, right]
+            np.maximum(d, 0.0, out=d)
+            yield left, right, d
 
 
 # ---------------------------------------------------------------- blocking
@@ -102,13 +110,24 @@ def auto_blocks(n_rows: int, dim: int, slots: int) -> int:
     return max(1, by_memory, by_slots)
 
 
+def blocks_wanted(n_rows: int, dim: int, slots: int, block_rows: int | None) -> int:
+    """Blocks of ``n_rows`` rows: by ``block_rows`` up to ``MAX_BLOCKS`` and beyond that by memory, or :func:`auto_blocks`."""
+    if not block_rows:
+        return auto_blocks(n_rows, dim, slots)
+    wanted = count_blocks(n_rows, block_rows)
+    return wanted if wanted <= MAX_BLOCKS else max(MAX_BLOCKS, min(wanted, auto_blocks(n_rows, dim, 1)))
+
+
 def _n_blocks(df: DataFrame, n_rows: int, block_rows: int | None, feat: str = "f") -> int:
-    if block_rows:
-        return count_blocks(n_rows, block_rows)
     from ..session import default_parallelism
     row = df.select(F.size(feat).alias("d")).where(F.col("d").isNotNull()).first()
     dim = int(row["d"]) if row else 1
-    return auto_blocks(n_rows, dim, default_parallelism(df.sparkSession))
+    return blocks_wanted(n_rows, dim, default_parallelism(df.sparkSession), block_rows)
+
+
+def _n_pivots(blocks: int) -> int:
+    """Some more cells than blocks, so that they are small; as every cell is a block, bounded like those."""
+    return min(4 * blocks, max(MAX_BLOCKS, blocks))
 
 
 def _n(x) -> Column:
@@ -175,15 +194,13 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
         raise ValueError(f"knn_radii needs at least {kmax + 1} rows per set, got {counts}")
     if n_blocks:
         per_set = {k_: int(n_blocks) for k_ in counts}
-    elif block_rows:
-        per_set = {k_: count_blocks(v, block_rows) for k_, v in counts.items()}
     else:
         from ..session import default_parallelism
         if dim is None:
             row = feats.select(F.size("f").alias("d")).where(F.col("d").isNotNull()).first()
             dim = int(row["d"]) if row else 1
         slots = default_parallelism(df.sparkSession)
-        per_set = {k_: auto_blocks(v, dim, slots) for k_, v in counts.items()}
+        per_set = {k_: blocks_wanted(v, dim, slots, block_rows) for k_, v in counts.items()}
     radii = lambda d: F.array(*[F.element_at(d, k + 1) for k in ks])
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,16 +224,28 @@ def knn_radii(df: DataFrame, id_col: str = "id", feat_col: str = "features", ks=
 
 
 def _k_smallest(a: np.ndarray, b: np.ndarray, keep: int) -> list[np.ndarray]:
-    """The ``keep`` smallest squared distances of each row of ``a`` to the rows of ``b``, ascending."""
-    bb = np.einsum("ij,ij->i", b, b)
-    m, out = min(keep, b.shape[0]), []
-    for s, e in _tiles(a.shape[0], b.shape[0]):
-        d = sq_dist_tile(a[s:e], b, bb)
-        if m < d.shape[1]:
-            d = np.partition(d, m - 1, axis=1)[:, :m]
-        d.sort(axis=1)
-        out.extend(list(d))
-    return out
+    """The ``keep`` smallest squared distances of each row of ``a`` to the rows of ``b``, ascending.
+
+    A row's distances of the first tile are selected; of the later ones only those below what it
+    has are looked at.  What is returned holds no tile."""
+    m = min(keep, b.shape[0])
+    out, row = np.empty((a.shape[0], m)), np.arange(m)
+    for left, right, d in sq_dist_tiles(a, b):
+        if right.start == 0:
+            best = np.sort(np.partition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else d, axis=1)
+        else:
+            full = best.shape[1] == m
+            # NaN is the largest value: it is below nothing, and a row that still holds one takes all
+            i, j = np.nonzero(~(d >= best[:, -1:])) if full else np.nonzero(np.ones(d.shape, bool))
+            if len(i):
+                rows = np.concatenate([np.repeat(np.arange(len(d)), best.shape[1]), i])
+                values = np.concatenate([best.ravel(), d[i, j]])
+                order = np.lexsort((values, rows))
+                at = np.searchsorted(rows[order], np.arange(len(d)))
+                best = values[order[at[:, None] + row[:min(m, right.stop)]]]
+        if right.stop == b.shape[0]:
+            out[left] = best
+    return list(out)
 
 
 _CANDIDATES = "id long, blk int, d array<double>"
@@ -231,7 +260,7 @@ def _nearest_in_blocks(feats: DataFrame, n_rows: int, block_rows: int, keep: int
     (:mod:`featurelab.operators.pruning`).
     """
     row = feats.select(F.size("f").alias("d")).first()
-    pivots = choose_pivots(feats, pivots_wanted(n_rows, block_rows) if n_rows > block_rows else 1, int(row["d"]) if row else 1)
+    pivots = choose_pivots(feats, _n_pivots(count_blocks(n_rows, block_rows)) if n_rows > block_rows else 1, int(row["d"]) if row else 1)
     celled = with_cell(feats, pivots)
     cells = Cells.of(celled, len(pivots), block_rows)
     block = F.pmod(F.xxhash64("id"), F.get(F.array(*(F.lit(int(n)) for n in cells.blocks)), F.col("cell"))).cast("int")
@@ -338,13 +367,11 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
                                  "inside": pd.Series([], dtype=bool)})
         a, b = _matrix(rpdf["f"]), _matrix(spdf["f"])
         ra, rb = rpdf["r"].to_numpy(np.float64), spdf["r"].to_numpy(np.float64)
-        bb = np.einsum("ij,ij->i", b, b)
         ref_in = np.zeros(a.shape[0], dtype=bool)
         smp_in = np.zeros(b.shape[0], dtype=bool)
-        for s, e in _tiles(a.shape[0], b.shape[0]):
-            d = sq_dist_tile(a[s:e], b, bb)
-            ref_in[s:e] = (d <= rb[None, :]).any(axis=1)
-            smp_in |= (d <= ra[s:e, None]).any(axis=0)
+        for left, right, d in sq_dist_tiles(a, b):
+            ref_in[left] |= (d <= rb[None, right]).any(axis=1)
+            smp_in[right] |= (d <= ra[left, None]).any(axis=0)
         return pd.DataFrame({
             "side": ["ref"] * len(a) + ["sample"] * len(b),
             "id": np.concatenate([rpdf["id"].to_numpy(), spdf["id"].to_numpy()]),
@@ -357,7 +384,7 @@ def membership_flags(ref: DataFrame, ref_radii: DataFrame, smp: DataFrame, smp_r
         return partial.groupBy("side", "id").agg(F.bool_or("inside").alias("inside"))
     sides = {"l": (rf, ref_radii, br, "ref"), "r": (sf, smp_radii, bs, "sample")}
     row = rf.select(F.size("f").alias("d")).first()
-    pivots = choose_pivots(rf, 4 * max(br, bs), int(row["d"]) if row else 1)
+    pivots = choose_pivots(rf, _n_pivots(max(br, bs)), int(row["d"]) if row else 1)
     if not len(pivots):
         return rf.sparkSession.createDataFrame([], schema)
     cells, most, rows, ids = {}, {}, {}, None
@@ -404,7 +431,7 @@ def precision_recall(ref: DataFrame, smp: DataFrame, k: int = 3, id_col: str = "
     slots = default_parallelism(ref.sparkSession)
 
     def blocks(n):
-        return count_blocks(n, block_rows) if block_rows else auto_blocks(n, dim, slots)
+        return blocks_wanted(n, dim, slots, block_rows)
     radii = knn_radii(both, id_col, feat_col, (k,), block_rows, set_col="_side", counts=counts, dim=dim)
     # both sides read the radii: stage them once (N x (id, radius), small next to
     # the features) so the blocked k-NN job runs once, and survives lost executors
@@ -446,24 +473,26 @@ def manifold_evaluate(ref: DataFrame, ref_radii: DataFrame, evl: DataFrame, id_c
         a, b = _matrix(epdf["f"]), _matrix(rpdf["f"])
         r = rpdf["r"].to_numpy(np.float64)
         rid = rpdf["id"].to_numpy()
-        bb = np.einsum("ij,ij->i", b, b)
-        inside, realism, mind, near = [], [], [], []
-        for s, e in _tiles(a.shape[0], b.shape[0]):
-            d = sq_dist_tile(a[s:e], b, bb)
-            inside.append((d <= r[None, :]).any(axis=1))
-            realism.append((r[None, :] / (d + eps)).max(axis=1))
+        inside, realism = np.zeros(len(a), bool), np.full(len(a), -np.inf)
+        mind, near = np.full(len(a), np.inf), np.full(len(a), rid[0])
+        for left, right, d in sq_dist_tiles(a, b):
+            inside[left] |= (d <= r[None, right]).any(axis=1)
             j = d.argmin(axis=1)
-            near.append(rid[j])
-            mind.append(d[np.arange(d.shape[0]), j])
-        return pd.DataFrame({"id": epdf["id"].values, "inside": np.concatenate(inside),
-                             "realism": np.concatenate(realism), "min_d": np.concatenate(mind),
-                             "nearest_id": np.concatenate(near)})
+            v = d[np.arange(d.shape[0]), j]
+            # the right rows ascend by id, so the first of equal distances stays; NaN is taken and stays
+            closer = (v < mind[left]) | (np.isnan(v) & ~np.isnan(mind[left]))
+            near[left] = np.where(closer, rid[right][j], near[left])
+            mind[left] = np.where(closer, v, mind[left])
+            d += eps
+            np.divide(r[None, right], d, out=d)
+            realism[left] = np.maximum(realism[left], d.max(axis=1))
+        return pd.DataFrame({"id": epdf["id"].values, "inside": inside, "realism": realism, "min_d": mind, "nearest_id": near})
 
     schema = "id long, inside boolean, realism double, min_d double, nearest_id long"
     if br == be == 1 or n_ref == 0:
         partial = blocked_cogroup(_with_radius(rf, ref_radii, id_col), ef, kernel, schema, br, be)
     else:
-        partial = _evaluate_in_cells(rf, ref_radii, ef, id_col, -(-n_ref // br), max(1, -(-n_eval // be)), 4 * max(br, be), kernel, schema, eps, stats)
+        partial = _evaluate_in_cells(rf, ref_radii, ef, id_col, -(-n_ref // br), max(1, -(-n_eval // be)), _n_pivots(max(br, be)), kernel, schema, eps, stats)
     return (partial.groupBy("id")
             .agg(F.bool_or("inside").alias("inside"),
                  F.max("realism").alias("max_realism"),
@@ -533,14 +562,12 @@ def pairwise_distance_summary(left: DataFrame, right: DataFrame, id_col: str = "
                                  "mn": pd.Series([], dtype="float64"), "mx": pd.Series([], dtype="float64"),
                                  "sm": pd.Series([], dtype="float64")})
         a, b = _matrix(lpdf["f"]), _matrix(rpdf["f"])
-        bb = np.einsum("ij,ij->i", b, b)
-        mn, mx, sm = [], [], []
-        for s, e in _tiles(a.shape[0], b.shape[0]):
-            d = sq_dist_tile(a[s:e], b, bb)
-            mn.append(d.min(axis=1)); mx.append(d.max(axis=1)); sm.append(d.sum(axis=1))
-        return pd.DataFrame({"id": lpdf["id"].values, "n": np.full(len(a), b.shape[0], dtype=np.int64),
-                             "mn": np.concatenate(mn), "mx": np.concatenate(mx),
-                             "sm": np.concatenate(sm)})
+        mn, mx, sm = np.full(len(a), np.inf), np.full(len(a), -np.inf), np.zeros(len(a))
+        for left, _, d in sq_dist_tiles(a, b):
+            mn[left] = np.minimum(mn[left], d.min(axis=1))
+            mx[left] = np.maximum(mx[left], d.max(axis=1))
+            sm[left] += d.sum(axis=1)
+        return pd.DataFrame({"id": lpdf["id"].values, "n": np.full(len(a), b.shape[0], dtype=np.int64), "mn": mn, "mx": mx, "sm": sm})
 
     partial = blocked_cogroup(lf, rf, kernel, "id long, n long, mn double, mx double, sm double", bl, brr)
     return partial.groupBy("id").agg(F.sum("n").alias("n_pairs"), F.min("mn").alias("min_dist"),

@@ -126,8 +126,3 @@ class CellPairs:
         all_pairs = int(self.left.blocks[self.left.rows > 0].sum() * self.right.blocks[self.right.rows > 0].sum())
         kept = int((self.keep * self.left.blocks[:, None] * self.right.blocks[None, :]).sum())
         return {"pairs": all_pairs, "kept": kept}
-
-
-def pivots_wanted(n_rows: int, block_rows: int) -> int:
-    """Pivots for blocks of about ``block_rows`` rows: some more cells than blocks, so that they are small."""
-    return max(1, 4 * int(math.ceil(n_rows / max(1, block_rows))))
