@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import images as G
+from ..session import fewer_scan_tasks, load_files
 
 IMAGE_STRUCT = "struct<height:int,width:int,nChannels:int,data:binary>"
 
@@ -225,7 +226,7 @@ def read_images(spark, paths, key_col: str = "path", recursive: bool = False, ke
     reader = spark.read.format("image").option("dropInvalid", not keep_invalid)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    raw = reader.load(paths)
+    raw = fewer_scan_tasks(load_files(reader, paths))
     base = raw.select(F.col("image.origin").alias(key_col),
                       F.struct(F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                                F.col("image.nChannels").alias("nChannels"), F.col("image.data").alias("data"))

@@ -26,8 +26,7 @@ from ..sources.files import (list_files, manifest_files, open_dataset, path_exis
 
 def _empty_folder(spark: SparkSession, dest: str) -> None:
     """O1: the destination folder must not hold files."""
-    if path_exists(spark, dest) and spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-            .load(dest).select("path").limit(1).count():
+    if path_exists(spark, dest) and list_files(spark, dest).limit(1).count():
         raise ValueError(f"destination folder is not empty: {dest}")
 
 

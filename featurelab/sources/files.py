@@ -27,12 +27,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.paths import fnmatch_regex, is_image_path
 from ..operators.labels import labels_from_top_dir, manifest_label, read_label_manifest
 from ..operators.position import with_position
-from ..session import default_parallelism, ensure_checkpoint_dir, stage
+from ..session import default_parallelism, ensure_checkpoint_dir, fewer_scan_tasks, load_files, stage
 from .ranged import Member, StoredArray, array_header, array_rows, local_path, open_ranged, reachable, read_member, stored_array, zip_directory
 
 ARRAY_SCHEMA = "path string, shape array<int>, dtype string, values array<double>"
 BATCH_SCHEMA = "path string, member string, row long, shape array<int>, values array<double>"
 DEFAULT_ARRAY_BATCH = 64
+#: listed files a batch
+LISTED_ROWS = 10_000
 
 
 def _strip_root(path_col, root: str):
@@ -46,8 +48,10 @@ def list_files(spark: SparkSession, root: str, ignores: list[str] | None = None,
     """Recursive ``(path, rel_path, length)``; a glob in ``ignores`` prunes any
     directory or file name it matches, at every level."""
     root_abs = os.path.abspath(root) if local_path(root) is not None and "://" not in root else root
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_abs)
-          .select("path", "length"))
+    if local_path(root_abs) is not None and os.path.isdir(local_path(root_abs)):
+        df = stage(_walked(spark, local_path(root_abs)), "files")
+    else:
+        df = fewer_scan_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_abs).select("path", "length"))
     rel = _strip_root(F.col("path"), local_path(root_abs) or root_abs)
     df = df.withColumn("rel_path", rel)
     for g in ignores or []:
@@ -59,6 +63,40 @@ def list_files(spark: SparkSession, root: str, ignores: list[str] | None = None,
     return df
 
 
+def _visible(name: str) -> bool:
+    """Whether Spark's file index lists the name."""
+    return not (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name))
+
+
+def _walked(spark: SparkSession, root: str) -> DataFrame:
+    """``path, length`` of the files below a mounted folder, listed by tasks: its own files by one, each folder
+    in it by another, so that the driver holds only the names of these folders."""
+    with os.scandir(root) as entries:
+        folders = [(root, False)] + [(e.path, True) for e in entries if _visible(e.name) and e.is_dir()]
+
+    def read(batches):
+        for rb in batches:
+            for folder, below in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+                todo = [folder]
+                while todo:
+                    paths, sizes = [], []
+                    with os.scandir(todo.pop()) as entries:
+                        for e in entries:
+                            if not _visible(e.name):
+                                continue
+                            if not e.is_dir():
+                                paths.append("file:" + e.path)
+                                sizes.append(e.stat().st_size)
+                            elif below:
+                                todo.append(e.path)
+                    for lo in range(0, len(paths), LISTED_ROWS):
+                        yield pa.RecordBatch.from_arrays([pa.array(paths[lo:lo + LISTED_ROWS], pa.string()), pa.array(sizes[lo:lo + LISTED_ROWS], pa.int64())],
+                                                         names=["path", "length"])
+
+    tasks = min(len(folders), 4 * default_parallelism(spark))
+    return spark.createDataFrame(folders, "folder string, below boolean").repartition(tasks).mapInArrow(read, "path string, length long")
+
+
 def scan_images(spark: SparkSession, root: str, max_images: int | None = None,
                 use_dir_labels: bool = True) -> DataFrame:
     """S1 (+ S4, W2, P2): image files under ``root`` sorted by relative path.
@@ -84,10 +122,13 @@ def manifest_files(spark: SparkSession, root: str) -> list[str]:
     base = root.rstrip("/")
     if not path_exists(spark, base):
         return []
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "dataset*.json").load(base)
     # manifest files only: one per MANIFEST_ROWS images
-    return sorted(r["path"] for r in found.select("path").collect()
-                  if re.fullmatch(r"dataset(-[^/]*)?\.json", r["path"].rsplit("/", 1)[-1]))
+    if local_path(base) is not None and os.path.isdir(local_path(base)):
+        with os.scandir(local_path(base)) as entries:
+            paths = ["file:" + os.path.abspath(e.path) for e in entries if re.fullmatch(r"dataset(-[^/]*)?\.json", e.name) and e.is_file()]
+    else:
+        paths = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "dataset*.json").load(base).select("path").collect()]
+    return sorted(p for p in paths if re.fullmatch(r"dataset(-[^/]*)?\.json", p.rsplit("/", 1)[-1]))
 
 
 def _manifest_if_any(spark: SparkSession, root: str):
@@ -101,6 +142,8 @@ def _manifest_if_any(spark: SparkSession, root: str):
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` is there; any other failure to look (permissions, I/O) is raised."""
+    if local_path(path) is not None and os.path.isdir(local_path(path)):
+        return True  # Spark would list all that is below it
     try:
         spark.read.format("binaryFile").load(path).select("path").limit(0).collect()
         return True
@@ -283,7 +326,8 @@ def _ingest_npy(batches):
 
 def ingest_arrays(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
     """One ``.npy`` file per row: shape, dtype and row-major values (double)."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", recursive).load(pattern)
+    raw = load_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", recursive), pattern)
+    raw = fewer_scan_tasks(raw.where(F.col("path").endswith(".npy")))
     return raw.select("path", "content").mapInPandas(_ingest_npy, ARRAY_SCHEMA)
 
 

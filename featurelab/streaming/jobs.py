@@ -129,7 +129,7 @@ def stream_image_features(spark: SparkSession, folder: str, mode: str | None, wi
 
     from ..operators.images import IMAGE_STRUCT, drop_failed, from_spark_image, transform_images
     from ..operators.scoring import encode_images
-    from ..session import staged
+    from ..session import fewer_scan_tasks, staged
 
     reader = spark.readStream.format("image").schema(ImageSchema.imageSchema).option("recursiveFileLookup", "true")
     src = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).load(folder)
@@ -139,7 +139,7 @@ def stream_image_features(spark: SparkSession, folder: str, mode: str | None, wi
                             F.struct(F.col("image.height").alias("height"), F.col("image.width").alias("width"),
                                      F.col("image.nChannels").alias("nChannels"),
                                      F.col("image.data").alias("data")).alias("image"))
-        rgb = imgs.mapInPandas(from_spark_image("image"), f"path string, image {IMAGE_STRUCT}")
+        rgb = fewer_scan_tasks(imgs).mapInPandas(from_spark_image("image"), f"path string, image {IMAGE_STRUCT}")
         # staged for the length of the batch: the transform runs once for the encoder and the quarantine
         with staged(transform_images(rgb, mode, width, height, key_col="path"), "stream-images") as images:
             good, bad = drop_failed(images)
