@@ -33,7 +33,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,8 +84,12 @@ def _shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
                 hashes.append(code)
                 owner.append(rows[at])
     v, o = np.concatenate(hashes) >> np.uint64(1), np.concatenate(owner)
-    order = np.lexsort((v, o))
-    v, o = v[order], o[order]
+    if (o[1:] < o[:-1]).any():
+        order = np.argsort(o, kind="stable")
+        v, o = v[order], o[order]
+    b = tx.row_bounds(o, n_rows)
+    for lo, hi in zip(b[:-1].tolist(), b[1:].tolist()):
+        v[lo:hi].sort()
     new = np.ones(len(v), bool)
     new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
     return v[new], o[new]
@@ -146,34 +149,49 @@ def _full_sets(docs: DataFrame, id_column: str, wanted: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, left: str, right: str, test) -> DataFrame:
-    """Pairs ``a, b`` whose two array columns pass ``test``."""
+    """Pairs ``a, b`` whose two array columns pass ``test`` (of the two columns of a batch)."""
 
     def run(it):
-        for pdf in it:
-            ok = [test(x, y) for x, y in zip(pdf[left], pdf[right])]
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]] if len(pdf) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        for rb in it:
+            ok = test(rb.column(2), rb.column(3)) if rb.num_rows else np.empty(0, bool)
+            yield pa.RecordBatch.from_arrays([rb.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", left, right).mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b", left, right).mapInArrow(run, "a long, b long")
 
 
 def _estimate(k: int, percent: int):
     """Union-sketch test: may the two sets be similar by ``percent``?"""
     t = percent / 100
 
-    def test(x, y):
-        union = np.union1d(x, y)
-        m = min(k, len(union)) if max(len(x), len(y)) >= k else len(union)
-        both = len(np.intersect1d(np.intersect1d(x, y, assume_unique=False), union[:m]))
-        slack = _SIGMAS * math.sqrt(m * t * (1 - t)) if max(len(x), len(y)) >= k else 0.0
+    def test(left, right):
+        rows = np.arange(len(left))
+        sizes = [x.value_lengths().to_numpy() for x in (left, right)]
+        # pair, value and side in 64 bits: a value of both sides lies side by side
+        keys = np.concatenate([(np.repeat(rows, n) << 32) + (x.flatten().to_numpy().astype(np.int64) << 1) + side
+                               for side, (x, n) in enumerate(zip((left, right), sizes))])
+        keys.sort()
+        keys = keys[np.diff(keys, prepend=-1) != 0]
+        first = np.diff(keys >> 1, prepend=-1) != 0
+        row = keys >> 32
+        union = np.bincount(row[first], minlength=len(rows))
+        capped = np.maximum(*sizes) >= k
+        m = np.where(capped, np.minimum(k, union), union)
+        rank = np.cumsum(first) - (np.cumsum(union) - union)[row]
+        both = np.bincount(row[~first & (rank <= m[row])], minlength=len(rows))
+        slack = np.where(capped, _SIGMAS * np.sqrt(m * t * (1 - t)), 0.0)
         return both >= t * m - slack - 1
 
     return test
 
 
 def _exact(percent: int):
-    def test(x, y):
-        inter = len(np.intersect1d(x, y, assume_unique=True))
-        return 100 * inter >= percent * (len(x) + len(y) - inter)
+    def test(left, right):
+        ok = np.empty(len(left), bool)
+        for i, (x, y) in enumerate(zip(left, right)):
+            x, y = (z.values.to_numpy() for z in (x, y))
+            inter = len(np.intersect1d(x, y, assume_unique=True))
+            ok[i] = 100 * inter >= percent * (len(x) + len(y) - inter)
+        return ok
 
     return test
 
@@ -281,6 +299,29 @@ def _side(rows: DataFrame, x: str, rep: str = "rep") -> DataFrame:
                        *([F.col("comp").alias("comp_" + x)] if "comp" in rows.columns else []))
 
 
+def _prefix_rows(rb: pa.RecordBatch, last: np.ndarray, k: int, percent: int) -> pa.RecordBatch:
+    """One row for each sketch value to list, of a batch of ``rep, n, sketch``; values in ``last`` (ascending) take the last places."""
+    flat, n = rb.column(2).flatten().to_numpy(), rb.column(1).to_numpy()
+    size = rb.column(2).value_lengths().to_numpy()
+    each, of = np.unique(n, return_inverse=True)
+    need = np.minimum(size, np.array([shared_at_least(int(x), k, percent) for x in each], np.int64)[of])
+    row = np.repeat(np.arange(len(n)), size)
+    start = np.concatenate([[0], np.cumsum(size)])
+    # one search of the whole batch: the cost of a document grows with the logarithm of the crowded values
+    late = np.zeros(len(flat), bool)
+    if len(last):
+        late = last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat
+    before = np.concatenate([[0], np.cumsum(late)])
+    late_before = before[:-1] - before[start[row]]
+    early = size - np.diff(before[start])
+    place = np.where(late, early[row] + late_before, np.arange(len(flat)) - start[row] - late_before)
+    keep = place <= (size - need)[row]
+    row = row[keep]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(rb.column(0).to_numpy()[row]), pa.array(n[row]), pa.array(size[row].astype(np.int32)), pa.array(need[row].astype(np.int32)),
+         pa.array(place[keep].astype(np.int32)), pa.array(flat[keep].astype(np.int64))], names=["rep", "n", "size", "need", "place", "value"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_column: str = "doc_id") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -310,18 +351,10 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, k: int = K, id_co
     last = spark.sparkContext.broadcast(last)
 
     def prefixes(it):
-        for pdf in it:
-            rows = {c: [] for c in ("values", "size", "need")}
-            for n, sk in zip(pdf["n"], pdf["sketch"]):
-                need = min(len(sk), shared_at_least(int(n), k, percent))
-                tail = np.isin(sk, last.value)
-                rows["values"].append(np.concatenate([sk[~tail], sk[tail]])[:len(sk) - need + 1])
-                rows["size"].append(len(sk))
-                rows["need"].append(need)
-            yield pd.DataFrame({"rep": pdf["rep"], "n": pdf["n"], **rows})
-
-    lists = ordered.mapInPandas(prefixes, "rep long, n long, values array<int>, size int, need int") \
-        .select("rep", "n", "size", "need", F.posexplode(F.col("values").cast("array<long>")).alias("place", "value"))
+        for rb in it:
+            yield _prefix_rows(rb, last.value, k, percent)
+
+    lists = ordered.mapInArrow(prefixes, "rep long, n long, size int, need int, place int, value long")
     # staged, so that both sides of the join are plain exchanges and a crowded value is split
     members = common.stage(lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "members")
     lists = common.stage(lists.join(members, "value"), "lists")
