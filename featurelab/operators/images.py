@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images as G
 from ..session import fewer_scan_tasks, load_files
+from ..sources.listing import listed_by_tasks, load_groups
 
 IMAGE_STRUCT = "struct<height:int,width:int,nChannels:int,data:binary>"
 
@@ -219,19 +220,28 @@ def from_spark_image(col: str = "image"):
     return swap
 
 
-def read_images(spark, paths, key_col: str = "path", recursive: bool = False, keep_invalid: bool = False) -> DataFrame:
+def read_images(spark, paths, key_col: str = "path", recursive: bool = False, keep_invalid: bool = False, then=None) -> DataFrame:
     """Decode image files with Spark's ``image`` source; RGB struct + origin path.
     Files that do not decode (manifests, text) are dropped, or with
-    ``keep_invalid`` have a null image."""
-    reader = spark.read.format("image").option("dropInvalid", not keep_invalid)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    raw = fewer_scan_tasks(load_files(reader, paths))
-    base = raw.select(F.col("image.origin").alias(key_col),
-                      F.struct(F.col("image.height").alias("height"), F.col("image.width").alias("width"),
-                               F.col("image.nChannels").alias("nChannels"), F.col("image.data").alias("data"))
-                      .alias("image"))
-    return base.mapInPandas(from_spark_image("image"), f"{key_col} string, image {IMAGE_STRUCT}")
+    ``keep_invalid`` have a null image.  ``then`` (DataFrame to DataFrame) is applied to the
+    result; of folders of more files than the driver may list, which are read in groups
+    (:func:`featurelab.sources.listing.load_groups`), only what it returns is stored."""
+
+    def reader():
+        return spark.read.format("image").option("dropInvalid", not keep_invalid)
+
+    def decoded(raw: DataFrame) -> DataFrame:
+        base = fewer_scan_tasks(raw).select(
+            F.col("image.origin").alias(key_col),
+            F.struct(F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+                     F.col("image.nChannels").alias("nChannels"), F.col("image.data").alias("data")).alias("image"))
+        out = base.mapInPandas(from_spark_image("image"), f"{key_col} string, image {IMAGE_STRUCT}")
+        return out if then is None else then(out)
+
+    listed = listed_by_tasks(spark, paths, recursive)
+    if listed is not None:
+        return load_groups(spark, reader, listed, decoded)
+    return decoded(load_files(reader().option("recursiveFileLookup", "true") if recursive else reader(), paths))
 
 
 def image_grid_size(n: int) -> int:

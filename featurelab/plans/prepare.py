@@ -55,10 +55,14 @@ def convert_dataset(spark: SparkSession, source: str, dest: str, transform: str
     # the listing and the decoder may spell file URIs differently: join on the bare path
     bare = lambda c: F.regexp_replace(F.col(c), "^file:/*", "/")
     listed = stage(listed.select("idx", bare("path").alias("source"), "label"), "convert-listing")
-    pixels = read_images(spark, folder, "path", recursive=True, keep_invalid=True).select(bare("path").alias("source"), "image")
-    if max_images is not None and max_images <= BROADCAST_PATHS:
-        pixels = pixels.join(F.broadcast(listed.select("source")), "source", "left_semi")
-    done = transform_images(pixels, transform, width, height, key_col="source")
+
+    def shrink(images: DataFrame) -> DataFrame:
+        pixels = images.select(bare("path").alias("source"), "image")
+        if max_images is not None and max_images <= BROADCAST_PATHS:
+            pixels = pixels.join(F.broadcast(listed.select("source")), "source", "left_semi")
+        return transform_images(pixels, transform, width, height, key_col="source")
+
+    done = read_images(spark, folder, "path", recursive=True, keep_invalid=True, then=shrink)
     rows = listed.join(done, "source", "left")
     if archives:
         written = write_image_archives(rows, dest)
@@ -75,9 +79,12 @@ def convert_dataset(spark: SparkSession, source: str, dest: str, transform: str
     return good
 
 
-def _converted(spark: SparkSession, converted: str) -> DataFrame:
-    imgs = read_images(spark, converted, "path", recursive=True)
-    return imgs.select(F.regexp_extract("path", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "image")
+def _encoded(spark: SparkSession, converted: str, make_encoder, dim: int) -> DataFrame:
+    """``idx, features`` of a converted folder."""
+    def encode(imgs: DataFrame) -> DataFrame:
+        imgs = imgs.select(F.regexp_extract("path", r"img(\d{8})\.png$", 1).cast("bigint").alias("idx"), "image")
+        return encode_images(imgs, make_encoder, "idx", dim)
+    return read_images(spark, converted, "path", recursive=True, then=encode)
 
 
 def _with_labels(spark: SparkSession, converted: str, dest: str, written: DataFrame, name_col: str) -> DataFrame:
@@ -99,7 +106,7 @@ def encode_dataset(spark: SparkSession, converted: str, dest: str, make_encoder,
     Arrow batches, write ``<prefix>/img-mean-std-<idx>.npy`` (or token files),
     and carry the labels of the converted manifest into ``dest``.  Each image
     is encoded exactly once.  Returns ``(idx, artifact_path, label)``."""
-    feats = encode_images(_converted(spark, converted), make_encoder, "idx", dim)
+    feats = _encoded(spark, converted, make_encoder, dim)
     written = stage(write_array_sets(feats, dest, [(kind, "features", shape)], dtype=dtype), "encode-written")
     return _with_labels(spark, converted, dest, written.withColumnRenamed(kind, "artifact_path"), "artifact_path")
 
@@ -111,7 +118,7 @@ def encode_tokens_dataset(spark: SparkSession, converted: str, dest: str, make_e
     patch tokens (``h[1 + R:]``) to ``..._patches.npy``, register tokens dropped;
     both are written in the pass that encodes.  The manifest names the class
     files.  Returns ``(idx, cls_path, patches_path, label)``."""
-    hidden = encode_images(_converted(spark, converted), make_encoder, "idx", tokens * width)
+    hidden = _encoded(spark, converted, make_encoder, tokens * width)
     n_patches = tokens - 1 - registers
     split = hidden.select("idx", F.slice("features", 1, width).alias("cls_values"),
                           F.slice("features", (1 + registers) * width + 1, n_patches * width).alias("patch_values"))

@@ -28,13 +28,12 @@ from ..functions.paths import fnmatch_regex, is_image_path
 from ..operators.labels import labels_from_top_dir, manifest_label, read_label_manifest
 from ..operators.position import with_position
 from ..session import default_parallelism, ensure_checkpoint_dir, fewer_scan_tasks, load_files, stage
+from .listing import listed_by_tasks, subfolders, walked
 from .ranged import Member, StoredArray, array_header, array_rows, local_path, open_ranged, reachable, read_member, stored_array, zip_directory
 
 ARRAY_SCHEMA = "path string, shape array<int>, dtype string, values array<double>"
 BATCH_SCHEMA = "path string, member string, row long, shape array<int>, values array<double>"
 DEFAULT_ARRAY_BATCH = 64
-#: listed files a batch
-LISTED_ROWS = 10_000
 
 
 def _strip_root(path_col, root: str):
@@ -49,7 +48,7 @@ def list_files(spark: SparkSession, root: str, ignores: list[str] | None = None,
     directory or file name it matches, at every level."""
     root_abs = os.path.abspath(root) if local_path(root) is not None and "://" not in root else root
     if local_path(root_abs) is not None and os.path.isdir(local_path(root_abs)):
-        df = stage(_walked(spark, local_path(root_abs)), "files")
+        df = stage(walked(spark, subfolders(local_path(root_abs))), "files")
     else:
         df = fewer_scan_tasks(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root_abs).select("path", "length"))
     rel = _strip_root(F.col("path"), local_path(root_abs) or root_abs)
@@ -63,40 +62,6 @@ def list_files(spark: SparkSession, root: str, ignores: list[str] | None = None,
     return df
 
 
-def _visible(name: str) -> bool:
-    """Whether Spark's file index lists the name."""
-    return not (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name))
-
-
-def _walked(spark: SparkSession, root: str) -> DataFrame:
-    """``path, length`` of the files below a mounted folder, listed by tasks: its own files by one, each folder
-    in it by another, so that the driver holds only the names of these folders."""
-    with os.scandir(root) as entries:
-        folders = [(root, False)] + [(e.path, True) for e in entries if _visible(e.name) and e.is_dir()]
-
-    def read(batches):
-        for rb in batches:
-            for folder, below in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
-                todo = [folder]
-                while todo:
-                    paths, sizes = [], []
-                    with os.scandir(todo.pop()) as entries:
-                        for e in entries:
-                            if not _visible(e.name):
-                                continue
-                            if not e.is_dir():
-                                paths.append("file:" + e.path)
-                                sizes.append(e.stat().st_size)
-                            elif below:
-                                todo.append(e.path)
-                    for lo in range(0, len(paths), LISTED_ROWS):
-                        yield pa.RecordBatch.from_arrays([pa.array(paths[lo:lo + LISTED_ROWS], pa.string()), pa.array(sizes[lo:lo + LISTED_ROWS], pa.int64())],
-                                                         names=["path", "length"])
-
-    tasks = min(len(folders), 4 * default_parallelism(spark))
-    return spark.createDataFrame(folders, "folder string, below boolean").repartition(tasks).mapInArrow(read, "path string, length long")
-
-
 def scan_images(spark: SparkSession, root: str, max_images: int | None = None,
                 use_dir_labels: bool = True) -> DataFrame:
     """S1 (+ S4, W2, P2): image files under ``root`` sorted by relative path.
@@ -157,6 +122,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 MAX_SHIPPED_BYTES = (2 << 30) - (64 << 20)
 #: bytes that a task reads of archives and stored arrays, at about
 RANGE_BYTES = 64 << 20
+#: small files that a task reads, at about
+TASK_FILES = 1024
 
 
 def _files_to_read(spark: SparkSession, raw: DataFrame, opener) -> DataFrame:
@@ -324,8 +291,26 @@ def _ingest_npy(batches):
         yield pd.DataFrame(rows, columns=["path", "shape", "dtype", "values"])
 
 
+def _open_npy(batches):
+    """As :func:`_ingest_npy`, for mounted files, which the task opens."""
+    for rb in batches:
+        for lo in range(0, rb.num_rows, DEFAULT_ARRAY_BATCH):
+            paths, arrays = rb.column(0).slice(lo, DEFAULT_ARRAY_BATCH), []
+            for path in paths.to_pylist():
+                with open(path[len("file:"):], "rb") as fh:
+                    arrays.append(_read_npy(fh))
+            yield pa.RecordBatch.from_arrays(
+                [paths, pa.array([list(a.shape) for a in arrays], pa.list_(pa.int32())), pa.array([str(a.dtype) for a in arrays], pa.string()),
+                 pa.array([a.astype(np.float64).ravel() for a in arrays], pa.list_(pa.float64()))], names=["path", "shape", "dtype", "values"])
+
+
 def ingest_arrays(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
     """One ``.npy`` file per row: shape, dtype and row-major values (double)."""
+    listed = listed_by_tasks(spark, pattern, recursive)
+    if listed is not None:
+        n, size = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        tasks = max(4 * default_parallelism(spark), -(-n // TASK_FILES), -(-size // RANGE_BYTES))
+        return listed.where(F.col("path").endswith(".npy")).select("path").repartition(tasks, "path").mapInArrow(_open_npy, ARRAY_SCHEMA)
     raw = load_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", recursive), pattern)
     raw = fewer_scan_tasks(raw.where(F.col("path").endswith(".npy")))
     return raw.select("path", "content").mapInPandas(_ingest_npy, ARRAY_SCHEMA)
